@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from parlance.llm.common import arrow_map, arrow_stream, bounded_sample, fold_of
 
 #: Labelled documents used for the fit, words kept per language, longest n-gram.
-SAMPLE_DOCS, WORDS_PER_LANG, MAX_GRAM = 20_000, 40_000, 4
+SAMPLE_DOCS, WORDS_PER_LANG, MAX_GRAM = 8_000, 15_000, 4
 #: Words whose evidence counts in full; beyond that the score stops growing surer.
 FULL_WORDS = 60
 CACHE_WORDS = 200_000

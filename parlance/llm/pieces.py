@@ -11,8 +11,8 @@ token and the left spine of the right one: a crossing merge happens when it rank
 the merges that use up both of its sides (on the left side strictly, as equal merges are
 done from left to right).
 
-A text is first cut before each run of spaces and around line ends: no piece spans such a
-cut, so the words are encoded alone and their results are kept in a bounded cache.
+A text is first cut before each run of spaces, around line ends and between a letter and
+``. , !``: no piece spans such a cut (checked for the model), so the words are encoded alone and their results are kept in a bounded cache.
 
 Defined cases: null text counts as empty; an empty text has no tokens and decodes to the
 empty text; characters without a piece become byte pieces; words of any length are
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from parlance.llm.common import arrow_map, sha256_hex
 
 SPACE = "▁"
-#: Words kept in a worker's cache; it is emptied when full.
-CACHE_WORDS = 200_000
+#: Words kept in each of a worker's two generations of cached words.
+CACHE_WORDS = 400_000
 CACHE_PAIRS = 1_000_000
-_WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+_WORDS = re.compile(f"{SPACE}*[A-Za-zÀ-ɏ]+(?=[.,!{SPACE}\n]|$)|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _MODELS: dict[str, PieceTable] = {}
 
 
@@ -54,7 +54,7 @@ class PieceTable:
         self.rank = {i: place[sp.get_score(i)] for i in self.id_of.values()}
         self.tree: dict[int, tuple[int, int]] = {}
         self.merge: dict[tuple[int, int], int] = {}
-        whole = ahocorasick.Automaton()
+        whole = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p, i in self.id_of.items():
             parts = self._by_merging(p)
             if parts is None:
@@ -62,17 +62,20 @@ class PieceTable:
             if parts:
                 self.tree[i] = parts
                 self.merge[parts] = i
-            whole.add_word(p, (i, len(p)))
+            whole.add_word(p, i)
         #: pieces that do not rank after their own parts (runs of spaces share one rank): their pairs are merged out
         self.level = {i for i, parts in self.tree.items() if any(x in self.tree and self.rank[x] >= self.rank[i] for x in parts)}
         self.level |= {x for i in self.level for x in self.tree[i]}
         whole.make_automaton()
+        self.length = list(map(len, self.piece))
+        self.said = list(map(str, range(n)))
         self.ending_at = whole
-        if any(SPACE in p.strip(SPACE) or p.strip(SPACE) != p.lstrip(SPACE) or "\n" in p for p in self.id_of):
+        if any(SPACE in p.strip(SPACE) or p.strip(SPACE) != p.lstrip(SPACE) or "\n" in p or re.search("[A-Za-zÀ-ɏ][.,!]", p) for p in self.id_of):
             raise ValueError("this model has pieces over several words")
         self.spine: dict[tuple[int, bool], list[tuple[int, int]]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
         self.text_of = [bytes([int(self.piece[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else b" \xe2\x81\x87 " if sp.is_unknown(i) else self.piece[i].replace(SPACE, " ").encode() for i in range(n)]
 
     def _merged(self, text: str) -> list[list[str]]:
@@ -104,7 +107,7 @@ class PieceTable:
             used, i = self.rank[i], self.tree[i][int(right)]
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 20 | right)
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
@@ -119,57 +122,50 @@ class PieceTable:
                     z = self.merge.get((x, y))
                     if z is not None and self.rank[z] < x_used and self.rank[z] <= y_used:
                         known = False
-            self.pairs[left, right] = known
+            self.pairs[left << 20 | right] = known
         return known
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word (spaces written as the space mark), by the prefix table."""
         n = len(word)
-        last = [-1] * (n + 1)  # id of the last token of each prefix; -1: none, -2: a letter without a piece
-        size = [0] * (n + 1)
-        last[0] = -3
-        pairs, test = self.pairs, self.compatible
-        at = 0
-        for end, (i, length) in self.ending_at.iter(word):
+        last = [-1] * (n + 1)  # id of the last token of each prefix; stays -1 after a letter without a piece
+        pairs, length = self.pairs, self.length
+        for end, i in self.ending_at.iter(word):
             end += 1
-            while at < end - 1:  # positions where no piece ends
-                at += 1
-                if last[at] == -1:
-                    last[at], size[at] = -2, 1
-            if last[end] != -1:
+            if last[end] >= 0:
                 continue
-            before = last[end - length]
+            before = last[end - length[i]]
             if before < 0:
-                ok = before != -1
+                last[end] = i
             else:
-                ok = pairs.get((before, i))
+                ok = pairs.get(before << 20 | i)
                 if ok is None:
-                    ok = test(before, i)
-            if ok:
-                last[end], size[end] = i, length
-        for k in range(1, n + 1):
-            if last[k] == -1:
-                last[k], size[k] = -2, 1
+                    ok = self.compatible(before, i)
+                if ok:
+                    last[end] = i
         ids = []
         while n:
-            if last[n] == -2:
-                ids += [self.byte_id[x] for x in reversed(word[n - 1].encode("utf-8", "surrogatepass"))]
+            i = last[n]
+            if i < 0:
+                n -= 1
+                ids += [self.byte_id[x] for x in reversed(word[n].encode("utf-8", "surrogatepass"))]
             else:
-                ids.append(last[n])
-            n -= size[n]
+                ids.append(i)
+                n -= length[i]
         ids.reverse()
         return ids
 
     def word(self, word: str) -> tuple[int, str, str]:
         """``(number of ids, ids as text, decoded text)`` of one word."""
-        got = self.words.get(word)
+        got = self.words.get(word) or self.older.get(word)
         if got is None:
             ids = self.encode_word(word)
-            got = (len(ids), ",".join(map(str, ids)), self.decode_bytes(ids).decode("utf-8", "replace"))
-            if len(word) <= 64:
-                if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
-                self.words[word] = got
+            got = (len(ids), ",".join(map(self.said.__getitem__, ids)), self.decode_bytes(ids).decode("utf-8", "replace"))
+        if len(word) <= 64:
+            if len(self.words) >= CACHE_WORDS:
+                self.older = dict(self.words)
+                self.words.clear()
+            self.words[word] = got
         return got
 
     def words_of(self, text: str) -> list[str]:

@@ -37,7 +37,7 @@ for _i, _c in enumerate(ALPHABET):
     _CODE[ord(_c)] = _i + 1
 
 #: Documents whose tokens train the models.
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 4_000
 #: A run is a secret from this log-likelihood ratio on (nats), in sum and per transition.
 MIN_LLR, MIN_MEAN = 14.0, 0.6
 
