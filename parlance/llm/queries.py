@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from parlance.llm import decontaminate, urls, warc
 from parlance.llm.common import table
 
 
@@ -23,6 +24,30 @@ def op2_sentencepiece(spark, sf_dir):
     return piece_digests(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op4_warc(spark, sf_dir):
+    from parlance.llm.warc import warc_table
+
+    return warc_table(table(spark, sf_dir, "pages"))
+
+
+def op5_url_filter(spark, sf_dir):
+    from parlance.llm.urls import url_verdicts
+
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
+def op6_phrase_fingerprint(spark, sf_dir):
+    from parlance.llm.phrases import phrase_table
+
+    return phrase_table(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark, sf_dir):
+    from parlance.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality(spark, sf_dir):
     from parlance.llm.quality import quality_table
 
@@ -35,5 +60,5 @@ def op10_language_id(spark, sf_dir):
     return language_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op8_quality, op10_language_id)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op4_warc, op5_url_filter, op6_phrase_fingerprint, op7_decontaminate, op8_quality, op10_language_id)}
+SQL: dict[str, str] = {"op4_warc": warc.SQL, "op5_url_filter": urls.SQL, "op7_decontaminate": decontaminate.SQL}
