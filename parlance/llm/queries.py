@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.llm import decontaminate, urls, warc
+from parlance.llm import decontaminate, nearcopies, urls, warc
 from parlance.llm.common import table
 
 
@@ -24,6 +24,12 @@ def op2_sentencepiece(spark, sf_dir):
     return piece_digests(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op3_near_duplicates(spark, sf_dir):
+    from parlance.llm.nearcopies import near_components
+
+    return near_components(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark, sf_dir):
     from parlance.llm.warc import warc_table
 
@@ -60,5 +66,5 @@ def op10_language_id(spark, sf_dir):
     return language_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op4_warc, op5_url_filter, op6_phrase_fingerprint, op7_decontaminate, op8_quality, op10_language_id)}
-SQL: dict[str, str] = {"op4_warc": warc.SQL, "op5_url_filter": urls.SQL, "op7_decontaminate": decontaminate.SQL}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_near_duplicates, op4_warc, op5_url_filter, op6_phrase_fingerprint, op7_decontaminate, op8_quality, op10_language_id)}
+SQL: dict[str, str] = {"op3_near_duplicates": nearcopies.SQL, "op4_warc": warc.SQL, "op5_url_filter": urls.SQL, "op7_decontaminate": decontaminate.SQL}
