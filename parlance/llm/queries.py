@@ -60,11 +60,17 @@ def op8_quality(spark, sf_dir):
     return quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_repeats(spark, sf_dir):
+    from parlance.llm.repeats import repeats_table
+
+    return repeats_table(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark, sf_dir):
     from parlance.llm.language import language_table
 
     return language_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_near_duplicates, op4_warc, op5_url_filter, op6_phrase_fingerprint, op7_decontaminate, op8_quality, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_near_duplicates, op4_warc, op5_url_filter, op6_phrase_fingerprint, op7_decontaminate, op8_quality, op9_repeats, op10_language_id)}
 SQL: dict[str, str] = {"op3_near_duplicates": nearcopies.SQL, "op4_warc": warc.SQL, "op5_url_filter": urls.SQL, "op7_decontaminate": decontaminate.SQL}
