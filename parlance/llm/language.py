@@ -14,6 +14,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -130,6 +131,18 @@ def predict_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id"
     return arrow_map(docs, f"k {kind}, lang_pred string, score double", run, F.col(key).alias("k"), F.col(text).alias("t")).withColumnRenamed("k", key)
 
 
+def label_documents(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """``docs`` with ``lang`` replaced by the prediction and ``lang_score`` added; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    caches: dict[str, np.ndarray] = {}
+
+    @F.pandas_udf("lang string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shared.value.predict(t, caches) for t in texts], columns=["lang", "score"])
+
+    return docs.withColumn("found", predict(F.col(text))).withColumns({"lang": F.col("found.lang"), "lang_score": F.col("found.score")}).drop("found")
+
+
 def training_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Labelled documents outside the held-out split: a bounded sample."""
     rows = docs.select("doc_id", "text", "lang").where((fold_of(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
