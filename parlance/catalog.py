@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from parlance.bindings import events, ingest
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for part in (ingest, events):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL
