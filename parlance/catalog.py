@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from parlance.bindings import events, ingest
+from parlance.bindings import enrich, events, ingest
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for part in (ingest, events):
+for part in (ingest, events, enrich):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
