@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from parlance.bindings import enrich, events, ingest
+from parlance.bindings import enrich, events, ingest, resolve, retrieve
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for part in (ingest, events, enrich):
+for part in (ingest, events, enrich, resolve, retrieve):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
