@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from parlance.bindings import enrich, events, ingest, resolve, retrieve
+from parlance.bindings import enrich, events, ingest, read, resolve, retrieve
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for part in (ingest, events, enrich, resolve, retrieve):
+for part in (ingest, events, enrich, resolve, retrieve, read):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
