@@ -198,7 +198,7 @@ def _ids(p):
     return p.withColumn("segment_id", F.concat_ws("/", "interview_id", "start_index", "end_index"))
 
 
-@query("e16_conflicts", f"WITH {FRAGMENTS}, {_SEG}, bad AS (SELECT DISTINCT interview_id FROM sg WHERE interview_id % 3 = 0 AND start_index >= 5) SELECT interview_id, start_index, topic FROM sg WHERE interview_id NOT IN (SELECT interview_id FROM bad)")
+@query("e16_conflicts", f"WITH {FRAGMENTS}, {_SEG}, bad AS (SELECT DISTINCT a.interview_id FROM sg a JOIN sg b ON a.interview_id = b.interview_id WHERE b.interview_id % 3 = 0 AND b.start_index >= 5 AND a.start_index <= b.end_index - 1 AND b.start_index <= a.end_index) SELECT interview_id, start_index, topic FROM sg WHERE interview_id NOT IN (SELECT interview_id FROM bad)")
 def e16(s, d):
     new = _ids(_segments(s, d))
     live = new.where("interview_id % 3 = 0 and start_index >= 5").withColumn("end_index", F.col("end_index") - 1).withColumn("segment_id", F.concat(F.lit("old"), "segment_id"))
