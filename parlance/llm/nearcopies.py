@@ -37,7 +37,7 @@ SHINGLE, PERCENT = 5, 85
 TREES, LEVELS, NODE_LIMIT = 16, 6, 48
 SLOTS = TREES * LEVELS
 #: Rows of ids up to which their documents are found by a broadcast.
-BROADCAST_IDS = 200_000
+BROADCAST_IDS = 1_000_000
 CACHE_WORDS = 300_000
 
 _rng = np.random.default_rng(85)
@@ -112,30 +112,34 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def leaves_of(sets: DataFrame) -> DataFrame:
-    """``(path, lead, pivot, size)``: the leaves of all trees that hold two sets or more; sets: ``(lead, mins)``."""
-    trees = F.array(*(F.struct(F.xxhash64(F.lit(t), F.get("mins", F.lit(t * LEVELS))).alias("path"), F.slice("mins", t * LEVELS + 2, LEVELS - 1).alias("rest")) for t in range(TREES)))
-    rows = sets.select("lead", F.explode(trees).alias("t")).select("t.path", "lead", "t.rest")
+    """``(tree, path, lead, pivot, size)``: the leaves of all trees that hold two sets or more; sets: ``(lead, mins)``."""
+    trees = F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.get("mins", F.lit(t * LEVELS))).alias("path"), F.slice("mins", t * LEVELS + 2, LEVELS - 1).alias("rest")) for t in range(TREES)))
+    rows = sets.select("lead", F.explode(trees).alias("t")).select("t.tree", "t.path", "lead", "t.rest")
     done = []
     for level in range(LEVELS):
         size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("lead").alias("pivot")).where("size > 1")
         node = materialise(rows.join(size, "path"))
         large = F.col("size") > NODE_LIMIT
         last = level == LEVELS - 1 or node.where(large).isEmpty()
-        done.append((node if last else node.where(~large)).select("path", "lead", "pivot", "size"))
+        done.append((node if last else node.where(~large)).select("tree", "path", "lead", "pivot", "size"))
         if last:
             break
-        rows = node.where(large).select(F.xxhash64("path", F.get("rest", F.lit(level))).alias("path"), "lead", "rest")
+        rows = node.where(large).select("tree", F.xxhash64("path", F.get("rest", F.lit(level))).alias("path"), "lead", "rest")
     return reduce(DataFrame.unionByName, done)
 
 
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, s)``: the shingle set of each wanted document; few ids are sent to the documents, many are joined by a shuffle."""
+    ids = materialise(ids.distinct())
+    few = ids.count() <= BROADCAST_IDS
+    needed = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return materialise(arrow_map(needed, "id long, s binary", lambda c: {"id": c["id"], "s": [shingle_set(t).tobytes() for t in c["text"]]}, "id", "text").dropDuplicates(["id"]))
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar."""
     pairs = materialise(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if pairs.count() <= BROADCAST_IDS // 2:
-        ids = F.broadcast(ids)
-    needed = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    sets = materialise(arrow_map(needed, "id long, s binary", lambda c: {"id": c["id"], "s": [shingle_set(t).tobytes() for t in c["text"]]}, "id", "text").dropDuplicates(["id"]))
+    sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
 
     def check(c):
         ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(c["sa"], c["sb"], strict=True)]
@@ -145,6 +149,21 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     return materialise(arrow_map(both, "a long, b long", check, "a", "b", "sa", "sb"))
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections of a few sets, by products of 0/1 matrices over slices of their shingles."""
+    out = np.zeros((len(sets), len(sets)))
+    shingles, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    for i in range(0, len(shingles), 16_384):
+        a, b = np.searchsorted(at, (i, i + 16_384))
+        m = np.zeros((len(sets), min(16_384, len(shingles) - i)), np.float32)
+        m[row[a:b], at[a:b] - i] = 1
+        out += m @ m.T
+    return out
+
+
 def pivot_links(leaves: DataFrame, sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed links of documents to the likeliest pivot of their leaves: one candidate each."""
     pairs = leaves.where("lead != pivot").select("lead", "pivot").distinct()
@@ -162,47 +181,93 @@ def pivot_links(leaves: DataFrame, sets: DataFrame, docs: DataFrame, percent: in
     return confirm(best, docs, percent)
 
 
+def _pairs_to_compare(members: list[dict], i: int, j: int, tree: int) -> np.ndarray:
+    """Which pairs of a group are this group's to compare: of two components, over its two blocks, and in no leaf of an earlier tree."""
+    part = np.array([m["part"] for m in members])
+    wanted = part[:, None] != part[None, :]
+    if i >= 0:
+        side = np.array([m["is_main"] for m in members])
+        wanted &= side[:, None] != side[None, :]
+    elif -i - 1 != j:
+        block = np.array([m["block"] for m in members])
+        wanted &= block[:, None] != block[None, :]
+    leaf = np.array([m["leaf"] for m in members])
+    for t in range(tree):
+        wanted &= leaf[:, None, t] != leaf[None, :, t]
+    return np.triu(wanted, 1)
+
+
 def cross_links(leaves: DataFrame, parts: DataFrame, sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed links between documents of one leaf but different components.
 
     A leaf's largest component is cut into blocks of NODE_LIMIT, and so are its other
-    documents; every two blocks that hold pairs to compare meet in one group.
+    documents; every two blocks that hold pairs to compare meet in one group.  Members
+    without a likely partner leave the group; the full sets of the others are compared, and
+    a group gives a spanning forest of the links that it finds.
     """
     rows = leaves.join(parts.select(F.col("node").alias("lead"), "component"), "lead", "left").withColumn("part", F.coalesce("component", "lead"))
     count = rows.groupBy("path", "part").agg(F.count(F.lit(1)).alias("n"))
     main = count.groupBy("path").agg(F.max(F.struct("n", "part")).alias("m"), F.sum("n").alias("size")).where("size > m.n").select("path", F.col("m.part").alias("main"), F.ceil(F.col("m.n") / NODE_LIMIT).cast("int").alias("mains"), F.ceil((F.col("size") - F.col("m.n")) / NODE_LIMIT).cast("int").alias("others"))
-    rows = rows.select("path", "lead", "part").join(main, "path").join(sets.select("lead", "n", "sketch"), "lead")
+    rows = materialise(rows.select("tree", "path", "lead", "part").join(main, "path"))
+    own = rows.groupBy("lead").agg(F.map_from_entries(F.collect_list(F.struct("tree", "path"))).alias("m"))
+    own = own.select("lead", F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.try_element_at("m", t), F.xxhash64("lead", t))).alias("leaf"))
+    rows = rows.join(sets.select("lead", "n", "sketch").join(own, "lead"), "lead")
     is_main = F.col("part") == F.col("main")
     block = F.pmod(F.xxhash64("lead", "path"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
     # groups: (block of the main component, block of others), or (-1 - block, block) of others
     first = F.sequence(F.lit(0), F.col("mains") - 1)
     second = F.sequence(F.lit(0), F.col("others") - 1)
     groups = F.when(is_main, F.transform(second, lambda j: F.struct(block.alias("i"), j.alias("j")))).otherwise(F.concat(F.transform(first, lambda i: F.struct(i.alias("i"), block.alias("j"))), F.transform(second, lambda j: F.struct((-F.least(j, block) - 1).alias("i"), F.greatest(j, block).alias("j")))))
-    dealt = rows.select("path", "lead", "part", "n", "sketch", block.alias("block"), is_main.alias("is_main"), F.explode(groups).alias("g"))
-    met = dealt.groupBy("path", "g").agg(F.collect_list(F.struct("lead", "part", "n", "sketch", "block", "is_main")).alias("rows"))
+    dealt = rows.select("tree", "path", "lead", "part", "n", "sketch", "leaf", block.alias("block"), is_main.alias("is_main"), F.explode(groups).alias("g"))
+    met = dealt.groupBy("tree", "path", "g.i", "g.j").agg(F.collect_list(F.struct("lead", "part", "n", "sketch", "leaf", "block", "is_main")).alias("rows"))
+
+    def likely(c):
+        names = ("tree", "path", "i", "j", "lead", "part", "leaf", "block", "is_main")
+        out = {k: [] for k in names}
+        for tree, path, i, j, members in zip(c["tree"], c["path"], c["i"], c["j"], c["rows"], strict=True):
+            if len(members) < 2:
+                continue
+            wanted = _pairs_to_compare(members, i, j, tree)
+            x, y = np.nonzero(wanted)
+            if len(x):
+                n = np.array([m["n"] for m in members])
+                sketch = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, SLOTS)
+                ok = _may_be(n[x], sketch[x], n[y], sketch[y], percent)
+                for k in np.union1d(x[ok], y[ok]):
+                    m = members[k]
+                    for name, v in zip(names, (tree, path, i, j, m["lead"], m["part"], m["leaf"], m["block"], m["is_main"]), strict=True):
+                        out[name].append(v)
+        return out
+
+    found = materialise(arrow_map(met, "tree int, path long, i int, j int, lead long, part long, leaf array<long>, block int, is_main boolean", likely, "tree", "path", "i", "j", "rows"))
+    known = full_sets(docs, found.select(F.col("lead").alias("id")))
+    again = found.join(known.withColumnRenamed("id", "lead"), "lead").groupBy("tree", "path", "i", "j").agg(F.collect_list(F.struct("lead", "part", "leaf", "block", "is_main", "s")).alias("rows"))
 
-    def compare(c):
+    def link(c):
         out = {"a": [], "b": []}
-        for g, members in zip(c["g"], c["rows"], strict=True):
+        for tree, i, j, members in zip(c["tree"], c["i"], c["j"], c["rows"], strict=True):
             if len(members) < 2:
                 continue
-            n = np.array([m["n"] for m in members])
-            sketch = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, SLOTS)
-            part = np.array([m["part"] for m in members])
-            side = np.array([m["is_main"] for m in members]) if g["i"] >= 0 else np.array([m["block"] for m in members])
-            for x in range(len(members) - 1):
-                ok = part[x + 1 :] != part[x]
-                if g["i"] >= 0 or -g["i"] - 1 != g["j"]:  # only pairs over the two blocks
-                    ok &= side[x + 1 :] != side[x]
-                if ok.any():
-                    ok &= _may_be(n[x + 1 :], sketch[x + 1 :], n[x], sketch[x], percent)
-                    for y in np.flatnonzero(ok):
-                        a, b = members[x]["lead"], members[x + 1 + int(y)]["lead"]
-                        out["a"].append(max(a, b))
-                        out["b"].append(min(a, b))
+            s = [np.frombuffer(m["s"], np.uint64) for m in members]
+            both = common_counts(s)
+            n = np.array([len(x) for x in s])
+            ok = _pairs_to_compare(members, i, j, tree) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+            root = {m["part"]: m["part"] for m in members}
+
+            def top(p, root=root):
+                while root[p] != p:
+                    p = root[p]
+                return p
+
+            for x, y in zip(*np.nonzero(ok), strict=True):
+                a, b = top(members[x]["part"]), top(members[y]["part"])
+                if a != b:
+                    root[a] = b
+                    out["a"].append(members[x]["lead"])
+                    out["b"].append(members[y]["lead"])
         return out
 
-    return confirm(arrow_map(met, "a long, b long", compare, "g", "rows").distinct(), docs, percent)
+    return materialise(arrow_map(again, "a long, b long", link, "tree", "i", "j", "rows").distinct())
 
 
 def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
