@@ -66,29 +66,42 @@ class LanguageModel:
             return known
         for size in range(MAX_GRAM, 0, -1):
             if found := [v for g in self.grams(w, size) if (v := self.by_size[size].get(g)) is not None]:
-                return np.mean(found, axis=0)
+                return sum(found[1:], found[0]) / len(found)
         return np.zeros(len(self.langs), np.float32)
 
-    def predict(self, text: str | None, cache: dict[str, np.ndarray] | None = None) -> tuple[str, float]:
+    def predict(self, text: str | None, seen: SeenWords | None = None) -> tuple[str, float]:
         """``(language, posterior)`` of a whole text."""
         words = _WORD.findall(text.lower()) if text else []
         if not words or not self.langs:
             return "und", 0.0
-        cache = {} if cache is None else cache
-        total = np.zeros(len(self.langs))
-        for w, n in Counter(words).items():
-            v = cache.get(w)
-            if v is None:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                v = cache[w] = self.word(w)
-            total += v * n if n > 1 else v
-        total *= min(1, FULL_WORDS / len(words))
-        p = np.exp(total + self.prior - (total + self.prior).max())
+        total = (seen or SeenWords(self)).total(words) * min(1, FULL_WORDS / len(words)) + self.prior
+        p = np.exp(total - total.max())
         best = int(p.argmax())
         return self.langs[best], float(p[best] / p.sum())
 
 
+class SeenWords:
+    """A worker's words with their evidence, as rows of one table; emptied when full."""
+
+    def __init__(self, model: LanguageModel):
+        self.model, self.row, self.table = model, {}, np.zeros((1024, len(model.langs)), np.float32)
+
+    def total(self, words: list[str]) -> np.ndarray:
+        """Summed evidence of all words of a text."""
+        if len(self.row) > CACHE_WORDS:
+            self.row.clear()
+        row, at = self.row, []
+        for w in words:
+            i = row.get(w)
+            if i is None:
+                i = row[w] = len(row)
+                if i == len(self.table):
+                    self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+                self.table[i] = self.model.word(w)
+            at.append(i)
+        return self.table[at].sum(0, dtype=np.float64)
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", words_per_lang: int = WORDS_PER_LANG) -> LanguageModel:
     """Word counts per language on the executors; the driver gets the most frequent ones of each."""
 
@@ -120,11 +133,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", words_per_l
 def predict_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, ``lang_pred``, ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    caches: dict[str, np.ndarray] = {}
+    seen: list[SeenWords] = []
 
     def run(cols):
         m = shared.value
-        got = [m.predict(t, caches) for t in cols["t"]]
+        if not seen:
+            seen.append(SeenWords(m))
+        got = [m.predict(t, seen[0]) for t in cols["t"]]
         return {"k": cols["k"], "lang_pred": [g for g, _ in got], "score": [s for _, s in got]}
 
     kind = docs.schema[key].dataType.simpleString()
@@ -134,11 +149,13 @@ def predict_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id"
 def label_documents(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``docs`` with ``lang`` replaced by the prediction and ``lang_score`` added; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    caches: dict[str, np.ndarray] = {}
+    seen: list[SeenWords] = []
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t, caches) for t in texts], columns=["lang", "score"])
+        if not seen:
+            seen.append(SeenWords(shared.value))
+        return pd.DataFrame([shared.value.predict(t, seen[0]) for t in texts], columns=["lang", "score"])
 
     return docs.withColumn("found", predict(F.col(text))).withColumns({"lang": F.col("found.lang"), "lang_score": F.col("found.score")}).drop("found")
 
