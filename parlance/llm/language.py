@@ -25,7 +25,7 @@ from parlance.llm.common import arrow_map, arrow_stream, bounded_sample, fold_of
 SAMPLE_DOCS, WORDS_PER_LANG, MAX_GRAM = 8_000, 15_000, 4
 #: Words whose evidence counts in full; beyond that the score stops growing surer.
 FULL_WORDS = 60
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 

@@ -38,7 +38,7 @@ TREES, LEVELS, NODE_LIMIT = 16, 6, 48
 SLOTS = TREES * LEVELS
 #: Rows of ids up to which their documents are found by a broadcast.
 BROADCAST_IDS = 1_000_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 _rng = np.random.default_rng(85)
 _A = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -31,8 +31,8 @@ from parlance.llm.common import arrow_map, sha256_hex
 
 SPACE = "▁"
 #: Words kept in each of a worker's two generations of cached words.
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 1_000_000
+CACHE_WORDS = 100_000
+CACHE_PAIRS = 300_000
 _WORDS = re.compile(f"{SPACE}*[A-Za-zÀ-ɏ]+(?=[.,!{SPACE}\n]|$)|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _MODELS: dict[str, PieceTable] = {}
 
