@@ -15,7 +15,7 @@ Native: DataFrame functions only.
 Item shingles are broadcast only up to BROADCAST_SHINGLES, window places only up to
 BROADCAST_PLACES rows (both are counted first); beyond that the same joins are shuffled.
 
-Defined cases: null and empty texts match nothing; a document shorter than an item has no
+Defined cases: null and empty texts match nothing; a document shorter than an item is one
 window for it; repeated items give a row each; repeated documents (one id) give the best
 window of all their rows; a null id is a document of its own; no rows give no rows; other
 columns are ignored.
@@ -97,7 +97,7 @@ def candidate_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
         placed = items.where(F.col("k") == k).select("item_len", F.posexplode(_hashes(F.col("item_words"), k)).alias("at", "h")).distinct()
         side = F.broadcast(placed) if placed.count() <= BROADCAST_SHINGLES else placed
         shingles = d.select("doc_id", F.size("words").alias("n"), F.when(F.size("words") >= k, _hashes(F.col("words"), k)).alias("hashes"))
-        hit = shingles.select("doc_id", "n", F.posexplode_outer("hashes").alias("i", "h")).join(side, "h").where("n >= item_len")
+        hit = shingles.select("doc_id", "n", F.posexplode_outer("hashes").alias("i", "h")).join(side, "h")
         hit = hit.select("doc_id", F.greatest(F.lit(0), F.least(F.col("i") - F.col("at"), F.col("n") - F.col("item_len"))).alias("start"), "item_len", F.lit(k).alias("k")).distinct()
         places = hit if places is None else places.unionByName(hit)
     if places is None:
@@ -106,7 +106,7 @@ def candidate_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     if places.count() <= BROADCAST_PLACES:
         places = F.broadcast(places)
     w = d.join(places, F.col("doc_id").eqNullSafe(F.col("placed_id")))
-    w = w.where(F.size("words") >= F.col("start") + F.col("item_len"))
+    w = w.where(F.size("words") >= F.col("start") + F.least(F.size("words"), F.col("item_len")))
     return w.select("doc_id", "start", "item_len", "k", F.array_join(F.slice("words", F.col("start") + 1, F.col("item_len")), " ").alias("window"))
 
 
@@ -125,8 +125,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     same = F.array_position(F.zip_with(blocks_of(F.col("print"), radius), blocks_of(F.col("item_print"), radius), lambda x, y: x == y), F.lit(True)) - 1
     near = near.where(F.col("at")["block"] == same).withColumn("similarity", F.round(weighted_jaccard(F.col("shingles"), F.col("item_shingles")), 6))
     near = near.where(F.col("similarity") >= threshold)
-    best = near.groupBy("doc_id", "item_id", "item_no").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "item_len")).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.s")).alias("start_word"), F.col("b.item_len").alias("n_words"))
+    best = near.groupBy("doc_id", "item_id", "item_no").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), F.size(F.split("window", " ")).alias("n_words"))).alias("b"))
+    return best.select("doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.s")).alias("start_word"), F.col("b.n_words").alias("n_words"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -187,6 +187,15 @@ def test_decontamination(spark, docs, none):
     assert {5, 6, 7, 12} <= kept and not kept & {0, 1, 8, 9, 14}
 
 
+def test_documents_shorter_than_an_item_are_one_window(spark):
+    item = prose(21, 59).split()
+    d = spark.createDataFrame([(1, " ".join(item[:57])), (2, " ".join(item[4:])), (3, " ".join(item[:30])), (4, " ".join(item[:3]))], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {(r.doc_id, r.start_word, r.n_words, r.similarity) for r in decontaminate.find_leaks(d, b).collect()}
+    assert got == {(1, 0, 57, round(53 / 55, 6)), (2, 0, 55, round(51 / 55, 6))}
+    assert {r.doc_id for r in decontaminate.drop_leaks(d, b).collect()} == {3, 4}
+
+
 def test_hamming_blocks_find_all_within_the_radius(spark):
     r = random.Random(2)
     base = r.getrandbits(64) - 2**63
