@@ -4,8 +4,10 @@ Native: DataFrame functions only.
 
 1. Words are lower-cased runs of letters and digits.  A shingle is five words (an item of
    fewer words is one shingle of all of them).
-2. Windows have the size of an item.  A window that shares no shingle with an item cannot be
-   similar to it, so windows are laid where a shared shingle puts the item.
+2. Windows have the size of an item.  One that starts before its first shared shingle can
+   move on to it and lose none, so the best window starts at a shared shingle, or is the last
+   of the document; all these are laid, and those where a shared shingle aligns with the item.
+   Windows with too few shared shingles to reach the threshold are left out.
 3. Each window and item gets a 64-bit SimHash of its weighted shingles (weight: how often it
    occurs).  The bits are cut into RADIUS + 1 blocks: two fingerprints within RADIUS agree
    in one block at least, so a join on (window size, block, its bits) finds all of them.
@@ -17,7 +19,7 @@ BROADCAST_PLACES rows (both are counted first); beyond that the same joins are s
 
 Defined cases: null and empty texts match nothing; a document shorter than an item is one
 window for it; repeated items give a row each; repeated documents (one id) give the best
-window of all their rows; a null id is a document of its own; no rows give no rows; other
+window of all their rows (of equal ones an aligned one, then the first); a null id is a document of its own; no rows give no rows; other
 columns are ignored.
 """
 
@@ -88,32 +90,58 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return b.withColumn("item_no", F.xxhash64("item_id", F.array_join("item_words", " ")))
 
 
-def candidate_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``(doc_id, start, item_len, k, window)``: distinct windows where a shared shingle places an item."""
+def _needed(m: Column, n: Column, threshold: float) -> Column:
+    """Shared shingles without which bags of m and n have a similarity that rounds to less than the threshold."""
+    t = threshold - 1e-6
+    return F.greatest(F.lit(1), F.ceil((m + n) * t / (1 + t)).cast("int"))
+
+
+def _starts(threshold: float) -> Column:
+    """``(start, aligned)`` of the windows worth comparing, of one item's hits in one document.
+
+    hits: places of shared shingles, sorted; aligned: starts where one of them aligns with the item.
+    """
+    last, p = F.greatest(F.col("n") - F.col("item_len"), F.lit(0)), F.col("hits")
+    size = F.least(F.col("n"), F.col("item_len")) - F.col("k") + 1
+    need = _needed(size, F.col("item_len") - F.col("k") + 1, threshold)
+    # a window that starts at the hit of rank r holds enough hits if the one of rank r + need - 1 lies in it
+    first = F.filter(p, lambda x, r: (x <= last) & (F.coalesce(F.get(p, r + need - 1), F.lit(2**31 - 1)) < x + size))
+    end = F.when(F.size(F.filter(p, lambda x: x >= last)) >= need, F.array(last)).otherwise(F.array().cast("array<int>"))
+    other = F.array_except(F.array_union(first, end), F.col("aligned"))
+    aligned = F.when(F.size(p) >= need, F.col("aligned")).otherwise(F.array().cast("array<int>"))
+    return F.concat(F.transform(aligned, lambda x: F.struct(x.alias("start"), F.lit(1).alias("aligned"))), F.transform(other, lambda x: F.struct(x.alias("start"), F.lit(0).alias("aligned"))))
+
+
+def candidate_windows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, start, aligned, item_len, k, window)``: distinct windows that can reach the threshold by their shared shingles."""
     spark = docs.sparkSession
-    d = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    d = docs.select("doc_id", words_of(F.col("text")).alias("words")).withColumn("n", F.size("words"))
     places = None
     for k in sorted(r.k for r in items.select("k").distinct().collect()):  # at most SHINGLE values
-        placed = items.where(F.col("k") == k).select("item_len", F.posexplode(_hashes(F.col("item_words"), k)).alias("at", "h")).distinct()
+        text_no = F.xxhash64(F.array_join("item_words", " ")).alias("text_no")
+        placed = items.where(F.col("k") == k).select(text_no, "item_len", F.posexplode(_hashes(F.col("item_words"), k)).alias("at", "h")).distinct()
         side = F.broadcast(placed) if placed.count() <= BROADCAST_SHINGLES else placed
-        shingles = d.select("doc_id", F.size("words").alias("n"), F.when(F.size("words") >= k, _hashes(F.col("words"), k)).alias("hashes"))
+        shingles = d.select("doc_id", "n", F.when(F.size("words") >= k, _hashes(F.col("words"), k)).alias("hashes"))
         hit = shingles.select("doc_id", "n", F.posexplode_outer("hashes").alias("i", "h")).join(side, "h")
-        hit = hit.select("doc_id", F.greatest(F.lit(0), F.least(F.col("i") - F.col("at"), F.col("n") - F.col("item_len"))).alias("start"), "item_len", F.lit(k).alias("k")).distinct()
+        start = F.greatest(F.lit(0), F.least(F.col("i") - F.col("at"), F.col("n") - F.col("item_len")))
+        # a group is at most as long as its document
+        hit = hit.groupBy("doc_id", "n", "item_len", "text_no").agg(F.array_sort(F.collect_set("i")).alias("hits"), F.collect_set(start).alias("aligned")).withColumn("k", F.lit(k))
+        hit = hit.select("doc_id", "n", "item_len", "k", F.inline(_starts(threshold)))
+        hit = hit.groupBy("doc_id", "n", "item_len", "k", "start").agg(F.max("aligned").alias("aligned"))
         places = hit if places is None else places.unionByName(hit)
     if places is None:
-        places = spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start int, item_len int, k int")
-    places = materialise(places).withColumnRenamed("doc_id", "placed_id")
+        places = spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, item_len int, k int, start int, aligned int")
+    places = materialise(places).withColumnsRenamed({"doc_id": "placed_id", "n": "placed_n"})
     if places.count() <= BROADCAST_PLACES:
         places = F.broadcast(places)
-    w = d.join(places, F.col("doc_id").eqNullSafe(F.col("placed_id")))
-    w = w.where(F.size("words") >= F.col("start") + F.least(F.size("words"), F.col("item_len")))
-    return w.select("doc_id", "start", "item_len", "k", F.array_join(F.slice("words", F.col("start") + 1, F.col("item_len")), " ").alias("window"))
+    w = d.join(places, F.col("doc_id").eqNullSafe(F.col("placed_id")) & (F.col("n") == F.col("placed_n")))
+    return w.select("doc_id", "start", "aligned", "item_len", "k", F.array_join(F.slice("words", F.col("start") + 1, F.col("item_len")), " ").alias("window"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, item_id, similarity, start_word, n_words)``: the best window of each document for each item it holds."""
     items = items_of(benchmark.select("item_id", "text"))
-    w = candidate_windows(docs.select("doc_id", "text"), items).withColumn("shingles", shingles_of(F.split("window", " "), F.col("k")))
+    w = candidate_windows(docs.select("doc_id", "text"), items, threshold).withColumn("shingles", shingles_of(F.split("window", " "), F.col("k")))
     w = w.withColumn("print", simhash(F.col("shingles"))).withColumn("at", F.explode(blocks_of(F.col("print"), radius)))
     i = items.withColumn("item_shingles", shingles_of(F.col("item_words"), F.col("k"))).withColumn("item_print", simhash(F.col("item_shingles"))).withColumn("at", F.explode(blocks_of(F.col("item_print"), radius)))
     i = i.select("item_id", "item_no", "item_len", "item_shingles", "item_print", "at")
@@ -125,7 +153,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     same = F.array_position(F.zip_with(blocks_of(F.col("print"), radius), blocks_of(F.col("item_print"), radius), lambda x, y: x == y), F.lit(True)) - 1
     near = near.where(F.col("at")["block"] == same).withColumn("similarity", F.round(weighted_jaccard(F.col("shingles"), F.col("item_shingles")), 6))
     near = near.where(F.col("similarity") >= threshold)
-    best = near.groupBy("doc_id", "item_id", "item_no").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), F.size(F.split("window", " ")).alias("n_words"))).alias("b"))
+    best = near.groupBy("doc_id", "item_id", "item_no").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("s"), F.size(F.split("window", " ")).alias("n_words"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.s")).alias("start_word"), F.col("b.n_words").alias("n_words"))
 
 

@@ -196,6 +196,38 @@ def test_documents_shorter_than_an_item_are_one_window(spark):
     assert {r.doc_id for r in decontaminate.drop_leaks(d, b).collect()} == {3, 4}
 
 
+def test_windows_between_two_alignments_are_laid(spark):
+    def bag(words):
+        return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+    def best(words, item):
+        n = min(len(words), len(item))
+        sims = []
+        for at in range(len(words) - n + 1):
+            x, y = bag(words[at : at + n]), bag(item)
+            sims.append(round((x & y).total() / (x | y).total(), 6))
+        return max(sims)
+
+    r = random.Random(5)
+    item, rows = [f"w{i}" for i in range(59)], []
+    around = [f"a{i}" for i in range(100)]
+    rows.append(around + ["x0", *item[1:29], "x1", "x2", *item[29:58], "x3"] + around)
+    for j in range(40):
+        words = [f"{w}" for w in item]
+        for _ in range(r.randrange(1, 3)):
+            at = r.choice((0, len(words) - 1, r.randrange(len(words))))
+            words[at : at + r.randrange(2)] = [f"x{j}"] * r.randrange(3)
+        rows.append(around[: r.randrange(30)] + words + around[: r.randrange(30)])
+    want = {i: s for i, s in enumerate(best(w, item) for w in rows) if s >= 0.8}
+    assert want[0] > 0.8 and 0 < len(want) < len(rows)
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {x.doc_id: x.similarity for x in decontaminate.find_leaks(d, b).collect()}
+    assert got == want
+    twice = spark.createDataFrame([(1, " ".join(["a", *item, "b", *item]))], "doc_id long, text string")
+    assert [x.start_word for x in decontaminate.find_leaks(twice, b).collect()] == [1]
+
+
 def test_hamming_blocks_find_all_within_the_radius(spark):
     r = random.Random(2)
     base = r.getrandbits(64) - 2**63
