@@ -59,11 +59,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _free(text: str, taken: list[tuple[int, int, int]], runs: re.Pattern) -> list[tuple[int, int]]:
-    """Runs that touch no span in ``taken``."""
+    """Runs that touch no span in ``taken``: what stands beside a secret has no sure label."""
     spans = [(a, b) for a, _, b in taken]
     return [m.span() for m in runs.finditer(text) if not any(a < m.end() and m.start() < b for a, b in spans)]
 
 
+def _left(text: str, taken: list[tuple[int, int, int]], runs: re.Pattern) -> list[tuple[int, int]]:
+    """Runs in what the spans in ``taken`` leave of the text."""
+    out, at = [], 0
+    for a, _, b in [*sorted(taken), (len(text), 0, len(text))]:
+        if a > at:
+            out += [m.span() for m in runs.finditer(text, at, a)]
+        at = max(at, b)
+    return out
+
+
 def weak_labels(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(value, label)``: values of rule secrets (1) and all other runs of key characters (0)."""
 
@@ -111,9 +121,9 @@ def train(samples: DataFrame) -> np.ndarray:
 
 
 def markov_spans(text: str, taken: list[tuple[int, int, int]], llr: np.ndarray, min_llr: float = MIN_LLR, min_mean: float = MIN_MEAN) -> list[tuple[int, int, int]]:
-    """Runs outside ``taken`` that the random model explains better."""
+    """Runs, or what ``taken`` leaves of them, that the random model explains better."""
     out = []
-    for a, b in _free(text, taken, _RUN):
+    for a, b in _left(text, taken, _RUN):
         c = _CODE[np.frombuffer(text[a:b].encode("latin-1"), np.uint8)]
         score = float(llr[c[:-1], c[1:]].sum())
         if score >= min_llr and score >= min_mean * (b - a - 1):

@@ -70,6 +70,14 @@ def test_markov_tells_random_from_words():
     assert secrets.spans_of(None, llr) == []
 
 
+def test_what_rule_spans_leave_of_a_run_is_scored():
+    llr = np.ones((secrets.SIZE, secrets.SIZE))  # every run of 16 characters is a secret
+    access, key = "AKIA" + "Q7" * 8, "k3Jx" * 10
+    assert secrets.spans_of(f"{access}/{key}", llr) == [(0, 1, 20), (20, 3, 61)]
+    assert secrets.spans_of(f"{key}_token=abcdef", llr) == [(0, 3, 41), (41, 0, 53)]
+    assert secrets.spans_of(f"{access}/short", llr) == [(0, 1, 20)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="abcé ", max_size=200), st.text(alphabet="abcé ", max_size=80), st.integers(0, 200))
 def test_phrase_fork_equals_a_fresh_parse(text, tail, cut):
