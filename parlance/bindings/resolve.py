@@ -120,7 +120,7 @@ def r9(s, d):
     return _assigned(s, d).agg(F.count_if(skipped).alias("n_clusters"), F.coalesce(F.sum(F.when(skipped, F.col("n_new"))), F.lit(0)).alias("n_surfaces"))
 
 
-# First and last names that make up people of the driver's tables.
+#: First and last names that make up people of the driver's tables.
 _FIRST, _LAST = ("Ann", "Bea", "Cem", "Dov", "Eva"), ("Adler", "Berg", "Cole")
 
 
@@ -129,7 +129,7 @@ def _speakers(s, d):
     h = hashed_share(F.concat_ws("/", "interview_id", "role"))
     first = F.element_at(F.array(*map(F.lit, _FIRST)), (F.floor(h * 5) + 1).cast("int"))
     last = F.element_at(F.array(*map(F.lit, _LAST)), (F.pmod(F.col("interview_id"), F.lit(3)) + 1).cast("int"))
-    name = F.when(h < 0.15, F.col("role")).when(h < 0.5, F.concat(first, F.lit(" "), last)).when(h < 0.7, F.upper(F.concat(first, F.lit("  "), last))).otherwise(first)
+    name = F.when(h < 0.05, F.upper("role")).when(h < 0.08, "  ").when(h < 0.15, F.col("role")).when(h < 0.5, F.concat(first, F.lit(" "), last)).when(h < 0.7, F.upper(F.concat(first, F.lit("  "), last))).otherwise(first)
     return c.select((F.col("interview_id") % 4).alias("project"), "interview_id", F.concat_ws("/", "interview_id", "role").alias("speaker_id"), F.col("role").alias("handle"), name.alias("display_name"), (h > 0.95).alias("provisional"))
 
 
@@ -144,10 +144,10 @@ def _list(names):
 
 _SPEAKERS = rf"""sp0 AS (SELECT DISTINCT conv_id AS interview_id, role, {share_sql("conv_id || '/' || role")} AS h FROM conversations),
 sp1 AS (SELECT *, {_list(_FIRST)}[CAST(floor(h * 5) AS INTEGER) + 1] AS f, {_list(_LAST)}[interview_id % 3 + 1] AS l FROM sp0),
-speakers AS (SELECT interview_id % 4 AS project, interview_id, interview_id || '/' || role AS speaker_id, role AS handle, CASE WHEN h < 0.15 THEN role WHEN h < 0.5 THEN f || ' ' || l WHEN h < 0.7 THEN upper(f || '  ' || l) ELSE f END AS display_name, h > 0.95 AS provisional FROM sp1),
+speakers AS (SELECT interview_id % 4 AS project, interview_id, interview_id || '/' || role AS speaker_id, role AS handle, CASE WHEN h < 0.05 THEN upper(role) WHEN h < 0.08 THEN '  ' WHEN h < 0.15 THEN role WHEN h < 0.5 THEN f || ' ' || l WHEN h < 0.7 THEN upper(f || '  ' || l) ELSE f END AS display_name, h > 0.95 AS provisional FROM sp1),
 nk AS (SELECT *, trim(regexp_replace(lower(display_name), '[ \t\r\n]+', ' ', 'g')) AS name_key FROM speakers WHERE NOT provisional),
 pool AS (SELECT project, name_key, trim(display_name) AS spelling FROM nk WHERE interview_id % 5 = 0 QUALIFY row_number() OVER (PARTITION BY project, name_key ORDER BY interview_id, display_name) = 1),
-nm AS (SELECT * FROM nk WHERE name_key <> lower(handle)), cnt AS (SELECT project, name_key, display_name, count(*) AS n FROM nm GROUP BY ALL),
+nm AS (SELECT * REPLACE (trim(display_name) AS display_name) FROM nk WHERE trim(display_name) NOT IN ('', handle)), cnt AS (SELECT project, name_key, display_name, count(*) AS n FROM nm GROUP BY ALL),
 cm AS (SELECT project, name_key, display_name AS common, CAST(sum(n) OVER (PARTITION BY project, name_key) AS BIGINT) AS n_links FROM cnt QUALIFY row_number() OVER (PARTITION BY project, name_key ORDER BY n DESC, display_name) = 1),
 groups AS (SELECT project, name_key, coalesce(spelling, common) AS name, n_links, n_links >= 2 OR spelling IS NOT NULL AS auto, CASE WHEN spelling IS NOT NULL THEN 'front_matter' ELSE 'exact_name' END AS method FROM cm LEFT JOIN pool USING (project, name_key)),
 sug AS (SELECT a.project, a.name_key, b.name_key AS person, 'first_name_match' AS method FROM groups a JOIN groups b ON a.project = b.project AND NOT a.auto AND b.auto AND split_part(a.name_key, ' ', 1) = split_part(b.name_key, ' ', 1) AND a.name_key <> b.name_key)"""
@@ -196,25 +196,44 @@ def r15(s, d):
     return x.join(blocked, ["project", "name_key", "person"], "left_anti").select("project", "name_key", "person")
 
 
-_V4 = """ce AS (SELECT user_id % 4 AS project_id, event_id AS version, CASE event_type WHEN 'view' THEN 'aliased' WHEN 'purchase' THEN 'merged' WHEN 'click' THEN 'linked' WHEN 'error' THEN 'unlinked' ELSE 'relinked' END AS kind, 's' || (event_id % 30) AS surface, 'c' || (event_id % 7) AS owner, 'p' || (user_id % 9) AS person, 'k' || (event_id % 13) AS speaker_id FROM events)"""
+_V4 = """ce AS (SELECT user_id % 4 AS project_id, event_id AS version, CASE event_type WHEN 'view' THEN 'aliased' WHEN 'purchase' THEN CASE event_id % 2 WHEN 0 THEN 'merged' ELSE 'split' END WHEN 'click' THEN 'linked' WHEN 'error' THEN 'unlinked' ELSE 'relinked' END AS kind, 's' || (event_id % 30) AS surface, 'c' || (event_id % 17) AS owner, 'p' || (event_id % 3) AS person, 'k' || (event_id % 13) AS speaker_id FROM events),
+sf AS (SELECT *, min(version) FILTER (WHERE kind = 'aliased') OVER (PARTITION BY project_id, surface) AS known FROM ce WHERE kind IN ('aliased', 'merged', 'split')), sg AS (SELECT *, coalesce(CASE kind WHEN 'aliased' THEN version = known ELSE version > known END, false) AS counts FROM sf),
+sh AS (SELECT *, last_value(CASE WHEN counts THEN owner END IGNORE NULLS) OVER (PARTITION BY project_id, surface ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sg),
+st AS (SELECT project_id, version, before AS holder, -1 AS change FROM sh WHERE counts AND before IS NOT NULL AND before <> owner UNION ALL SELECT project_id, version, owner, 1 FROM sh WHERE counts AND before IS DISTINCT FROM owner),
+sl AS (SELECT *, sum(change) OVER (PARTITION BY project_id, holder ORDER BY version) AS remain FROM st),
+judged AS (SELECT sh.*, CASE WHEN NOT counts THEN CASE kind WHEN 'aliased' THEN 'owned' ELSE 'not_owned' END WHEN kind <> 'aliased' AND before = owner THEN 'same_owner' WHEN kind = 'split' AND remain < 1 THEN 'last_surface' END AS refused
+FROM sh LEFT JOIN sl ON sl.project_id = sh.project_id AND sl.version = sh.version AND holder = before AND change = -1),
+lo AS (SELECT *, row_number() OVER (PARTITION BY project_id, speaker_id ORDER BY version) AS k FROM ce WHERE kind IN ('linked', 'unlinked', 'relinked')),
+lf(project_id, speaker_id, k, version, kind, refused, held, blocked) AS (SELECT project_id, speaker_id, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, false FROM lo WHERE k = 1
+UNION ALL SELECT o.project_id, o.speaker_id, o.k, o.version, o.kind, CASE WHEN o.kind = 'unlinked' THEN CASE WHEN held IS DISTINCT FROM o.person THEN 'not_linked' END WHEN held IS NOT NULL THEN 'already_linked' WHEN blocked AND o.kind = 'linked' THEN 'blocked' END,
+CASE WHEN o.kind = 'unlinked' THEN CASE WHEN held IS DISTINCT FROM o.person THEN held END WHEN held IS NOT NULL OR blocked AND o.kind = 'linked' THEN held ELSE o.person END,
+CASE WHEN o.kind = 'unlinked' THEN blocked OR held IS NOT DISTINCT FROM o.person WHEN o.kind = 'relinked' AND held IS NULL THEN false ELSE blocked END FROM lf JOIN lo o ON o.project_id = lf.project_id AND o.speaker_id = lf.speaker_id AND o.k = lf.k + 1)"""
 
 
 def _corrections(s, d):
-    e = table(s, d, "events")
-    kind = F.when(F.col("event_type") == "view", "aliased").when(F.col("event_type") == "purchase", "merged").when(F.col("event_type") == "click", "linked").when(F.col("event_type") == "error", "unlinked").otherwise("relinked")
-    return e.select((F.col("user_id") % 4).alias("project_id"), F.col("event_id").alias("version"), kind.alias("kind"), F.concat(F.lit("s"), F.col("event_id") % 30).alias("surface"), F.concat(F.lit("c"), F.col("event_id") % 7).alias("owner"), F.concat(F.lit("p"), F.col("user_id") % 9).alias("person"), F.concat(F.lit("k"), F.col("event_id") % 13).alias("speaker_id"))
+    e, k = table(s, d, "events"), F.col("event_id")
+    kind = F.when(F.col("event_type") == "view", "aliased").when(F.col("event_type") == "purchase", F.when(k % 2 == 0, "merged").otherwise("split")).when(F.col("event_type") == "click", "linked").when(F.col("event_type") == "error", "unlinked").otherwise("relinked")
+    name = lambda mark, n: F.concat(F.lit(mark), k % n)
+    return e.select((F.col("user_id") % 4).alias("project_id"), k.alias("version"), kind.alias("kind"), name("s", 30).alias("surface"), name("c", 17).alias("owner"), name("p", 3).alias("person"), name("k", 13).alias("speaker_id"))
 
 
-@query("v4_project_state", f"WITH {_V4} SELECT project_id, surface, arg_max(owner, version) AS canonical_id, bool_or(kind <> 'aliased') AS locked FROM ce WHERE kind IN ('aliased', 'merged', 'split') GROUP BY ALL")
+@query("v4_project_state", f"WITH RECURSIVE {_V4} SELECT project_id, surface, arg_max(owner, version) AS canonical_id, bool_or(kind <> 'aliased') AS locked FROM judged WHERE refused IS NULL GROUP BY ALL")
 def v4(s, d):
     return op.fold_project(_corrections(s, d))[0]
 
 
-@query("r16_corrections", f"WITH {_V4}, m AS (SELECT project_id, person, speaker_id, max(version) FILTER (WHERE kind = 'unlinked') AS u, max(version) FILTER (WHERE kind = 'relinked') AS r, max(version) FILTER (WHERE kind = 'linked') AS l FROM ce WHERE kind IN ('linked', 'unlinked', 'relinked') GROUP BY ALL), b AS (SELECT *, coalesce(u > coalesce(r, -1), false) AS blocked FROM m) SELECT project_id, person, speaker_id, blocked, NOT blocked AND (l IS NOT NULL OR r IS NOT NULL) AS linked FROM b")
-def r16(s, d):
+@query("v4_person_links", f"WITH RECURSIVE {_V4} SELECT project_id, speaker_id, held AS person, blocked FROM (SELECT *, bool_or(k > 0 AND refused IS NULL) OVER (PARTITION BY project_id, speaker_id) AS any_counts FROM lf) WHERE any_counts QUALIFY row_number() OVER (PARTITION BY project_id, speaker_id ORDER BY k DESC) = 1")
+def v4_links(s, d):
     return op.fold_project(_corrections(s, d))[1]
 
 
+@query("r16_corrections", f"WITH RECURSIVE {_V4} SELECT project_id, version, kind, refused FROM judged UNION ALL SELECT project_id, version, kind, refused FROM lf WHERE k > 0")
+def r16(s, d):
+    e = _corrections(s, d)
+    cols = ("project_id", "version", "kind", "refused")
+    return op.judge_surfaces(e.where("kind in ('aliased', 'merged', 'split')")).select(*cols).unionByName(op.judge_links(e.where("kind in ('linked', 'unlinked', 'relinked')")).select(*cols))
+
+
 @query("r17_summary", f"WITH {_SPEAKERS}, {_LINKS} SELECT outcome, count(*) AS n, count(DISTINCT person) AS n_people FROM links GROUP BY 1")
 def r17(s, d):
     return _linked(s, d).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("person").alias("n_people"))
@@ -280,6 +299,6 @@ def g5(s, d):
     return g_op.inherited(t)
 
 
-@query("g6_unreachable", f"WITH RECURSIVE {_EDGES}, w(node) AS (SELECT node FROM nodes WHERE type = 'hub' UNION SELECT dst FROM w JOIN edges ON src = w.node WHERE src LIKE 's%') SELECT node, type FROM nodes WHERE node NOT IN (SELECT node FROM w)")
+@query("g6_unreachable", f"WITH RECURSIVE {_EDGES}, w(node) AS (SELECT node FROM nodes WHERE type = 'hub' UNION SELECT dst FROM w JOIN edges ON src = w.node WHERE CAST(substr(dst, 2) AS BIGINT) % 3 <> 1) SELECT node, type FROM nodes WHERE node NOT IN (SELECT node FROM w)")
 def g6(s, d):
-    return g_op.unreachable(_edges(s, d).where("src like 's%'"), _nodes(s, d), ["hub"])
+    return g_op.unreachable(_edges(s, d).where("cast(substr(dst, 2) as bigint) % 3 != 1"), _nodes(s, d), ["hub"])

@@ -8,18 +8,27 @@ from pyspark.sql import functions as F
 from parlance.plans.scratch import materialise
 
 
-def reach(edges: DataFrame, start: DataFrame, depth: int, direction: str = "out") -> DataFrame:
-    """``(entry, node, depth)``: nodes within ``depth`` hops of each entry, at their smallest depth."""
+#: Hops after which a walk without a stated depth is given up.
+MAX_HOPS = 10_000
+
+
+def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, direction: str = "out") -> DataFrame:
+    """``(entry, node, depth)``: nodes within ``depth`` hops of each entry (any number if None), at their smallest depth.
+
+    Without a depth the walk ends when a hop finds nothing new, and raises after MAX_HOPS hops.
+    """
     out = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
     into = edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
     steps = {"out": out, "in": into, "both": out.unionByName(into)}[direction].distinct()
     seen = materialise(start.select("entry", "node").distinct().withColumn("depth", F.lit(0)))
     edge = seen
-    for k in range(1, depth + 1):
+    for k in range(1, (MAX_HOPS if depth is None else depth) + 1):
         edge = materialise(edge.select("entry", "node").join(steps, "node").select("entry", F.col("next").alias("node")).distinct().join(seen, ["entry", "node"], "left_anti").withColumn("depth", F.lit(k)))
         if edge.isEmpty():
-            break
+            return seen
         seen = materialise(seen.unionByName(edge))
+    if depth is None:
+        raise RuntimeError(f"the walk did not end in {MAX_HOPS} hops")
     return seen
 
 
@@ -53,24 +62,24 @@ def coverage(children: DataFrame, parent: str, state: str) -> DataFrame:
     return children.groupBy(parent).agg(F.when(full, "full").when(none, "none").otherwise("partial").alias("coverage"), F.count(F.lit(1)).alias("n_children"))
 
 
-def inherited(nodes: DataFrame, max_depth: int = 50) -> DataFrame:
-    """Value of the nearest ancestor that has one; nodes: node, parent, value.  Chains that loop end without one."""
-    up = nodes.select(F.col("node").alias("at"), F.col("parent").alias("up"), F.col("value").alias("found"))
-    now = materialise(nodes.select("node", "value", F.col("parent").alias("at")))
-    done = []
-    for _ in range(max_depth):
-        done.append(now.where("value is not null or at is null").select("node", "value"))
-        open_ = now.where("value is null and at is not null")
-        now = materialise(open_.join(up, "at", "left").where("up is null or up != node or found is not null").select("node", F.col("found").alias("value"), F.when(F.col("found").isNull(), F.col("up")).alias("at")))
-        if now.isEmpty():
-            break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return nodes.select("node").join(out.where("value is not null"), "node", "left")
-
-
-def unreachable(edges: DataFrame, nodes: DataFrame, start_types: list[str], depth: int = 50) -> DataFrame:
-    """Nodes that no walk from a node of the start types gets to."""
+def inherited(nodes: DataFrame) -> DataFrame:
+    """Value of a node or of its nearest ancestor that has one; nodes: node (unique), parent, value.
+
+    Pointers double: after k rounds a node without a value yet points 2^k levels up, so that chains
+    of any length end within log2 of the number of nodes.  What is open then runs in a circle and,
+    like a chain that ends without one, has no value.
+    """
+    now = materialise(nodes.select("node", "value", F.when(F.col("value").isNull(), F.col("parent")).alias("at")))
+    levels = 1
+    while levels <= nodes.count() and not (open_ := now.where("at is not null")).isEmpty():
+        up = now.select(F.col("node").alias("at"), F.col("value").alias("found"), F.col("at").alias("next"))
+        moved = open_.join(up, "at", "left").select("node", F.col("found").alias("value"), F.col("next").alias("at"))
+        now = materialise(now.where("at is null").unionByName(moved))
+        levels *= 2
+    return now.select("node", "value")
+
+
+def unreachable(edges: DataFrame, nodes: DataFrame, start_types: list[str]) -> DataFrame:
+    """Nodes that no walk of any length from a node of the start types gets to."""
     start = nodes.where(F.col("type").isin(*start_types)).select(F.lit(0).alias("entry"), "node")
-    return nodes.join(reach(edges, start, depth, "out").select("node"), "node", "left_anti")
+    return nodes.join(reach(edges, start).select("node"), "node", "left_anti")

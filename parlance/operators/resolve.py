@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parlance.functions.text import collapse, surface_key
+from parlance.functions.text import collapse, strip, surface_key
 from parlance.plans.closure import connected_components
 
 AUTO, SUGGEST = 0.92, 0.80
+#: Vectors in a tile of the pair join, about.
+TILE_ROWS = 2_048
 
 
 def surface_counts(mentions: DataFrame) -> DataFrame:
@@ -33,19 +37,40 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def similar_pairs(vectors: DataFrame, key: str, block: list[str], column: str, low: float = SUGGEST, high: float = AUTO, blocks: int = 16) -> DataFrame:
-    """Pairs inside a block whose cosine reaches ``low``, with their band.
+def similar_pairs(vectors: DataFrame, key: str, block: list[str], column: str, low: float = SUGGEST, high: float = AUTO, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Pairs inside a block whose cosine reaches ``low``, with their band; vectors of length 0 match nothing.
 
-    A block of any size is cut into tiles by a hash, and every two tiles meet once, so no
-    task holds more than two tiles; vectors of length 0 match nothing.
+    Exact, so the work grows with the square of a block.  The largest block is counted and cut into
+    tiles of about ``tile_rows`` vectors by a hash; every two tiles meet once, as a product of two
+    matrices, so a task holds two tiles however large the block is.
     """
-    v = unit_vectors(vectors, column).where("unit is not null").select(key, *block, "unit").withColumn("tile", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    tiles = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = v.select(*block, F.col(key).alias("a"), F.col("unit").alias("ua"), F.col("tile").alias("ta"), F.explode(F.filter(tiles, lambda t: t >= F.col("tile"))).alias("tb"))
-    right = v.select(*block, F.col(key).alias("b"), F.col("unit").alias("ub"), F.col("tile").alias("tb"), F.explode(F.filter(tiles, lambda t: t <= F.col("tile"))).alias("ta"))
-    pairs = left.join(right, [*block, "ta", "tb"]).where((F.col("ta") < F.col("tb")) | (F.col("a") < F.col("b")))
-    pairs = pairs.withColumn("score", F.round(dot(F.col("ua"), F.col("ub")), 6)).where(F.col("score") >= low)
-    return pairs.select(*block, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score", F.when(F.col("score") >= high, "auto").otherwise("suggest").alias("band"))
+    v = unit_vectors(vectors, column).where("unit is not null").select(key, *block, "unit")
+    most = v.groupBy(*block).count().agg(F.max("count")).first()[0] or 0
+    tiles = max(1, -(-most // tile_rows))
+    v = v.withColumn("tile", F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int"))
+    own, other = F.least("tile", "t"), F.greatest("tile", "t")
+    met = v.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select(*block, own.alias("ta"), other.alias("tb"), "tile", key, "unit")
+    kinds = {c: vectors.schema[c].dataType.simpleString() for c in (key, *block)}
+    schema = ", ".join([f"{c} {kinds[c]}" for c in block] + [f"a {kinds[key]}, b {kinds[key]}, score double"])
+
+    def multiply(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        *names, ta, tb = group
+        left, right = (rows[rows["tile"] == t].sort_values(key) for t in (ta, tb))
+        out = {"a": [], "b": [], "score": []}
+        if len(left) and len(right):
+            x, y = (np.stack(side["unit"].tolist()) for side in (left, right))
+            score = np.round(x @ y.T, 6)
+            i, j = np.nonzero(np.triu(score >= low, 1) if ta == tb else score >= low)
+            a, b = left[key].to_numpy()[i], right[key].to_numpy()[j]
+            swap = a > b
+            out = {"a": np.where(swap, b, a), "b": np.where(swap, a, b), "score": score[i, j]}
+        f = pd.DataFrame(out)
+        for k, (c, value) in enumerate(zip(block, names, strict=True)):
+            f.insert(k, c, value)
+        return f
+
+    pairs = met.groupBy(*block, "ta", "tb").applyInPandas(multiply, schema)
+    return pairs.withColumn("band", F.when(F.col("score") >= high, "auto").otherwise("suggest"))
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
@@ -73,9 +98,10 @@ def participant_pool(participants: DataFrame, scope: str) -> DataFrame:
 def person_groups(speakers: DataFrame, pool: DataFrame, scope: str) -> DataFrame:
     """Speakers of one name in a scope; automatic with two links or a participant of that name.
 
+    Provisional speakers, blank names and names equal to the handle as written take no part.
     speakers: scope, interview_id, speaker_id, handle, display_name, provisional.
     """
-    named = speakers.where(~F.coalesce("provisional", F.lit(False)) & F.col("display_name").isNotNull() & (collapse(F.col("display_name")) != collapse(F.col("handle")))).withColumn("name_key", collapse(F.col("display_name")))
+    named = speakers.withColumn("display_name", strip(F.col("display_name"))).where(~F.coalesce("provisional", F.lit(False)) & (F.col("display_name") != "") & ~F.col("display_name").eqNullSafe(F.col("handle"))).withColumn("name_key", collapse(F.col("display_name")))
     count = named.groupBy(scope, "name_key", "display_name").agg(F.count(F.lit(1)).alias("n"), F.collect_list("speaker_id").alias("ids"))
     g = count.groupBy(scope, "name_key").agg(F.sum("n").alias("n_links"), F.min_by("display_name", F.struct((-F.col("n")).alias("m"), "display_name")).alias("common"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("speaker_ids"))
     g = g.join(pool, [scope, "name_key"], "left")
@@ -112,21 +138,69 @@ def review_suggestions(pairs: DataFrame, canonicals: DataFrame) -> DataFrame:
     return j.where(((F.col("band") == "suggest") | both) & (F.col("left_id") != F.col("right_id"))).select("left_id", "right_id", "a", "b", "band", F.round("score", 4).alias("score"))
 
 
+def judge_surfaces(events: DataFrame, project: str = "project_id") -> DataFrame:
+    """Adds ``refused``: why a correction of a surface's owner does not count, or null.
+
+    events: project, version, kind, surface, owner.  Kinds: aliased (a surface gets its first owner),
+    merged and split (it moves to another).  An alias must be unowned and a moved surface owned; a
+    move must change the owner; a split must leave the old owner a surface (those it holds by all
+    moves that the other rules let through).
+    """
+    move = F.col("kind").isin("merged", "split")
+    known = F.min(F.when(F.col("kind") == "aliased", F.col("version"))).over(Window.partitionBy(project, "surface"))
+    s = events.withColumn("_known", known)
+    s = s.withColumn("_counts", F.coalesce(F.when(move, F.col("version") > F.col("_known")).otherwise(F.col("version") == F.col("_known")), F.lit(False)))
+    earlier = Window.partitionBy(project, "surface").orderBy("version").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_before", F.last(F.when(F.col("_counts"), F.col("owner")), ignorenulls=True).over(earlier))
+    moved = F.col("_counts") & ~F.col("_before").eqNullSafe(F.col("owner"))
+    gone = F.when(moved & F.col("_before").isNotNull(), F.struct(F.col("_before").alias("of"), F.lit(-1).alias("change")))
+    come = F.when(moved, F.struct(F.col("owner").alias("of"), F.lit(1).alias("change")))
+    steps = s.select(project, "version", F.explode(F.array_compact(F.array(gone, come))).alias("x")).select(project, "version", "x.of", "x.change")
+    left = steps.withColumn("_left", F.sum("change").over(Window.partitionBy(project, "of").orderBy("version"))).where("change = -1").select(project, "version", F.col("of").alias("_before"), "_left")
+    s = s.join(left, [project, "version", "_before"], "left")
+    why = F.when(~F.col("_counts"), F.when(move, "not_owned").otherwise("owned")).when(move & (F.col("_before") == F.col("owner")), "same_owner").when((F.col("kind") == "split") & (F.col("_left") < 1), "last_surface")
+    return s.withColumn("refused", why).drop("_known", "_counts", "_before", "_left")
+
+
+def judge_links(events: DataFrame, project: str = "project_id") -> DataFrame:
+    """Adds ``refused`` to the link events of each speaker, one speaker's corrections at a time.
+
+    events: project, version, kind, person, speaker_id.  Kinds: linked (by a rule), relinked (by a
+    person), unlinked (blocks the speaker for rules).  A link needs a speaker without one, and a
+    blocked speaker a person; only the person that is linked can be unlinked.
+    """
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        person, blocked, refused = None, False, []
+        rows = rows.sort_values("version")
+        for kind, who in zip(rows["kind"], rows["person"], strict=True):
+            if kind == "unlinked":
+                why = None if person == who else "not_linked"
+                person, blocked = (None, True) if why is None else (person, blocked)
+            else:
+                why = "already_linked" if person is not None else "blocked" if blocked and kind == "linked" else None
+                person = who if why is None else person
+                blocked = blocked and not (why is None and kind == "relinked")
+            refused.append(why)
+        return rows.assign(refused=refused)
+
+    e = events.select(project, "version", "kind", "person", "speaker_id")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.schema) + ", refused string"
+    return e.groupBy(project, "speaker_id").applyInPandas(walk, schema)
+
+
 def fold_project(events: DataFrame, project: str = "project_id") -> tuple[DataFrame, DataFrame]:
-    """(surface owners, person links) after corrections; the latest event of a surface or pair decides.
+    """(surface owners, linked person and block of each speaker) after the corrections that count; the latest decides.
 
-    events: project, version, kind, surface, owner, person, speaker_id.  Kinds: aliased,
-    merged, split (surface moves to owner; the last two lock it), linked, unlinked (blocks
-    the pair), relinked (unblocks it).
+    A merge or split locks a surface; an unlink blocks a speaker until a person links it again.
     """
-    s = events.where(F.col("kind").isin("aliased", "merged", "split")).groupBy(project, "surface").agg(F.max_by("owner", "version").alias("canonical_id"), F.bool_or(F.col("kind") != "aliased").alias("locked"))
-    link = events.where(F.col("kind").isin("linked", "unlinked", "relinked"))
-    blocked_at = F.max(F.when(F.col("kind") == "unlinked", F.col("version"))).alias("u")
-    freed_at = F.max(F.when(F.col("kind") == "relinked", F.col("version"))).alias("r")
-    linked_at = F.max(F.when(F.col("kind") == "linked", F.col("version"))).alias("l")
-    p = link.groupBy(project, "person", "speaker_id").agg(blocked_at, freed_at, linked_at)
-    blocked = F.coalesce(F.col("u") > F.coalesce("r", F.lit(-1)), F.lit(False))
-    return s, p.select(project, "person", "speaker_id", blocked.alias("blocked"), (~blocked & (F.col("l").isNotNull() | F.col("r").isNotNull())).alias("linked"))
+    s = judge_surfaces(events.where(F.col("kind").isin("aliased", "merged", "split")), project).where("refused is null")
+    s = s.groupBy(project, "surface").agg(F.max_by("owner", "version").alias("canonical_id"), F.bool_or(F.col("kind") != "aliased").alias("locked"))
+    p = judge_links(events.where(F.col("kind").isin("linked", "unlinked", "relinked")), project).where("refused is null")
+    person = F.max_by(F.when(F.col("kind") != "unlinked", F.col("person")), "version").alias("person")
+    human = F.col("kind") != "linked"
+    blocked = F.coalesce(F.max_by(F.col("kind") == "unlinked", F.when(human, F.col("version"))), F.lit(False)).alias("blocked")
+    return s, p.groupBy(project, "speaker_id").agg(person, blocked)
 
 
 def rank_once(rows: DataFrame, keys: list[str], *order) -> DataFrame:

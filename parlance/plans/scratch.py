@@ -1,11 +1,13 @@
 """Written intermediates: lineage is cut with Parquet tables in the shared checkpoint folder.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where that
-setting is absent (tests, a laptop) is a folder under /tmp used.
+The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only in local mode, where
+driver and executors are one process, may that setting be absent (tests, a laptop): a folder under the temporary directory is
+used then.  On a cluster without it, nothing is written.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,6 +18,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """A new, empty location below the shared checkpoint folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/parlance-scratch"
     return f"{root.rstrip('/')}/parlance-{uuid.uuid4().hex}"
 
