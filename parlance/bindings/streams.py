@@ -19,21 +19,14 @@ def _stream(s, rows, files=1000):
 
 
 def v5_stream_apply_once(s, d):
-    """Events and a repeat of every fifth version, in one stream: each version is kept once."""
+    """Events and a repeat of every fifth version, as a stream of several batches: each version is kept once."""
     e = bind.event_log(s, d).select("aggregate_id", "version", "commit_position", "ts")
     target = scratch_dir(s)
-    jobs.run_now(jobs.apply_once(_stream(s, e.unionByName(e.where("version % 5 = 0")))), target, scratch_dir(s))
+    rows = e.unionByName(e.where("version % 5 = 0")).repartition(6)
+    jobs.run_now(_stream(s, rows, 2), "", scratch_dir(s), jobs.apply_once(target))
     return s.read.schema(e.schema).parquet(target).select("aggregate_id", "version", "commit_position")
 
 
-def v6_stream_reorder(s, d):
-    """Released events of the stream; those that would wait for more arrivals stay in its state."""
-    target = scratch_dir(s)
-    rows = ev._arrivals(s, d).withColumn("lane", F.col("lane").cast("long"))
-    jobs.run_now(jobs.reorder(_stream(s, rows), 3, 0.25), target, scratch_dir(s))
-    return s.read.parquet(target).select("lane", "stream", "position", F.round("arrival", 6).alias("arrival"), F.round("released_at", 6).alias("released_at"), "released_by")
-
-
 def v8_stream_hold(s, d):
     e = bind.event_log(s, d).select("aggregate_id", "event_type", "commit_position")
     applied, pending = scratch_dir(s), scratch_dir(s)
@@ -52,7 +45,7 @@ def v17_stream_notifications(s, d):
     return out.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.max("commit_position").alias("newest"))
 
 
-for f in (v5_stream_apply_once, v6_stream_reorder, v8_stream_hold, v17_stream_notifications):
+for f in (v5_stream_apply_once, v8_stream_hold, v17_stream_notifications):
     QUERIES[f.__name__] = f
 SQL["v5_stream_apply_once"] = f"WITH {bind.EVENTS} SELECT aggregate_id, version, commit_position FROM event_log"
 SQL["v8_stream_hold"] = ev.SQL["v8_missing_referents"]

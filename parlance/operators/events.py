@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,6 +33,61 @@ def latest(events: DataFrame, keys: list[str], order: str, *values: str) -> Data
     return events.groupBy(*keys).agg(*(F.max_by(v, order).alias(v) for v in values))
 
 
+# Which event opens an entity of an interview, which ones set its flag, and what the flag says.
+INTERVIEW_ENTITIES = {
+    "speaker": ("speaker_created", {"speaker_renamed": "confirmed", "speaker_merged": "merged"}),
+    "utterance": ("utterance_identified", {"stitch_removed": "removed"}),
+    "claim": ("claim_extracted", {}),
+    "lens_item": ("lens_item_generated", {"lens_item_overridden": "locked"}),
+    "segment": ("segment_identified", {"segment_removed": "removed"}),
+}
+
+
+def interview_headers(events: DataFrame) -> DataFrame:
+    """Title, language, status and lens version of each interview; events: aggregate_id, version, kind, title, language, status, lens_version.
+
+    Titles and languages of created and updated events count where they are given; a created event
+    and an archived one set the status too.
+    """
+    told = F.col("kind").isin("created", "updated")
+    status = F.when(F.col("kind") == "created", "created").when(F.col("kind") == "archived", "archived").when(F.col("kind") == "status_changed", F.col("status"))
+
+    def last(value: Column, when: Column) -> Column:
+        return F.max_by(value, F.when(when & value.isNotNull(), F.col("version")))
+
+    return events.groupBy("aggregate_id").agg(
+        last(F.col("title"), told).alias("title"),
+        last(F.col("language"), told).alias("language"),
+        last(status, F.lit(True)).alias("status"),
+        last(F.col("lens_version"), F.col("kind") == "lens_applied").alias("lens_version"),
+        F.max("version").alias("version"),
+    )
+
+
+def interview_entities(events: DataFrame) -> DataFrame:
+    """``(aggregate_id, entity, entity_id, name, flags)`` of all entities of each interview.
+
+    events: aggregate_id, version, kind, entity_id, name.  An entity exists from its opening event
+    on, which also clears its flags; flags and renames before it are void.  A rename changes the name.
+    """
+    kind = F.col("kind")
+    entity = F.lit(None).cast("string")
+    for name, (opened, flags) in INTERVIEW_ENTITIES.items():
+        entity = F.when(kind.isin(opened, *flags), name).otherwise(entity)
+    e = events.withColumn("entity", entity).where("entity is not null")
+    openers = [opened for opened, _ in INTERVIEW_ENTITIES.values()]
+    opened_at = F.max(F.when(kind.isin(*openers), F.col("version"))).alias("opened_at")
+    names = F.max_by("name", F.when(kind.isin(*openers, "speaker_renamed"), F.col("version"))).alias("name")
+    by_flag: dict[str, list[str]] = {}
+    for _, flags in INTERVIEW_ENTITIES.values():
+        for at, flag in flags.items():
+            by_flag.setdefault(flag, []).append(at)
+    at = [F.max(F.when(kind.isin(*kinds), F.col("version"))).alias(f"_{flag}") for flag, kinds in by_flag.items()]
+    s = e.groupBy("aggregate_id", "entity", "entity_id").agg(opened_at, names, *at).where("opened_at is not null")
+    flags = F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"_{flag}") > F.col("opened_at"), flag) for flag in by_flag))))
+    return s.select("aggregate_id", "entity", "entity_id", "name", flags.alias("flags"))
+
+
 def fold_fragments(events: DataFrame) -> DataFrame:
     """Text version, edits, generated/overridden/cleared analysis and lock of each aggregate.
 
@@ -57,34 +114,6 @@ def apply_once(incoming: DataFrame, applied: DataFrame) -> DataFrame:
     return e.join(a, "aggregate_id", "left").where(F.col("applied").isNull() | (F.col("version") > F.col("applied"))).drop("applied")
 
 
-def release_order(events: DataFrame, streams: int, hold: float) -> DataFrame:
-    """When a multi-stream reorder buffer lets each event go.
-
-    events: lane, stream, position, arrival (seconds, unique within a lane).  The low
-    watermark is the smallest of the highest positions seen per stream, null until all have
-    spoken.  An event goes at the first arrival where the watermark reaches it, or after
-    ``hold`` seconds; a null position only by age.
-    """
-    lane = Window.partitionBy("lane").orderBy("arrival", "stream")
-    seen = lane.rowsBetween(Window.unboundedPreceding, 0)
-    marks = [F.max(F.when(F.col("stream") == k, F.col("position"))).over(seen) for k in range(streams)]
-    complete = marks[0].isNotNull()
-    for m in marks[1:]:
-        complete = complete & m.isNotNull()
-    low = F.when(complete, F.least(*marks) if streams > 1 else marks[0])
-    w = events.withColumn("watermark", low)
-    # the watermark never falls: the first arrival that reaches a position is a search in a running maximum
-    steps = w.groupBy("lane", "watermark").agg(F.min("arrival").alias("at")).where("watermark is not null")
-    points = steps.select("lane", F.col("watermark").alias("p"), F.lit(0).alias("is_event"), "at", F.lit(None).cast(events.schema["position"].dataType).alias("position"), F.lit(None).cast("double").alias("arrival"), F.lit(None).cast("int").alias("stream"))
-    ev = w.select("lane", F.col("position").alias("p"), F.lit(1).alias("is_event"), F.lit(None).cast(steps.schema["at"].dataType).alias("at"), "position", F.col("arrival").cast("double").alias("arrival"), F.col("stream").cast("int").alias("stream"))
-    upward = Window.partitionBy("lane").orderBy(F.col("p").desc_nulls_last(), F.col("is_event")).rowsBetween(Window.unboundedPreceding, 0)
-    both = points.unionByName(ev).withColumn("reached", F.min("at").over(upward))
-    out = both.where("is_event = 1")
-    by_mark = F.when(F.col("position").isNotNull() & F.col("reached").isNotNull(), F.greatest(F.col("reached"), F.col("arrival")))
-    by_age = F.col("arrival") + hold
-    return out.select("lane", "stream", "position", "arrival", F.round(F.least(by_mark, by_age), 6).alias("released_at"), F.when(by_mark <= by_age, "watermark").otherwise("age").alias("released_by"))
-
-
 def route(events: DataFrame, category: str, own: Column, parent: Column, lane_of) -> DataFrame:
     """Routing key and lane: the aggregate itself, or its interview for sentence events; none is counted as dropped."""
     key = F.when(F.col(category) == "Sentence", parent).otherwise(own)
@@ -97,13 +126,20 @@ def missing_referents(events: DataFrame, projected: DataFrame, referent: str) ->
 
 
 def redrive(parked: DataFrame, projected: DataFrame, handled: DataFrame, cap: int | None = None) -> DataFrame:
-    """Outcome of parked events per aggregate type, with a total: redriven, still parked, no handler."""
+    """Outcome of parked events per aggregate type, with a total: redriven, still parked, no handler, failed.
+
+    parked: commit_position, aggregate_type, event_type, referent, valid (whether its handler can read it).
+    Events with a handler go through missing_referents again; those that it holds stay parked, and of
+    the others the ones that are not valid fail, which stops none of the rest.
+    """
     p = parked if cap is None else parked.orderBy("commit_position").limit(cap)
-    ok = projected.select("referent").distinct().withColumn("_ok", F.lit(True))
-    known = handled.select("event_type").distinct().withColumn("_known", F.lit(True))
-    j = p.join(ok, "referent", "left").join(known, "event_type", "left")
-    outcome = F.when(F.col("_known").isNull(), "no_handler").when(F.col("_ok").isNull(), "still_parked").otherwise("redriven")
-    return j.withColumn("outcome", outcome).rollup("aggregate_type").agg(*(F.count_if(F.col("outcome") == x).alias(x) for x in ("redriven", "still_parked", "no_handler")))
+    known = handled.select("event_type").distinct()
+    ready, held = missing_referents(p.join(known, "event_type", "left_semi"), projected, "referent")
+    outcome = F.when(F.coalesce("valid", F.lit(False)), "redriven").otherwise("failed")
+    cols = ("aggregate_type", "outcome")
+    j = ready.withColumn("outcome", outcome).select(*cols)
+    j = j.unionByName(held.select("aggregate_type", F.lit("still_parked").alias("outcome"))).unionByName(p.join(known, "event_type", "left_anti").select("aggregate_type", F.lit("no_handler").alias("outcome")))
+    return j.rollup("aggregate_type").agg(*(F.count_if(F.col("outcome") == x).alias(x) for x in ("redriven", "still_parked", "no_handler", "failed")))
 
 
 def merge_metadata(diffs: DataFrame, key: str, order: str) -> DataFrame:
@@ -134,6 +170,36 @@ def speaker_state(events: DataFrame) -> DataFrame:
     )
 
 
+def split_speakers(attributions: DataFrame, splits: DataFrame, speaker_id) -> tuple[DataFrame, DataFrame]:
+    """(new speakers, attributions after the splits): the named fragments of a split go to a new speaker, by a person.
+
+    attributions: interview_id, fragment_id, speaker_id, confidence, method, locked; splits: interview_id,
+    handle, display_name, version, fragment_ids.  A split that names a missing fragment is refused
+    whole; of two splits of one fragment the later one counts.
+    """
+    new = splits.withColumn("new_id", speaker_id("interview_id", "handle"))
+    each = new.select("interview_id", "new_id", "version", F.explode("fragment_ids").alias("fragment_id"))
+    lost = each.join(attributions.select("interview_id", "fragment_id"), ["interview_id", "fragment_id"], "left_anti").select("new_id", "version").distinct()
+    new, each = (x.join(lost, ["new_id", "version"], "left_anti") for x in (new, each))
+    speakers = new.select("interview_id", F.col("new_id").alias("speaker_id"), "handle", "display_name", F.lit(False).alias("provisional"), F.lit(1.0).alias("confidence"), F.lit("human").alias("method")).dropDuplicates(["speaker_id"])
+    last = each.groupBy("interview_id", "fragment_id").agg(F.max_by("new_id", "version").alias("new_id"))
+    a = attributions.join(last, ["interview_id", "fragment_id"], "left")
+    moved = F.col("new_id").isNotNull()
+    a = a.withColumns({"speaker_id": F.coalesce("new_id", "speaker_id"), "confidence": F.when(moved, 1.0).otherwise(F.col("confidence")), "method": F.when(moved, "human").otherwise(F.col("method")), "locked": moved | F.col("locked")})
+    return speakers, a.drop("new_id")
+
+
+def history(events: DataFrame, aggregate: Column | int | None = None) -> DataFrame:
+    """All events of one aggregate (or of every one) with actor and correlation, and whether its text had been edited by then.
+
+    events: aggregate_id, version, event_type, kind, actor, correlation_id.  In version order for one aggregate.
+    """
+    e = events if aggregate is None else events.where(F.col("aggregate_id") == aggregate)
+    w = Window.partitionBy("aggregate_id").orderBy("version")
+    e = e.select("aggregate_id", "version", "event_type", "actor", "correlation_id", F.max(F.col("kind") == "edited").over(w).alias("edited_so_far"))
+    return e if aggregate is None else e.orderBy("version")
+
+
 def keep_edited(generated: DataFrame, edited: DataFrame, keys: list[str]) -> DataFrame:
     """The latest generated value of each dimension, unless a person has edited it."""
     g = generated.groupBy(*keys).agg(F.max_by("value", "version").alias("generated"))
@@ -200,3 +266,14 @@ def status_changes(events: DataFrame, key: str, status: str, order: str) -> Data
     """Status events; one that repeats the current status is refused."""
     before = F.lag(status).over(Window.partitionBy(key).orderBy(order))
     return events.withColumn("refused", F.coalesce(before == F.col(status), F.lit(False)))
+
+
+def rebuild(events: DataFrame, jobs: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """``(job, aggregate_id, state)``: what each projection job makes of a log; jobs return aggregate_id and their state's columns."""
+    out = None
+    for name, job in jobs.items():
+        rows = job(events)
+        state = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in rows.columns if c != "aggregate_id"))
+        rows = rows.select(F.lit(name).alias("job"), "aggregate_id", state.alias("state"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -8,10 +8,17 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
-def scan_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """One row per transcript file below ``path``: path and whole text; an unreadable file does not stop the rest."""
-    spark_read = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
-    return spark_read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+def scan_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> tuple[DataFrame, DataFrame]:
+    """(texts, quarantine) of the files below ``path``: path and whole text; path and why for files that are no UTF-8 or can't be read.
+
+    A bad file does not stop the rest; a file without a byte has no row.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    read = files.option("ignoreCorruptFiles", True).load(path).select("path", F.col("content").cast("string").alias("text"))
+    good = F.is_valid_utf8("text")
+    listed = files.load(path).select("path")  # names only: no content is read
+    lost = listed.join(read.select("path"), "path", "left_anti").select("path", F.lit("unreadable").alias("error"))
+    return read.where(good), read.where(~good).select("path", F.lit("not UTF-8").alias("error")).unionByName(lost)
 
 
 def write_texts(texts: DataFrame, path: str, key: str, text: str) -> None:
@@ -47,6 +54,17 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
 
+def append_events(events: DataFrame, path: str, first: bool = False) -> None:
+    """Append events to the log at ``path``; versions of an aggregate that it holds are refused, repeats in one call count once.
+
+    first: whether the log is new.  One writer at a time: the check and the write are two steps.
+    """
+    e = events.dropDuplicates(["aggregate_id", "version"])
+    if not first:
+        e = e.join(events.sparkSession.read.schema(events.schema).parquet(path).select("aggregate_id", "version"), ["aggregate_id", "version"], "left_anti")
+    e.write.mode("append").parquet(path)
+
+
 def park(events: DataFrame, path: str, error: str) -> None:
     """Append failed events with error type, message, retries and lane; the payload as JSON."""
     payload = F.to_json(F.struct(*[c for c in events.columns if c not in ("error_message", "retries", "lane")]))

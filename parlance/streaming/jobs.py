@@ -6,12 +6,10 @@ what is there always terminates.  Every wait is bounded.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parlance.operators.events import scopes_of
 
@@ -34,9 +32,21 @@ def run_now(stream: DataFrame, target: str, checkpoint: str, batch: Callable[[Da
         q.stop()
 
 
-def apply_once(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each (aggregate, version) once, as long as its repeats come within ``delay`` of event time."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["aggregate_id", "version"])
+def apply_once(target: str, keys: tuple[str, ...] = ("aggregate_id", "version")) -> Callable[[DataFrame, int], None]:
+    """Batch function: rows whose keys no earlier batch has written go to ``target``, each key once.
+
+    Whatever the order of the input and however it is cut into batches, every key is written once.
+    Batch number and folder go together, so a batch that runs again replaces its own output.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        new = batch.dropDuplicates(list(keys))
+        if number:
+            before = batch.sparkSession.read.schema(f"{batch.select(*keys).schema.simpleString()[7:-1].replace(':', ' ')}, batch long").parquet(target)
+            new = new.join(before.where(F.col("batch") < number).select(*keys), list(keys), "left_anti")
+        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return step
 
 
 def notifications(events: DataFrame, category: Column, interview: Column, project: Column) -> DataFrame:
@@ -56,38 +66,3 @@ def hold_missing(projected: DataFrame, referent: str, applied_path: str, pending
         batch.join(known, referent, "left_anti").write.mode("overwrite").parquet(f"{pending_path}/batch={number}")
 
     return step
-
-
-def reorder(events: DataFrame, streams: int, hold: float) -> DataFrame:
-    """Rows in release order per lane; what neither watermark nor age has let go stays in the state.
-
-    events: lane, stream, position, arrival.  The state of a lane: the highest position of
-    each stream, and the buffered rows.
-    """
-    state = "marks array<long>, stream array<int>, position array<long>, arrival array<double>"
-    out = "lane long, stream int, position long, arrival double, released_at double, released_by string"
-
-    def release(key: tuple, frames: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
-        none = -1  # positions are not negative; none: not seen, or a null position
-        marks, held = [none] * streams, []
-        if s.exists:
-            m, st, po, ar = s.get
-            marks, held = list(m), list(zip(st, po, ar, strict=True))
-        done = []
-        rows = pd.concat(list(frames)).sort_values(["arrival", "stream"])
-        for st, po, ar in zip(rows["stream"], rows["position"].fillna(none).astype("int64"), rows["arrival"], strict=True):
-            old = [h for h in held if h[2] + hold < ar]
-            done += [(*h, h[2] + hold, "age") for h in old]
-            held = [h for h in held if h[2] + hold >= ar] + [(int(st), int(po), float(ar))]
-            marks[st] = max(marks[st], po)
-            low = min(marks) if none not in marks else none
-            ready = sorted((h for h in held if none < h[1] <= low), key=lambda h: h[1])
-            done += [(*h, ar, "watermark") for h in ready]
-            held = [h for h in held if not none < h[1] <= low]
-        s.update(([int(m) for m in marks], [h[0] for h in held], [h[1] for h in held], [h[2] for h in held]))
-        f = pd.DataFrame(done, columns=["stream", "position", "arrival", "released_at", "released_by"])
-        f.insert(0, "lane", key[0])
-        f["position"] = f["position"].astype("Int64").mask(f["position"] == none)
-        yield f
-
-    return events.groupBy("lane").applyInPandasWithState(release, out, state, "append", GroupStateTimeout.NoTimeout)
