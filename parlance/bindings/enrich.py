@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,7 +48,7 @@ def e3(s, d):
     return op.joined_text(bind.fragments(s, d), ["interview_id"], "seq", line, "\n")
 
 
-# The declared extractors (name, scope, enabled, template).
+#: Declared extractors: name, scope, enabled, template.
 EXTRACTORS = (("function", "fragment", True, "Function of: {text}"), ("purpose", "fragment", True, "Purpose of: {text} in {context}"), ("keywords", "fragment", False, "{text}"), ("claims", "utterance", True, "Claims in: {text}"))
 
 
@@ -65,13 +67,13 @@ def _responses(s, d):
     """Responses as a model might give them: every tenth malformed, with an extra key, or out of range."""
     f = bind.fragments(s, d)
     k = (F.col("confidence") * 1000).cast("int") % 10
-    label = op.rule_label(F.col("text"))
+    label = F.coalesce(op.rule_label(F.col("text")), F.lit("declarative"))
     good = F.concat(F.lit('{"label":"'), label, F.lit('","confidence":'), F.col("confidence"), F.lit("}"))
     return f.withColumn("label", label).withColumn("response", F.when(k == 0, "not json").when(k == 1, F.concat(F.lit('{"label":"'), label, F.lit('","confidence":0.5,"extra":1}'))).when(k == 2, F.concat(F.lit('{"label":"'), label, F.lit('","confidence":1.5}'))).when(k == 3, '{"confidence":0.5}').otherwise(good))
 
 
-_LABEL = """CASE WHEN text LIKE '%?' THEN 'interrogative' WHEN text LIKE '%!' THEN 'exclamatory' WHEN lower(regexp_extract(text, '^([\\p{L}]+)', 1)) IN ('who','what','when','where','why','how','is','are','do','does','can') THEN 'interrogative'
-WHEN lower(regexp_extract(text, '^([\\p{L}]+)', 1)) IN ('please','let','go','make','take','send','show') THEN 'imperative' ELSE 'declarative' END"""
+_RULE = "CASE WHEN rtrim(text) LIKE '%?' THEN 'interrogative' WHEN rtrim(text) LIKE '%!' THEN 'exclamatory' END"
+_LABEL = f"coalesce({_RULE}, 'declarative')"
 _E5 = f"e5 AS (SELECT fragment_id, text, {_LABEL} AS label, confidence, CAST(round(confidence * 1000) AS INTEGER) % 10 AS k FROM fragments)"
 _SCHEMA = T.StructType([T.StructField("label", T.StringType()), T.StructField("confidence", T.DoubleType())])
 
@@ -85,7 +87,7 @@ def e5(s, d):
 _ATT = f"""att AS (SELECT fragment_id AS request_id, unnest([1, 2, 3]) AS rank FROM fragments), at2 AS (SELECT *, CASE WHEN {share_sql("request_id || '/' || rank")} < 0.4 THEN 'unavailable' WHEN {share_sql("request_id || '/' || rank")} < 0.6 THEN 'error' ELSE 'ok' END AS outcome, 'p' || rank AS provider FROM att)"""
 
 
-@query("e6_fallback", f"WITH {FRAGMENTS}, {_ATT} SELECT request_id, rank, outcome, provider FROM at2 WHERE outcome <> 'unavailable' QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY rank) = 1")
+@query("e6_fallback", f"WITH {FRAGMENTS}, {_ATT} SELECT request_id, rank, outcome, provider, outcome = 'ok' AS served FROM at2 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY outcome = 'unavailable', CASE outcome WHEN 'unavailable' THEN -rank ELSE rank END) = 1")
 def e6(s, d):
     a = bind.fragments(s, d).select(F.col("fragment_id").alias("request_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("rank"))
     h = hashed_share(F.concat_ws("/", "request_id", "rank"))
@@ -93,11 +95,16 @@ def e6(s, d):
     return op.first_provider(a)
 
 
+def count_words(prompts: list[str]) -> list[str]:
+    """The shipped default model: how many words each prompt has."""
+    return ['{"words":%d}' % len([x for x in re.split("[ \t\r\n]+", p) if x]) for p in prompts]
+
+
 @query("e7_model_call", f"WITH {FRAGMENTS} SELECT fragment_id AS unit_id, 'function' AS extractor, '{{\"words\":' || len(list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda x: x <> '')) || '}}' AS response FROM fragments")
 def e7(s, d):
-    """The shipped default counts words; any function of a prompt can take its place."""
+    """Any function of a list of prompts can take the default's place."""
     r = bind.fragments(s, d).select(F.col("fragment_id").alias("unit_id"), F.lit("function").alias("extractor"), F.col("text").alias("prompt"))
-    return op.model_call(r, lambda p: '{"words":%d}' % len([x for x in __import__("re").split("[ \t\r\n]+", p) if x]))
+    return op.model_call(r, count_words)
 
 
 _OUT = f"""oc AS (SELECT fragment_id, x AS ordinal, 'd' || x AS dimension, {share_sql("fragment_id || '#' || x")} AS confidence FROM fragments, (VALUES (0), (1), (2)) v(x)),
@@ -127,10 +134,10 @@ def e9(s, d):
     return op.fold_outcomes(_outcomes(s, d), "fragment_id").where("mixed_providers is not null").select("fragment_id", "mixed_providers")
 
 
-@query("e10_cross_check", f"WITH {FRAGMENTS}, {_E5}, x AS (SELECT fragment_id, label AS rule_label, CASE k WHEN 0 THEN '' WHEN 1 THEN 'Declarative ' ELSE label END AS said FROM e5) SELECT fragment_id, rule_label, trim(said) <> '' AND lower(trim(said)) <> rule_label AS disagrees FROM x")
+@query("e10_cross_check", f"WITH {FRAGMENTS}, {_E5}, x AS (SELECT fragment_id, {_RULE} AS rule_label, CASE k WHEN 0 THEN '' WHEN 1 THEN 'Declarative ' WHEN 2 THEN 'imperative' ELSE label END AS said FROM e5) SELECT fragment_id, rule_label, coalesce(trim(said) <> '' AND lower(trim(said)) <> rule_label, false) AS disagrees FROM x")
 def e10(s, d):
     k = F.round(F.col("confidence") * 1000).cast("int") % 10
-    f = bind.fragments(s, d).withColumn("said", F.when(k == 0, "").when(k == 1, "Declarative ").otherwise(op.rule_label(F.col("text"))))
+    f = bind.fragments(s, d).withColumn("said", F.when(k == 0, "").when(k == 1, "Declarative ").when(k == 2, "imperative").otherwise(F.coalesce(op.rule_label(F.col("text")), F.lit("declarative"))))
     return op.cross_check(f, "text", "said").select("fragment_id", "rule_label", "disagrees")
 
 
@@ -212,18 +219,24 @@ def e17(s, d):
     return op.record_segments(new, state).select("interview_id", "start_index", "again")
 
 
-@query("e18_embeddings", f"WITH {FRAGMENTS} SELECT fragment_id, 'hashed-words-1' AS model, 32 AS dim, CASE WHEN len(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) > 0 THEN 1.0 ELSE 0.0 END AS norm FROM fragments")
+def hashed_sql(rows, key, text, more=""):
+    """Common table expressions ``hc`` (key, slot, c) and ``hn`` (key, norm) of the hashed word counts of ``rows``."""
+    words = f"list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    return f"""hw AS (SELECT {key}{more}, unnest({words}) AS w FROM {rows}), hc AS (SELECT {key}{more}, ('0x' || substr(md5(w), 1, 6))::BIGINT % 32 AS slot, count(*) AS c FROM hw GROUP BY ALL), hn AS (SELECT {key}, sqrt(sum(c * c)) AS norm FROM hc GROUP BY 1)"""
+
+
+@query("e18_embeddings", f"WITH {FRAGMENTS}, {hashed_sql('fragments', 'fragment_id', 'text')}, v AS (SELECT fragment_id, slot, CAST(round(c / norm * 1000) AS BIGINT) AS x FROM hc JOIN hn USING (fragment_id)), h AS (SELECT fragment_id, i, max(x) AS x FROM (SELECT fragment_id, unnest(range(0, 32)) AS i, 0 AS x FROM fragments UNION ALL SELECT fragment_id, slot, x FROM v) GROUP BY ALL) SELECT fragment_id, 'hashed-words-1' AS model, string_agg(x, ',' ORDER BY i) AS vector FROM h GROUP BY 1")
 def e18(s, d):
+    """Every component of every vector, in thousandths; vectors of a wrong size are left out (there are none)."""
     v = op.hashed_vectors(bind.fragments(s, d), "fragment_id", "text")
     ok = v.join(op.wrong_dimension(v, {"hashed-words-1": 32}).select("fragment_id"), "fragment_id", "left_anti")
-    return ok.select("fragment_id", "model", F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+    return ok.select("fragment_id", "model", F.array_join(F.transform("vector", lambda x: F.round(x * 1000).cast("long").cast("string")), ",").alias("vector"))
 
 
-@query("e19_model_isolation", "WITH v AS (SELECT vec_id, label, CASE WHEN vec_id % 2 = 0 THEN 'm0' ELSE 'm1' END AS model FROM embeddings) SELECT model, label, count(*) AS n_vectors, count(*) * (count(*) - 1) // 2 AS n_comparable_pairs FROM v GROUP BY ALL")
+@query("e19_model_isolation", "WITH v AS (SELECT vec_id, label, CASE WHEN vec_id % 2 = 0 THEN 'm0' ELSE 'm1' END AS model, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT x.model, x.label, x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.e, y.e), 6) AS score FROM v x JOIN v y ON x.model = y.model AND x.label = y.label AND x.vec_id < y.vec_id) SELECT model, label, a, b, round(score, 4) AS score FROM p WHERE score >= 0.25")
 def e19(s, d):
     v = table(s, d, "embeddings").withColumn("model", F.when(F.col("vec_id") % 2 == 0, "m0").otherwise("m1"))
-    n = v.groupBy("model", "label").agg(F.count(F.lit(1)).alias("n_vectors"))
-    return n.withColumn("n_comparable_pairs", F.floor(F.col("n_vectors") * (F.col("n_vectors") - 1) / 2))
+    return op.comparable_pairs(v, "vec_id", ["label"], "embedding", 0.25).select("model", "label", "a", "b", F.round("score", 4).alias("score"))
 
 
 @query("e20_summary", f"WITH {FRAGMENTS}, {_OUT}, n AS (SELECT fragment_id, count(*) FILTER (WHERE status = 'ok') AS ok, count(DISTINCT provider) FILTER (WHERE status = 'ok') AS p FROM outcomes GROUP BY 1) SELECT count(*) AS n_fragments, count(*) FILTER (WHERE ok > 0) AS n_analysed, count(*) FILTER (WHERE ok = 0) AS n_failed, count(*) FILTER (WHERE p > 1) AS n_mixed FROM n")
@@ -337,5 +350,3 @@ def l9(s, d):
     good, _, refused = lens_op.ground_items(items, sup, f, _speakers(s, d))
     both = good.select("item_id", F.lit("support").alias("link")).unionByName(refused.select("item_id", F.lit("refused").alias("link")))
     return both.groupBy("item_id", "link").agg(F.count(F.lit(1)).alias("n"))
-
-

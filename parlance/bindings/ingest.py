@@ -115,7 +115,11 @@ def n8(s, d):
     return op.roster(f, "interview_id", "said", "confidence", threshold=0.5).drop("speaker_id")
 
 
-@query("n9_uuid5")
+@query(
+    "n9_uuid5",
+    rf"""WITH {FRAGMENTS}, h AS (SELECT interview_id, seq, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('fragment:' || fragment_id)) AS h FROM fragments)
+SELECT interview_id, seq, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1))::BIGINT % 4 + 1 AS INTEGER), 1) || substr(h, 18, 1) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS fragment_uuid FROM h""",
+)
 def n9(s, d):
     return bind.fragments(s, d).select("interview_id", "seq", uuid5(F.concat_ws(":", F.lit("fragment"), "fragment_id")).alias("fragment_uuid"))
 
@@ -144,7 +148,15 @@ def n12(s, d):
     return op.inference_windows(bind.fragments(s, d), "interview_id")
 
 
-@query("n13_reconcile")
+@query(
+    "n13_reconcile",
+    f"""WITH RECURSIVE {FRAGMENTS}, rl AS (SELECT interview_id, list(role ORDER BY seq) AS roles, count(*) AS n FROM fragments GROUP BY 1),
+ch(interview_id, w, names) AS (SELECT interview_id, 0, roles[1:8] FROM rl UNION ALL
+SELECT interview_id, w + 1, names || list_transform(roles[2 * w + 9:2 * w + 10], lambda r: coalesce(list_sort(list_transform(list_filter(range(2 * w + 3, 2 * w + 9), lambda i: roles[i] = r), lambda i: {{'c': -len(list_filter(range(2 * w + 3, 2 * w + 9), lambda j: roles[j] = r AND names[j] = names[i])), 'p': i, 'n': names[i]}}))[1].n, r || '-' || (w + 1)))
+FROM ch JOIN rl USING (interview_id) WHERE n > 2 * w + 8),
+fin AS (SELECT interview_id, names FROM ch QUALIFY row_number() OVER (PARTITION BY interview_id ORDER BY w DESC) = 1)
+SELECT interview_id, CAST(generate_subscripts(names, 1) - 1 AS INTEGER) AS seq, unnest(names) AS speaker FROM fin""",
+)
 def n13(s, d):
     """Windows that relabel their speakers locally (later ones by a suffix) settle on the first window's names."""
     f = bind.fragments(s, d)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from parlance.operators.resolve import similar_pairs
+
 # Neighbours on either side, by the name of the context.
 CONTEXTS = {"none": 0, "immediate": 2, "observer": 4, "broader": 6, "overall": 10}
 
@@ -51,19 +53,29 @@ def validate_responses(responses: DataFrame, schema: T.StructType, checks: dict[
 
 
 def first_provider(attempts: DataFrame) -> DataFrame:
-    """The attempt that counts: the first in chain order that is not an availability error."""
-    w = Window.partitionBy("request_id").orderBy("rank")
-    return attempts.where("outcome != 'unavailable'").withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    """The attempt that counts: the first in chain order that is not an availability error.
+
+    A request whose every provider was unavailable is not served: its last attempt, with its error, stands for it.
+    """
+    away = F.col("outcome") == "unavailable"
+    w = Window.partitionBy("request_id").orderBy(away, F.when(away, -F.col("rank")).otherwise(F.col("rank")))
+    return attempts.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k").withColumn("served", F.col("outcome") == "ok")
 
 
-def model_call(requests: DataFrame, fn: Callable[[str], str], schema: str = "unit_id string, extractor string, response string") -> DataFrame:
-    """Calls ``fn`` on each prompt, in batches on the executors; partitions bound the concurrency."""
+def model_call(requests: DataFrame, fn: Callable[[list[str]], list[str]], batch: int = 64, schema: str = "unit_id string, extractor string, response string") -> DataFrame:
+    """Calls ``fn`` on lists of at most ``batch`` prompts, on the executors; it returns a response for each.
+
+    A task has one call open at a time, so the number of partitions bounds the concurrency.
+    """
 
     def run(frames):
         for f in frames:
-            out = f[["unit_id", "extractor"]].copy()
-            out["response"] = f["prompt"].map(fn)
-            yield out
+            for i in range(0, len(f), batch):
+                part = f.iloc[i : i + batch]
+                said = fn(part["prompt"].tolist())
+                if len(said) != len(part):
+                    raise ValueError(f"{len(said)} responses to {len(part)} prompts")
+                yield part[["unit_id", "extractor"]].assign(response=said)
 
     return requests.select("unit_id", "extractor", "prompt").mapInPandas(run, schema)
 
@@ -77,19 +89,14 @@ def fold_outcomes(outcomes: DataFrame, unit: str) -> DataFrame:
     return f.select(unit, F.map_from_entries(F.transform("e", lambda x: F.struct(x["dimension"], x["label"]))).alias("labels"), F.map_from_entries(F.transform("e", lambda x: F.struct(x["dimension"], x["confidence"]))).alias("confidences"), "mean_confidence", "last_provider", F.when(F.size("p") > 1, F.array_join("p", ",")).alias("mixed_providers"), "n_ok")
 
 
-# Words that open a question or a command.
-QUESTION_WORDS = ("who", "what", "when", "where", "why", "how", "is", "are", "do", "does", "can")
-REQUEST_WORDS = ("please", "let", "go", "make", "take", "send", "show")
-
-
 def rule_label(text: Column) -> Column:
-    """Sentence function by rules: end mark first, then the first word."""
-    first = F.lower(F.regexp_extract(text, r"^([\p{L}]+)", 1))
-    return F.when(text.endswith("?"), "interrogative").when(text.endswith("!"), "exclamatory").when(first.isin(*QUESTION_WORDS), "interrogative").when(first.isin(*REQUEST_WORDS), "imperative").otherwise("declarative")
+    """What the end mark alone says of a sentence; null where it says nothing (telling a command needs a parse)."""
+    t = F.rtrim(text)
+    return F.when(t.endswith("?"), "interrogative").when(t.endswith("!"), "exclamatory")
 
 
 def cross_check(rows: DataFrame, text: str, label: str) -> DataFrame:
-    """Adds rule_label and whether it disagrees; empty labels are never flagged."""
+    """Adds rule_label and whether it disagrees; empty labels, and texts without a rule label, are never flagged."""
     r = rows.withColumn("rule_label", rule_label(F.col(text)))
     return r.withColumn("disagrees", F.coalesce((F.trim(label) != "") & (F.lower(F.trim(label)) != F.col("rule_label")), F.lit(False)))
 
@@ -148,14 +155,29 @@ def record_segments(proposals: DataFrame, state: DataFrame) -> DataFrame:
 def hashed_vectors(units: DataFrame, unit: str, text: str, dim: int = 32, model: str = "hashed-words-1") -> DataFrame:
     """Default embedder: counts of words hashed to ``dim`` slots, unit length; native, so no model call is needed."""
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(dim)).cast("int"))
-    rows = units.select(unit, F.lit(model).alias("model"), slots.alias("s"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter("s", lambda x: x == i)).cast("double"))
-    rows = rows.withColumn("c", counts).withColumn("norm", F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, x: a + x * x)))
-    return rows.select(unit, "model", F.transform("c", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)).alias("vector"))
+    slots = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % dim).cast("int"))
+
+    def let(value: Column, use) -> Column:  # evaluated once, however often it is used
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def counts(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))
+
+    def scaled(c: Column) -> Column:
+        return let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+
+    return units.select(unit, F.lit(model).alias("model"), let(slots, lambda s: let(counts(s), scaled)).alias("vector"))
 
 
 def wrong_dimension(vectors: DataFrame, dims: dict[str, int]) -> DataFrame:
     """Vectors whose size is not what their model declares."""
     want = F.create_map(*(F.lit(x) for kv in dims.items() for x in kv))
     return vectors.where(~F.coalesce(F.size("vector") == F.try_element_at(want, F.col("model")), F.lit(False)))
+
+
+def comparable_pairs(vectors: DataFrame, key: str, block: list[str], column: str, low: float, model: str = "model") -> DataFrame:
+    """Similar pairs inside a block and one model: vectors of different models never meet; a model of two sizes is refused."""
+    mixed = vectors.groupBy(model).agg(F.min(F.size(column)).alias("x"), F.max(F.size(column)).alias("y")).where("x != y").select(model).limit(5).collect()
+    if mixed:
+        raise ValueError(f"vectors of several sizes: {[r[0] for r in mixed]}")
+    return similar_pairs(vectors, key, [model, *block], column, low)
