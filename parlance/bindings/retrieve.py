@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from parlance import bind
 from parlance.bind import UTTERANCES, share_sql, table
+from parlance.bindings.enrich import hashed_sql
+from parlance.bindings.read import _PLINKS, _SM, _plinks, _segment_members
+from parlance.bindings.resolve import _SPEAKERS
 from parlance.functions.ids import hashed_share
 from parlance.functions.text import query_text
+from parlance.operators import enrich as enrich_op
 from parlance.operators import retrieve as op
 
 QUERIES, SQL = {}, {}
@@ -31,14 +35,13 @@ def _questions(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("question_id"), F.concat(F.lit("p"), F.col("item_id") % 4).alias("scope"), F.col("text").alias("question"))
 
 
-# Fixed value: how long the names taken from the corpus are.
 _NAMES = r"""nw AS (SELECT fragment_id, project_id AS scope, unnest(regexp_extract_all(text, '\p{Lu}\p{L}+')) AS name FROM fragments),
-names AS (SELECT DISTINCT scope, name, CASE WHEN length(name) % 2 = 0 THEN 'entity' ELSE 'person' END AS kind, lower(name) AS ref FROM nw WHERE length(name) <= 5)"""
+names AS (SELECT DISTINCT scope, name, CASE WHEN length(name) % 2 = 0 THEN 'entity' ELSE 'person' END AS kind, lower(name) AS ref FROM nw)"""
 
 
 def _name_rows(s, d):
     w = F.explode(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{L}+"), F.lit(0)))
-    n = bind.fragments(s, d).select("fragment_id", F.col("project_id").alias("scope"), w.alias("name")).where(F.length("name") <= 5)
+    n = bind.fragments(s, d).select("fragment_id", F.col("project_id").alias("scope"), w.alias("name"))
     return n.withColumn("kind", F.when(F.length("name") % 2 == 0, "entity").otherwise("person")).withColumn("ref", F.lower("name"))
 
 
@@ -46,8 +49,7 @@ def _matches(s, d):
     return op.match_names(_questions(s, d), _name_rows(s, d).drop("fragment_id").distinct())
 
 
-_MATCH = r"""qw AS (SELECT question_id, scope, unnest(string_split(lower(regexp_replace(question, '[^\p{L}\p{N}_'']+', ' ', 'g')), ' ')) AS w FROM questions),
-matches AS (SELECT DISTINCT question_id, kind, ref, name FROM qw JOIN names ON qw.scope = names.scope AND w = lower(name))"""
+_MATCH = "matches AS (SELECT DISTINCT question_id, kind, ref, name FROM questions JOIN names ON questions.scope = names.scope AND contains(lower(question), lower(name)))"
 
 
 @query("a1_names", f"WITH {UTTERANCES}, {_QUESTIONS}, {_NAMES}, {_MATCH} SELECT * FROM matches")
@@ -112,7 +114,7 @@ def a6(s, d):
     return _fulltext(s, d).select("question_id", "fragment_id", F.round("score", 3).alias("score"), "rank")
 
 
-_GR = "gh AS (SELECT question_id, nw.fragment_id FROM matches m JOIN questions USING (question_id) JOIN nw ON nw.scope = questions.scope AND lower(nw.name) = ref AND length(nw.name) <= 5)"
+_GR = "gh AS (SELECT question_id, nw.fragment_id FROM matches m JOIN questions USING (question_id) JOIN nw ON nw.scope = questions.scope AND lower(nw.name) = ref)"
 
 
 def _graph(s, d):
@@ -136,15 +138,49 @@ def a8(s, d):
     return op.rank_by_hits(_graph(s, d)).select("question_id", "fragment_id", "rank")
 
 
-_FUSE = f"""{_BM}, {_NAMES}, {_MATCH}, {_GR}, gr AS (SELECT question_id, fragment_id, row_number() OVER (PARTITION BY question_id ORDER BY count(*) DESC, fragment_id) AS rank FROM gh GROUP BY question_id, fragment_id QUALIFY rank <= 20),
-ranked AS (SELECT question_id, 'fulltext' AS channel, fragment_id, rank FROM ft UNION ALL SELECT question_id, 'graph', fragment_id, rank FROM gr),
+# The vector channel: hashed word counts of questions, fragments and utterances; some questions lose one side of it, some both.
+_VEC = f"""qx AS (SELECT question_id, scope, question FROM questions), {hashed_sql("qx", "question_id", "question", ", scope").replace("hw AS", "qhw AS").replace("hc AS", "qhc AS").replace("hn AS", "qhn AS").replace("FROM hw", "FROM qhw").replace("FROM hc", "FROM qhc")},
+{hashed_sql("fragments", "fragment_id", "text", ", project_id AS scope").replace("SELECT fragment_id, project_id AS scope, ('0x'", "SELECT fragment_id, scope, ('0x'")},
+ux AS (SELECT m.interview_id || ':u:' || utterance_no AS id, fragment_id FROM members m), uhc AS (SELECT id, scope, slot, sum(c) AS c FROM hc JOIN ux USING (fragment_id) GROUP BY ALL), uhn AS (SELECT id, sqrt(sum(c * c)) AS norm FROM uhc GROUP BY 1),
+vf AS (SELECT question_id, q.scope, fragment_id AS id, round(sum(q.c * h.c) / any_value(qn.norm * n.norm), 6) AS score FROM qhc q JOIN hc h ON q.scope = h.scope AND q.slot = h.slot JOIN qhn qn USING (question_id) JOIN hn n USING (fragment_id) GROUP BY ALL),
+vu AS (SELECT question_id, u.id, round(sum(q.c * u.c) / any_value(qn.norm * n.norm), 6) AS score FROM qhc q JOIN uhc u ON q.scope = u.scope AND q.slot = u.slot JOIN qhn qn USING (question_id) JOIN uhn n ON n.id = u.id GROUP BY ALL),
+tf20 AS (SELECT question_id, id AS fragment_id, score FROM vf WHERE question_id % 10 NOT IN (7, 8) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) <= 20),
+tu20 AS (SELECT question_id, id, score FROM vu WHERE question_id % 10 <> 8 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) <= 20),
+tue AS (SELECT question_id, fragment_id, max(score) AS score FROM tu20 JOIN ux USING (id) GROUP BY question_id, fragment_id QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY max(score) DESC, fragment_id) <= 20),
+vm AS (SELECT question_id, fragment_id, max(score) AS score FROM (SELECT * FROM tf20 UNION ALL SELECT * FROM tue) GROUP BY ALL), ve AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, fragment_id) AS rank FROM vm)"""
+
+
+def _outages(s, d):
+    q = _questions(s, d).select("question_id")
+    side = F.when(F.col("question_id") % 10 == 7, F.array(F.lit("vector_fragment"))).otherwise(F.array(F.lit("vector_fragment"), F.lit("vector_utterance")))
+    return q.where("question_id % 10 in (7, 8)").select("question_id", F.explode(side).alias("side"))
+
+
+def _vector(s, d):
+    f = bind.fragments(s, d).select("fragment_id", "interview_id", "seq", F.col("project_id").alias("scope"), "text")
+    u = bind.utterances(s, d).select("interview_id", F.col("utterance_id").alias("id"), F.explode(F.sequence("first_seq", "last_seq")).alias("seq"))
+    members = f.join(u, ["interview_id", "seq"]).select("id", "fragment_id", "scope", "seq", "text")
+    whole = enrich_op.joined_text(members, ["id", "scope"], "seq", F.col("text"), " ")
+    q = _questions(s, d)
+    q = enrich_op.hashed_vectors(q, "question_id", "question").join(q.select("question_id", "scope"), "question_id")
+    fv = enrich_op.hashed_vectors(f, "fragment_id", "text").join(f.select("fragment_id", "scope"), "fragment_id").withColumnRenamed("fragment_id", "id")
+    uv = enrich_op.hashed_vectors(whole, "id", "text").join(whole.select("id", "scope"), "id")
+    out = _outages(s, d)
+    by_fragment = op.without_outages(op.vector_top(q, fv), out, "vector_fragment").where("score > 0").withColumnRenamed("id", "fragment_id")
+    by_utterance = op.expand_to_members(op.without_outages(op.vector_top(q, uv), out, "vector_utterance").where("score > 0"), members.select("id", "fragment_id"))
+    return op.merge_channels(by_fragment, by_utterance)
+
+
+_FUSE = f"""{_BM}, {_NAMES}, {_MATCH}, {_GR}, {_VEC}, gr AS (SELECT question_id, fragment_id, row_number() OVER (PARTITION BY question_id ORDER BY count(*) DESC, fragment_id) AS rank FROM gh GROUP BY question_id, fragment_id),
+ranked AS (SELECT question_id, 'fulltext' AS channel, fragment_id, rank FROM ft UNION ALL SELECT question_id, 'graph', fragment_id, rank FROM gr UNION ALL SELECT question_id, 'vector', fragment_id, rank FROM ve),
 fs AS (SELECT question_id, fragment_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM ranked GROUP BY ALL), fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, fragment_id) AS INTEGER) AS rank FROM fs)"""
 
 
 def _ranked(s, d):
-    g = op.rank_by_hits(_graph(s, d)).where(f"rank <= {op.TOP_CHANNEL}")
-    f = _fulltext(s, d)
-    return f.select("question_id", F.lit("fulltext").alias("channel"), "fragment_id", "rank").unionByName(g.select("question_id", F.lit("graph").alias("channel"), "fragment_id", "rank"))
+    cols = ("question_id", "fragment_id", "rank")
+    parts = {"fulltext": _fulltext(s, d), "graph": op.rank_by_hits(_graph(s, d)), "vector": _vector(s, d)}
+    rows = [p.select(F.lit(name).alias("channel"), *cols) for name, p in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query("a9_fusion", f"WITH {UTTERANCES}, {_FUSE} SELECT question_id, fragment_id, score, rank FROM fused")
@@ -157,29 +193,34 @@ def a10(s, d):
     return op.fuse(_ranked(s, d), top=op.TOP_CONTEXT).select("question_id", "fragment_id", "rank")
 
 
-_BLOCKS = f"""{_FUSE}, ut AS (SELECT interview_id, utterance_no, string_agg(text, ' ' ORDER BY seq) AS block_text FROM members GROUP BY ALL), en AS (SELECT fragment_id, string_agg(DISTINCT lower(name), ',' ORDER BY lower(name)) AS entities FROM nw WHERE length(name) <= 5 GROUP BY 1),
-blocks AS (SELECT question_id, f.fragment_id, rank, m.role AS speaker, m.text, block_text, entities FROM fused f JOIN members m USING (fragment_id) JOIN ut USING (interview_id, utterance_no) LEFT JOIN en USING (fragment_id) WHERE rank <= 12)"""
+_BLOCKS = f"""{_FUSE}, {_SM}, {_SPEAKERS}, {_PLINKS}, ut AS (SELECT interview_id, utterance_no, string_agg(text, ' ' ORDER BY seq) AS block_text FROM members GROUP BY ALL), en AS (SELECT fragment_id, string_agg(DISTINCT lower(name), ', ' ORDER BY lower(name)) AS entities FROM nw GROUP BY 1),
+tp AS (SELECT fragment_id, string_agg(DISTINCT topic, ', ' ORDER BY topic) AS topics FROM sm GROUP BY 1), pe AS (SELECT speaker_id, min(person) AS person FROM plinks GROUP BY 1),
+blocks0 AS (SELECT question_id, f.fragment_id, rank, m.role AS speaker, person, m.text, block_text, topics, entities FROM fused f JOIN members m USING (fragment_id) JOIN ut USING (interview_id, utterance_no) LEFT JOIN en USING (fragment_id) LEFT JOIN tp USING (fragment_id) LEFT JOIN pe ON pe.speaker_id = m.interview_id || '/' || m.role WHERE rank <= 12),
+blocks AS (SELECT *, speaker || coalesce(' (' || person || ')', '') AS speaker_line, '[' || fragment_id || '] ' || speaker || coalesce(' (' || person || ')', '') || ' (topics: ' || coalesce(topics, '-') || '; entities: ' || coalesce(entities, '-') || ')' || chr(10) || block_text AS block FROM blocks0)"""
 
 
 def _blocks(s, d):
-    f = bind.fragments(s, d)
+    f = bind.fragments(s, d).withColumn("speaker_id", F.concat_ws("/", "interview_id", "role"))
     u = bind.utterances(s, d).select("interview_id", "utterance_id", F.explode(F.sequence("first_seq", "last_seq")).alias("seq"))
     sib = f.join(u, ["interview_id", "seq"]).select("utterance_id", "fragment_id", "seq", "text")
     e = _name_rows(s, d).select("fragment_id", F.lower("name").alias("name"))
-    return op.context_rows(op.fuse(_ranked(s, d), top=op.TOP_CONTEXT), f.select("fragment_id", F.col("role").alias("speaker"), "text"), sib, e)
+    top = op.fuse(_ranked(s, d), top=op.TOP_CONTEXT)
+    rows = op.context_rows(top, f.select("fragment_id", "speaker_id", F.col("role").alias("speaker"), "text"), sib, e, _plinks(s, d), _segment_members(s, d).select("fragment_id", "topic"))
+    return op.context_blocks(rows)
 
 
-@query("a11_context_rows", f"WITH {UTTERANCES}, {_BLOCKS} SELECT question_id, fragment_id, speaker, entities FROM blocks")
+@query("a11_context_rows", f"WITH {UTTERANCES}, {_BLOCKS} SELECT question_id, fragment_id, speaker, person, topics, entities FROM blocks")
 def a11(s, d):
-    return _blocks(s, d).select("question_id", "fragment_id", "speaker", F.array_join("entities", ",").alias("entities"))
+    listed = lambda c: F.array_join(c, ", ").alias(c)
+    return _blocks(s, d).select("question_id", "fragment_id", "speaker", "person", listed("topics"), listed("entities"))
 
 
-@query("a12_context_blocks", f"WITH {UTTERANCES}, {_BLOCKS} SELECT question_id, rank, block_text FROM blocks")
+@query("a12_context_blocks", f"WITH {UTTERANCES}, {_BLOCKS} SELECT question_id, rank, speaker_line, block FROM blocks")
 def a12(s, d):
-    return _blocks(s, d).select("question_id", "rank", "block_text")
+    return _blocks(s, d).select("question_id", "rank", "speaker_line", "block")
 
 
-@query("a13_prompts", f"WITH {UTTERANCES}, {_BLOCKS}, b AS (SELECT question_id, string_agg('[' || fragment_id || '] ' || speaker || ': ' || block_text, chr(10) ORDER BY rank) AS b FROM blocks GROUP BY 1) SELECT question_id, 'Question: ' || question || chr(10) || chr(10) || coalesce(b, '(no grounding)') AS prompt FROM questions LEFT JOIN b USING (question_id)")
+@query("a13_prompts", f"WITH {UTTERANCES}, {_BLOCKS}, b AS (SELECT question_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS b FROM blocks GROUP BY 1) SELECT question_id, 'Question: ' || question || chr(10) || chr(10) || coalesce(b, '(no grounding)') AS prompt FROM questions LEFT JOIN b USING (question_id)")
 def a13(s, d):
     return op.prompts(_blocks(s, d), _questions(s, d))
 
@@ -192,9 +233,9 @@ def a14(s, d):
     return op.ground_citations(cited.select("question_id", "fragment_id").unionByName(other), b)
 
 
-@query("a15_channel_report", f"WITH {UTTERANCES}, {_FUSE}, n AS (SELECT question_id, count(*) FILTER (WHERE channel = 'fulltext') AS f, count(*) FILTER (WHERE channel = 'graph') AS g FROM ranked GROUP BY 1) SELECT question_id, coalesce(f, 0) AS n_fulltext, coalesce(g, 0) AS n_graph, coalesce(f, 0) + coalesce(g, 0) = 0 AS no_grounding FROM questions LEFT JOIN n USING (question_id)")
+@query("a15_channel_report", f"WITH {UTTERANCES}, {_FUSE}, n AS (SELECT question_id, count(*) FILTER (WHERE channel = 'fulltext') AS f, count(*) FILTER (WHERE channel = 'graph') AS g, count(*) FILTER (WHERE channel = 'vector') AS v FROM ranked GROUP BY 1) SELECT question_id, coalesce(f, 0) AS n_fulltext, coalesce(g, 0) AS n_graph, coalesce(v, 0) AS n_vector, coalesce(f, 0) + coalesce(g, 0) + coalesce(v, 0) = 0 AS no_grounding, CASE question_id % 10 WHEN 7 THEN 'vector_fragment_unavailable' WHEN 8 THEN 'vector_fragment_unavailable,vector_unavailable,vector_utterance_unavailable' ELSE '' END AS flags FROM questions LEFT JOIN n USING (question_id)")
 def a15(s, d):
-    return op.channel_report(_ranked(s, d), _questions(s, d), ["fulltext", "graph"])
+    return op.channel_report(_ranked(s, d), _questions(s, d), ["fulltext", "graph", "vector"], _outages(s, d), {"vector": ["vector_fragment", "vector_utterance"]})
 
 
 @query("a16_quality", f"WITH {UTTERANCES}, {_FUSE}, gold AS (SELECT DISTINCT question_id, fragment_id FROM fused WHERE {share_sql('fragment_id')} < 0.3), r AS (SELECT question_id, fragment_id FROM fused WHERE rank <= 12), j AS (SELECT question_id, count(g.fragment_id) AS n_gold, count(r.fragment_id) AS n_ret, count(*) FILTER (WHERE g.fragment_id IS NOT NULL AND r.fragment_id IS NOT NULL) AS n_hit FROM gold g FULL JOIN r USING (question_id, fragment_id) GROUP BY 1) SELECT 'c' || (question_id % 3) AS category, round(avg(n_hit / n_gold), 4) AS recall, round(avg(CASE WHEN n_ret > 0 THEN n_hit / n_ret END), 4) AS precision, count(*) AS n FROM j WHERE n_gold > 0 GROUP BY 1")

@@ -19,20 +19,24 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+#: Letters of a name that are looked up in a question before the whole name is.
+NAME_START = 4
+
+
 def match_names(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """Names that occur in a question (any case); names: scope, name, kind, ref.
+    """Names that occur anywhere in a question of their scope (any case), inside words too; names: scope, name, kind, ref.
 
-    Every run of words of a question, up to the longest name, is looked up by an equi-join.
+    The first letters of a name meet the n-grams of the questions in an equi-join; the whole name is then tested.
     """
-    n = names.where("name is not null and name != ''").withColumn("k", F.lower("name")).withColumn("w", F.size(F.split("k", " ")))
-    most = n.agg(F.max("w")).first()[0] or 0
-    if not most:
-        return questions.select("question_id", *(F.lit(None).cast("string").alias(c) for c in ("kind", "ref", "name"))).where("false")
-    words = F.split(F.lower(F.regexp_replace("question", r"[^\p{L}\p{N}_']+", " ")), " ")
-    q = questions.select("question_id", "scope", words.alias("ws"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.array_join(F.slice("ws", i + 1, k), " "))))
-    q = q.select("question_id", "scope", F.explode(F.array_distinct(runs)).alias("k"))
-    return q.join(n, ["scope", "k"]).select("question_id", "kind", "ref", "name").distinct()
+    n = names.where("name is not null and name != ''").withColumn("k", F.substr(F.lower("name"), F.lit(1), F.lit(NAME_START)))
+    q = questions.select("question_id", "scope", F.lower("question").alias("low"))
+
+    def grams(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("low") - (size - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.substr("low", i, F.lit(size)))
+
+    q = q.select("question_id", "scope", "low", F.explode(F.array_distinct(F.flatten(F.array(*map(grams, range(1, NAME_START + 1)))))).alias("k"))
+    return q.join(n, ["scope", "k"]).where(F.contains("low", F.lower("name"))).select("question_id", "kind", "ref", "name").distinct()
 
 
 def rank_by(rows: DataFrame, key: str, *order: Column, name: str = "rank") -> DataFrame:
@@ -70,18 +74,21 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(query_text(text)), " "), lambda w: w != "")
 
 
-def postings(docs: DataFrame, key: str, scope: str, text: str) -> DataFrame:
-    """(scope, term, id, tf, length) of a text column."""
+def postings(docs: DataFrame, key: str, scope: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(scope, term, id, length, tf) of a text column; wanted: (scope, term) that are of interest."""
     d = docs.select(F.col(scope).alias("scope"), F.col(key).alias("id"), terms(F.col(text)).alias("ts"))
-    return d.select("scope", "id", F.size("ts").alias("length"), F.explode("ts").alias("term")).groupBy("scope", "term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    d = d.select("scope", "id", F.size("ts").alias("length"), F.explode("ts").alias("term"))
+    if wanted is not None:
+        d = d.join(small(wanted.select("scope", "term").distinct()), ["scope", "term"], "left_semi")
+    return d.groupBy("scope", "term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_top(questions: DataFrame, docs: DataFrame, key: str, scope: str, text: str, k: int = TOP_CHANNEL, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 (any of the terms) inside a question's scope; empty questions find nothing."""
-    p = postings(docs, key, scope, text)
+    q = questions.select("question_id", "scope", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"))
+    p = postings(docs, key, scope, text, q)
     sizes = docs.select(F.col(scope).alias("scope"), F.size(terms(F.col(text))).alias("n")).groupBy("scope").agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg_len"))
     df = p.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
-    q = questions.select("question_id", "scope", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"))
     hit = p.join(small(q.join(df, ["scope", "term"]).join(sizes, "scope")), ["scope", "term"])
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_len")))
@@ -111,23 +118,33 @@ def fuse(ranked: DataFrame, k: int = RRF_K, top: int | None = None) -> DataFrame
     return out if top is None else out.where(F.col("rank") <= top)
 
 
-def context_rows(fused: DataFrame, fragments: DataFrame, siblings: DataFrame, entities: DataFrame) -> DataFrame:
-    """What a retrieved fragment is shown with: speaker, utterance text in order, entities; each branch aggregated before its join.
+def context_rows(fused: DataFrame, fragments: DataFrame, siblings: DataFrame, entities: DataFrame, persons: DataFrame, topics: DataFrame) -> DataFrame:
+    """What a retrieved fragment is shown with: speaker and person, utterance text in order, topics, entities; each branch aggregated before its join.
 
-    siblings: utterance_id, fragment_id, seq, text; entities: fragment_id, name.
+    fragments: fragment_id, speaker_id, speaker, text; siblings: utterance_id, fragment_id, seq, text;
+    entities: fragment_id, name; persons: speaker_id, person; topics: fragment_id, topic.
     """
     ids = fused.select("fragment_id").distinct()
     e = entities.join(ids, "fragment_id", "left_semi").groupBy("fragment_id").agg(F.array_sort(F.collect_set("name")).alias("entities"))
+    t = topics.join(ids, "fragment_id", "left_semi").groupBy("fragment_id").agg(F.array_sort(F.collect_set("topic")).alias("topics"))
     near = siblings.join(ids, "fragment_id", "left_semi").select("utterance_id").distinct()
     text = siblings.join(near, "utterance_id").groupBy("utterance_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("block_text"))
-    f = fragments.join(siblings.select("fragment_id", "utterance_id"), "fragment_id").join(text, "utterance_id")
-    return fused.join(f, "fragment_id").join(e, "fragment_id", "left")
+    f = fragments.join(ids, "fragment_id", "left_semi").join(siblings.select("fragment_id", "utterance_id"), "fragment_id", "left").join(text, "utterance_id", "left")
+    f = f.withColumn("block_text", F.coalesce("block_text", "text")).join(persons.groupBy("speaker_id").agg(F.min("person").alias("person")), "speaker_id", "left")
+    return fused.join(f, "fragment_id").join(e, "fragment_id", "left").join(t, "fragment_id", "left")
+
+
+def context_blocks(rows: DataFrame) -> DataFrame:
+    """Context rows as blocks: one line of who spoke (with the person) and of topics and entities, over the utterance's text."""
+    speaker = F.concat(F.coalesce("speaker", F.lit("Unknown speaker")), F.coalesce(F.concat(F.lit(" ("), "person", F.lit(")")), F.lit("")))
+    listed = lambda c: F.coalesce(F.nullif(F.array_join(c, ", "), F.lit("")), F.lit("-"))
+    head = F.concat(F.lit("["), "fragment_id", F.lit("] "), speaker, F.lit(" (topics: "), listed("topics"), F.lit("; entities: "), listed("entities"), F.lit(")"))
+    return rows.withColumns({"speaker_line": speaker, "block": F.concat_ws("\n", head, "block_text")})
 
 
 def prompts(blocks: DataFrame, questions: DataFrame, template: str = "Question: {question}\n\n{blocks}") -> DataFrame:
-    """One prompt per question: numbered blocks in rank order."""
-    line = F.concat(F.lit("["), F.col("fragment_id"), F.lit("] "), F.col("speaker"), F.lit(": "), F.col("block_text"))
-    b = blocks.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("blocks"))
+    """One prompt per question: its blocks in rank order."""
+    b = blocks.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("blocks"))
     return questions.join(b, "question_id", "left").select("question_id", F.replace(F.replace(F.lit(template), F.lit("{question}"), F.col("question")), F.lit("{blocks}"), F.coalesce("blocks", F.lit("(no grounding)"))).alias("prompt"))
 
 
@@ -136,12 +153,26 @@ def ground_citations(cited: DataFrame, blocks: DataFrame) -> DataFrame:
     return cited.select("question_id", "fragment_id").distinct().join(blocks.select("question_id", "fragment_id", "rank", F.col("text").alias("quote")), ["question_id", "fragment_id"])
 
 
-def channel_report(ranked: DataFrame, questions: DataFrame, channels: list[str]) -> DataFrame:
-    """Hits per channel of every question; no hit at all is flagged."""
+def without_outages(hits: DataFrame, outages: DataFrame, side: str) -> DataFrame:
+    """Hits of one side, without the questions for which it could not be asked; outages: question_id, side."""
+    return hits.join(outages.where(F.col("side") == side).select("question_id"), "question_id", "left_anti")
+
+
+def channel_report(ranked: DataFrame, questions: DataFrame, channels: list[str], outages: DataFrame | None = None, of: dict[str, list[str]] | None = None) -> DataFrame:
+    """Hits per channel of every question, ``no_grounding`` if there are none, and ``flags``: what could not be asked.
+
+    outages: question_id, side; of: the sides of a channel, which is flagged itself when all of them are out.
+    """
     n = ranked.groupBy("question_id").agg(*(F.count_if(F.col("channel") == c).alias(f"n_{c}") for c in channels))
     out = questions.select("question_id").join(n, "question_id", "left").fillna(0)
     total = sum((F.col(f"n_{c}") for c in channels), F.lit(0))
-    return out.withColumn("no_grounding", total == 0)
+    out = out.withColumn("no_grounding", total == 0)
+    if outages is None:
+        return out.withColumn("flags", F.lit(""))
+    sides = F.collect_set("side")
+    whole = [F.when(F.size(F.array_except(F.array(*map(F.lit, names)), sides)) == 0, F.lit(c)) for c, names in (of or {}).items()]
+    said = outages.groupBy("question_id").agg(F.array_join(F.array_sort(F.transform(F.array_compact(F.concat(sides, F.array(*whole))), lambda x: F.concat(x, F.lit("_unavailable")))), ",").alias("flags"))
+    return out.join(said, "question_id", "left").fillna("", ["flags"])
 
 
 def retrieval_quality(retrieved: DataFrame, gold: DataFrame) -> DataFrame:
