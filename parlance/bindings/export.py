@@ -7,11 +7,13 @@ from pyspark.sql import types as T
 
 from parlance import bind
 from parlance.bind import FRAGMENTS, TRANSCRIPTS, UTTERANCES, share_sql, table
-from parlance.bindings.enrich import _ITEMS, _UNITS, _items
-from parlance.bindings.read import _CLAIMS, _claims, _members
+from parlance.bindings.enrich import _ITEMS, _RES, _SPK, _UNITS, _items
+from parlance.bindings.enrich import _speakers as _lens_speakers
+from parlance.bindings.read import _CLAIMS, _SUP_IN, _claims, _members, _supports
 from parlance.bindings.resolve import _M, _mentions
 from parlance.functions.ids import hashed_share
 from parlance.operators import export as op
+from parlance.operators import lens as lens_op
 from parlance.plans.scratch import scratch_dir
 from parlance.sources import io
 
@@ -52,10 +54,10 @@ def x3(s, d):
     return op.unique_slugs(p, "bundle", "name", "p_partkey").select("p_partkey", "bundle", "slug")
 
 
-@query("x4_tallies", f"WITH {FRAGMENTS}, w AS (SELECT interview_id, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS value FROM fragments), n AS (SELECT interview_id, value, count(*) AS n FROM w GROUP BY ALL) SELECT interview_id, value, n, CAST(row_number() OVER (PARTITION BY interview_id ORDER BY n DESC, value) AS INTEGER) AS place FROM n QUALIFY place <= 10")
+@query("x4_tallies", f"WITH {FRAGMENTS}, w AS (SELECT interview_id, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS value FROM fragments), n AS (SELECT interview_id, value, count(*) AS n FROM w GROUP BY ALL) SELECT interview_id, value, n, CAST(row_number() OVER (PARTITION BY interview_id ORDER BY n DESC, value) AS INTEGER) AS place FROM n")
 def x4(s, d):
     f = bind.fragments(s, d).withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
-    return op.tallies(f, "interview_id", "words").where("place <= 10")
+    return op.tallies(f, "interview_id", "words")
 
 
 @query(
@@ -68,7 +70,10 @@ def x5(s, d):
     return op.transcript_documents(_anchored(s, d).withColumn("topic", topic))
 
 
-@query("x6_quotes", f"WITH {UTTERANCES}, {_AN}, {_CLAIMS} SELECT claim_id, string_agg('> ' || text || ' [' || anchor || ']', chr(10) ORDER BY seq) AS quotes FROM claims JOIN anch USING (interview_id, utterance_no) GROUP BY 1")
+_QUOTE = "'> ' || text || chr(10) || '> — ' || role || ', [' || anchor || '](/transcript.md#' || anchor || ')'"
+
+
+@query("x6_quotes", f"WITH {UTTERANCES}, {_AN}, {_CLAIMS} SELECT claim_id, string_agg({_QUOTE}, chr(10) ORDER BY seq) AS quotes FROM claims JOIN anch USING (interview_id, utterance_no) GROUP BY 1")
 def x6(s, d):
     sup = _claims(s, d).select("claim_id", "utterance_id").join(_members(s, d), "utterance_id").select("claim_id", "fragment_id")
     return op.quotes(sup, _anchored(s, d), "claim_id")
@@ -81,22 +86,62 @@ def x7(s, d):
     return op.back_links(i.unionByName(c), "speaker_id")
 
 
-@query("x8_entity_pages", f"WITH {_M}, j AS (SELECT CASE WHEN length(surface) % 3 = 0 THEN 'c-' || lower(left(surface, 2)) ELSE 'surface:' || surface END AS page, surface FROM mentions) SELECT page, count(*) AS n_mentions, count(DISTINCT surface) AS n_surfaces, array_to_string(list_sort(list(DISTINCT surface))[1:5], ',') AS aliases FROM j GROUP BY 1")
+_PAGED = "pg AS (SELECT CASE WHEN length(surface) % 3 = 0 THEN 'c-' || lower(left(surface, 2)) ELSE 'surface:' || surface END AS page, * FROM mentions)"
+
+
+def _aliases(s, d):
+    return _mentions(s, d).where(F.length("surface") % 3 == 0).select("surface", F.concat(F.lit("c-"), F.lower(F.substring("surface", 1, 2))).alias("canonical_id")).distinct()
+
+
+@query("x8_entity_pages", f"WITH {_M}, {_PAGED}, a AS (SELECT page, surface AS alias, count(*) AS n_alias_mentions FROM pg GROUP BY ALL) SELECT page, alias, CAST(row_number() OVER (PARTITION BY page ORDER BY alias) AS INTEGER) AS place, n_alias_mentions, CAST(sum(n_alias_mentions) OVER (PARTITION BY page) AS BIGINT) AS n_mentions, count(*) OVER (PARTITION BY page) AS n_surfaces FROM a")
 def x8(s, d):
-    m = _mentions(s, d)
-    al = m.where(F.length("surface") % 3 == 0).select("surface", F.concat(F.lit("c-"), F.lower(F.substring("surface", 1, 2))).alias("canonical_id")).distinct()
-    return op.entity_pages(m, al)
+    return op.entity_pages(_mentions(s, d), _aliases(s, d))
+
+
+_MROWS = rf"""mr AS (SELECT fragment_id, surface, generate_subscripts(ms, 1) - 1 AS pos FROM (SELECT fragment_id, ms, unnest(ms) AS surface FROM (SELECT fragment_id, regexp_extract_all(text, '\p{{Lu}}[\p{{L}}'']+') AS ms FROM fragments)))"""
+
+
+@query(
+    "x8_mention_tables",
+    rf"""WITH {UTTERANCES}, {_AN}, {_MROWS} SELECT CASE WHEN length(surface) % 3 = 0 THEN 'c-' || lower(left(surface, 2)) ELSE 'surface:' || surface END AS page, interview_id, seq, CAST(pos AS INTEGER) AS pos,
+replace(surface, '|', '\|') AS "text", {share_sql("fragment_id || '@' || pos")} AS confidence, '[' || anchor || '](/transcript.md#' || anchor || ')' AS location FROM mr JOIN anch USING (fragment_id)""",
+)
+def x8_mentions(s, d):
+    m = bind.fragments(s, d).select("fragment_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{Lu}[\p{L}']+"), F.lit(0))).alias("pos", "surface"))
+    m = m.withColumn("confidence", hashed_share(F.concat_ws("@", "fragment_id", "pos")))
+    return op.mention_tables(m, _aliases(s, d), _anchored(s, d))
 
 
 def _documents(s, d):
-    i = _items(s, d).select("item_id", F.concat(F.lit("b"), F.col("interview_id") % 5).alias("bundle"), "type", "text")
-    i = op.unique_slugs(i, "bundle", "item_id", "item_id")
-    return op.item_documents(i, _items(s, d).select("item_id", F.lit("> q").alias("quotes")).where("item_id like '%0'"))
+    """Items and claims of each bundle as documents, with the quotes they rest on."""
+    an = _anchored(s, d)
+    bundle = F.concat(F.lit("b"), F.col("interview_id") % 5).alias("bundle")
+    owner = lens_op.resolve_speakers(_items(s, d), _lens_speakers(s, d), "owner")
+    i = op.unique_slugs(owner.select("item_id", bundle, "lens", "type", "text", "confidence", F.col("owner_speaker").alias("speaker")), "bundle", "item_id", "item_id")
+    c = _claims(s, d).select("claim_id", bundle, F.concat(F.lit("said [in] "), "utterance_id", F.lit("\\")).alias("text"), F.lit("assertion").alias("claim_kind"), "confidence", F.col("speaker_id").alias("speaker"), "utterance_id")
+    of_claims = c.select("claim_id", "utterance_id").join(_members(s, d), "utterance_id").select("claim_id", "fragment_id")
+    c = op.unique_slugs(c.drop("utterance_id"), "bundle", "claim_id", "claim_id")
+    return op.item_documents(i, op.quotes(_supports(s, d), an, "item_id")).unionByName(op.claim_documents(c, op.quotes(of_claims, an, "claim_id")))
+
+
+def _slugged(key):
+    k = f"row_number() OVER (PARTITION BY bundle, base ORDER BY {key})"
+    return f"base || CASE WHEN {k} > 1 THEN '-' || {k} ELSE '' END"
+
 
+def _title(text):
+    return rf"regexp_replace(left(trim(regexp_replace({text}, '\s+', ' ', 'g')), 80), '([\[\]\\])', '\\\1', 'g')"
 
-_DOCS = f"""dk AS (SELECT item_id, 'b' || (interview_id % 5) AS bundle, type, text, {_SLUG.format("item_id")} AS base FROM items),
-docs AS (SELECT bundle, type || '/' || base || CASE WHEN row_number() OVER (PARTITION BY bundle, base ORDER BY item_id) > 1 THEN '-' || row_number() OVER (PARTITION BY bundle, base ORDER BY item_id) ELSE '' END || '.md' AS path,
-'# ' || text || chr(10) || chr(10) || 'Type: ' || type || chr(10) || chr(10) || CASE WHEN item_id LIKE '%0' THEN '> q' ELSE '(no quotes)' END AS content FROM dk)"""
+
+_DOCS = f"""{_AN}, {_SUP_IN}, {_SPK}, {_RES}, {_CLAIMS},
+iq AS (SELECT item_id, string_agg({_QUOTE}, chr(10) ORDER BY interview_id, seq) AS quotes FROM sup JOIN anch USING (fragment_id) GROUP BY 1),
+cq AS (SELECT claim_id, string_agg({_QUOTE}, chr(10) ORDER BY seq) AS quotes FROM claims JOIN anch USING (interview_id, utterance_no) GROUP BY 1),
+dk AS (SELECT *, 'b' || (interview_id % 5) AS bundle, {_SLUG.format("item_id")} AS base FROM res), ck AS (SELECT *, 'b' || (interview_id % 5) AS bundle, 'said [in] ' || utterance_id || '\\' AS text, {_SLUG.format("claim_id")} AS base FROM claims),
+ds AS (SELECT *, {_slugged("item_id")} AS slug FROM dk), cs AS (SELECT *, {_slugged("claim_id")} AS slug FROM ck),
+docs AS (SELECT bundle, 'item' AS kind, type || 's/' || slug || '.md' AS path, '---' || chr(10) || 'type: ' || type || chr(10) || 'title: ' || {_title("text")} || chr(10) || 'item_id: ' || item_id || chr(10) || 'lens: ' || lens || chr(10) || 'confidence: ' || CAST(confidence AS DOUBLE) || chr(10) || 'tags: [lens:' || lens || ']' || chr(10) || '---' || chr(10)
+|| text || chr(10) || chr(10) || '## Relationships' || chr(10) || coalesce('OWNER: ' || {_title("owner_speaker")} || chr(10), '') || chr(10) || '## Grounding' || chr(10) || coalesce(quotes, '') AS content FROM ds LEFT JOIN iq USING (item_id)
+UNION ALL SELECT bundle, 'claim', 'claims/' || slug || '.md', '---' || chr(10) || 'type: Claim' || chr(10) || 'title: ' || {_title("text")} || chr(10) || 'item_id: ' || claim_id || chr(10) || 'kind: assertion' || chr(10) || 'confidence: ' || CAST(confidence AS DOUBLE) || chr(10) || '---' || chr(10)
+|| text || chr(10) || chr(10) || '## Relationships' || chr(10) || 'MADE_BY: ' || {_title("speaker_id")} || chr(10) || chr(10) || '## Grounding' || chr(10) || coalesce(quotes, '') FROM cs LEFT JOIN cq USING (claim_id))"""
 
 
 @query("x9_item_documents", f"WITH {UTTERANCES}, {_UNITS}, {_ITEMS}, {_DOCS} SELECT * FROM docs")
@@ -109,26 +154,42 @@ def x10(s, d):
     return op.index_documents(_documents(s, d).select("bundle", F.split("path", "/")[0].alias("section"), F.lit("page").alias("title"), "path"))
 
 
-@query("x11_manifest", f"WITH {UTTERANCES}, {_UNITS}, {_ITEMS}, {_DOCS} SELECT bundle, count(*) AS n_files, count(*) FILTER (WHERE path NOT LIKE 'quote/%') AS n_items, count(*) FILTER (WHERE path LIKE 'quote/%') AS n_claims, CAST(sum(length(content)) AS BIGINT) AS n_chars FROM docs GROUP BY 1")
+_FILES = f"""{_PAGED.replace("FROM mentions", "FROM mr JOIN fragments USING (fragment_id)")}, ef AS (SELECT 'b' || (interview_id % 5) AS bundle, page, string_agg(DISTINCT surface, ', ' ORDER BY surface) AS names FROM pg GROUP BY ALL),
+files AS (SELECT * FROM docs UNION ALL SELECT bundle, 'entity', 'entities/' || page, names FROM ef),
+hd AS (SELECT 'b' || (interview_id % 5) AS bundle, count(DISTINCT interview_id) AS n_interviews, count(DISTINCT interview_id || '/' || role) AS n_speakers, count(*) AS n_fragments, count(DISTINCT interview_id || ':' || utterance_no) AS n_utterances FROM members GROUP BY 1)"""
+
+
+@query(
+    "x11_manifest",
+    f"""WITH {UTTERANCES}, {_UNITS}, {_ITEMS}, {_DOCS}, {_MROWS}, {_FILES}, n AS (SELECT bundle, count(*) AS n_files, count(*) FILTER (WHERE kind = 'item') AS n_items, count(*) FILTER (WHERE kind = 'claim') AS n_claims, count(*) FILTER (WHERE kind = 'entity') AS n_entities,
+CAST(sum(length(content)) AS BIGINT) AS n_chars, CAST(sum(('0x' || substr(sha256(path || chr(10) || content), 1, 7))::BIGINT) AS BIGINT) AS content_digest FROM files GROUP BY 1) SELECT * FROM n LEFT JOIN hd USING (bundle)""",
+)
 def x11(s, d):
-    return op.manifest(_documents(s, d).withColumn("kind", F.when(F.col("path").startswith("quote/"), "claim").otherwise("item")))
+    m = _mentions(s, d).withColumn("bundle", F.concat(F.lit("b"), F.col("interview_id") % 5))
+    e = op.paged(m, _aliases(s, d)).groupBy("bundle", "page").agg(F.array_join(F.array_sort(F.collect_set("surface")), ", ").alias("content"))
+    files = _documents(s, d).unionByName(e.select("bundle", F.lit("entity").alias("kind"), F.concat(F.lit("entities/"), "page").alias("path"), "content"))
+    u = bind.utterances(s, d).withColumn("bundle", F.concat(F.lit("b"), F.col("interview_id") % 5))
+    h = u.groupBy("bundle").agg(F.count_distinct("interview_id").alias("n_interviews"), F.count_distinct("interview_id", "speaker").alias("n_speakers"), F.sum("n_fragments").alias("n_fragments"), F.count(F.lit(1)).alias("n_utterances"))
+    return op.manifest(files, h)
 
 
-@query("x12_export_log", "WITH e AS (SELECT CAST(ts AS DATE) AS day, ts, event_id, event_type || event_id AS message FROM events) SELECT day, count(*) AS n_entries, array_to_string(list(message ORDER BY ts DESC, event_id DESC)[1:3], ',') AS newest FROM e GROUP BY 1")
+@query("x12_export_log", "SELECT CAST(ts AS DATE) AS day, event_id AS entry_id, event_type || event_id AS message FROM events ORDER BY ts DESC, event_id DESC")
 def x12(s, d):
-    return op.export_log(table(s, d, "events").select("ts", F.col("event_id").alias("entry_id"), F.concat("event_type", "event_id").alias("message")))
+    return op.export_log(table(s, d, "events").select("ts", F.col("event_id").alias("entry_id"), F.concat("event_type", "event_id").alias("message"))).select("day", "entry_id", "message")
 
 
 # ------------------------------------------------------------------ sources and sinks
 
 
-@query("s1_scan_texts", f"WITH {TRANSCRIPTS} SELECT interview_id, sha256(text || chr(10)) AS content_sha256 FROM transcripts")
+@query("s1_scan_texts", f"WITH {TRANSCRIPTS} SELECT interview_id, CASE WHEN interview_id % 7 <> 3 THEN sha256(text || chr(10)) END AS content_sha256, CASE WHEN interview_id % 7 = 3 THEN 'not UTF-8' END AS error FROM transcripts")
 def s1(s, d):
-    """Transcripts written as files and scanned back, one text per file."""
+    """Transcripts written as files and scanned back, one text per file; every seventh has a byte that is no UTF-8."""
     path = scratch_dir(s)
-    io.write_texts(bind.transcripts(s, d), path, "interview_id", "text")
-    t = io.scan_texts(s, path)
-    return t.select(F.regexp_extract("path", r"interview_id=(-?\d+)", 1).cast("long").alias("interview_id"), F.sha2("text", 256).alias("content_sha256"))
+    bad = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF"))).cast("string")
+    io.write_texts(bind.transcripts(s, d).withColumn("text", F.when(F.col("interview_id") % 7 == 3, bad).otherwise(F.col("text"))), path, "interview_id", "text")
+    good, quarantine = io.scan_texts(s, path)
+    both = good.select("path", F.sha2("text", 256).alias("content_sha256"), F.lit(None).cast("string").alias("error")).unionByName(quarantine.select("path", F.lit(None).cast("string").alias("content_sha256"), "error"))
+    return both.select(F.regexp_extract("path", r"interview_id=(-?\d+)", 1).cast("long").alias("interview_id"), "content_sha256", "error")
 
 
 @query("s2_maps", f"WITH {FRAGMENTS} SELECT project_id AS source, count(*) AS n, CAST(sum(end_char - start_char) AS BIGINT) AS n_chars FROM fragments WHERE project_id <> 'p1' OR seq < 2 GROUP BY 1")
@@ -176,5 +237,5 @@ def s9(s, d):
 @query("s10_bundles", f"WITH {UTTERANCES}, {_UNITS}, {_ITEMS}, {_DOCS} SELECT bundle, path, length(content) AS n_chars FROM docs")
 def s10(s, d):
     path = scratch_dir(s)
-    io.write_bundle(_documents(s, d), path)
+    io.write_bundle(_documents(s, d).select("bundle", "path", "content"), path)
     return s.read.parquet(path).select("bundle", "path", F.length("content").cast("long").alias("n_chars"))

@@ -59,9 +59,12 @@ def _supports(s, d):
 _SUP = "sup AS (SELECT item_id, fragment_id FROM items JOIN utterances ON utterance_id = unit_id JOIN members USING (interview_id, utterance_no) UNION ALL SELECT item_id, unit_id FROM items WHERE unit_id LIKE '%:%' AND unit_id NOT LIKE '%u%')"
 
 
+_SUP_IN = _SUP.replace("JOIN members USING (interview_id, utterance_no)", "JOIN members ON members.interview_id = utterances.interview_id AND members.utterance_no = utterances.utterance_no")
+
+
 @query(
     "q4_lens_items",
-    f"WITH {UTTERANCES}, {_UNITS}, {_ITEMS}, {_SUP.replace('JOIN members USING (interview_id, utterance_no)', 'JOIN members ON members.interview_id = utterances.interview_id AND members.utterance_no = utterances.utterance_no')}, sa AS (SELECT item_id, string_agg(DISTINCT fragment_id, ',' ORDER BY fragment_id) AS supports FROM sup GROUP BY 1) SELECT item_id, confidence, 'spoken=' || unit_speaker AS links, supports FROM items LEFT JOIN sa USING (item_id) WHERE type = 'decision' AND confidence >= 0.1 ORDER BY confidence DESC, item_id LIMIT 20 OFFSET 5",
+    f"WITH {UTTERANCES}, {_UNITS}, {_ITEMS}, {_SUP_IN}, sa AS (SELECT item_id, string_agg(DISTINCT fragment_id, ',' ORDER BY fragment_id) AS supports FROM sup GROUP BY 1) SELECT item_id, confidence, 'spoken=' || unit_speaker AS links, supports FROM items LEFT JOIN sa USING (item_id) WHERE type = 'decision' AND confidence >= 0.1 ORDER BY confidence DESC, item_id LIMIT 20 OFFSET 5",
 )
 def q4(s, d):
     i = _items(s, d)
@@ -134,10 +137,10 @@ def q11(s, d):
     return op.projects(i, every)
 
 
-@query("q12_interviews", f"WITH {FRAGMENTS} SELECT c.conv_id AS interview_id, count(fragment_id) AS n_fragments FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN fragments f ON f.interview_id = c.conv_id AND f.turn > 0 GROUP BY 1")
+@query("q12_interviews", f"WITH {FRAGMENTS} SELECT c.conv_id AS interview_id, count(fragment_id) AS n_fragments FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN fragments f ON f.interview_id = c.conv_id GROUP BY 1")
 def q12(s, d):
     i = table(s, d, "conversations").select(F.col("conv_id").alias("interview_id")).distinct()
-    return op.interview_sizes(i, bind.fragments(s, d).where("turn > 0"))
+    return op.interview_sizes(i, bind.fragments(s, d))
 
 
 @query("q13_headers", "SELECT DISTINCT conv_id AS interview_id, CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'language=en,title=Interview ' || conv_id END AS metadata FROM conversations")
@@ -150,14 +153,15 @@ def q13(s, d):
 
 @query(
     "q14_lines",
-    f"""WITH {_M}, {UTTERANCES[len(FRAGMENTS) + 1 :]}, {_SM}, en AS (SELECT fragment_id, string_agg(DISTINCT surface, ',' ORDER BY surface) AS entities FROM mentions GROUP BY 1), tp AS (SELECT fragment_id, string_agg(DISTINCT topic, ',') AS topics FROM sm GROUP BY 1)
-SELECT m.fragment_id, role AS speaker, interview_id || ':u:' || utterance_no AS utterance_id, topics, entities FROM members m LEFT JOIN en USING (fragment_id) LEFT JOIN tp USING (fragment_id)""",
+    f"""WITH {_M}, {UTTERANCES[len(FRAGMENTS) + 1 :]}, {_SM}, {_UNITS}, {_ITEMS}, {_SUP_IN}, {_SPEAKERS}, {_PLINKS}, en AS (SELECT fragment_id, string_agg(DISTINCT surface, ',' ORDER BY surface) AS entities FROM mentions GROUP BY 1), tp AS (SELECT fragment_id, string_agg(DISTINCT topic, ',') AS topics FROM sm GROUP BY 1),
+fi AS (SELECT fragment_id, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM sup GROUP BY 1), lsp AS (SELECT speaker_id, display_name AS speaker, person FROM speakers LEFT JOIN plinks USING (speaker_id) WHERE interview_id % 6 <> 2)
+SELECT m.fragment_id, speaker, person, m.interview_id || ':u:' || utterance_no AS utterance_id, topics, entities, items FROM members m LEFT JOIN lsp ON lsp.speaker_id = m.interview_id || '/' || m.role LEFT JOIN en USING (fragment_id) LEFT JOIN tp USING (fragment_id) LEFT JOIN fi USING (fragment_id)""",
 )
 def q14(s, d):
-    f = bind.fragments(s, d).select("fragment_id", F.col("role").alias("speaker"))
-    none = f.select("fragment_id", F.lit("x").alias("item_id")).where("false")
-    t = op.transcript_lines(f, _members(s, d), _segment_members(s, d), _mentions(s, d).select("fragment_id", "surface"), none)
-    return t.select("fragment_id", "speaker", "utterance_id", op.tags(F.col("topics")).alias("topics"), op.tags(F.col("entities")).alias("entities"))
+    f = bind.fragments(s, d).select("fragment_id", F.concat_ws("/", "interview_id", "role").alias("speaker_id"))
+    sp = _speakers(s, d).withColumn("merged_into", F.when(F.col("interview_id") % 6 == 2, F.lit("other")))
+    t = op.transcript_lines(f, sp, _plinks(s, d), _members(s, d), _segment_members(s, d), _mentions(s, d).select("fragment_id", "surface"), _supports(s, d))
+    return t.select("fragment_id", "speaker", "person", "utterance_id", op.tags(F.col("topics")).alias("topics"), op.tags(F.col("entities")).alias("entities"), op.tags(F.col("items")).alias("items"))
 
 
 def _persona(s, d):

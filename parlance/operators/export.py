@@ -45,9 +45,12 @@ def transcript_documents(fragments: DataFrame) -> DataFrame:
 
 
 def quotes(supports: DataFrame, fragments: DataFrame, key: str) -> DataFrame:
-    """Verbatim grounding of items or claims: ``> text [anchor]`` lines in transcript order."""
-    j = supports.join(fragments.select("fragment_id", "interview_id", "seq", "text", "anchor"), "fragment_id")
-    line = F.concat(F.lit("> "), "text", F.lit(" ["), "anchor", F.lit("]"))
+    """Verbatim grounding of items or claims in transcript order: each text, then who said it and where.
+
+    fragments: fragment_id, interview_id, seq, text, speaker, anchor.
+    """
+    j = supports.join(fragments.select("fragment_id", "interview_id", "seq", "text", "speaker", "anchor"), "fragment_id")
+    line = F.concat(F.lit("> "), "text", F.lit("\n> — "), F.coalesce("speaker", F.lit("Unknown")), F.lit(", ["), "anchor", F.lit("](/transcript.md#"), "anchor", F.lit(")"))
     return j.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("interview_id", "seq", line.alias("line")))), lambda x: x["line"]), "\n").alias("quotes"))
 
 
@@ -56,24 +59,54 @@ def back_links(links: DataFrame, key: str) -> DataFrame:
     return links.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "kind", "target"))), ",").alias("back_links"), F.count(F.lit(1)).alias("n_links"))
 
 
+def paged(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Mentions with their page: the canonical entity of the surface, or the surface alone."""
+    return mentions.join(aliases, "surface", "left").withColumn("page", F.coalesce("canonical_id", F.concat(F.lit("surface:"), "surface")))
+
+
 def entity_pages(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
-    """One page per canonical entity over all its surfaces; surfaces without one stand alone."""
-    j = mentions.join(aliases, "surface", "left").withColumn("page", F.coalesce("canonical_id", F.concat(F.lit("surface:"), "surface")))
-    return j.groupBy("page").agg(F.count(F.lit(1)).alias("n_mentions"), F.count_distinct("surface").alias("n_surfaces"), F.array_join(F.slice(F.array_sort(F.collect_set("surface")), 1, 5), ",").alias("aliases"))
+    """One row per page and alias: all surfaces of the page in order, with the mentions of the alias and of the page."""
+    a = paged(mentions, aliases).groupBy("page", "surface").agg(F.count(F.lit(1)).alias("n"))
+    by_page = Window.partitionBy("page")
+    place = F.row_number().over(by_page.orderBy("surface"))
+    return a.select("page", F.col("surface").alias("alias"), place.alias("place"), F.col("n").alias("n_alias_mentions"), F.sum("n").over(by_page).alias("n_mentions"), F.count(F.lit(1)).over(by_page).alias("n_surfaces"))
+
+
+def mention_tables(mentions: DataFrame, aliases: DataFrame, anchored: DataFrame) -> DataFrame:
+    """The mention table of each page as rows ordered by interview, seq and pos; cells on one line, pipes escaped.
+
+    mentions: fragment_id, pos, surface, confidence; anchored: fragment_id, interview_id, seq, anchor.
+    """
+    cell = F.replace(F.trim(F.regexp_replace("surface", r"\s+", " ")), F.lit("|"), F.lit("\\|"))
+    where = F.coalesce(F.concat(F.lit("["), "anchor", F.lit("](/transcript.md#"), "anchor", F.lit(")")), F.lit(""))
+    j = paged(mentions, aliases).join(anchored.select("fragment_id", "interview_id", "seq", "anchor"), "fragment_id", "left")
+    return j.select("page", "interview_id", "seq", "pos", cell.alias("text"), "confidence", where.alias("location"))
 
 
 def safe_title(text: Column, size: int = 80) -> Column:
-    """One line, markdown marks escaped, at most ``size`` characters."""
+    """One line of at most ``size`` characters, cut first, then backslashes and brackets escaped."""
     one = F.trim(F.regexp_replace(text, r"\s+", " "))
-    cut = F.when(F.length(one) > size, F.concat(F.substr(one, F.lit(1), F.lit(size - 1)), F.lit("…"))).otherwise(one)
-    return F.regexp_replace(cut, r"([\[\]*_#`|])", r"\\$1")
+    return F.regexp_replace(F.substr(one, F.lit(1), F.lit(size)), r"([\[\]\\])", r"\\$1")
+
+
+def document(front: dict[str, Column], text: Column, relations: Column, grounding: Column) -> Column:
+    """Front matter (null values left out), the text, what it relates to, and its grounding."""
+    head = F.concat_ws("\n", *(F.concat(F.lit(f"{k}: "), v.cast("string")) for k, v in front.items()))
+    return F.concat(F.lit("---\n"), head, F.lit("\n---\n"), F.coalesce(F.concat(text, F.lit("\n\n")), F.lit("")), F.lit("## Relationships\n"), F.coalesce(F.concat(relations, F.lit("\n")), F.lit("")), F.lit("\n## Grounding\n"), F.coalesce(grounding, F.lit("")))
 
 
 def item_documents(items: DataFrame, quotes_of: DataFrame) -> DataFrame:
-    """(bundle, path, content) of each item; items: item_id, bundle, type, slug, text."""
+    """(bundle, kind, path, content) of each item; items: item_id, bundle, lens, type, slug, text, confidence, speaker (linked, or null)."""
     j = items.join(quotes_of, "item_id", "left")
-    content = F.concat_ws("\n\n", F.concat(F.lit("# "), safe_title(F.col("text"))), F.concat(F.lit("Type: "), "type"), F.coalesce("quotes", F.lit("(no quotes)")))
-    return j.select("bundle", F.concat_ws("/", F.col("type"), F.concat("slug", F.lit(".md"))).alias("path"), content.alias("content"))
+    front = {"type": F.col("type"), "title": F.coalesce(safe_title(F.col("text")), F.col("item_id")), "item_id": F.col("item_id"), "lens": F.col("lens"), "confidence": F.col("confidence"), "tags": F.concat(F.lit("[lens:"), "lens", F.lit("]"))}
+    return j.select("bundle", F.lit("item").alias("kind"), F.concat(F.col("type"), F.lit("s/"), F.col("slug"), F.lit(".md")).alias("path"), document(front, F.col("text"), F.concat(F.lit("OWNER: "), safe_title(F.col("speaker"))), F.col("quotes")).alias("content"))
+
+
+def claim_documents(claims: DataFrame, quotes_of: DataFrame) -> DataFrame:
+    """(bundle, kind, path, content) of each claim; claims: claim_id, bundle, slug, text, claim_kind, confidence, speaker."""
+    j = claims.join(quotes_of, "claim_id", "left")
+    front = {"type": F.lit("Claim"), "title": F.coalesce(safe_title(F.col("text")), F.col("claim_id")), "item_id": F.col("claim_id"), "kind": F.col("claim_kind"), "confidence": F.col("confidence")}
+    return j.select("bundle", F.lit("claim").alias("kind"), F.concat(F.lit("claims/"), F.col("slug"), F.lit(".md")).alias("path"), document(front, F.col("text"), F.concat(F.lit("MADE_BY: "), safe_title(F.col("speaker"))), F.col("quotes")).alias("content"))
 
 
 def index_documents(pages: DataFrame) -> DataFrame:
@@ -84,14 +117,16 @@ def index_documents(pages: DataFrame) -> DataFrame:
     return s.groupBy("bundle").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("content"))
 
 
-def manifest(files: DataFrame) -> DataFrame:
-    """Counts per bundle and kind, and the hash of all content in path order; files: bundle, kind, path, content."""
-    n = files.groupBy("bundle").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("kind") == "item").alias("n_items"), F.count_if(F.col("kind") == "claim").alias("n_claims"), F.sum(F.length("content")).alias("n_chars"))
-    return n
+def manifest(files: DataFrame, headers: DataFrame) -> DataFrame:
+    """Counts per bundle and kind, a digest of all paths and contents that does not depend on their order, and the header counts.
+
+    files: bundle, kind, path, content; headers: bundle, and a count a column.
+    """
+    part = F.conv(F.substring(F.sha2(F.concat_ws("\n", "path", "content"), 256), 1, 7), 16, 10).cast("long")
+    n = files.groupBy("bundle").agg(F.count(F.lit(1)).alias("n_files"), *(F.count_if(F.col("kind") == k).alias(f"n_{k}s") for k in ("item", "claim")), F.count_if(F.col("kind") == "entity").alias("n_entities"), F.sum(F.length("content")).alias("n_chars"), F.sum(part).alias("content_digest"))
+    return n.join(headers, "bundle", "left")
 
 
 def export_log(entries: DataFrame) -> DataFrame:
-    """Entries by date, newest first; entries: ts, entry_id, message."""
-    d = entries.withColumn("day", F.to_date("ts"))
-    rows = F.reverse(F.array_sort(F.collect_list(F.struct("ts", "entry_id", "message"))))
-    return d.groupBy("day").agg(F.count(F.lit(1)).alias("n_entries"), F.array_join(F.transform(F.slice(rows, 1, 3), lambda x: x["message"]), ",").alias("newest"))
+    """All entries with their day, newest first; entries: ts, entry_id, message."""
+    return entries.withColumn("day", F.to_date("ts")).orderBy(F.desc("ts"), F.desc("entry_id"))

@@ -87,12 +87,18 @@ def headers(interviews: DataFrame, column: str = "metadata_json") -> DataFrame:
     return interviews.withColumn("metadata", F.coalesce(m, F.create_map().cast("map<string,string>")))
 
 
-def transcript_lines(fragments: DataFrame, members: DataFrame, segments: DataFrame, entities: DataFrame, items: DataFrame) -> DataFrame:
-    """Lines with utterance, segment topics, entities and items as arrays."""
+def transcript_lines(fragments: DataFrame, speakers: DataFrame, persons: DataFrame, members: DataFrame, segments: DataFrame, entities: DataFrame, items: DataFrame) -> DataFrame:
+    """Lines with speaker, person, utterance, segment topics, entities and items (as arrays); merged speakers and their persons are hidden.
+
+    fragments: fragment_id, speaker_id; speakers: speaker_id, display_name, merged_into; persons: speaker_id, person.
+    """
+    sp = live_speakers(speakers).select("speaker_id", F.col("display_name").alias("speaker"))
+    p = persons.groupBy("speaker_id").agg(F.min("person").alias("person"))
     t = segments.groupBy("fragment_id").agg(F.array_sort(F.collect_set("topic")).alias("topics"))
     e = entities.groupBy("fragment_id").agg(F.array_sort(F.collect_set("surface")).alias("entities"))
     i = items.groupBy("fragment_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    return fragments.join(members, "fragment_id", "left").join(t, "fragment_id", "left").join(e, "fragment_id", "left").join(i, "fragment_id", "left")
+    f = fragments.join(sp.join(p, "speaker_id", "left"), "speaker_id", "left").join(members, "fragment_id", "left")
+    return f.join(t, "fragment_id", "left").join(e, "fragment_id", "left").join(i, "fragment_id", "left")
 
 
 def persona_cards(items: DataFrame) -> DataFrame:
