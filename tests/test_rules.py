@@ -1,191 +1,536 @@
-"""Small rows that pin one rule each."""
+"""Rules on generated rows, each against a plain version of the rule, and small rows for what has no plain version."""
 
+import random
+import re
 import uuid
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.functions import ids, text
 from parlance.operators import enrich, events, export, graph, ingest, lens, resolve, retrieve
+from parlance.plans import scratch
 from parlance.plans.closure import connected_components
+from parlance.sources import io
+from parlance.streaming import jobs
+
+CITIES = ["Turku", "Oulu", "Lahti", "Kuopio", "Vaasa"]
 
 
 def test_uuid5_equals_pythons(spark):
-    names = ["a", "", "é中🙂", "interview:1:speaker:S1", "x" * 300]
+    r = random.Random(1)
+    names = ["", *("".join(r.choices("abcß中🙂:/ 9", k=r.randrange(1, 80))) for _ in range(60))]
     d = spark.createDataFrame([(n,) for n in names], "n string").select("n", ids.uuid5(F.col("n")).alias("u"))
-    assert {r.n: r.u for r in d.collect()} == {n: str(uuid.uuid5(uuid.NAMESPACE_DNS, n)) for n in names}
+    assert {x.n: x.u for x in d.collect()} == {n: str(uuid.uuid5(uuid.NAMESPACE_DNS, n)) for n in names}
 
 
-@pytest.mark.parametrize(("surface", "key"), [("Acme Corp", "acme corp"), ("  The Acme   Corp ", "acme corp"), ("acme's", "acme"), ("engineers'", "engineer"), ("engineers", "engineer"), ("bus", "bus"), ("boss", "boss"), ("An Apple", "apple"), ("A", "a")])
-def test_surface_keys(spark, surface, key):
-    assert spark.createDataFrame([(surface,)], "s string").select(text.surface_key(F.col("s"))).first()[0] == key
+def plain_surface(s):
+    s = re.sub(r"[ \t\r\n]+", " ", s.lower()).strip()
+    for article in ("the ", "an ", "a "):
+        if s.startswith(article) and len(s) > len(article):
+            s = s[len(article) :]
+            break
+    for end in ("'s", "’s", "'", "’"):
+        if s.endswith(end):
+            s = s[: -len(end)]
+            break
+    return s[:-1] if len(s) > 3 and s.endswith("s") and not s.endswith("ss") else s
 
 
-def fragments(spark, speakers):
-    return spark.createDataFrame([(1, k, s) for k, s in enumerate(speakers)], "i int, seq int, who string")
+def test_surface_keys(spark):
+    r = random.Random(2)
+    heads, tails = ["", "The ", "the  ", "An ", "a\t", "Theo "], ["", "s", "'s", "’s", "s'", "ss", " "]
+    words = [r.choice(heads) + r.choice([*CITIES, "gas", "Ox", "LIME press", "a"]) + r.choice(tails) for _ in range(200)]
+    got = spark.createDataFrame([(w,) for w in words], "s string").select("s", text.surface_key(F.col("s")).alias("k")).collect()
+    assert {x.s: x.k for x in got} == {w: plain_surface(w) for w in words}
 
 
-def test_runs_of_one_speaker(spark):
-    u = ingest.baseline_utterances(fragments(spark, ["S1", "S1", "S2", "S1"]), "i", "who").orderBy("utterance_no").collect()
-    assert [(r.first_seq, r.last_seq) for r in u] == [(0, 1), (2, 2), (3, 3)]
+def fragments(spark, speakers, key=1):
+    return spark.createDataFrame([(key, k, s) for k, s in enumerate(speakers)], "i int, seq int, who string")
 
 
-def test_merges_and_interruptions(spark):
-    f = fragments(spark, ["S1", "S2", "S1"])
-    p = spark.createDataFrame([(1, 0, "S1", [0, 2]), (1, 1, "S2", [1])], "i int, ordinal int, speaker string, members array<int>")
+def test_runs_of_one_speaker(spark):
+    r = random.Random(3)
+    rows, want = [], []
+    for i in range(12):
+        who = r.choices(["moderator", "guest", None], [5, 4, 1], k=r.randrange(1, 30))
+        rows += [(i, k, s) for k, s in enumerate(who)]
+        starts = [k for k in range(len(who)) if k == 0 or who[k] != who[k - 1]]
+        want += [(i, n, who[a], a, b - 1) for n, (a, b) in enumerate(zip(starts, [*starts[1:], len(who)], strict=True))]
+    u = ingest.baseline_utterances(spark.createDataFrame(rows, "i int, seq int, who string"), "i", "who").collect()
+    assert sorted((x.i, x.utterance_no, x.speaker or "", x.first_seq, x.last_seq) for x in u) == sorted((i, n, s or "", a, b) for i, n, s, a, b in want)
+
+
+def plain_merge(who, proposals):
+    """(members, proposal) after the valid and disjoint proposals; the rest stays in its runs."""
+    taken, out = set(), []
+    for n, (speaker, members) in enumerate(proposals):
+        ok = members and members == sorted(set(members)) and all(0 <= k < len(who) and who[k] == speaker for k in members)
+        if ok and not taken & set(members):
+            taken |= set(members)
+            out.append((tuple(members), n))
+    start = 0
+    for k in range(1, len(who) + 1):
+        if k == len(who) or who[k] != who[k - 1]:
+            left = tuple(x for x in range(start, k) if x not in taken)
+            out += [(left, None)] if left else []
+            start = k
+    return sorted(out)
+
+
+def test_merge_proposals(spark):
+    r = random.Random(4)
+    rows, said, want = [], [], {}
+    for i in range(40):
+        who = r.choices(["ana", "ben"], k=r.randrange(2, 9))
+        proposals = []
+        for n in range(r.randrange(4)):
+            members = r.sample(range(len(who) + 1), r.randrange(0, 4))
+            members = sorted(members) if r.random() < 0.8 else members
+            proposals.append((r.choice(["ana", "ben"]), members))
+            said.append((i, n, *proposals[-1]))
+        rows += [(i, k, s) for k, s in enumerate(who)]
+        want[i] = plain_merge(who, proposals)
+    u = ingest.merge_proposals(spark.createDataFrame(rows, "i int, seq int, who string"), spark.createDataFrame(said, "i int, ordinal int, speaker string, members array<int>"), "i", "who")
+    got = defaultdict(list)
+    for x in u.collect():
+        got[x.i].append((tuple(x.members), x.proposal))
+    assert {i: sorted(v, key=str) for i, v in got.items()} == {i: sorted(v, key=str) for i, v in want.items()}
+
+
+def test_interruptions_follow_their_proposals(spark):
+    f = fragments(spark, ["ana", "ben", "ana", "ben", "ana"])
+    p = spark.createDataFrame([(1, 0, "ben", [1, 3]), (1, 1, "ana", [0, 2, 4]), (1, 2, "ben", [3])], "i int, ordinal int, speaker string, members array<int>")
     u = ingest.merge_proposals(f, p, "i", "who")
-    assert {tuple(r.members) for r in u.collect()} == {(0, 2), (1,)}
-    x = spark.createDataFrame([(1, 1, 0, 1), (1, 1, 0, 9)], "i int, interrupting int, interrupted int, at_index int")
-    assert [r.at_index for r in ingest.remap_interruptions(x, u, "i").collect()] == [1]
-
-
-@pytest.mark.parametrize("bad", [[0, 1], [1, 0], [0, 0], [0, 7], []])
-def test_bad_merges_are_dropped(spark, bad):
-    p = spark.createDataFrame([(1, 0, "S1", bad)], "i int, ordinal int, speaker string, members array<int>")
-    u = ingest.merge_proposals(fragments(spark, ["S1", "S2"]), p, "i", "who")
-    assert sorted(r.members for r in u.collect()) == [[0], [1]]
-
-
-def test_first_of_two_overlapping_merges_wins(spark):
-    p = spark.createDataFrame([(1, 0, "S1", [0, 1]), (1, 1, "S1", [1, 2])], "i int, ordinal int, speaker string, members array<int>")
-    u = ingest.merge_proposals(fragments(spark, ["S1", "S1", "S1"]), p, "i", "who")
-    assert sorted((r.members, r.proposal) for r in u.collect()) == [([0, 1], 0), ([2], None)]
-
-
-@pytest.mark.parametrize(("local", "settled"), [("A B A B".split(), "S1 S2 S1 S2 S1 S2"), ("X X X Y".split(), "S1 S2 S1 S2 S1 Y")])
-def test_window_reconciliation(spark, local, settled):
-    rows = [(1, 0, k, s) for k, s in enumerate(["S1", "S2", "S1", "S2"])] + [(1, 1, k + 2, s) for k, s in enumerate(local)]
-    got = ingest.reconcile_windows(spark.createDataFrame(rows, "i int, window int, seq int, speaker string"), "i").orderBy("seq").collect()
-    assert " ".join(r.speaker for r in got) == settled
+    x = spark.createDataFrame([(1, 0, 1, 3), (1, 1, 0, 2), (1, 2, 1, 3), (1, 0, 1, 5)], "i int, interrupting int, interrupted int, at_index int")
+    assert sorted(r.at_index for r in ingest.remap_interruptions(x, u, "i").collect()) == [2, 3]
+
+
+def plain_windows(rows):
+    settled = {}
+    for w in sorted({r[0] for r in rows}):
+        here = sorted((s, name) for v, s, name in rows if v == w)
+        votes = defaultdict(Counter)
+        for s, name in here:
+            if s in settled:
+                votes[name][settled[s]] += 1
+        said = {name: c.most_common(1)[0][0] for name, c in votes.items()}
+        for s, name in here:
+            settled.setdefault(s, said.get(name, name))
+    return settled
+
+
+def test_window_reconciliation(spark):
+    r = random.Random(5)
+    rows, want = [], {}
+    for i in range(20):
+        n, mine = r.randrange(6, 25), []
+        for w, first in enumerate(range(0, n, 3)):
+            mine += [(w, s, r.choice("PQR") + ("" if w == 0 else str(w))) for s in range(first, min(first + 5, n))]
+        rows += [(i, *x) for x in mine]
+        want[i] = plain_windows(mine)
+    got = defaultdict(dict)
+    for x in ingest.reconcile_windows(spark.createDataFrame(rows, "i int, window int, seq int, speaker string"), "i").collect():
+        got[x.i][x.seq] = x.speaker
+    assert got == want
+
+
+@pytest.mark.parametrize("n", [1, 17, 20, 21, 64])
+def test_windows_reach_the_end(spark, n):
+    got = [(x.first_seq, x.end_seq) for x in ingest.inference_windows(fragments(spark, ["q"] * n), "i", size=20, overlap=7).orderBy("window").collect()]
+    assert got[0][0] == 0 and got[-1][1] == n and all(e < n for _, e in got[:-1])
+    assert all(b - a == 13 for (a, _), (b, _) in zip(got, got[1:], strict=False)) and all(e - a <= 20 for a, e in got)
+
+
+def test_segments_stand_or_fall_together(spark):
+    r = random.Random(6)
+    rows, sizes, want = [], [], set()
+    for i in range(80):
+        present = sorted(r.sample(range(14), r.randrange(9, 15)))
+        cuts = sorted(r.sample(range(15), 4))
+        ranges = [(cuts[0], cuts[1] - 1), (cuts[2], cuts[3] - 1)]
+        if r.random() < 0.3:
+            a, b = r.choice(ranges)
+            ranges.append(r.choice([(b, a), (a, b), (b, b + 1)]))
+        r.shuffle(ranges)
+        rows += [(i, a, b) for a, b in ranges]
+        sizes.append((i, present))
+        seen = [k for a, b in ranges for k in range(a, b + 1)]
+        if all(a <= b for a, b in ranges) and len(seen) == len(set(seen)) and set(seen) <= set(present):
+            want |= {(i, a, b) for a, b in ranges}
+    p, s = spark.createDataFrame(rows, "i int, start_index int, end_index int"), spark.createDataFrame(sizes, "i int, present array<int>")
+    got = {(x.i, x.start_index, x.end_index) for x in enrich.valid_segments(p, s, "i").collect()}
+    assert got == want and 0 < len({i for i, *_ in want}) < 80
 
 
-def test_windows_reach_the_end(spark):
-    f = fragments(spark, ["S"] * 101)
-    got = [(r.first_seq, r.end_seq) for r in ingest.inference_windows(f, "i").orderBy("window").collect()]
-    assert got == [(0, 40), (30, 70), (60, 100), (90, 101)]
-
+def speakers(spark, rows):
+    return spark.createDataFrame([(0, *r) for r in rows], "s int, interview_id int, speaker_id string, handle string, display_name string, provisional boolean")
 
-@pytest.mark.parametrize("bad", [[(2, 1)], [(0, 5)], [(9, 9)], [(0, 2), (2, 4)], [(3, 4), (0, 3)], [(0, 1), (1, 1)]])
-def test_one_bad_segment_drops_all(spark, bad):
-    assert segments(spark, [0, 1, 2, 3, 4], bad) == []
 
+def test_people(spark):
+    rows = [
+        (1, "u1", "V1", "Mika Oulu", False), (2, "u2", "V4", " mika  OULU ", False), (3, "u3", "V1", "Mika", False),
+        (3, "u4", "V2", "Sana Vaasa", False), (4, "u5", "V9", "Lone Lahti", False), (5, "u6", "V1", "V1", False), (5, "u7", "V2", "Ida Turku", True),
+        (6, "u8", "turku", "Turku", False), (7, "u9", "x", "TURKU", False), (8, "u0", "x", "   ", False), (9, "ua", "x", None, False),
+    ]
+    pool = resolve.participant_pool(spark.createDataFrame([(0, 8, "SANA vaasa"), (0, 2, "Sana  VAASA"), (0, 1, "Ida Turku")], "s int, interview_id int, name string"), "s")
+    g = resolve.person_groups(speakers(spark, rows), pool, "s")
+    got = {x.name_key: (x.n_links, x.auto, x.method, x.name) for x in g.collect()}
+    assert got == {
+        "mika oulu": (2, True, "exact_name", "Mika Oulu"),
+        "mika": (1, False, "exact_name", "Mika"),
+        "sana vaasa": (1, True, "front_matter", "Sana  VAASA"),
+        "lone lahti": (1, False, "exact_name", "Lone Lahti"),
+        "turku": (2, True, "exact_name", "TURKU"),  # a name that differs from its handle only by case takes part
+    }
+    assert [(x.name_key, x.person) for x in resolve.first_name_suggestions(g, "s").collect()] == [("mika", "mika oulu")]
+
+
+def test_representatives(spark):
+    r = random.Random(7)
+    rows = [(p, f"{a}{c}{e}", t, r.randrange(1, 5)) for p in "xy" for a in ("", "the ", "a ") for c in CITIES for e in ("", "s", "'s") for t in ("PLACE", "TEAM") if r.random() < 0.6]
+    best = {}
+    for p, s, t, m in rows:
+        k = (p, t, plain_surface(s))
+        best[k] = min(best.get(k, (0, "￿")), (-m, s))
+    got = {(x.project_id, x.entity_type, x.norm): x.representative for x in resolve.exact_groups(spark.createDataFrame(rows, "project_id string, surface string, entity_type string, mentions int")).collect()}
+    assert got == {k: s for k, (_, s) in best.items()}
+
+
+def test_pairs_do_not_depend_on_the_tiles(spark):
+    r = random.Random(8)
+    rows = [(k, r.choice("uv"), [float(x) for x in (r.gauss(0, 1), r.gauss(0, 1), r.gauss(1, 1))] if k % 11 else [0.0] * 3) for k in range(70)]
+    d = spark.createDataFrame(rows, "k int, kind string, v array<double>")
+    want = set()
+    for a, t, x in rows:
+        for b, t2, y in rows:
+            n = sum(p * p for p in x) * sum(q * q for q in y)
+            if a < b and t == t2 and n and round(sum(p * q for p, q in zip(x, y, strict=True)) / n**0.5, 6) >= 0.9:
+                want.add((a, b, "auto" if round(sum(p * q for p, q in zip(x, y, strict=True)) / n**0.5, 6) >= 0.97 else "suggest"))
+    for size in (1_000, 9):
+        assert {(x.a, x.b, x.band) for x in resolve.similar_pairs(d, "k", ["kind"], "v", 0.9, 0.97, tile_rows=size).collect()} == want
+    assert resolve.similar_pairs(d.where("false"), "k", ["kind"], "v").count() == 0
+
+
+def test_vectors_of_two_models_never_meet(spark):
+    d = spark.createDataFrame([(1, "p", "m1", [1.0, 0.0]), (2, "p", "m1", [1.0, 0.1]), (3, "p", "m2", [1.0, 0.0]), (4, "q", "m2", [1.0, 0.0])], "k int, area string, model string, v array<double>")
+    assert [(x.a, x.b) for x in enrich.comparable_pairs(d, "k", ["area"], "v", 0.5).collect()] == [(1, 2)]
+    with pytest.raises(ValueError, match="m2"):
+        enrich.comparable_pairs(d.unionByName(spark.createDataFrame([(5, "q", "m2", [1.0])], d.schema)), "k", ["area"], "v", 0.5)
 
-def segments(spark, present, ranges):
-    p = spark.createDataFrame([(1, a, b) for a, b in ranges], "i int, start_index int, end_index int")
-    s = spark.createDataFrame([(1, present)], "i int, present array<int>")
-    return sorted((r.start_index, r.end_index) for r in enrich.valid_segments(p, s, "i").collect())
 
+def test_ranks_and_fusion(spark):
+    r = random.Random(9)
+    hits = [(q, r.choice(CITIES)) for q in range(5) for _ in range(12)]
+    got = {(x.question_id, x.fragment_id): x.rank for x in retrieve.rank_by_hits(spark.createDataFrame(hits, "question_id int, fragment_id string")).collect()}
+    for q in range(5):
+        order = sorted(Counter(f for k, f in hits if k == q).items(), key=lambda x: (-x[1], x[0]))
+        assert [got[q, f] for f, _ in order] == list(range(1, len(order) + 1))
+    ranked = [(q, c, f, k + 1) for q in range(4) for c in ("words", "graph", "near") for k, f in enumerate(r.sample(CITIES, 3))]
+    score = defaultdict(float)
+    for q, _, f, k in ranked:
+        score[q, f] += 1 / (60 + k)
+    out = retrieve.fuse(spark.createDataFrame(ranked, "question_id int, channel string, fragment_id string, rank int"), top=3).collect()
+    for q in range(4):
+        order = sorted(((round(s, 9), f) for (k, f), s in score.items() if k == q), key=lambda x: (-x[0], x[1]))[:3]
+        assert [(x.score, x.fragment_id) for x in sorted((x for x in out if x.question_id == q), key=lambda x: x.rank)] == order
+
+
+def test_names_inside_words_and_with_marks(spark):
+    names = [("z", "Oulu", "entity", "1"), ("z", "K.P.", "person", "2"), ("z", "ä", "entity", "3"), ("z", "Vaasa Oy", "entity", "4"), ("y", "Oulu", "entity", "5"), ("z", "", "entity", "6"), ("z", None, "entity", "7")]
+    asked = [(1, "z", "What did OULU's k.p. say?"), (2, "z", "the Oululainen of vaasa oy"), (3, "z", "Ä"), (4, "z", ""), (5, "z", "oul u")]
+    got = {(x.question_id, x.ref) for x in retrieve.match_names(spark.createDataFrame(asked, "question_id int, scope string, question string"), spark.createDataFrame(names, "scope string, name string, kind string, ref string")).collect()}
+    assert got == {(q, ref) for q, s, t in asked for p, n, _, ref in names if p == s and n and n.lower() in t.lower()}
+
+
+def test_channel_report_flags_what_was_out(spark):
+    q = spark.createDataFrame([(1,), (2,), (3,)], "question_id int")
+    out = spark.createDataFrame([(2, "near_a"), (3, "near_a"), (3, "near_b")], "question_id int, side string")
+    hits = spark.createDataFrame([(1, "f", 0.5), (2, "f", 0.5), (3, "f", 0.5)], "question_id int, fragment_id string, score double")
+    alive = retrieve.without_outages(hits, out, "near_b")
+    assert {x.question_id for x in alive.collect()} == {1, 2}
+    got = {x.question_id: (x.n_near, x.no_grounding, x.flags) for x in retrieve.channel_report(alive.withColumn("channel", F.lit("near")), q, ["near"], out, {"near": ["near_a", "near_b"]}).collect()}
+    assert got == {1: (1, False, ""), 2: (1, False, "near_a_unavailable"), 3: (0, True, "near_a_unavailable,near_b_unavailable,near_unavailable")}
+
+
+@pytest.mark.parametrize(("category", "interview", "project"), [(c, i, p) for c in ("Sentence", "Interview", "Project") for i in (None, "n7") for p in (None, "k2")])
+def test_scopes(spark, category, interview, project):
+    d = spark.createDataFrame([(category, interview, project)], "c string, i string, p string")
+    tags = [f"transcript:{interview}"] if interview and category != "Project" else []
+    tags += [f"interviews:{project}"] if project and category == "Interview" else []
+    tags += [f"project:{project}"] if project and category != "Sentence" else []
+    assert d.select(events.scopes_of(F.col("c"), F.col("i"), F.col("p"))).first()[0] == tags
 
-def test_good_segments(spark):
-    assert segments(spark, [0, 1, 2, 3, 4], [(3, 4), (0, 1)]) == [(0, 1), (3, 4)]
-    assert segments(spark, [0, 1, 2, 3, 4], [(0, 0), (4, 4)]) == [(0, 0), (4, 4)]
-    assert segments(spark, [0, 2], [(0, 2)]) == []
 
+def test_percentiles_by_index(spark):
+    r = random.Random(10)
+    rows = [(f"m{n}", float(r.randrange(10_000)), k) for n in (1, 12, 20, 21, 57, 100, 101, 1300) for k in range(n)]
+    got = {x.name: x for x in events.metrics(spark.createDataFrame(rows, "name string, value double, at int"), "name", "value", "at").collect()}
+    for name, x in got.items():
+        v = sorted(value for m, value, k in rows if m == name and k >= int(name[1:]) - 1000)
+        assert (x.low, x.high, x.p50) == (v[0], v[-1], v[int(len(v) * 0.5)])
+        assert x.p95 == (v[int(len(v) * 0.95)] if len(v) > 20 else v[-1]) and x.p99 == (v[int(len(v) * 0.99)] if len(v) > 100 else v[-1])
+
+
+def test_fragment_state_equals_a_replay(spark):
+    r = random.Random(11)
+    rows, want = [], {}
+    for a in range(40):
+        state = {"edits": 0, "text": None, "analysis": None, "locked": False}
+        for v in range(r.randrange(1, 9)):
+            kind, value = r.choice(["edited", "generated", "overridden", "cleared"]), f"w{v}"
+            rows.append((a, v, kind, value))
+            if kind == "edited":
+                state |= {"edits": state["edits"] + 1, "text": value}
+            elif kind == "cleared":
+                state |= {"analysis": None, "locked": False}
+            else:
+                state |= {"analysis": value, "locked": state["locked"] or kind == "overridden"}
+        want[a] = tuple(state.values())
+    got = events.fold_fragments(spark.createDataFrame(rows, "aggregate_id int, version int, kind string, value string").repartition(3)).collect()
+    assert {x.aggregate_id: (x.n_edits, x.text_value, x.analysis, x.locked) for x in got} == want
+
+
+def test_interview_entities_equal_a_replay(spark):
+    r = random.Random(12)
+    kinds = [k for opened, flags in events.INTERVIEW_ENTITIES.values() for k in (opened, *flags)]
+    rows, want = [], {}
+    for a in range(15):
+        for v in range(60):
+            kind, e = r.choice([*kinds, "updated"]), f"e{r.randrange(3)}"
+            rows.append((a, v, kind, e, f"n{v}"))
+            for entity, (opened, flags) in events.INTERVIEW_ENTITIES.items():
+                k = (a, entity, e)
+                if kind == opened:
+                    want[k] = [f"n{v}", set()]
+                elif kind in flags and k in want:
+                    want[k][1].add(flags[kind])
+                    want[k][0] = f"n{v}" if kind == "speaker_renamed" else want[k][0]
+    got = {(x.aggregate_id, x.entity, x.entity_id): (x.name, list(x.flags)) for x in events.interview_entities(spark.createDataFrame(rows, "aggregate_id int, version int, kind string, entity_id string, name string")).collect()}
+    assert got == {k: (n, sorted(f)) for k, (n, f) in want.items()}
+
+
+def test_corrections_equal_a_replay(spark):
+    """Links of each speaker, and owners of surfaces as long as no split is refused, event by event."""
+    r = random.Random(13)
+    rows = [(1, v, r.choice(["linked", "relinked", "unlinked"]), None, None, f"p{r.randrange(2)}", f"k{r.randrange(3)}") for v in range(120)]
+    rows += [(1, 200 + v, r.choice(["aliased", "merged"]), f"s{r.randrange(9)}", f"c{r.randrange(3)}", None, None) for v in range(120)]
+    person, blocked, owner, refused = {}, set(), {}, {}
+    for _, v, kind, surface, own, who, k in rows:
+        if kind == "unlinked":
+            if person.get(k) != who:
+                refused[v] = "not_linked"
+                continue
+            del person[k]
+            blocked.add(k)
+        elif kind in ("linked", "relinked"):
+            if k in person or (kind == "linked" and k in blocked):
+                refused[v] = "already_linked" if k in person else "blocked"
+                continue
+            person[k] = who
+            if kind == "relinked":
+                blocked.discard(k)
+        elif kind == "aliased" and surface in owner:
+            refused[v] = "owned"
+        elif kind == "merged" and owner.get(surface) in (None, own):
+            refused[v] = "same_owner" if surface in owner else "not_owned"
+        else:
+            owner[surface] = own
+    e = spark.createDataFrame(rows, "project_id int, version int, kind string, surface string, owner string, person string, speaker_id string").repartition(3)
+    got = resolve.judge_links(e.where("speaker_id is not null")).select("version", "refused").unionByName(resolve.judge_surfaces(e.where("surface is not null")).select("version", "refused"))
+    assert {x.version: x.refused for x in got.where("refused is not null").collect()} == refused
+    s, p = resolve.fold_project(e)
+    assert {x.surface: x.canonical_id for x in s.collect()} == owner
+    assert {x.speaker_id: (x.person, x.blocked) for x in p.collect()} == {k: (person.get(k), k in blocked) for k in ("k0", "k1", "k2")}
+
+
+def test_a_split_leaves_a_surface(spark):
+    rows = [(1, "aliased", "s1", "c1"), (2, "aliased", "s2", "c1"), (3, "split", "s1", "c2"), (4, "split", "s2", "c3"), (5, "merged", "s2", "c2"), (6, "split", "s1", "c1")]
+    e = spark.createDataFrame([(7, *r) for r in rows], "project_id int, version int, kind string, surface string, owner string")
+    assert {x.version: x.refused for x in resolve.judge_surfaces(e).collect() if x.refused} == {4: "last_surface"}
+
+
+def test_speaker_split_is_whole_or_refused(spark):
+    a = spark.createDataFrame([(1, f"1:{k}", "ana", 0.5, "label", False) for k in range(4)], "interview_id int, fragment_id string, speaker_id string, confidence double, method string, locked boolean")
+    x = spark.createDataFrame([(1, "new", "New", 1, ["1:1", "1:2"]), (1, "late", "Late", 2, ["1:2"]), (1, "bad", "Bad", 3, ["1:3", "1:9"])], "interview_id int, handle string, display_name string, version int, fragment_ids array<string>")
+    made, after = events.split_speakers(a, x, lambda *c: F.concat_ws("/", *c))
+    assert {r.speaker_id for r in made.collect()} == {"1/new", "1/late"}
+    got = {r.fragment_id: (r.speaker_id, r.confidence, r.method, r.locked) for r in after.collect()}
+    assert got == {"1:0": ("ana", 0.5, "label", False), "1:1": ("1/new", 1.0, "human", True), "1:2": ("1/late", 1.0, "human", True), "1:3": ("ana", 0.5, "label", False)}
+
+
+def test_requests_without_a_provider_stay(spark):
+    rows = [("q1", 1, "unavailable"), ("q1", 2, "error"), ("q1", 3, "ok"), ("q2", 1, "unavailable"), ("q2", 2, "unavailable"), ("q3", 1, "ok"), ("q3", 2, "unavailable")]
+    got = enrich.first_provider(spark.createDataFrame(rows, "request_id string, rank int, outcome string")).collect()
+    assert {(r.request_id, r.rank, r.outcome, r.served) for r in got} == {("q1", 2, "error", False), ("q2", 2, "unavailable", False), ("q3", 1, "ok", True)}
+
+
+def test_model_calls_are_batched(spark):
+    d = spark.createDataFrame([(str(k), "x", f"p{k}") for k in range(25)], "unit_id string, extractor string, prompt string").repartition(1)
+    got = enrich.model_call(d, lambda prompts: [f"{p}/{len(prompts)}" for p in prompts], batch=10).collect()
+    assert Counter(r.response.split("/")[1] for r in got) == {"10": 20, "5": 5} and all(r.response.startswith(f"p{r.unit_id}/") for r in got)
+
+
+def test_end_marks_alone_make_a_label(spark):
+    d = spark.createDataFrame([("Is it raining", "declarative"), ("Really? ", "declarative"), ("Stop!", "Exclamatory"), ("Go home.", "imperative"), ("Why?", "")], "t string, label string")
+    assert [(r.rule_label, r.disagrees) for r in enrich.cross_check(d, "t", "label").collect()] == [(None, False), ("interrogative", True), ("exclamatory", False), (None, False), ("interrogative", False)]
 
-def speakers(spark, rows):
-    return spark.createDataFrame([(0, *r) for r in rows], "s int, interview_id int, speaker_id string, handle string, display_name string, provisional boolean")
 
+def test_override_locks(spark):
+    i = spark.createDataFrame([("i1", {"due": "may", "who": "ana"}, False), ("i2", {"due": "may"}, False)], "item_id string, fields map<string,string>, locked boolean")
+    o = spark.createDataFrame([("i1", 4, {"due": "june"}), ("i1", 3, {"due": "july", "tag": "x"})], "item_id string, version int, fields map<string,string>")
+    got = {r.item_id: (r.fields, r.locked) for r in lens.apply_overrides(i, o).collect()}
+    assert got == {"i1": ({"due": "june", "who": "ana", "tag": "x"}, True), "i2": ({"due": "may"}, False)}
 
-def people(spark, rows, pool=()):
-    p = resolve.participant_pool(spark.createDataFrame(list(pool), "s int, interview_id int, name string"), "s")
-    return resolve.person_groups(speakers(spark, rows), p, "s")
 
+def test_slugs_stay_unique(spark):
+    r = random.Random(14)
+    names = ["".join(r.choices("ab -?2", k=r.randrange(0, 5))) for _ in range(150)]
+    d = spark.createDataFrame([(k % 2, k, n) for k, n in enumerate(names)], "bundle int, n int, name string")
+    got = export.unique_slugs(d, "bundle", "name", "n").collect()
+    assert len({(x.bundle, x.slug) for x in got}) == 150 and all(re.fullmatch(r"[a-z0-9-]+", x.slug) for x in got)
+
+
+def test_titles_are_cut_before_they_are_escaped(spark):
+    r = random.Random(15)
+    texts = ["".join(r.choices("ab[]\\ \n\t", k=r.randrange(0, 120))) for _ in range(80)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", export.safe_title(F.col("t"), 30).alias("s")).collect()
+    for x in got:
+        want = re.sub(r"\s+", " ", x.t).strip(" ")[:30].replace("\\", "\\\\").replace("[", "\\[").replace("]", "\\]")
+        assert x.s == want
+
+
+def test_pages_list_all_aliases_and_mentions(spark):
+    m = [(f"f{k}", 0, f"name {k % 9}|", 0.5) for k in range(30)]
+    d = spark.createDataFrame(m, "fragment_id string, pos int, surface string, confidence double")
+    al = spark.createDataFrame([(f"name {k}|", "page") for k in range(8)], "surface string, canonical_id string")
+    got = export.entity_pages(d, al).orderBy("page", "place").collect()
+    assert [(x.page, x.alias, x.place) for x in got] == [("page", f"name {k}|", k + 1) for k in range(8)] + [("surface:name 8|", "name 8|", 1)]
+    assert all((x.n_mentions, x.n_surfaces) == (27, 8) for x in got[:8]) and sum(x.n_alias_mentions for x in got) == 30
+    an = spark.createDataFrame([(f"f{k}", 1, k, f"u-{k}") for k in range(29)], "fragment_id string, interview_id int, seq int, anchor string")
+    rows = export.mention_tables(d, al, an).collect()
+    assert len(rows) == 30 and {x.text for x in rows} == {f"name {k}\\|" for k in range(9)} and sum(x.location == "" for x in rows) == 1
+
+
+def test_documents_hold_front_matter_and_grounding(spark):
+    i = spark.createDataFrame([("i1", "b", "notes", "risk", "s-1", "late [again]", 0.5, "ana"), ("i2", "b", "notes", "risk", "s-2", "fine", 0.7, None)], "item_id string, bundle string, lens string, type string, slug string, text string, confidence double, speaker string")
+    q = spark.createDataFrame([("i1", "> it slips\n> — ana, [u-1](/transcript.md#u-1)")], "item_id string, quotes string")
+    got = {r.path: r.content for r in export.item_documents(i, q).collect()}
+    assert got["risks/s-1.md"] == "---\ntype: risk\ntitle: late \\[again\\]\nitem_id: i1\nlens: notes\nconfidence: 0.5\ntags: [lens:notes]\n---\nlate [again]\n\n## Relationships\nOWNER: ana\n\n## Grounding\n> it slips\n> — ana, [u-1](/transcript.md#u-1)"
+    assert got["risks/s-2.md"].endswith("fine\n\n## Relationships\n\n## Grounding\n")
+
+
+def test_log_is_whole_and_newest_first(spark):
+    rows = [(k, f"2023-0{1 + k % 4}-01 00:00:{k:02d}", f"m{k}") for k in range(40)]
+    got = export.export_log(spark.createDataFrame(rows, "entry_id int, ts string, message string").withColumn("ts", F.to_timestamp("ts"))).collect()
+    assert [x.entry_id for x in got] == [k for k, *_ in sorted(rows, key=lambda r: r[1], reverse=True)] and len({x.day for x in got}) == 4
+
+
+def test_components(spark):
+    r = random.Random(16)
+    edges = [(k, k + 1) for k in range(200, 260)] + [(500, 500 + k) for k in range(1, 40)] + [(r.randrange(100), r.randrange(100)) for _ in range(60)] + [(None, 3)]
+    root = {n: n for e in edges for n in e if None not in e}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    want = {n: top(n) for n in root if any(n in e and e[0] != e[1] for e in edges)}
+    assert {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "src int, dst int")).collect()} == want
+    assert connected_components(spark.createDataFrame([], "src int, dst int")).count() == 0
 
-def test_people(spark):
-    two = people(spark, [(1, "a", "S1", "Jane Doe", False), (2, "b", "S1", "jane doe", False), (2, "c", "S2", "Jane", False)])
-    got = {r.name_key: r for r in two.collect()}
-    assert got["jane doe"].auto and got["jane doe"].method == "exact_name" and got["jane doe"].n_links == 2
-    assert [(r.name_key, r.person) for r in resolve.first_name_suggestions(two, "s").collect()] == [("jane", "jane doe")]
-    one = people(spark, [(1, "a", "S1", "Jane Doe", False)], [(0, 1, "JANE  DOE")]).first()
-    assert one.auto and one.method == "front_matter" and one.name == "JANE  DOE"
-    assert people(spark, [(1, "a", "S1", "S1", False), (1, "b", "S2", "Jane Doe", True), (2, "c", "S2", "Jane Doe", True)]).count() == 0
 
+def test_walks_have_no_limit(spark):
+    chain = [(f"n{k}", f"n{k + 1}") for k in range(70)] + [("n70", "n3"), ("far", "n0")]
+    e = spark.createDataFrame(chain, "src string, dst string")
+    n = spark.createDataFrame([(f"n{k}", "start" if k == 0 else "x") for k in range(71)] + [("far", "x"), ("alone", "x")], "node string, type string")
+    assert {x.node for x in graph.unreachable(e, n, ["start"]).collect()} == {"far", "alone"}
+    start = spark.createDataFrame([("q", "n68")], "entry string, node string")
+    assert {x.node: x.depth for x in graph.reach(e, start, 4).collect()} == {"n68": 0, "n69": 1, "n70": 2, "n3": 3, "n4": 4}
 
-def test_representative(spark):
-    s = spark.createDataFrame([("p", "acme corp", "ORG", 3), ("p", "the acme corp", "ORG", 1), ("p", "acme corp", "PERSON", 1), ("p", "b", "X", 2), ("p", "a b", "X", 2)], "project_id string, surface string, entity_type string, mentions int")
-    got = {(r.entity_type, r.norm): (r.n_surfaces, r.representative) for r in resolve.exact_groups(s).collect()}
-    assert got[("ORG", "acme corp")] == (2, "acme corp") and got[("PERSON", "acme corp")][0] == 1 and got[("X", "b")] == (2, "a b")
 
+def test_inherited_values(spark):
+    r = random.Random(17)
+    parent = {k: k - 1 if k < 90 else r.choice([None, *range(90, 140), 999]) for k in range(140)}
+    parent[0] = None
+    value = {k: f"v{k}" if k == 0 or k >= 90 and r.random() < 0.15 else None for k in range(140)}
 
-def test_cosine_bands_and_tiles(spark):
-    v = spark.createDataFrame([(1, "t", [1.0, 0.0]), (2, "t", [1.0, 0.1]), (3, "t", [1.0, 0.6]), (4, "t", [0.0, 0.0]), (5, "u", [1.0, 0.0])], "k int, kind string, v array<float>")
-    for blocks in (1, 3):
-        got = {(r.a, r.b): r.band for r in resolve.similar_pairs(v, "k", ["kind"], "v", blocks=blocks).collect()}
-        assert got == {(1, 2): "auto", (1, 3): "suggest", (2, 3): "suggest"}
+    def find(k):
+        seen = set()
+        while k in value and k not in seen:
+            if value[k] is not None:
+                return value[k]
+            seen.add(k)
+            k = parent[k]
+        return None
 
+    d = spark.createDataFrame([(k, parent[k], value[k]) for k in range(140)], "node int, parent int, value string")
+    assert {x.node: x.value for x in graph.inherited(d).collect()} == {k: find(k) for k in range(140)}
 
-def test_ranks_and_fusion(spark):
-    h = spark.createDataFrame([(1, x) for x in "babc"], "question_id int, fragment_id string")
-    assert [r.fragment_id for r in retrieve.rank_by_hits(h).orderBy("rank").collect()] == ["b", "a", "c"]
-    rows = [(1, "vector", "f1", 1), (1, "vector", "f2", 2), (1, "fulltext", "f2", 1), (1, "fulltext", "f1", 2), (1, "graph", "f2", 1), (2, "a", "f2", 1), (2, "b", "f1", 1)]
-    got = retrieve.fuse(spark.createDataFrame(rows, "question_id int, channel string, fragment_id string, rank int")).orderBy("question_id", "rank").collect()
-    assert [(r.fragment_id, r.score) for r in got[:2]] == [("f2", round(1 / 62 + 2 / 61, 9)), ("f1", round(1 / 61 + 1 / 62, 9))]
-    assert [r.fragment_id for r in got[2:]] == ["f1", "f2"]
-
-
-def test_reorder_waits_for_all_streams(spark):
-    rows = [(1, 0, 5, 0.0), (1, 0, 6, 0.1)]
-    d = spark.createDataFrame(rows, "lane int, stream int, position long, arrival double")
-    got = events.release_order(d, 2, 0.25).orderBy("position").collect()
-    assert [(r.released_by, r.released_at) for r in got] == [("age", 0.25), ("age", 0.35)]
-    both = spark.createDataFrame([*rows, (1, 1, 5, 0.2), (1, 1, None, 0.05)], "lane int, stream int, position long, arrival double")
-    got = {(r.stream, r.position): (r.released_by, r.released_at) for r in events.release_order(both, 2, 0.25).collect()}
-    assert got == {(0, 5): ("watermark", 0.2), (0, 6): ("age", 0.35), (1, 5): ("watermark", 0.2), (1, None): ("age", 0.3)}
-
-
-@pytest.mark.parametrize(("category", "interview", "project", "tags"), [("Sentence", "i", None, ["transcript:i"]), ("Sentence", None, None, []), ("Interview", "x", "p", ["transcript:x", "interviews:p", "project:p"]), ("Project", None, None, [])])
-def test_scopes(spark, category, interview, project, tags):
-    d = spark.createDataFrame([(category, interview, project)], "c string, i string, p string")
-    assert d.select(events.scopes_of(F.col("c"), F.col("i"), F.col("p"))).first()[0] == tags
 
+def test_segments_are_grounded_in_any_order_of_input(spark):
+    r = random.Random(18)
+    rows = [(i, t, "".join(r.choices("ab .!?\n", k=r.randrange(0, 50))) if r.random() < 0.9 else None) for i in range(6) for t in range(4)]
+    d, src = spark.createDataFrame(rows, "i int, t int, s string"), {(i, t): s for i, t, s in rows}
+    want = sorted((i, t, p.strip(" \t\r\n")) for i, t, s in rows for p in re.findall(r"[^.!?]+(?:[.!?]+[ \t\r\n]*|\Z)|[.!?]+[ \t\r\n]*", s or "") if p.strip(" \t\r\n"))
+    for n in (1, 4):
+        got = ingest.segment(d.repartition(n), ["i", "t"], "s").collect()
+        assert all(src[x.i, x.t][x.start_char : x.end_char] == x.text for x in got)
+        assert sorted((x.i, x.t, x.text) for x in got) == want
 
-def test_percentiles_by_index(spark):
-    d = spark.createDataFrame([("a", float(k), k) for k in range(20)] + [("b", float(k), k) for k in range(100)] + [("c", float(k), k) for k in range(1500)], "name string, value double, at int")
-    got = {r.name: r for r in events.metrics(d, "name", "value", "at").collect()}
-    assert got["a"].p95 == 19 and got["b"].p95 == 95 and got["b"].p99 == 99 and got["c"].p50 == 1000 and got["c"].n == 1500
 
+def test_bad_files_are_set_apart(spark, tmp_path):
+    for name, data in (("a.txt", b"good"), ("b.txt", b"\xff\xfe"), ("c.txt", b""), ("d.md", b"other")):
+        (tmp_path / name).write_bytes(data)
+    good, bad = io.scan_texts(spark, str(tmp_path))
+    assert {(x.path[-5:], x.text) for x in good.collect()} == {("a.txt", "good")}
+    assert [(x.path[-5:], x.error) for x in bad.collect()] == [("b.txt", "not UTF-8")]
 
-def test_clear_hides_what_came_before(spark):
-    rows = [(1, 0, "generated", "a"), (1, 1, "overridden", "b"), (1, 2, "cleared", None), (2, 0, "generated", "a"), (2, 1, "edited", "t"), (3, 0, "cleared", None), (3, 1, "generated", "z")]
-    got = {r.aggregate_id: r for r in events.fold_fragments(spark.createDataFrame(rows, "aggregate_id int, version int, kind string, value string")).collect()}
-    assert (got[1].analysis, got[1].locked) == (None, False) and (got[2].analysis, got[2].n_edits, got[2].text_value) == ("a", 1, "t") and got[3].analysis == "z"
 
+def test_appended_versions_count_once(spark, tmp_path):
+    e = lambda *rows: spark.createDataFrame(rows, "aggregate_id int, version int, what string")
+    io.append_events(e((1, 0, "a"), (1, 1, "b"), (1, 1, "b")), f"{tmp_path}/log", first=True)
+    io.append_events(e((1, 1, "x"), (1, 2, "c"), (2, 0, "d")), f"{tmp_path}/log")
+    assert sorted(tuple(x) for x in spark.read.parquet(f"{tmp_path}/log").collect()) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "d")]
 
-def test_override_locks(spark):
-    i = spark.createDataFrame([("a", {"x": "1", "y": "1"}, False), ("b", {"x": "1"}, False)], "item_id string, fields map<string,string>, locked boolean")
-    o = spark.createDataFrame([("a", 1, {"x": "2"}), ("a", 2, {"x": "3"})], "item_id string, version int, fields map<string,string>")
-    got = {r.item_id: r for r in lens.apply_overrides(i, o).collect()}
-    assert got["a"].fields == {"x": "3", "y": "1"} and got["a"].locked and got["b"].fields == {"x": "1"} and not got["b"].locked
 
+def test_stream_applies_once_whatever_the_batches(spark, tmp_path):
+    rows = [(k % 7, k // 7, f"2023-01-{1 + k % 28:02d}") for k in range(140)]
+    d = spark.createDataFrame([*rows, *rows[::3]], "aggregate_id int, version int, day string").repartition(9)
+    d.write.parquet(f"{tmp_path}/in")
+    stream = jobs.read_log(spark, f"{tmp_path}/in", d.schema, files_per_batch=2)
+    jobs.run_now(stream, "", f"{tmp_path}/at", jobs.apply_once(f"{tmp_path}/out"))
+    got = spark.read.schema(T.StructType(d.schema.fields)).parquet(f"{tmp_path}/out").select(*d.columns)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(rows)
+    assert len(list((tmp_path / "out").glob("batch=*"))) > 2
 
-def test_slugs_stay_unique(spark):
-    d = spark.createDataFrame([(0, 1, "A b"), (0, 2, "a-b"), (0, 3, "a b 2"), (0, 4, "!!")], "bundle int, n int, name string")
-    got = {r.n: r.slug for r in export.unique_slugs(d, "bundle", "name", "n").collect()}
-    assert got[1] == "a-b" and got[4].startswith("x-") and len(set(got.values())) == 4
 
+def test_redrive_outcomes(spark):
+    parked = spark.createDataFrame([(1, "T", "known", "r1", True), (2, "T", "known", "r2", True), (3, "T", "odd", "r1", True), (4, "U", "known", "r1", False), (5, "U", "known", "r1", None)], "commit_position int, aggregate_type string, event_type string, referent string, valid boolean")
+    got = events.redrive(parked, spark.createDataFrame([("r1",)], "referent string"), spark.createDataFrame([("known",)], "event_type string")).collect()
+    assert {x.aggregate_type: (x.redriven, x.still_parked, x.no_handler, x.failed) for x in got} == {"T": (1, 1, 1, 0), "U": (0, 0, 0, 2), None: (1, 1, 1, 2)}
 
-def test_components_of_a_chain_and_a_star(spark):
-    rows = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (None, 3)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(rows, "src int, dst int")).collect()}
-    assert got == {**{k: 0 for k in range(41)}, **{100 + k: 100 for k in range(30)}}
-    assert connected_components(spark.createDataFrame([], "src int, dst int")).count() == 0
 
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
 
-def test_walks(spark):
-    e = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("c", "a", "x"), ("d", "e", "x")], "src string, dst string, type string")
-    start = spark.createDataFrame([("q", "a")], "entry string, node string")
-    got = {r.node: r.depth for r in graph.reach(e, start, 5).collect()}
-    assert got == {"a": 0, "b": 1, "c": 2}
-    n = spark.createDataFrame([(1, None, "v"), (2, 1, None), (3, 2, None), (4, 5, None), (5, 4, None)], "node int, parent int, value string")
-    assert {r.node: r.value for r in graph.inherited(n).collect()} == {1: "v", 2: "v", 3: "v", 4: None, 5: None}
+        @staticmethod
+        def getConf():  # noqa: N802
+            return {}
 
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
 
-def test_segments_are_grounded_in_any_order_of_input(spark):
-    rows = [(1, 0, "  Hi there!  How are you?\nFine... Yes"), (1, 1, "..."), (2, 0, ""), (2, 1, None), (3, 0, "no end")]
-    d = spark.createDataFrame(rows, "i int, t int, s string")
-    for n in (1, 4):
-        f = ingest.segment(d.repartition(n), ["i", "t"], "s")
-        src = {(i, t): s for i, t, s in rows}
-        got = f.collect()
-        assert all(src[r.i, r.t][r.start_char : r.end_char] == r.text for r in got)
-        assert sorted((r.i, r.t, r.text) for r in got) == [(1, 0, "Fine..."), (1, 0, "Hi there!"), (1, 0, "How are you?"), (1, 0, "Yes"), (1, 1, "..."), (3, 0, "no end")]
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.scratch_dir(Session())
+    Context.master = "local[4]"
+    assert scratch.scratch_dir(Session()).startswith("file:///")
