@@ -13,6 +13,7 @@ from parlance.functions.ids import hashed_share
 from parlance.functions.text import query_text
 from parlance.operators import enrich as enrich_op
 from parlance.operators import retrieve as op
+from parlance.plans.scratch import materialise
 
 QUERIES, SQL = {}, {}
 
@@ -39,14 +40,21 @@ _NAMES = r"""nw AS (SELECT fragment_id, project_id AS scope, unnest(regexp_extra
 names AS (SELECT DISTINCT scope, name, CASE WHEN length(name) % 2 = 0 THEN 'entity' ELSE 'person' END AS kind, lower(name) AS ref FROM nw)"""
 
 
-def _name_rows(s, d):
+def _corpus(s, d):
+    """Fragments with their utterance, written once: the channels read them several times."""
+    f = bind.fragments(s, d).select("interview_id", "seq", "fragment_id", "project_id", "role", "text")
+    u = bind.utterances(s, d).select("interview_id", "utterance_id", F.explode(F.sequence("first_seq", "last_seq")).alias("seq"))
+    return materialise(f.join(u, ["interview_id", "seq"]))
+
+
+def _name_rows(c):
     w = F.explode(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{L}+"), F.lit(0)))
-    n = bind.fragments(s, d).select("fragment_id", F.col("project_id").alias("scope"), w.alias("name"))
+    n = c.select("fragment_id", F.col("project_id").alias("scope"), w.alias("name"))
     return n.withColumn("kind", F.when(F.length("name") % 2 == 0, "entity").otherwise("person")).withColumn("ref", F.lower("name"))
 
 
-def _matches(s, d):
-    return op.match_names(_questions(s, d), _name_rows(s, d).drop("fragment_id").distinct())
+def _matches(s, d, names):
+    return op.match_names(_questions(s, d), names.drop("fragment_id").distinct())
 
 
 _MATCH = "matches AS (SELECT DISTINCT question_id, kind, ref, name FROM questions JOIN names ON questions.scope = names.scope AND contains(lower(question), lower(name)))"
@@ -54,7 +62,7 @@ _MATCH = "matches AS (SELECT DISTINCT question_id, kind, ref, name FROM question
 
 @query("a1_names", f"WITH {UTTERANCES}, {_QUESTIONS}, {_NAMES}, {_MATCH} SELECT * FROM matches")
 def a1(s, d):
-    return _matches(s, d)
+    return _matches(s, d, _name_rows(bind.fragments(s, d)))
 
 
 _VQ = "vq AS (SELECT vec_id AS question_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0)"
@@ -105,22 +113,22 @@ bm AS (SELECT question_id, fragment_id, round(sum(ln(1 + (docs - df + 0.5) / (df
 ft AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, fragment_id) AS rank FROM bm QUALIFY rank <= 20)"""
 
 
-def _fulltext(s, d):
-    return op.bm25_top(_questions(s, d), bind.fragments(s, d), "fragment_id", "project_id", "text")
+def _fulltext(s, d, c):
+    return op.bm25_top(_questions(s, d), c, "fragment_id", "project_id", "text")
 
 
 @query("a6_fulltext", f"WITH {UTTERANCES}, {_BM} SELECT question_id, fragment_id, round(score, 3) AS score, CAST(rank AS INTEGER) AS rank FROM ft")
 def a6(s, d):
-    return _fulltext(s, d).select("question_id", "fragment_id", F.round("score", 3).alias("score"), "rank")
+    return _fulltext(s, d, bind.fragments(s, d)).select("question_id", "fragment_id", F.round("score", 3).alias("score"), "rank")
 
 
 _GR = "gh AS (SELECT question_id, nw.fragment_id FROM matches m JOIN questions USING (question_id) JOIN nw ON nw.scope = questions.scope AND lower(nw.name) = ref)"
 
 
-def _graph(s, d):
-    n = _name_rows(s, d)
+def _graph(s, d, c):
+    n = materialise(_name_rows(c))
     ref = F.concat_ws("|", "scope", "ref")
-    m = _matches(s, d).join(_questions(s, d).select("question_id", "scope"), "question_id").withColumn("ref", ref)
+    m = _matches(s, d, n).join(_questions(s, d).select("question_id", "scope"), "question_id").withColumn("ref", ref)
     rows = n.withColumn("ref", ref)
     return op.graph_hits(m, rows.where("kind = 'entity'").select("ref", "fragment_id"), rows.where("kind = 'person'").select("ref", "fragment_id"))
 
@@ -130,12 +138,12 @@ _ANCHOR = f"{_QUESTIONS}, {_NAMES}, {_MATCH}, gm AS (SELECT DISTINCT question_id
 
 @query("a7_graph_anchors", f"WITH {UTTERANCES}, {_ANCHOR} SELECT question_id, fragment_id, count(*) AS hits FROM gh GROUP BY ALL")
 def a7(s, d):
-    return _graph(s, d).groupBy("question_id", "fragment_id").agg(F.count(F.lit(1)).alias("hits"))
+    return _graph(s, d, bind.fragments(s, d)).groupBy("question_id", "fragment_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 @query("a8_rank_by_hits", f"WITH {UTTERANCES}, {_ANCHOR} SELECT question_id, fragment_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY count(*) DESC, fragment_id) AS INTEGER) AS rank FROM gh GROUP BY question_id, fragment_id")
 def a8(s, d):
-    return op.rank_by_hits(_graph(s, d)).select("question_id", "fragment_id", "rank")
+    return op.rank_by_hits(_graph(s, d, bind.fragments(s, d))).select("question_id", "fragment_id", "rank")
 
 
 # The vector channel: hashed word counts of questions, fragments and utterances; some questions lose one side of it, some both.
@@ -156,10 +164,9 @@ def _outages(s, d):
     return q.where("question_id % 10 in (7, 8)").select("question_id", F.explode(side).alias("side"))
 
 
-def _vector(s, d):
-    f = bind.fragments(s, d).select("fragment_id", "interview_id", "seq", F.col("project_id").alias("scope"), "text")
-    u = bind.utterances(s, d).select("interview_id", F.col("utterance_id").alias("id"), F.explode(F.sequence("first_seq", "last_seq")).alias("seq"))
-    members = f.join(u, ["interview_id", "seq"]).select("id", "fragment_id", "scope", "seq", "text")
+def _vector(s, d, c):
+    f = c.select("fragment_id", F.col("project_id").alias("scope"), "text")
+    members = c.select(F.col("utterance_id").alias("id"), "fragment_id", F.col("project_id").alias("scope"), "seq", "text")
     whole = enrich_op.joined_text(members, ["id", "scope"], "seq", F.col("text"), " ")
     q = _questions(s, d)
     q = enrich_op.hashed_vectors(q, "question_id", "question").join(q.select("question_id", "scope"), "question_id")
@@ -176,9 +183,10 @@ ranked AS (SELECT question_id, 'fulltext' AS channel, fragment_id, rank FROM ft
 fs AS (SELECT question_id, fragment_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM ranked GROUP BY ALL), fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, fragment_id) AS INTEGER) AS rank FROM fs)"""
 
 
-def _ranked(s, d):
+def _ranked(s, d, c=None):
+    c = _corpus(s, d) if c is None else c
     cols = ("question_id", "fragment_id", "rank")
-    parts = {"fulltext": _fulltext(s, d), "graph": op.rank_by_hits(_graph(s, d)), "vector": _vector(s, d)}
+    parts = {"fulltext": _fulltext(s, d, c), "graph": op.rank_by_hits(_graph(s, d, c)), "vector": _vector(s, d, c)}
     rows = [p.select(F.lit(name).alias("channel"), *cols) for name, p in parts.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
@@ -200,11 +208,11 @@ blocks AS (SELECT *, speaker || coalesce(' (' || person || ')', '') AS speaker_l
 
 
 def _blocks(s, d):
-    f = bind.fragments(s, d).withColumn("speaker_id", F.concat_ws("/", "interview_id", "role"))
-    u = bind.utterances(s, d).select("interview_id", "utterance_id", F.explode(F.sequence("first_seq", "last_seq")).alias("seq"))
-    sib = f.join(u, ["interview_id", "seq"]).select("utterance_id", "fragment_id", "seq", "text")
-    e = _name_rows(s, d).select("fragment_id", F.lower("name").alias("name"))
-    top = op.fuse(_ranked(s, d), top=op.TOP_CONTEXT)
+    c = _corpus(s, d)
+    f = c.withColumn("speaker_id", F.concat_ws("/", "interview_id", "role"))
+    sib = c.select("utterance_id", "fragment_id", "seq", "text")
+    e = _name_rows(c).select("fragment_id", F.lower("name").alias("name"))
+    top = materialise(op.fuse(_ranked(s, d, c), top=op.TOP_CONTEXT))
     rows = op.context_rows(top, f.select("fragment_id", "speaker_id", F.col("role").alias("speaker"), "text"), sib, e, _plinks(s, d), _segment_members(s, d).select("fragment_id", "topic"))
     return op.context_blocks(rows)
 
@@ -227,7 +235,7 @@ def a13(s, d):
 
 @query("a14_citations", f"WITH {UTTERANCES}, {_BLOCKS} SELECT question_id, fragment_id, rank, text AS quote FROM blocks WHERE {share_sql('fragment_id')} < 0.5")
 def a14(s, d):
-    b = _blocks(s, d)
+    b = materialise(_blocks(s, d).select("question_id", "fragment_id", "rank", "text"))
     cited = bind.fragments(s, d).where(hashed_share(F.col("fragment_id")) < 0.5).select("fragment_id").join(b.select("question_id", "fragment_id"), "fragment_id")
     other = cited.select("question_id", F.concat("fragment_id", F.lit("x")).alias("fragment_id"))
     return op.ground_citations(cited.select("question_id", "fragment_id").unionByName(other), b)
@@ -240,7 +248,7 @@ def a15(s, d):
 
 @query("a16_quality", f"WITH {UTTERANCES}, {_FUSE}, gold AS (SELECT DISTINCT question_id, fragment_id FROM fused WHERE {share_sql('fragment_id')} < 0.3), r AS (SELECT question_id, fragment_id FROM fused WHERE rank <= 12), j AS (SELECT question_id, count(g.fragment_id) AS n_gold, count(r.fragment_id) AS n_ret, count(*) FILTER (WHERE g.fragment_id IS NOT NULL AND r.fragment_id IS NOT NULL) AS n_hit FROM gold g FULL JOIN r USING (question_id, fragment_id) GROUP BY 1) SELECT 'c' || (question_id % 3) AS category, round(avg(n_hit / n_gold), 4) AS recall, round(avg(CASE WHEN n_ret > 0 THEN n_hit / n_ret END), 4) AS precision, count(*) AS n FROM j WHERE n_gold > 0 GROUP BY 1")
 def a16(s, d):
-    fused = op.fuse(_ranked(s, d)).withColumnsRenamed({"question_id": "scenario", "fragment_id": "id"})
+    fused = materialise(op.fuse(_ranked(s, d))).withColumnsRenamed({"question_id": "scenario", "fragment_id": "id"})
     gold = fused.where(hashed_share(F.col("id")) < 0.3).withColumn("category", F.concat(F.lit("c"), F.col("scenario") % 3))
     q = op.retrieval_quality(fused.where(f"rank <= {op.TOP_CONTEXT}"), gold)
     return q.groupBy("category").agg(F.round(F.avg("recall"), 4).alias("recall"), F.round(F.avg("precision"), 4).alias("precision"), F.count(F.lit(1)).alias("n"))
