@@ -3,8 +3,11 @@
 Every word adds its log frequency in each language.  A word that training never saw adds
 the mean log frequency of its longest character n-grams that training did see.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is any
-text when no labelled row exists; rows with a null label or null text train nothing;
+A word is a letter and the letters and combining marks after it, by their Unicode categories.
+
+Defined cases: a text that is null or has no letter (digits, fractions, numerals and marks
+alone are none) is ``und`` with score 0, and so is any text when no labelled row exists;
+equal languages go to the first by name; texts of any length are summed in parts; rows with a null label or null text train nothing;
 repeated rows count and give repeated results; other columns are ignored.
 """
 
@@ -14,19 +17,26 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parlance.llm.common import arrow_map, arrow_stream, bounded_sample, fold_of
+from parlance.llm.common import arrow_stream, arrow_with, bounded_sample, fold_of
 
 #: Labelled documents used for the fit, words kept per language, longest n-gram.
 SAMPLE_DOCS, WORDS_PER_LANG, MAX_GRAM = 8_000, 15_000, 4
 #: Words whose evidence counts in full; beyond that the score stops growing surer.
 FULL_WORDS = 60
-CACHE_WORDS = 100_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Words that a partition keeps with their evidence, and the longest of them.
+CACHE_WORDS, CACHED_LENGTH = 50_000, 40
+_ASCII_WORD, _WORD = re.compile("[a-z]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
+
+
+def words_of(text: str) -> list[str]:
+    """The lower-cased words of a text."""
+    low = text.lower()
+    return (_ASCII_WORD if low.isascii() else _WORD).findall(low)
 
 
 class LanguageModel:
@@ -43,7 +53,13 @@ class LanguageModel:
                 for size in range(1, MAX_GRAM + 1):
                     for g in self.grams(w, size):
                         grams[size][g][j] += n
-        self.words, self.by_size = self._logs(words), [self._logs(g) for g in grams]
+        #: rows of the table of log frequencies, by word and by n-gram of each size
+        self.words: dict[str, int] = {}
+        self.by_size: list[dict[str, int]] = [{} for _ in grams]
+        tables = [self._logs(words, self.words, 0)]
+        for known, index in zip(grams, self.by_size, strict=True):
+            tables.append(self._logs(known, index, sum(map(len, tables))))
+        self.table = np.concatenate(tables)
         total = np.array([prior[x] for x in self.langs], float)
         self.prior = np.log(total / total.sum()) if k else total
 
@@ -52,26 +68,25 @@ class LanguageModel:
         marked = f"<{word}>"
         return [marked[i : i + size] for i in range(len(marked) - size + 1)]
 
-    @staticmethod
-    def _logs(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        if not table:
-            return {}
-        m = np.array(list(table.values())) + 0.1
-        m = np.log(m / m.sum(0)).astype(np.float32)
-        return dict(zip(table, m, strict=True))
+    def _logs(self, known: dict[str, np.ndarray], index: dict[str, int], first: int) -> np.ndarray:
+        """Log frequencies of what is known, and its rows from ``first`` on in ``index``."""
+        index.update(zip(known, range(first, first + len(known)), strict=True))
+        m = np.array(list(known.values())).reshape(len(known), len(self.langs)) + 0.1
+        return np.log(m / m.sum(0)).astype(np.float32)
 
     def word(self, w: str) -> np.ndarray:
         """Evidence of one word: its own, else that of its longest known n-grams, else none."""
         if (known := self.words.get(w)) is not None:
-            return known
+            return self.table[known]
         for size in range(MAX_GRAM, 0, -1):
-            if found := [v for g in self.grams(w, size) if (v := self.by_size[size].get(g)) is not None]:
-                return sum(found[1:], found[0]) / len(found)
+            index = self.by_size[size]
+            if found := [i for g in self.grams(w, size) if (i := index.get(g)) is not None]:
+                return self.table[found].mean(0)
         return np.zeros(len(self.langs), np.float32)
 
     def predict(self, text: str | None, seen: SeenWords | None = None) -> tuple[str, float]:
         """``(language, posterior)`` of a whole text."""
-        words = _WORD.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words or not self.langs:
             return "und", 0.0
         total = (seen or SeenWords(self)).total(words) * min(1, FULL_WORDS / len(words)) + self.prior
@@ -81,25 +96,28 @@ class LanguageModel:
 
 
 class SeenWords:
-    """A worker's words with their evidence, as rows of one table; emptied when full."""
+    """A partition's words with their evidence, as rows of one table of a fixed size; emptied when full."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.row, self.table = model, {}, np.zeros((1024, len(model.langs)), np.float32)
+        self.model, self.row, self.table = model, {}, np.zeros((CACHE_WORDS, len(model.langs)), np.float32)
 
     def total(self, words: list[str]) -> np.ndarray:
         """Summed evidence of all words of a text."""
-        if len(self.row) > CACHE_WORDS:
-            self.row.clear()
-        row, at = self.row, []
+        row, at, out = self.row, [], np.zeros(len(self.model.langs))
         for w in words:
             i = row.get(w)
             if i is None:
+                if len(w) > CACHED_LENGTH:
+                    out += self.model.word(w)
+                    continue
+                if len(row) == CACHE_WORDS:
+                    out += self.table[at].sum(0, dtype=np.float64)
+                    at = []
+                    row.clear()
                 i = row[w] = len(row)
-                if i == len(self.table):
-                    self.table = np.concatenate((self.table, np.zeros_like(self.table)))
                 self.table[i] = self.model.word(w)
             at.append(i)
-        return self.table[at].sum(0, dtype=np.float64)
+        return out + self.table[at].sum(0, dtype=np.float64)
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", words_per_lang: int = WORDS_PER_LANG) -> LanguageModel:
@@ -109,7 +127,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", words_per_l
         found: dict[str, Counter] = defaultdict(Counter)
         for b in batches:
             for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found[g].update(_WORD.findall(t.lower()))
+                found[g].update(words_of(t))
                 found[g][""] += 1  # documents
             if sum(map(len, found.values())) > 400_000:
                 yield from out(found)
@@ -133,31 +151,30 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", words_per_l
 def predict_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, ``lang_pred``, ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    seen: list[SeenWords] = []
 
-    def run(cols):
+    def run(parts):
         m = shared.value
-        if not seen:
-            seen.append(SeenWords(m))
-        got = [m.predict(t, seen[0]) for t in cols["t"]]
-        return {"k": cols["k"], "lang_pred": [g for g, _ in got], "score": [s for _, s in got]}
+        seen = SeenWords(m)
+        for b in parts:
+            got = [m.predict(t, seen) for t in b.column(1).to_pylist()]
+            yield {"k": b.column(0), "lang_pred": [g for g, _ in got], "score": [s for _, s in got]}
 
     kind = docs.schema[key].dataType.simpleString()
-    return arrow_map(docs, f"k {kind}, lang_pred string, score double", run, F.col(key).alias("k"), F.col(text).alias("t")).withColumnRenamed("k", key)
+    return arrow_stream(docs, f"k {kind}, lang_pred string, score double", run, F.col(key).alias("k"), F.col(text).alias("t")).withColumnRenamed("k", key)
 
 
 def label_documents(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``docs`` with ``lang`` replaced by the prediction and ``lang_score`` added; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    seen: list[SeenWords] = []
 
-    @F.pandas_udf("lang string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        if not seen:
-            seen.append(SeenWords(shared.value))
-        return pd.DataFrame([shared.value.predict(t, seen[0]) for t in texts], columns=["lang", "score"])
+    def run(parts):
+        m = shared.value
+        seen = SeenWords(m)
+        for b in parts:
+            got = [m.predict(t, seen) for t in b.column(text).to_pylist()]
+            yield {"lang": [g for g, _ in got], "lang_score": [s for _, s in got]}
 
-    return docs.withColumn("found", predict(F.col(text))).withColumns({"lang": F.col("found.lang"), "lang_score": F.col("found.score")}).drop("found")
+    return arrow_with(docs, "lang string, lang_score double", run)
 
 
 def training_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

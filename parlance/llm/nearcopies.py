@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import arrow_map
+from parlance.llm.common import arrow_map, arrow_stream, groups_of
 from parlance.plans.closure import connected_components
 from parlance.plans.scratch import materialise
 
@@ -38,27 +38,30 @@ TREES, LEVELS, NODE_LIMIT = 16, 6, 48
 SLOTS = TREES * LEVELS
 #: Rows of ids up to which their documents are found by a broadcast.
 BROADCAST_IDS = 1_000_000
-CACHE_WORDS = 100_000
+#: Words that a partition keeps with their hashes, and the longest of them in bytes.
+CACHE_WORDS, CACHED_LENGTH = 50_000, 40
 
 _rng = np.random.default_rng(85)
 _A = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
 _PLACE = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_words: dict[bytes, int] = {}
 
 
-def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
+def shingle_set(text: str | None, k: int = SHINGLE, seen: dict[bytes, int] | None = None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles; ``seen``: a cache of words that the caller owns."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > CACHE_WORDS:
-        _words.clear()
-    get, known = _words.get, []
+    seen = {} if seen is None else seen
+    get, known = seen.get, []
     for w in words:
         h = get(w)
         if h is None:
-            h = _words[w] = xxhash.xxh3_64_intdigest(w)
+            h = xxhash.xxh3_64_intdigest(w)
+            if len(w) <= CACHED_LENGTH:
+                if len(seen) >= CACHE_WORDS:
+                    seen.clear()
+                seen[w] = h
         known.append(h)
     h = np.array(known, np.uint64)
     n = min(k, len(h))
@@ -96,19 +99,20 @@ def _may_be(n: np.ndarray, sketch: np.ndarray, n_other, sketch_other, percent: i
 def signatures(docs: DataFrame) -> DataFrame:
     """``(doc_id, n, set_id, mins, sketch)`` of each row; set_id is null for the empty set."""
 
-    def run(cols):
-        out = {k: [] for k in ("doc_id", "n", "set_id", "mins", "sketch")}
-        for i, t in zip(cols["doc_id"], cols["text"], strict=True):
-            s = shingle_set(t)
-            m = minwise(s)
-            out["doc_id"].append(i)
-            out["n"].append(len(s))
-            out["set_id"].append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-            out["mins"].append(m.view(np.int32))
-            out["sketch"].append((m & np.uint32(255)).astype(np.uint8).tobytes())
-        return out
+    def run(parts):
+        seen: dict[bytes, int] = {}
+        for b in parts:
+            out = {"doc_id": b.column(0)} | {k: [] for k in ("n", "set_id", "mins", "sketch")}
+            for t in b.column(1).to_pylist():
+                s = shingle_set(t, seen=seen)
+                m = minwise(s)
+                out["n"].append(len(s))
+                out["set_id"].append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
+                out["mins"].append(m.view(np.int32))
+                out["sketch"].append((m & np.uint32(255)).astype(np.uint8).tobytes())
+            yield out
 
-    return arrow_map(docs, "doc_id long, n long, set_id string, mins array<int>, sketch binary", run, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return arrow_stream(docs, "doc_id long, n long, set_id string, mins array<int>, sketch binary", run, F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def leaves_of(sets: DataFrame) -> DataFrame:
@@ -117,7 +121,8 @@ def leaves_of(sets: DataFrame) -> DataFrame:
     rows = sets.select("lead", F.explode(trees).alias("t")).select("t.tree", "t.path", "lead", "t.rest")
     done = []
     for level in range(LEVELS):
-        size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("lead").alias("pivot")).where("size > 1")
+        # the sizes are written first, so that a path with many rows can be split in the join
+        size = materialise(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("lead").alias("pivot")).where("size > 1"))
         node = materialise(rows.join(size, "path"))
         large = F.col("size") > NODE_LIMIT
         last = level == LEVELS - 1 or node.where(large).isEmpty()
@@ -133,7 +138,13 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     ids = materialise(ids.distinct())
     few = ids.count() <= BROADCAST_IDS
     needed = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return materialise(arrow_map(needed, "id long, s binary", lambda c: {"id": c["id"], "s": [shingle_set(t).tobytes() for t in c["text"]]}, "id", "text").dropDuplicates(["id"]))
+
+    def run(parts):
+        seen: dict[bytes, int] = {}
+        for b in parts:
+            yield {"id": b.column(0), "s": [shingle_set(t, seen=seen).tobytes() for t in b.column(1).to_pylist()]}
+
+    return materialise(arrow_stream(needed, "id long, s binary", run, "id", "text").dropDuplicates(["id"]))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -181,17 +192,13 @@ def pivot_links(leaves: DataFrame, sets: DataFrame, docs: DataFrame, percent: in
     return confirm(best, docs, percent)
 
 
-def _pairs_to_compare(members: list[dict], i: int, j: int, tree: int) -> np.ndarray:
+def _pairs_to_compare(part: np.ndarray, leaf: np.ndarray, block: np.ndarray, is_main: np.ndarray, i: int, j: int, tree: int) -> np.ndarray:
     """Which pairs of a group are this group's to compare: of two components, over its two blocks, and in no leaf of an earlier tree."""
-    part = np.array([m["part"] for m in members])
     wanted = part[:, None] != part[None, :]
     if i >= 0:
-        side = np.array([m["is_main"] for m in members])
-        wanted &= side[:, None] != side[None, :]
+        wanted &= is_main[:, None] != is_main[None, :]
     elif -i - 1 != j:
-        block = np.array([m["block"] for m in members])
         wanted &= block[:, None] != block[None, :]
-    leaf = np.array([m["leaf"] for m in members])
     for t in range(tree):
         wanted &= leaf[:, None, t] != leaf[None, :, t]
     return np.triu(wanted, 1)
@@ -218,41 +225,42 @@ def cross_links(leaves: DataFrame, parts: DataFrame, sets: DataFrame, docs: Data
     first = F.sequence(F.lit(0), F.col("mains") - 1)
     second = F.sequence(F.lit(0), F.col("others") - 1)
     groups = F.when(is_main, F.transform(second, lambda j: F.struct(block.alias("i"), j.alias("j")))).otherwise(F.concat(F.transform(first, lambda i: F.struct(i.alias("i"), block.alias("j"))), F.transform(second, lambda j: F.struct((-F.least(j, block) - 1).alias("i"), F.greatest(j, block).alias("j")))))
-    dealt = rows.select("tree", "path", "lead", "part", "n", "sketch", "leaf", block.alias("block"), is_main.alias("is_main"), F.explode(groups).alias("g"))
-    met = dealt.groupBy("tree", "path", "g.i", "g.j").agg(F.collect_list(F.struct("lead", "part", "n", "sketch", "leaf", "block", "is_main")).alias("rows"))
-
-    def likely(c):
-        names = ("tree", "path", "i", "j", "lead", "part", "leaf", "block", "is_main")
-        out = {k: [] for k in names}
-        for tree, path, i, j, members in zip(c["tree"], c["path"], c["i"], c["j"], c["rows"], strict=True):
-            if len(members) < 2:
-                continue
-            wanted = _pairs_to_compare(members, i, j, tree)
-            x, y = np.nonzero(wanted)
-            if len(x):
-                n = np.array([m["n"] for m in members])
-                sketch = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, SLOTS)
-                ok = _may_be(n[x], sketch[x], n[y], sketch[y], percent)
-                for k in np.union1d(x[ok], y[ok]):
-                    m = members[k]
-                    for name, v in zip(names, (tree, path, i, j, m["lead"], m["part"], m["leaf"], m["block"], m["is_main"]), strict=True):
-                        out[name].append(v)
-        return out
-
-    found = materialise(arrow_map(met, "tree int, path long, i int, j int, lead long, part long, leaf array<long>, block int, is_main boolean", likely, "tree", "path", "i", "j", "rows"))
+    group, own = ("tree", "path", "i", "j"), ("lead", "part", "leaf", "block", "is_main")
+    dealt = rows.select("tree", "path", "lead", "part", "n", "sketch", "leaf", block.alias("block"), is_main.alias("is_main"), F.explode(groups).alias("g")).select("tree", "path", "g.i", "g.j", *own, "n", "sketch")
+
+    def likely(parts):
+        out: dict[str, list] = {k: [] for k in group + own}
+        for key, members in groups_of(parts, 4):
+            if len(members) > 1:
+                lead, part, leaf, block, is_main, n, sketch = zip(*members, strict=True)
+                x, y = np.nonzero(_pairs_to_compare(*map(np.array, (part, leaf, block, is_main)), key[2], key[3], key[0]))
+                if len(x):
+                    n, sketch = np.array(n), np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, SLOTS)
+                    ok = _may_be(n[x], sketch[x], n[y], sketch[y], percent)
+                    for k in np.union1d(x[ok], y[ok]):
+                        for name, v in zip(out, (*key, *members[k][:5]), strict=True):
+                            out[name].append(v)
+            if len(out["lead"]) >= 2_048:
+                yield out
+                out = {k: [] for k in out}
+        yield out
+
+    met = dealt.repartition(*group).sortWithinPartitions(*group)
+    ddl = "tree int, path long, i int, j int, lead long, part long, leaf array<long>, block int, is_main boolean"
+    found = materialise(arrow_stream(met, ddl, likely, *group, *own, "n", "sketch"))
     known = full_sets(docs, found.select(F.col("lead").alias("id")))
-    again = found.join(known.withColumnRenamed("id", "lead"), "lead").groupBy("tree", "path", "i", "j").agg(F.collect_list(F.struct("lead", "part", "leaf", "block", "is_main", "s")).alias("rows"))
+    again = found.join(known.withColumnRenamed("id", "lead"), "lead").repartition(*group).sortWithinPartitions(*group)
 
-    def link(c):
-        out = {"a": [], "b": []}
-        for tree, i, j, members in zip(c["tree"], c["i"], c["j"], c["rows"], strict=True):
+    def link(parts):
+        out: dict[str, list] = {"a": [], "b": []}
+        for (tree, _, i, j), members in groups_of(parts, 4):
             if len(members) < 2:
                 continue
-            s = [np.frombuffer(m["s"], np.uint64) for m in members]
-            both = common_counts(s)
-            n = np.array([len(x) for x in s])
-            ok = _pairs_to_compare(members, i, j, tree) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
-            root = {m["part"]: m["part"] for m in members}
+            lead, part, leaf, block, is_main, s = zip(*members, strict=True)
+            s = [np.frombuffer(x, np.uint64) for x in s]
+            both, n = common_counts(s), np.array([len(x) for x in s])
+            ok = _pairs_to_compare(*map(np.array, (part, leaf, block, is_main)), i, j, tree) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+            root = {p: p for p in part}
 
             def top(p, root=root):
                 while root[p] != p:
@@ -260,14 +268,14 @@ def cross_links(leaves: DataFrame, parts: DataFrame, sets: DataFrame, docs: Data
                 return p
 
             for x, y in zip(*np.nonzero(ok), strict=True):
-                a, b = top(members[x]["part"]), top(members[y]["part"])
+                a, b = top(part[x]), top(part[y])
                 if a != b:
                     root[a] = b
-                    out["a"].append(members[x]["lead"])
-                    out["b"].append(members[y]["lead"])
-        return out
+                    out["a"].append(lead[x])
+                    out["b"].append(lead[y])
+        yield out
 
-    return materialise(arrow_map(again, "a long, b long", link, "tree", "i", "j", "rows").distinct())
+    return materialise(arrow_stream(again, "a long, b long", link, *group, *own, "s").distinct())
 
 
 def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

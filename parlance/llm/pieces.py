@@ -12,7 +12,8 @@ the merges that use up both of its sides (on the left side strictly, as equal me
 done from left to right).
 
 A text is first cut before each run of spaces, around line ends and between a letter and
-``. , !``: no piece spans such a cut (checked for the model), so the words are encoded alone and their results are kept in a bounded cache.
+``. , !``: no piece spans such a cut (checked for the model), so the words are encoded alone
+and their results are kept in a bounded cache.
 
 Defined cases: null text counts as empty; an empty text has no tokens and decodes to the
 empty text; characters without a piece become byte pieces; words of any length are
@@ -27,12 +28,11 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import arrow_map, sha256_hex
+from parlance.llm.common import arrow_map, arrow_stream, sha256_hex
 
 SPACE = "▁"
-#: Words kept in each of a worker's two generations of cached words.
-CACHE_WORDS = 100_000
-CACHE_PAIRS = 300_000
+#: Words kept in each of a partition's two generations of cached words, the longest of them; pairs kept by a worker.
+CACHE_WORDS, CACHED_LENGTH, CACHE_PAIRS = 40_000, 40, 150_000
 _WORDS = re.compile(f"{SPACE}*[A-Za-zÀ-ɏ]+(?=[.,!{SPACE}\n]|$)|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _MODELS: dict[str, PieceTable] = {}
 
@@ -74,8 +74,6 @@ class PieceTable:
             raise ValueError("this model has pieces over several words")
         self.spine: dict[tuple[int, bool], list[tuple[int, int]]] = {}
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
         self.text_of = [bytes([int(self.piece[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else b" \xe2\x81\x87 " if sp.is_unknown(i) else self.piece[i].replace(SPACE, " ").encode() for i in range(n)]
 
     def _merged(self, text: str) -> list[list[str]]:
@@ -155,19 +153,6 @@ class PieceTable:
         ids.reverse()
         return ids
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """``(number of ids, ids as text, decoded text)`` of one word."""
-        got = self.words.get(word) or self.older.get(word)
-        if got is None:
-            ids = self.encode_word(word)
-            got = (len(ids), ",".join(map(self.said.__getitem__, ids)), self.decode_bytes(ids).decode("utf-8", "replace"))
-        if len(word) <= 64:
-            if len(self.words) >= CACHE_WORDS:
-                self.older = dict(self.words)
-                self.words.clear()
-            self.words[word] = got
-        return got
-
     def words_of(self, text: str) -> list[str]:
         return _WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
@@ -184,6 +169,28 @@ class PieceTable:
         return text[1:] if text.startswith(" ") else text
 
 
+class KnownWords:
+    """A partition's words with what encoding and decoding gave; two generations, so that frequent words stay."""
+
+    def __init__(self, table: PieceTable):
+        self.table = table
+        self.words: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
+
+    def word(self, word: str) -> tuple[int, str, str]:
+        """``(number of ids, ids as text, decoded text)`` of one word."""
+        got = self.older.get(word)
+        if got is None:
+            ids = self.table.encode_word(word)
+            got = (len(ids), ",".join(map(self.table.said.__getitem__, ids)), self.table.decode_bytes(ids).decode("utf-8", "replace"))
+        if len(word) <= CACHED_LENGTH:
+            if len(self.words) >= CACHE_WORDS:
+                self.older = self.words.copy()
+                self.words.clear()  # callers hold its get
+            self.words[word] = got
+        return got
+
+
 def model(path: str) -> PieceTable:
     """The worker's table of the model at ``path``, built once."""
     if path not in _MODELS:
@@ -204,18 +211,20 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
 
 def piece_digests(docs: DataFrame, path: str) -> DataFrame:
-    """The query's columns; each word's ids and decoded text come from the worker's cache of words."""
+    """The query's columns; each word's ids and decoded text come from the partition's cache of words."""
 
-    def run(cols):
+    def run(parts):
         m = model(path)
-        out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        get, miss = m.words.get, m.word
-        for t in cols["t"]:
-            parts = [get(w) or miss(w) for w in m.words_of(t or "")]
-            decoded = "".join([p[2] for p in parts])
-            out["n_tokens"].append(sum([p[0] for p in parts]))
-            out["ids_sha256"].append(sha256_hex(",".join([p[1] for p in parts])))
-            out["decoded_sha256"].append(sha256_hex(decoded[1:] if decoded.startswith(" ") else decoded))
-        return {"doc_id": cols["doc_id"], **out}
-
-    return arrow_map(docs, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", run, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
+        known = KnownWords(m)
+        get, miss = known.words.get, known.word
+        for b in parts:
+            out = {"doc_id": b.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+            for t in b.column(1).to_pylist():
+                found = [get(w) or miss(w) for w in m.words_of(t or "")]
+                decoded = "".join([p[2] for p in found])
+                out["n_tokens"].append(sum([p[0] for p in found]))
+                out["ids_sha256"].append(sha256_hex(",".join([p[1] for p in found])))
+                out["decoded_sha256"].append(sha256_hex(decoded[1:] if decoded.startswith(" ") else decoded))
+            yield out
+
+    return arrow_stream(docs, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", run, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))

@@ -13,10 +13,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import arrow_map, arrow_stream, bounded_sample, sha256_hex
+from parlance.llm.common import arrow_map, arrow_stream, arrow_with, bounded_sample
 
 # The rule patterns of the contract.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -59,9 +59,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _free(text: str, taken: list[tuple[int, int, int]], runs: re.Pattern) -> list[tuple[int, int]]:
-    """Runs that touch no span in ``taken``: what stands beside a secret has no sure label."""
-    spans = [(a, b) for a, _, b in taken]
-    return [m.span() for m in runs.finditer(text) if not any(a < m.end() and m.start() < b for a, b in spans)]
+    """Runs that touch no span in ``taken`` (sorted): what stands beside a secret has no sure label."""
+    out, k, reach = [], 0, 0  # reach: the end of all spans that start before the run ends
+    for m in runs.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            reach = max(reach, taken[k][2])
+            k += 1
+        if reach <= m.start():
+            out.append(m.span())
+    return out
 
 
 def _left(text: str, taken: list[tuple[int, int, int]], runs: re.Pattern) -> list[tuple[int, int]]:
@@ -74,45 +80,44 @@ def _left(text: str, taken: list[tuple[int, int, int]], runs: re.Pattern) -> lis
     return out
 
 
+def labelled(text: str | None) -> list[tuple[str, int]]:
+    """Values of rule secrets (1), and all other distinct runs of key characters (0)."""
+    text = text or ""
+    taken = base_spans(text)
+    out = [(_ASSIGN.match(text, a)[2] if kind == 0 else text[a:b], 1) for a, kind, b in taken]
+    return out + [(w, 0) for w in {text[a:b] for a, b in _free(text, taken, _WORD)}]
+
+
 def weak_labels(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(value, label)``: values of rule secrets (1) and all other runs of key characters (0)."""
+    """``(value, label)`` rows of all texts."""
 
     def label(cols):
-        value, flag = [], []
-        for t in cols["t"]:
-            t = t or ""
-            taken = base_spans(t)
-            for a, kind, b in taken:
-                value.append(_ASSIGN.match(t, a)[2] if kind == 0 else t[a:b])
-                flag.append(1)
-            words = {t[a:b] for a, b in _free(t, taken, _WORD)}
-            value += words
-            flag += [0] * len(words)
-        return {"value": value, "label": flag}
+        rows = [x for t in cols["t"] for x in labelled(t)]
+        return {"value": [v for v, _ in rows], "label": [y for _, y in rows]}
 
     return arrow_map(docs, "value string, label int", label, F.col(text).alias("t"))
 
 
-def train(samples: DataFrame) -> np.ndarray:
-    """Log-likelihood ratio of each transition, from ``(value, label)`` rows; label 1 is random.
+def _ratios(rows: DataFrame, samples) -> np.ndarray:
+    """Log-likelihood ratio of each transition; samples: ``(value, label)`` pairs of a piece of a partition of ``rows``.
 
     Executors count transitions; the driver gets at most 2 x SIZE^2 sums.  With no
     sample of a class, its model is uniform.
     """
 
-    def count(batches):
+    def count(parts):
         total = np.zeros((2, SIZE * SIZE), np.int64)
-        for b in batches:
-            for v, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for b in parts:
+            for v, y in samples(b):
                 if v and y is not None:
                     c = _CODE[np.frombuffer(v.encode("latin-1", "replace"), np.uint8)]
                     np.add.at(total[int(y > 0)], c[:-1] * SIZE + c[1:], 1)
         y, pair = np.nonzero(total)
         yield {"label": y.tolist(), "pair": pair.tolist(), "n": total[y, pair].tolist()}
 
-    rows = arrow_stream(samples, "label int, pair int, n long", count, "value", "label").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
+    counts = arrow_stream(rows, "label int, pair int, n long", count, *rows.columns).groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
     seen = np.full((2, SIZE, SIZE), 0.05)
-    for r in rows:
+    for r in counts:
         seen[r.label, r.pair // SIZE, r.pair % SIZE] += r.n
     # the random class also gets a flat share: its strings have no preferred transitions
     seen[1] += seen[1].sum(1, keepdims=True) / SIZE + 1
@@ -120,6 +125,11 @@ def train(samples: DataFrame) -> np.ndarray:
     return p[1] - p[0]
 
 
+def train(samples: DataFrame) -> np.ndarray:
+    """The models from labelled samples, ``(value, label)`` rows; label 1 is random."""
+    return _ratios(samples.select("value", "label"), lambda b: zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+
+
 def markov_spans(text: str, taken: list[tuple[int, int, int]], llr: np.ndarray, min_llr: float = MIN_LLR, min_mean: float = MIN_MEAN) -> list[tuple[int, int, int]]:
     """Runs, or what ``taken`` leaves of them, that the random model explains better."""
     out = []
@@ -152,43 +162,32 @@ def scan_secrets(docs: DataFrame, llr: np.ndarray, key: str = "doc_id", text: st
 def redact_secrets(docs: DataFrame, llr: np.ndarray, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; all columns stay; null text stays null."""
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        def one(t):
-            if not t:
-                return t
-            out, at = [], 0
-            for a, _, b in spans_of(t, llr):
-                if b > at:
-                    out += [t[at:a], mark] if a >= at else []
-                    at = b
-            return "".join([*out, t[at:]])
-
-        return texts.map(one)
+    def clean(t: str | None) -> str | None:
+        if not t:
+            return t
+        out, at = [], 0
+        for a, _, b in spans_of(t, llr):
+            if b > at:
+                out += [t[at:a], mark] if a >= at else []
+                at = b
+        return "".join([*out, t[at:]])
 
-    return docs.withColumn(text, clean(F.col(text)))
+    return arrow_with(docs, f"{text} string", lambda parts: ({text: list(map(clean, b.column(text).to_pylist()))} for b in parts)).select(*docs.columns)
 
 
-def fit(docs: DataFrame, key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """Train on the tokens of a bounded sample of documents, labelled by the rule kinds."""
-    return train(weak_labels(bounded_sample(docs, sample_docs, key)))
+def fit(docs: DataFrame, key: str = "doc_id", sample_docs: int = SAMPLE_DOCS, text: str = "text") -> np.ndarray:
+    """Train on the tokens of a bounded sample of documents, labelled by the rule kinds where they are counted."""
+    rows = bounded_sample(docs, sample_docs, key).select(F.col(text).alias("t"))
+    return _ratios(rows, lambda b: (x for t in b.column(0).to_pylist() for x in labelled(t)))
 
 
 def secret_digests(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The query's columns: counts of rule kinds, digest of rule spans, all spans."""
-    llr = fit(docs, sample_docs=sample_docs)
-
-    def digest(cols):
-        out = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")}
-        for spans in cols["spans"]:
-            said = [f"{s['kind']}:{s['start']}:{s['end']}" for s in spans]
-            base = [x for x in said if not x.startswith("markov")]
-            for k in KINDS[:3]:
-                out[f"n_{k}"].append(sum(x.startswith(k) for x in base))
-            out["base_sha256"].append(sha256_hex(",".join(base)))
-            out["spans"].append(",".join(said))
-        return {"doc_id": cols["doc_id"], **out}
-
-    return arrow_map(scan_secrets(docs.select("doc_id", "text"), llr), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string", digest, F.col("doc_id").cast("long").alias("doc_id"), "spans")
+    """The query's columns, from the spans of scan_secrets: counts of rule kinds, digest of rule spans, all spans."""
+    spans = scan_secrets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, sample_docs=sample_docs))
+    said = lambda rows: F.array_join(F.transform(rows, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
 
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
+    return spans.select("doc_id", *map(count, KINDS[:3]), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
