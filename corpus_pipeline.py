@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import decontaminate, language, nearcopies, pieces, secrets
-from parlance.llm.common import table
+from parlance.llm.common import spread, table
 from parlance.plans.scratch import materialise
 
 #: A document whose best language has a lower posterior is rejected.
@@ -66,7 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of ``documents``; the rows of the last."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
