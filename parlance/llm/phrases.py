@@ -12,7 +12,7 @@ Defined cases: null text counts as empty; an empty text has no phrase (all slots
 ``ffff`` mark; alike only to another empty text); with one document the next document is
 itself; documents with one id follow each other by text; rows without an id come first;
 repeated rows give repeated results; other columns are ignored.  The phrase dictionary
-restarts after MAX_PHRASES phrases, so that a text of any length is parsed in bounded memory.
+restarts after MAX_PHRASES phrases of a text, so that any length is parsed in bounded memory.
 """
 
 from __future__ import annotations
@@ -48,21 +48,26 @@ class Parse:
         self.node = 0
 
     def feed(self, data: bytes, start: int = 0) -> list[int]:
-        """Where the phrases completed by ``data[start:]`` end."""
+        """Where the phrases completed by ``data[start:]`` end.
+
+        The dictionary restarts when it holds MAX_PHRASES phrases, wherever earlier calls ended.
+        """
         child, node, ends = self.child, self.node, []
         get, add = child.get, ends.append
-        for at in range(start, len(data), _CHUNK):
-            n = len(child)
-            if n >= MAX_PHRASES:
+        at, n = start, len(child)
+        while at < len(data):
+            if n == MAX_PHRASES:  # a phrase has just been completed: node is 0
                 child.clear()
-                n = node = 0
-            for i, c in enumerate(data[at : at + _CHUNK], at + 1):
+                n = 0
+            stop = at + min(_CHUNK, MAX_PHRASES - n)  # a byte completes one phrase at most
+            for i, c in enumerate(data[at:stop], at + 1):
                 k = node << 8 | c
                 node = get(k, 0)
                 if not node:
                     n += 1
                     child[k] = n
                     add(i)
+            at = stop
         self.node = node
         return ends
 
@@ -159,7 +164,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         return pd.Series([[{"range": bisect_right(borders, x), "tail": 0}] + ([{"range": before[x], "tail": 1}] if x in before else []) for x in o])
 
     placed = d.select(F.explode(places("o")).alias("at"), "o", "doc_id", "text").select("at.range", "at.tail", "o", "doc_id", "text")
-    return placed.repartition(n, "range").sortWithinPartitions("range", "tail", "o", "text").drop("o")
+    return placed.repartitionById(n, F.col("range")).sortWithinPartitions("range", "tail", "o", "text").drop("o")
 
 
 def phrase_table(docs: DataFrame) -> DataFrame:
