@@ -1,139 +1,138 @@
 """Compression classifier: which of two zstandard dictionaries packs a text better.
 
 One dictionary is built from good and one from bad labelled text.  A text is cut into
-blocks, every block is compressed with both, and the normalised difference of the sizes,
-with the packed share of the better one, is turned into a calibrated score by a logistic
-fit on labelled texts that built no dictionary.
+blocks, every block is compressed with both, and the difference of the packed sizes, divided
+by the size of the text, is the only feature.  A logistic curve fitted on labelled texts that
+built no dictionary (with smoothed targets, as Platt proposed) turns it into a score.
 
 Defined cases: null text counts as empty; an empty text gets the share of good texts in
-the labels; without labels of both classes every score is 0.5; null labels are ignored and
-a document labelled more than once counts once (its highest label); repeated documents
-give repeated results; other columns are ignored.
+the labels; without two usable texts of either class every score is that share, and 0.5
+without any label; a class whose text is too short to train a dictionary on has a dictionary
+of its raw text; null labels are ignored and a document labelled more than once counts once
+(its highest label); repeated documents give repeated results; texts of any length are
+scored whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from parlance.llm.common import arrow_map, bounded_sample, fold_of
+from parlance.llm.common import arrow_stream, bounded_sample, fold_of
 
-#: Labelled texts of each class used for the fit (half build the dictionary, half calibrate), and their longest.
-SAMPLE_PER_CLASS, SAMPLE_CHARS = 2_400, 40_000
-DICT_BYTES, BLOCK, LEVEL = 65_536, 4_096, 3
+#: Bounds of the fit, for each class: labelled texts (every other one builds the dictionary, the rest calibrate), and their bytes.
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 2_400, 12 << 20
+DICT_BYTES, BLOCK, LEVEL = 65_536, 1_024, 3
 THRESHOLD = 0.7
 
 
 @dataclass
 class CompressionModel:
-    good: bytes
-    bad: bytes
-    weights: list[float]
+    """Two dictionaries (of a kind that zstandard knows), the curve over their difference, and the share of good texts."""
+
+    good: tuple[bytes, int] | None
+    bad: tuple[bytes, int] | None
+    curve: tuple[float, float]
     base: float
 
-    def compressors(self):
-        return [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_FULLDICT), write_checksum=False, write_content_size=False) for d in (self.good, self.bad)]
+    def compressors(self) -> list[zstandard.ZstdCompressor]:
+        return [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_checksum=False, write_content_size=False, write_dict_id=False) for d, kind in (self.good, self.bad)]
 
 
-def features(text: str, pair) -> tuple[float, float, float]:
-    """Normalised difference of the packed sizes (positive: closer to good text), and the packed shares of both."""
+def blocks_of(text: str) -> list[bytes]:
     data = text.encode("utf-8", "surrogatepass")
-    g = b = 0
-    for i in range(0, len(data), BLOCK):
-        part = data[i : i + BLOCK]
-        g += len(pair[0].compress(part))
-        b += len(pair[1].compress(part))
-    return (b - g) / (b + g), math.log(g / len(data)), math.log(b / len(data))
-
-
-def _expand(f: np.ndarray) -> np.ndarray:
-    d, g, b = f[:, 0] * 5, f[:, 1], f[:, 2]
-    return np.stack([np.ones(len(f)), d, d * d, g, g * g, b, b * b, d * g], 1)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps."""
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1]) * 0.05
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - ridge @ w)
-        w += step
-        if abs(step).max() < 1e-6:
+    return [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+
+
+def difference(text: str, pair: list[zstandard.ZstdCompressor]) -> float:
+    """How many bytes less the good dictionary needs than the bad one, a byte of a text that is not empty."""
+    parts = blocks_of(text)
+    good, bad = (sum(len(c.compress(p)) for p in parts) for c in pair)
+    return (bad - good) / sum(map(len, parts))
+
+
+def _dictionary(parts: list[bytes]) -> tuple[bytes, int]:
+    size = min(DICT_BYTES, max(1_024, sum(map(len, parts)) // 8))
+    try:
+        return zstandard.train_dictionary(size, parts).as_bytes(), zstandard.DICT_TYPE_FULLDICT
+    except zstandard.ZstdError:  # too little text to train on
+        return b"".join(parts)[-DICT_BYTES:], zstandard.DICT_TYPE_RAWCONTENT
+
+
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope of the weighted logistic curve with the smoothed targets of Platt, by Newton steps."""
+    n1, n0 = float(y.sum()), float(len(y) - y.sum())
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    scale = float(x.std()) or 1.0
+    m, w = np.stack([np.ones(len(x)), x / scale], 1), np.zeros(2)
+    ridge = np.diag([1e-6, 1e-2])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(m @ w, -30, 30)))
+        step = np.linalg.solve((m * (weight * p * (1 - p))[:, None]).T @ m + ridge, m.T @ (weight * (target - p)) - ridge @ w)
+        w += np.clip(step, -2, 2)
+        if abs(step).max() < 1e-8:
             break
-    return w
+    return float(w[0]), float(w[1] / scale)
 
 
-def fit(texts: list[tuple[str, int]], shares: tuple[float, float] | None = None) -> CompressionModel | None:
-    """Dictionaries and calibration from bounded labelled texts; None without both classes.
+def fit(texts: list[tuple[str, int]], shares: tuple[float, float] | None = None) -> CompressionModel:
+    """Dictionaries and calibration from bounded labelled texts.
 
     shares: how common the classes 0 and 1 are among all labels (as in ``texts`` if not given).
     """
     by = {y: [t for t, v in texts if v == y and t] for y in (0, 1)}
-    if min(map(len, by.values())) < 20:
-        return None
     n0, n1 = shares or (len(by[0]), len(by[1]))
-    dicts = []
-    for y in (1, 0):
-        parts = [p for t in by[y][::2] for data in [t.encode()] for i in range(0, len(data), BLOCK) if (p := data[i : i + BLOCK])]
-        try:
-            dicts.append(zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, parts)) // 8)), parts).as_bytes())
-        except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
-            dicts.append(b"".join(parts)[-DICT_BYTES:])
-    model = CompressionModel(dicts[0], dicts[1], [], n1 / (n0 + n1))
-    if any(d[:4] != b"\x37\xa4\x30\xec" for d in dicts):
-        return None
+    base = n1 / (n0 + n1) if n0 + n1 else 0.5
+    if min(map(len, by.values())) < 2:
+        return CompressionModel(None, None, (0.0, 0.0), base)
+    good, bad = (_dictionary([p for t in by[y][::2] for p in blocks_of(t)]) for y in (1, 0))
+    model = CompressionModel(good, bad, (0.0, 0.0), base)
     pair = model.compressors()
-    rows = [(t, y) for y in (0, 1) for t in by[y][1::2]]
-    f = np.array([features(t, pair) for t, _ in rows])
-    y = np.array([v for _, v in rows], float)
-    weight = np.where(y == 1, n1 / max(1, y.sum()), n0 / max(1, (1 - y).sum()))
-    model.weights = _logistic(_expand(f), y, weight / weight.mean()).tolist()
+    x = np.array([difference(t, pair) for y in (0, 1) for t in by[y][1::2]])
+    y = np.array([y for y in (0, 1) for t in by[y][1::2]], float)
+    weight = np.where(y == 1, n1 / y.sum(), n0 / (1 - y).sum())
+    model.curve = _curve(x, y, weight / weight.mean())
     return model
 
 
-def scores(texts: list[str | None], model: CompressionModel | None, pair) -> list[float]:
+def scores(texts: list[str | None], model: CompressionModel, pair: list[zstandard.ZstdCompressor]) -> list[float]:
     """Calibrated scores of whole texts."""
-    if model is None:
-        return [0.5] * len(texts)
     out = np.full(len(texts), model.base)
-    at = [i for i, t in enumerate(texts) if t]
+    at = [i for i, t in enumerate(texts) if t and pair]
     if at:
-        z = _expand(np.array([features(texts[i], pair) for i in at])) @ np.array(model.weights)
+        z = model.curve[0] + model.curve[1] * np.array([difference(texts[i], pair) for i in at])
         out[at] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return out.tolist()
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[list[tuple[str, int]], tuple[float, float] | None]:
-    """A bounded sample of labelled texts outside the held-out split, and the sizes of the classes."""
+def training_texts(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, max_bytes: int = SAMPLE_BYTES) -> tuple[list[tuple[str, int]], tuple[float, float] | None]:
+    """Labelled texts outside the held-out split, bounded in number and in bytes, and the sizes of the classes."""
     known = labels.where(F.col("quality").isin(0, 1) & (fold_of(F.col("doc_id")) != 2)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sizes = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
-    if set(sizes) != {0, 1}:
-        return [], None
     ids = bounded_sample(known.where("quality = 0"), per_class, "doc_id").unionByName(bounded_sample(known.where("quality = 1"), per_class, "doc_id"))
-    # at most about 2 x per_class ids
-    rows = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").collect()
-    return [(r.text, r.quality) for r in rows], (sizes[0], sizes[1])
+    # at most 2 x per_class ids; repeated documents count once
+    found = docs.select("doc_id", "text").where(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = found.withColumn("upto", upto).where(F.col("upto") <= max_bytes).orderBy("doc_id").collect()
+    return [(r.text, r.quality) for r in rows], (sizes.get(0, 0), sizes.get(1, 0)) if sizes else None
 
 
-def score_quality(docs: DataFrame, model: CompressionModel | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, model: CompressionModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, ``score`` (0 to 1; higher: better)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    pair: list = []
 
-    def run(cols):
-        m = shared.value
-        if m is not None and not pair:
-            pair.extend(m.compressors())
-        return {"k": cols["k"], "score": scores(cols["t"], m, pair)}
+    def run(parts):
+        pair = shared.value.compressors() if shared.value.good else []
+        for b in parts:
+            yield {"k": b.column(0), "score": scores(b.column(1).to_pylist(), shared.value, pair)}
 
     kind = docs.schema[key].dataType.simpleString()
-    return arrow_map(docs, f"k {kind}, score double", run, F.col(key).alias("k"), F.col(text).alias("t")).withColumnRenamed("k", key)
+    return arrow_stream(docs, f"k {kind}, score double", run, F.col(key).alias("k"), F.col(text).alias("t")).withColumnRenamed("k", key)
 
 
 def quality_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
