@@ -2,9 +2,13 @@
 
 Pages are written as WARC/1.1 records (a later page with an equal payload becomes a
 revisit), the archives are read back record by record, and every archive gives one run of
-index rows sorted by URL key and time.  The runs are written, cut into ranges of that key,
-and each range merges its pieces of all runs with a loser tree, so the ranges, in order,
-are the capture histories in global order.
+index rows sorted by URL key and time.  The runs are written, cut into ranges of that key
+with a bounded number of rows, and each range merges its pieces of all runs with a loser
+tree, so the ranges, in order, are the capture histories in global order.
+
+An archive is one gzip stream of at most RECORDS_PER_ARCHIVE records: large payloads are
+written apart, fewer to an archive.  Reading inflates it a piece at a time and holds one
+record.  ``offset`` counts bytes of the inflated archive.
 
 Defined cases: null html is an empty payload; a null URL has the empty URL key; of the
 records with equal payloads all rows with the smallest page id are responses (rows without
@@ -17,8 +21,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +36,18 @@ from parlance.plans.scratch import materialise, scratch_dir
 CRLF = "\r\n"
 #: Record ids carry the page id in their last 16 digits; the second form has none.
 ID_OF_PAGE, ID_OF_NONE = "77617263-7061-4765-", "77617263-6e75-4c6c-0000-000000000000"
-#: Records in one archive; payloads from this many bytes on become revisits.
-RECORDS_PER_ARCHIVE, REVISIT_FROM = 1_500, 0
+#: Records in one archive if no payload is larger than LARGE bytes; with twice that, half of them, and so on.
+RECORDS_PER_ARCHIVE, LARGE = 1_500, 1 << 17
+#: Payloads from this many bytes on become revisits.
+REVISIT_FROM = 0
+#: Repeated payloads up to which their digests are broadcast; index rows in a range of the merge, about.
+BROADCAST_PAYLOADS, MERGE_ROWS = 200_000, 100_000
 RUN = "urlkey string, captured_at string, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, archive string, offset long"
 KEYS = ("urlkey", "captured_at", "page_id")
 
 
-def base32_digest(text: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a text: five hexadecimal digits make four letters."""
-    h = F.sha1(F.encode(text, "UTF-8"))
+def base32_digest(h: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hexadecimal: five hexadecimal digits make four letters."""
     digits = F.concat(*(F.lpad(F.conv(F.substring(h, 5 * k + 1, 5), 16, 32), 4, "0") for k in range(8)))
     return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
@@ -47,12 +58,12 @@ def _record_id(page_id: Column) -> Column:
 
 
 def records(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """One WARC record per page, as text (without its closing two line ends)."""
+    """One WARC record per page: ``value`` is its text (without its closing two line ends), ``bytes`` the size of its payload."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]", " ").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    p = p.withColumns({"digest": base32_digest(F.col("html")), "bytes": F.octet_length("html")})
-    first = p.groupBy("digest", "bytes").agg(F.min("page_id").alias("first"))
-    p = p.join(first, ["digest", "bytes"])
-    revisit = (F.col("bytes") >= revisit_from) & F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
+    p = p.withColumns({"sha": F.sha1(F.encode("html", "UTF-8")), "bytes": F.octet_length("html")})
+    again = materialise(p.groupBy("sha", "bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "bytes", "first", F.lit(True).alias("again")))
+    p = p.join(F.broadcast(again) if again.count() <= BROADCAST_PAYLOADS else again, ["sha", "bytes"], "left")
+    revisit = (F.col("bytes") >= revisit_from) & F.coalesce(F.col("again") & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html;charset=utf-8{CRLF}Content-Length: "), F.col("bytes"), F.lit(CRLF * 2))
     block = F.concat(http, F.when(revisit, "").otherwise(F.col("html")))
     when = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(31_536_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -61,38 +72,66 @@ def records(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
         ("WARC-Record-ID", _record_id(F.col("page_id"))),
         ("WARC-Target-URI", F.col("url")),
         ("WARC-Date", when),
-        ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_digest(F.col("sha")))),
         ("Content-Type", F.lit("application/http;msgtype=response")),
         ("Content-Length", F.octet_length(block)),
     ]
     lines = [F.concat(F.lit(f"{k}: "), v, F.lit(CRLF)) for k, v in head]
     about = F.when(revisit, F.concat(F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "), _record_id(F.col("first")), F.lit(CRLF))).otherwise("")
-    return p.select(F.concat(F.lit(f"WARC/1.1{CRLF}"), *lines, about, F.lit(CRLF), block).alias("value"))
+    return p.select(F.concat(F.lit(f"WARC/1.1{CRLF}"), *lines, about, F.lit(CRLF), block).alias("value"), "bytes")
 
 
 def write_archives(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM) -> None:
-    """Gzipped archives below ``path``; the line separator is what ends a record."""
-    records(pages, revisit_from).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path)
-
-
-def parse_archive(packed: bytes):
+    """Gzipped archives below ``path``, one folder for each class of size; the line separator is what ends a record."""
+    r = records(pages, revisit_from)
+    most = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    classes = 1 + max(0, math.ceil(math.log2(max(1, most) / LARGE)))
+    for k in range(classes):
+        own = r if classes == 1 else r.where((F.col("bytes") > (LARGE << k - 1 if k else -1)) & (F.col("bytes") <= LARGE << k))
+        own.select("value").write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", max(1, RECORDS_PER_ARCHIVE >> k)).text(f"{path}/size={k}")
+
+
+def _inflated(packed: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
+    """The content of gzip members, in pieces."""
+    z = zlib.decompressobj(31)
+    for i in range(0, len(packed), 1 << 16):
+        data = packed[i : i + (1 << 16)]
+        while data:
+            if part := z.decompress(data, piece):
+                yield part
+            data = z.unconsumed_tail
+            if z.eof:
+                data, z = z.unused_data, zlib.decompressobj(31)
+
+
+def parse_archive(packed: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """``(offset, headers, block)`` of each record of a gzipped archive, by its Content-Length."""
-    parts = []
-    while packed:
-        z = zlib.decompressobj(31)
-        parts.append(z.decompress(packed))
-        packed = z.unused_data
-    data = memoryview(whole := b"".join(parts))
-    at = 0
-    while at < len(whole):
-        end = whole.index(b"\r\n\r\n", at)
-        version, *lines = whole[at:end].decode("utf-8").split(CRLF)
+    source, held, at = _inflated(packed), bytearray(), 0
+
+    def fill(size: int) -> bool:
+        while len(held) < size:
+            part = next(source, None)
+            if part is None:
+                return False
+            held.extend(part)
+        return True
+
+    while fill(1):
+        seen = 0
+        while (end := held.find(CRLF.encode() * 2, max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not fill(seen + 1):
+                raise ValueError(f"no record at byte {at}")
+        version, *lines = held[:end].decode("utf-8").split(CRLF)
         if version != "WARC/1.1":
             raise ValueError(f"no record at byte {at}")
         head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
-        size = int(head["Content-Length"])
-        yield at, head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        stop = end + 4 + int(head["Content-Length"])
+        if not fill(stop + 4):
+            raise ValueError(f"the record at byte {at} is cut off")
+        yield at, head, bytes(held[end + 4 : stop])
+        del held[: stop + 4]
+        at += stop + 4
 
 
 def url_key(url: str) -> str:
@@ -110,15 +149,14 @@ def _page_of(record_id: str | None) -> int | None:
 
 def capture_runs(spark: SparkSession, path: str) -> DataFrame:
     """Index rows of all archives below ``path``: one run per archive, each sorted by URL key and time."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") > 0)
 
     def index(batches):
         for b in batches:
             for archive, packed in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 run = []
                 for offset, head, block in parse_archive(packed.as_py()):
-                    raw = bytes(block)
-                    http, _, payload = raw.partition(b"\r\n\r\n")
+                    http, _, payload = block.partition(b"\r\n\r\n")
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     size = int(http.rpartition(b"Content-Length: ")[2])
                     if head["WARC-Type"] == "response":
@@ -133,9 +171,9 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 class LoserTree:
-    """Merges k sorted lists: every inner node keeps the loser of its match, the winner moves up."""
+    """Merges k sorted iterators: every inner node keeps the loser of its match, the winner moves up."""
 
-    def __init__(self, runs: list[list], key):
+    def __init__(self, runs: list, key):
         self.runs, self.key, self.k = [iter(r) for r in runs], key, len(runs)
         self.head = [self._pull(i) for i in range(self.k)]
         self.loser = [-1] * max(1, self.k)
@@ -172,20 +210,35 @@ class LoserTree:
             self._play(i)
 
 
+def pieces_of_runs(parts: Iterator[pa.RecordBatch]) -> dict[str, list[pa.RecordBatch]]:
+    """The rows of each archive's run, as they came, by archive; parts are sorted by archive."""
+    by: dict[str, list[pa.RecordBatch]] = {}
+    for b in parts:
+        which = b.column("archive").dictionary_encode()
+        cuts = [0, *(np.flatnonzero(np.diff(which.indices.to_numpy())) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            by.setdefault(which[i].as_py(), []).append(b.slice(i, j - i))
+    return by
+
+
+def _rows(pieces: list[pa.RecordBatch]) -> Iterator[tuple]:
+    for p in pieces:
+        for i in range(0, p.num_rows, 64):
+            yield from zip(*(c.to_pylist() for c in p.slice(i, 64).columns), strict=True)
+
+
 def merge_runs(runs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """All index rows in global order of URL key and time, each with its capture's place in the range's history."""
-    n = ranges or int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """All index rows in global order of URL key and time.
+
+    A range holds about MERGE_ROWS rows at most, as Arrow columns; the tree holds one row of each run.
+    """
+    n = ranges or max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(runs.count() / MERGE_ROWS))
     names = [x.split()[0] for x in RUN.split(", ")]
     dealt = runs.repartitionByRange(n, *KEYS).sortWithinPartitions("archive", *KEYS)
 
-    def merge(batches):
-        by: dict[str, list] = {}
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                by.setdefault(row[7], []).append(row)
-        tree = LoserTree(list(by.values()), lambda r: (r[0], r[1], -(2**64) if r[2] is None else r[2]))
+    def merge(parts):
         out = []
-        for row in tree:
+        for row in LoserTree([_rows(p) for p in pieces_of_runs(parts).values()], lambda r: (r[0], r[1], -(2**64) if r[2] is None else r[2])):
             out.append(row)
             if len(out) >= 4096:
                 yield dict(zip(names, map(list, zip(*out, strict=True)), strict=True))
