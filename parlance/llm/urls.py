@@ -116,7 +116,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     cols = ("range", "key", "is_url", "id", "host", "path", "action")
     rows = parsed.select(place("key", "spread").alias("range"), "key", F.lit(1).alias("is_url"), "id", "host", "path", F.lit(None).cast("string").alias("action"))
     rows = rows.unionByName(rule.select(F.explode(places("key")).alias("range"), "key", F.lit(0).alias("is_url"), F.lit(None).cast(kind).alias("id"), "host", "path", "action"))
-    rows = rows.repartition(n, "range").sortWithinPartitions("range", "key", "is_url", "path", "action")
+    rows = rows.repartitionById(n, F.col("range")).sortWithinPartitions("range", "key", "is_url", "path", "action")
 
     def judge(batches):
         def tuples():
