@@ -4,10 +4,12 @@ Native: DataFrame functions only.
 
 1. Words are lower-cased runs of letters and digits.  A shingle is five words (an item of
    fewer words is one shingle of all of them).
-2. Windows have the size of an item.  One that starts before its first shared shingle can
-   move on to it and lose none, so the best window starts at a shared shingle, or is the last
-   of the document; all these are laid, and those where a shared shingle aligns with the item.
-   Windows with too few shared shingles to reach the threshold are left out.
+2. Windows have the size of an item.  A window without a shared shingle has similarity 0, and
+   one that starts before its first shared shingle can move on to it and lose none, so the
+   best window starts at a shared shingle, or is the last of the document; all these are laid,
+   and those where a shared shingle aligns with the item.  Windows with too few shared shingles
+   to reach the threshold are left out.  (Fingerprints of every window of every item's size,
+   in this native form, cost far beyond the limits; the README has the figures.)
 3. Each window and item gets a 64-bit SimHash of its weighted shingles (weight: how often it
    occurs).  The bits are cut into RADIUS + 1 blocks: two fingerprints within RADIUS agree
    in one block at least, so a join on (window size, block, its bits) finds all of them.
@@ -57,9 +59,12 @@ def shingles_of(words: Column, k: Column) -> Column:
     return F.when(F.size(words) < k, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " ")))
 
 
-def simhash(shingles: Column) -> Column:
-    """Bit b is set when the weights of shingles with that bit outweigh the others."""
-    hashes = F.transform(shingles, lambda s: F.xxhash64(s))
+def shingle_hashes(shingles: Column) -> Column:
+    return F.transform(shingles, lambda s: F.xxhash64(s))
+
+
+def simhash(hashes: Column) -> Column:
+    """Bit b is set when the weights of shingles with that bit outweigh the others; hashes: of all shingles, as a column of its own."""
 
     def bit(b):
         one = F.aggregate(hashes, F.lit(0), lambda a, h: a + (F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1)) * 2 - 1).cast("int"))
@@ -142,8 +147,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """``(doc_id, item_id, similarity, start_word, n_words)``: the best window of each document for each item it holds."""
     items = items_of(benchmark.select("item_id", "text"))
     w = candidate_windows(docs.select("doc_id", "text"), items, threshold).withColumn("shingles", shingles_of(F.split("window", " "), F.col("k")))
-    w = w.withColumn("print", simhash(F.col("shingles"))).withColumn("at", F.explode(blocks_of(F.col("print"), radius)))
-    i = items.withColumn("item_shingles", shingles_of(F.col("item_words"), F.col("k"))).withColumn("item_print", simhash(F.col("item_shingles"))).withColumn("at", F.explode(blocks_of(F.col("item_print"), radius)))
+    w = w.withColumn("hashes", shingle_hashes(F.col("shingles"))).withColumn("print", simhash(F.col("hashes"))).drop("hashes").withColumn("at", F.explode(blocks_of(F.col("print"), radius)))
+    i = items.withColumn("item_shingles", shingles_of(F.col("item_words"), F.col("k"))).withColumn("hashes", shingle_hashes(F.col("item_shingles"))).withColumn("item_print", simhash(F.col("hashes"))).withColumn("at", F.explode(blocks_of(F.col("item_print"), radius)))
     i = i.select("item_id", "item_no", "item_len", "item_shingles", "item_print", "at")
     small = items.agg(F.sum("item_len")).first()[0] or 0
     if small <= BROADCAST_SHINGLES // 10:
@@ -163,20 +168,24 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
 
 
+#: Every item-sized window that shares a shingle with the item; start_word is chosen as the query chooses it.
 SQL = rf"""
 WITH iw AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
 i AS (SELECT item_id, w, len(w) AS n, least({SHINGLE}, len(w)) AS k FROM iw WHERE len(w) > 0),
 ish AS (SELECT item_id, n, k, j, array_to_string(w[j:j + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, n - k + 2)) AS j FROM i)),
 d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
-dsh AS (SELECT doc_id, w, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i))),
-c AS (SELECT DISTINCT doc_id, item_id, n, ish.k, greatest(0, least(p - j, len(w) - n)) AS start FROM dsh JOIN ish ON dsh.s = ish.s AND dsh.k = ish.k WHERE len(w) >= n),
+dsh AS (SELECT doc_id, len(w) AS size, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i))),
+hit AS (SELECT DISTINCT doc_id, item_id, n, ish.k, p, j, greatest(0, size - n) AS final FROM dsh JOIN ish ON dsh.s = ish.s AND dsh.k = ish.k),
+c AS (SELECT DISTINCT doc_id, item_id, n, k, unnest(range(greatest(0, least(final, p + k - 1 - n)), greatest(0, least(final, p - 1)) + 1)) AS start FROM hit),
+al AS (SELECT DISTINCT doc_id, item_id, greatest(0, least(p - j, final)) AS start, true AS aligned FROM hit),
+fi AS (SELECT doc_id, item_id, p - 1 AS start, true AS laid FROM hit WHERE p - 1 <= final UNION SELECT doc_id, item_id, final, true FROM hit),
 win AS (SELECT doc_id, item_id, n, k, start, w[start + 1:start + n] AS w FROM c JOIN d USING (doc_id)),
-wsh AS (SELECT doc_id, item_id, start, n, array_to_string(w[q:q + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, n - k + 2)) AS q FROM win)),
-wc AS (SELECT doc_id, item_id, start, n, s, count(*) AS m FROM wsh GROUP BY ALL),
+wsh AS (SELECT doc_id, item_id, start, len(w) AS n, len(w) - k + 1 AS wt, array_to_string(w[q:q + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS q FROM win)),
+wc AS (SELECT doc_id, item_id, start, n, wt, s, count(*) AS m FROM wsh GROUP BY ALL),
 ic AS (SELECT item_id, s, count(*) AS m FROM ish GROUP BY ALL),
 tot AS (SELECT item_id, sum(m) AS t FROM ic GROUP BY ALL),
-sim AS (SELECT doc_id, item_id, start, n, CAST(sum(least(wc.m, ic.m)) AS DOUBLE) AS shared, any_value(t) AS t, any_value(t) AS wt FROM wc JOIN ic USING (item_id, s) JOIN tot USING (item_id) GROUP BY ALL),
-r AS (SELECT doc_id, item_id, start, n, round(shared / (t + wt - shared), 6) AS similarity FROM sim)
-SELECT doc_id, item_id, max(similarity) AS similarity, CAST(arg_max(start, (similarity, -start)) AS INTEGER) AS start_word, CAST(any_value(n) AS INTEGER) AS n_words
+sim AS (SELECT doc_id, item_id, start, n, CAST(sum(least(wc.m, ic.m)) AS DOUBLE) AS shared, any_value(t) AS t, any_value(wt) AS wt FROM wc JOIN ic USING (item_id, s) JOIN tot USING (item_id) GROUP BY ALL),
+r AS (SELECT doc_id, item_id, start, n, round(shared / (t + wt - shared), 6) AS similarity, coalesce(aligned, false) AS aligned, coalesce(laid, false) AS laid FROM sim LEFT JOIN al USING (doc_id, item_id, start) LEFT JOIN fi USING (doc_id, item_id, start))
+SELECT doc_id, item_id, max(similarity) AS similarity, CAST(arg_max(start, (similarity, aligned, laid, -start)) AS INTEGER) AS start_word, CAST(arg_max(n, (similarity, aligned, laid, -start)) AS INTEGER) AS n_words
 FROM r WHERE similarity >= {THRESHOLD} GROUP BY doc_id, item_id
 """
