@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from parlance.llm import decontaminate, nearcopies, urls, warc
-from parlance.llm.common import table
+from parlance.llm.common import spread, table
 
 
 def _tokenizer() -> str:
@@ -15,61 +15,61 @@ def _tokenizer() -> str:
 def op1_secret_scan(spark, sf_dir):
     from parlance.llm.secrets import secret_digests
 
-    return secret_digests(table(spark, sf_dir, "documents"))
+    return secret_digests(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_sentencepiece(spark, sf_dir):
     from parlance.llm.pieces import piece_digests
 
-    return piece_digests(table(spark, sf_dir, "documents"), _tokenizer())
+    return piece_digests(spread(table(spark, sf_dir, "documents")), _tokenizer())
 
 
 def op3_near_duplicates(spark, sf_dir):
     from parlance.llm.nearcopies import near_components
 
-    return near_components(table(spark, sf_dir, "documents"))
+    return near_components(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_warc(spark, sf_dir):
     from parlance.llm.warc import warc_table
 
-    return warc_table(table(spark, sf_dir, "pages"))
+    return warc_table(spread(table(spark, sf_dir, "pages")))
 
 
 def op5_url_filter(spark, sf_dir):
     from parlance.llm.urls import url_verdicts
 
-    return url_verdicts(table(spark, sf_dir, "pages"))
+    return url_verdicts(spread(table(spark, sf_dir, "pages")))
 
 
 def op6_phrase_fingerprint(spark, sf_dir):
     from parlance.llm.phrases import phrase_table
 
-    return phrase_table(table(spark, sf_dir, "documents"))
+    return phrase_table(spread(table(spark, sf_dir, "documents")))
 
 
 def op7_decontaminate(spark, sf_dir):
     from parlance.llm.decontaminate import find_leaks
 
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op8_quality(spark, sf_dir):
     from parlance.llm.quality import quality_table
 
-    return quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_table(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op9_repeats(spark, sf_dir):
     from parlance.llm.repeats import repeats_table
 
-    return repeats_table(table(spark, sf_dir, "documents"))
+    return repeats_table(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_language_id(spark, sf_dir):
     from parlance.llm.language import language_table
 
-    return language_table(table(spark, sf_dir, "documents"))
+    return language_table(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_near_duplicates, op4_warc, op5_url_filter, op6_phrase_fingerprint, op7_decontaminate, op8_quality, op9_repeats, op10_language_id)}

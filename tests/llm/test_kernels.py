@@ -1,7 +1,9 @@
 """The local parts of the operators, against the library they equal or a brute-force version."""
 
 import hashlib
+import math
 import random
+import unicodedata
 import re
 
 import numpy as np
@@ -31,7 +33,7 @@ def test_pieces_odd_texts(text):
     m = pieces.model(PATH)
     assert m.encode(text) == LIB.encode(text)
     assert m.decode(m.encode(text)) == LIB.decode(LIB.encode(text))
-    joined = [m.word(w) for w in m.words_of(text)]
+    joined = [pieces.KnownWords(m).word(w) for w in m.words_of(text)]
     assert [int(i) for j in joined for i in j[1].split(",")] == LIB.encode(text)
 
 
@@ -87,13 +89,43 @@ def test_phrase_fork_equals_a_fresh_parse(text, tail, cut):
     assert (a == phrases.fingerprint(text)).all() and (b == phrases.fingerprint(edited)).all()
 
 
-def test_phrases_restart(monkeypatch):
-    monkeypatch.setattr(phrases, "MAX_PHRASES", 50)
+def plain_fingerprint(text, limit):
+    """Independent version: phrases as byte strings, hashes and minima in Python integers."""
+    known, phrase, found = {b""}, b"", set()
+    for c in text.encode():
+        phrase += bytes([c])
+        if phrase not in known:
+            if len(known) - 1 == limit:
+                known = {b""}
+            known.add(phrase)
+            found.add(phrase)
+            phrase = b""
+            if len(known) - 1 == limit:
+                known = {b""}
+    m, out = 2**64 - 1, []
+    hashes = []
+    for x in found:
+        h = sum((c + 1) * pow(int(phrases._P), k, 2**64) for k, c in enumerate(x)) + len(x) & m
+        h = (h ^ h >> 32) * 0xBF58476D1CE4E5B9 & m
+        hashes.append(h ^ h >> 29)
+    for a, b in zip(phrases._A.tolist(), phrases._B.tolist(), strict=True):
+        low = min(((h * a + b) & m for h in hashes), default=m)
+        out.append(0xFFFF if low == m else min((low ^ low >> 31) * 0x9FB21C651E98DF25 % 2**64 >> 48, 0xFFFE))
+    return out
+
+
+@pytest.mark.parametrize("limit", [3, 50, 1 << 20])
+def test_fingerprint_equals_a_plain_version_and_does_not_depend_on_the_split(monkeypatch, limit):
+    monkeypatch.setattr(phrases, "MAX_PHRASES", limit)
     monkeypatch.setattr(phrases, "_CHUNK", 64)
-    text = "".join(random.Random(1).choices("abcdef ", k=4000))
-    a, b = phrases.both(text, text[:1000] + "xyz" * 300, 1000)
-    assert a.shape == b.shape == (phrases.SLOTS,)
-    assert phrases.likeness(a, phrases.fingerprint("")) == 0 and phrases.likeness(phrases.fingerprint(None), phrases.fingerprint("")) == 1
+    r = random.Random(limit)
+    for n in (0, 1, 30, 400, 4000):
+        text, tail = ("".join(r.choices("abcdé ", k=k)) for k in (n, n // 3))
+        cut = r.randrange(n + 1)
+        a, b = phrases.both(text, text[:cut] + tail, cut)
+        assert a.tolist() == phrases.fingerprint(text).tolist() == plain_fingerprint(text, limit)
+        assert b.tolist() == phrases.fingerprint(text[:cut] + tail).tolist()
+    assert phrases.likeness(phrases.fingerprint("abc"), phrases.fingerprint("")) == 0 and phrases.likeness(phrases.fingerprint(None), phrases.fingerprint("")) == 1
 
 
 @settings(max_examples=100, deadline=None)
@@ -158,20 +190,123 @@ def test_anchor_blocks(monkeypatch):
     assert all((x == y).all() for x, y in zip(whole, repeats.anchors(data), strict=True))
 
 
-def test_language_backoff():
+def plain_language(counts, prior, text):
+    """Independent version: dictionaries of floats, words found character by character."""
+    words, word = [], ""
+    for c in text.lower() + " ":
+        kind = unicodedata.category(c)[0]
+        if kind == "L" or kind == "M" and word:
+            word += c
+        elif word:
+            words.append(word)
+            word = ""
+    if not words:
+        return "und", 0.0
+    langs = sorted(prior)
+    tables = [{}]
+    for g in langs:
+        for w, n in counts[g].items():
+            tables[0].setdefault(w, dict.fromkeys(langs, 0.1))[g] += n
+    for size in (1, 2, 3, 4):
+        grams = {}
+        for g in langs:
+            for w, n in counts[g].items():
+                for k in range(len(w) + 3 - size):
+                    grams.setdefault(f"<{w}>"[k : k + size], dict.fromkeys(langs, 0.1))[g] += n
+        tables.append(grams)
+    total = {g: math.log(prior[g] / sum(prior.values())) for g in langs}
+    for w in words:
+        found = [w] if w in tables[0] else []
+        size = 0
+        if not found:
+            for size in (4, 3, 2, 1):
+                if found := [x for k in range(len(w) + 3 - size) if (x := f"<{w}>"[k : k + size]) in tables[size]]:
+                    break
+        for g in langs:
+            mass = sum(v[g] for v in tables[size].values())
+            total[g] += sum(math.log(tables[size][x][g] / mass) for x in found) / max(1, len(found)) * min(1, 60 / len(words))
+    best = max(langs, key=lambda g: (total[g], [-ord(c) for c in g]))
+    return best, 1 / sum(math.exp(v - total[best]) for v in total.values())
+
+
+def test_language_equals_a_plain_version(monkeypatch):
+    monkeypatch.setattr(language, "CACHE_WORDS", 7)
+    monkeypatch.setattr(language, "CACHED_LENGTH", 6)
+    counts = {"de": {"haus": 5, "und": 9, "schön": 2}, "en": {"house": 5, "and": 9, "nice": 3}, "hi": {"नमस्ते": 4, "है": 6}}
+    prior = {"de": 3, "en": 4, "hi": 1}
+    m = language.LanguageModel(counts, prior)
+    r = random.Random(4)
+    letters = "abdehnosuÜéहैनमस्ते½²Ⅷ0_- !"
+    for k in range(300):
+        text = "".join(r.choices(letters, k=r.randrange(60))) + r.choice(["", " und Haus", " house" * 80, " नमस्ते"])
+        got, want = m.predict(text), plain_language(counts, prior, text)
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], rel=1e-3), text
+
+
+def test_language_of_no_letters_and_of_marks():
     m = language.LanguageModel({"de": {"haus": 5, "und": 9}, "en": {"house": 5, "and": 9}}, {"de": 2, "en": 2})
     assert m.predict("und Haus")[0] == "de" and m.predict("hausen")[0] == "de" and m.predict("houses")[0] == "en"
-    assert m.predict(None) == m.predict("12 !?") == ("und", 0.0)
-    assert language.LanguageModel({}, {}).predict("word") == ("und", 0.0)
+    assert {m.predict(t) for t in (None, "", "12 !?", "½²", "Ⅷ", "\u0301\u0940", "٣", "_")} == {("und", 0.0)}
+    assert language.words_of("नमस्ते दुनिया, x2y ÀB") == ["नमस्ते", "दुनिया", "x", "y", "àb"]
+    assert m.predict("zzzz qqqq")[0] in ("de", "en") and language.LanguageModel({}, {}).predict("word") == ("und", 0.0)
+    same = language.LanguageModel({"b": {"x": 1}, "a": {"x": 1}}, {"a": 1, "b": 1})
+    assert same.predict("x") == ("a", 0.5)
 
 
-def test_quality_needs_both_classes():
-    assert quality.fit([("good text", 1)] * 50) is None
-    assert quality.scores(["a", None], None, None) == [0.5, 0.5]
+def test_quality_without_enough_labels():
+    assert quality.scores(["a", None], quality.fit([]), []) == [0.5, 0.5]
+    only = quality.fit([("good text", 1)] * 50)
+    assert quality.scores(["a", None], only, []) == [1.0, 1.0]
+    few = quality.fit([("good words in here", 1)] * 2 + [("BAD ### $$$", 0)] * 2)  # too little to train on: raw dictionaries
+    s = quality.scores(["good words in here", "BAD ### $$$"], few, few.compressors())
+    assert s[0] > 0.5 > s[1]
+
+
+def test_quality_equals_a_plain_version():
+    import zstandard
+
     rng = random.Random(9)
-    good = [" ".join(rng.choices(["the", "report", "explains", "findings", "carefully", "and", "results"], k=120)) for _ in range(80)]
-    bad = [" ".join(rng.choices(["BUY!!", "NOW###", "$$$", "CLICK", "zzz@@"], k=120)) for _ in range(80)]
+    good = [" ".join(rng.choices(["the", "report", "explains", "findings", "carefully", "and", "results"], k=rng.randrange(20, 900))) for _ in range(80)]
+    bad = [" ".join(rng.choices(["BUY!!", "NOW###", "$$$", "CLICK", "zzz@@"], k=rng.randrange(20, 900))) for _ in range(80)]
     m = quality.fit([(t, 1) for t in good] + [(t, 0) for t in bad])
-    s = quality.scores([*good[:5], *bad[:5], "", None], m, m.compressors())
-    assert min(s[:5]) >= 0.7 > max(s[5:10]) and s[10] == s[11] == m.base
-    assert hashlib.sha256(m.good).digest() != hashlib.sha256(m.bad).digest()
+    texts = [*good[:5], *bad[:5], "é" * 5000, "", None]
+    s = quality.scores(texts, m, m.compressors())
+    assert min(s[:5]) >= 0.7 > max(s[5:10]) and s[11] == s[12] == m.base == 0.5
+    assert m.good[0] != m.bad[0]
+    for t, got in zip(texts[:11], s, strict=False):
+        size = []
+        for d, kind in (m.good, m.bad):
+            c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_checksum=False, write_content_size=False, write_dict_id=False)
+            data, n = t.encode(), 0
+            while data:
+                n, data = n + len(c.compress(data[:1024])), data[1024:]
+            size.append(n)
+        z = m.curve[0] + m.curve[1] * (size[1] - size[0]) / len(t.encode())
+        assert got == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
+    # the curve is a calibration: on balanced random texts it says nothing, and it never gets surer than its labels allow
+    noise = [("".join(rng.choices("abcdefgh ", k=300)), y) for y in (0, 1) for _ in range(60)]
+    m = quality.fit(noise)
+    assert all(0.2 < x < 0.8 for x in quality.scores([t for t, _ in noise[1::2]], m, m.compressors()))
+
+
+def test_slices_are_bounded():
+    import pyarrow as pa
+
+    from parlance.llm import common
+
+    b = pa.RecordBatch.from_pydict({"t": ["x" * 3_000_000] * 3 + ["y"] * 5 + ["z" * 9_000_000, None]})
+    parts = list(common.slices(iter([b, b.slice(0, 0)])))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == b.column(0).to_pylist()
+    assert all(p.num_rows == 1 or p.nbytes <= common.BATCH_BYTES for p in parts)
+    keyed = pa.RecordBatch.from_pydict({"k": [1, 1, 2, 2, 3], "v": list("abcde")})
+    assert list(common.groups_of(iter([keyed.slice(0, 1), keyed.slice(1)]), 1)) == [((1,), [("a",), ("b",)]), ((2,), [("c",), ("d",)]), ((3,), [("e",)])]
+    assert list(common.groups_of(iter([]), 1)) == []
+
+
+def test_free_runs_equal_a_plain_version():
+    r = random.Random(3)
+    for _ in range(300):
+        text = "".join(r.choices("abcdefgh12 ", k=200))
+        taken = sorted((a, 0, a + r.randrange(1, 30)) for a in r.sample(range(190), r.randrange(6)))
+        want = [m.span() for m in secrets._WORD.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in taken)]
+        assert secrets._free(text, taken, secrets._WORD) == want

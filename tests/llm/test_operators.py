@@ -52,6 +52,42 @@ def test_secrets(docs, none, spark):
     assert masked[13] == "[SECRET] [SECRET]" and masked[5] is None and masked[8] == "one two"
 
 
+def test_secret_models_from_a_table(spark):
+    """Trained by fit() on weak labels: keys of random letters are found, words and identifiers are left alone."""
+    r = random.Random(12)
+    key = lambda n: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    names = lambda n: "_".join(r.choices(WORDS, k=n))
+    rows = [(i, f"{prose(i, 30)} {names(4)} token={key(30)} {names(6)}") for i in range(300)]
+    bare = [(1_000 + i, f"{prose(i, 10)} {key(32)} {names(5)} {names(7)}") for i in range(200)]
+    d, e = (spark.createDataFrame(x, "doc_id long, text string") for x in (rows, bare))
+    got = {x.doc_id: x.spans for x in secrets.scan_secrets(e, secrets.fit(d)).collect()}
+    hits = [[s for s in got[i] if s.kind == "markov"] for i, _ in bare]
+    right = sum(any(s.end - s.start == 32 for s in h) for h in hits)
+    assert right >= 180 and sum(map(len, hits)) - right <= 5  # recall and precision of 0.9 and 0.97 at least
+    llr = secrets.train(d.select(F.lit(None).cast("string").alias("value"), F.lit(1).alias("label")))
+    assert llr.shape == (secrets.SIZE, secrets.SIZE) and abs(llr).max() < 1e-9  # no sample: both uniform
+
+
+def test_spread_deals_only_small_scans(spark):
+    from parlance.llm.common import spread
+
+    few = spark.range(100).coalesce(1)
+    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(few).count() == 100
+    many = spark.range(0, 100, 1, 50)
+    assert spread(many) is many
+
+
+def test_bounded_sample(spark):
+    from parlance.llm.common import bounded_sample
+
+    d = spark.range(20_000)
+    assert bounded_sample(d, 30_000, "id").count() == 20_000
+    assert 800 <= bounded_sample(d, 1_000, "id").count() <= 1_000
+    hot = d.select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"))
+    assert 500 <= bounded_sample(hot, 1_000, "k").count() <= 1_000
+    assert bounded_sample(d.select(F.lit(5).alias("k")), 1_000, "k").count() == 1_000
+
+
 def test_pieces(docs, none):
     import sentencepiece
 
@@ -111,6 +147,11 @@ def test_near_copies_of_a_large_leaf(spark, monkeypatch):
     check_components(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_near_copies_with_shuffled_sets(docs, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BROADCAST_IDS", 0)
+    check_components(docs, rows_of_texts())
+
+
 def test_near_copies_without_an_id(spark):
     rows = [(None, prose(1, 60)), (4, prose(1, 60)), (None, prose(2, 60)), (None, None)]
     got = nearcopies.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -135,6 +176,24 @@ def test_warc(spark, monkeypatch):
     assert keys == sorted(keys)
 
 
+def test_warc_of_large_payloads_and_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_PER_ARCHIVE", 2)
+    monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", 0)
+    monkeypatch.setattr(warc, "MERGE_ROWS", 10)
+    rows = [(i, f"http://h{i % 7}.org/{i % 3}", "x" * i if i % 5 else "same") for i in range(60)] + [(90, "http://big/", "ab\r\n\r\n" * 8_500_000), (91, "http://big/", "é" * 200_000)]
+    p = spark.createDataFrame([(i, u, h) for i, u, h in rows if i != 90], "page_id long, url string, html string").repartition(5)
+    p = p.unionByName(spark.range(1).select(F.lit(90).cast("long").alias("page_id"), F.lit("http://big/").alias("url"), F.repeat(F.lit("ab\r\n\r\n"), F.lit(8_500_000)).alias("html")))
+    got = warc.warc_table(p).collect()
+    want = Counter()
+    for i, _, h in rows:
+        b = h.encode()
+        first = min(j for j, _, g in rows if g == h)
+        want[i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if i == first else "revisit", None if i == first else first] += 1
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+    keys = [(r.urlkey, r.captured_at, r.page_id) for r in got]
+    assert keys == sorted(keys)
+
+
 def test_urls(spark):
     rows = [(0, "http://www.Example.com/en/x"), (1, "https://example.com/en/"), (2, "http://a.net/es/1?q"), (3, "ftp://com"), (4, None), (5, "no scheme"), (6, "http://b.net/fr/#x"), (7, "http://x.org/"), (7, "http://x.org/")]
     d = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, host string")
@@ -153,6 +212,16 @@ def test_urls(spark):
     assert urls.url_verdicts(d.where("false")).count() == 0
 
 
+def test_urls_of_any_length_without_id_and_with_equal_rules(spark):
+    long = "http://" + "a." * 3000 + "net/es/" + "x" * 50_000
+    rows = [(None, long), (1, "http://net/es/"), (1, "http://net/es/"), (2, "http://b.net/es/fr"), (3, "")]
+    rules = [("block", "net", "/es/"), ("allow", "net", "/es/"), ("allow", "b.net", "/es"), ("allow", None, "/es/"), ("block", "net", None)]
+    d, r = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(rules, "action string, host string, path string")
+    got = Counter((x.page_id, len(x.path), x.rule, x.verdict) for x in urls.judge_urls(d, r, ranges=3).collect())
+    assert got == Counter([(None, 50_004, "net/es/", "allow"), (1, 4, "net/es/", "allow"), (1, 4, "net/es/", "allow"), (2, 6, "b.net/es", "allow"), (3, 0, None, "allow")])
+    assert urls.judge_urls(d, r.where("false")).where("rule is null").count() == 5
+
+
 def test_urls_of_one_hot_host(spark):
     rows = [(i, "http://www.example.com/en/a" if i % 3 else f"http://h{i}.net/es/") for i in range(400)]
     d = spark.createDataFrame(rows, "page_id long, url string")
@@ -228,6 +297,38 @@ def test_windows_between_two_alignments_are_laid(spark):
     assert [x.start_word for x in decontaminate.find_leaks(twice, b).collect()] == [1]
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_leaks_equal_all_windows(spark, monkeypatch, few):
+    """Items of several lengths, documents with changed and moved words: brute force over every item-sized window; few = 0: shuffled joins."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", few)
+    monkeypatch.setattr(decontaminate, "BROADCAST_PLACES", few)
+    r = random.Random(17)
+    items = [r.choices(WORDS, k=n) for n in (3, 5, 8, 15, 31, 59)]
+    rows = []
+    for j in range(60):
+        words = list(r.choice(items))
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(words))
+            words[at : at + r.randrange(2)] = r.choices(WORDS, k=r.randrange(3))
+            words = words or ["x"]
+        rows.append(r.choices(WORDS, k=r.randrange(40)) + words + r.choices(WORDS, k=r.randrange(40)))
+    want = {}
+    for i, w in enumerate(rows):
+        for j, item in enumerate(items):
+            k = min(5, len(item))
+            bag = lambda x, k=k: Counter(tuple(x[p : p + k]) for p in range(len(x) - k + 1))
+            best = 0
+            for at in range(max(1, len(w) - len(item) + 1)):
+                x, y = bag(w[at : at + len(item)]), bag(item)
+                best = max(best, round((x & y).total() / max(1, (x | y).total()), 6))
+            if best >= 0.8:
+                want[i, j] = best
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    b = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.find_leaks(d, b).collect()}
+    assert got == want and len(want) > 20
+
+
 def test_hamming_blocks_find_all_within_the_radius(spark):
     r = random.Random(2)
     base = r.getrandbits(64) - 2**63
@@ -252,32 +353,40 @@ def test_quality(spark, docs, none):
 
 
 def brute_repeats(rows, length):
-    """Distinct (id, text) rows are the documents."""
-    data = {(i, t): (t or "").encode() for i, t, *_ in rows}
-    c = Counter(d[p : p + length] for d in data.values() for p in range(len(d) - length + 1))
+    """Distinct (id, text) rows are the documents; a row without an id is one of its own."""
+    data = {(i, t, k if i is None else None): (t or "").encode() for k, (i, t, *_) in enumerate(rows)}
+    c = Counter(hashlib.blake2b(d[p : p + length], digest_size=8).digest() for d in data.values() for p in range(len(d) - length + 1))
     out = Counter()
-    for i, t, *_ in rows:
-        d = data[i, t]
+    for k, (i, t, *_) in enumerate(rows):
+        d = data[i, t, k if i is None else None]
         gone = bytearray(len(d))
         for p in range(len(d) - length + 1):
-            if c[d[p : p + length]] > 1:
+            if c[hashlib.blake2b(d[p : p + length], digest_size=8).digest()] > 1:
                 gone[p : p + length] = b"\1" * length
         kept = bytes(x for x, g in zip(d, gone, strict=True) if not g)
         out[i, len(d), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()] += 1
     return out
 
 
-@pytest.mark.parametrize("limit", [512, 1])
-def test_repeats(docs, none, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "few"), [(512, 300_000), (1, 0)])
+def test_repeats(docs, none, monkeypatch, limit, few):
+    """few = 0: texts are joined by a shuffle; limit = 1: every bucket is narrowed to single starts."""
     monkeypatch.setattr(repeats, "GROUP_LIMIT", limit)
-    short = docs.where("doc_id not in (10, 11)")
-    got = repeats.repeats_table(short).collect()
-    rows = [r for r in rows_of_texts() if r[0] not in (10, 11)]
+    monkeypatch.setattr(repeats, "BROADCAST_IDS", few)
+    got = repeats.repeats_table(docs if few else docs.where("doc_id not in (10, 11)")).collect()
+    rows = [r for r in rows_of_texts() if few or r[0] not in (10, 11)]
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 400)
-    if limit == 512:
+    if few:
         assert repeats.repeats_table(none).count() == 0
 
 
+def test_repeats_without_an_id(spark):
+    p, q = prose(31, 120), prose(32, 120)
+    rows = [(None, p), (None, p), (None, q), (7, prose(33, 30) + q), (8, prose(34, 100)), (8, prose(34, 100)), (None, None)]
+    got = repeats.repeats_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == brute_repeats(rows, 400)
+
+
 def test_repeats_inside_one_document_and_of_near_ends(spark):
     r = random.Random(8)
     text = lambda n: "".join(r.choices("abcdefgh ", k=n))
@@ -287,6 +396,18 @@ def test_repeats_inside_one_document_and_of_near_ends(spark):
     assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == brute_repeats(rows, 400)
 
 
+def test_long_texts_with_fitted_models(spark):
+    long_de, long_good = "haus und strasse " * 40_000, prose(5, 60_000)
+    junk = lambda i: " ".join(random.Random(i).choices(["BUY!!", "NOW##", "haus", "und", "nicht"], k=60 + 20 * i))
+    rows = [(i, prose(i, 60 + 20 * i), "en") for i in range(0, 60, 2)] + [(i, junk(i), "de") for i in range(1, 60, 2)] + [(100, long_de, None), (101, long_good, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, quality int")
+    got = {x.doc_id: x.lang_pred for x in language.language_table(d).collect()}
+    assert got[100] == "de" and got[101] == "en"
+    score = {x.doc_id: x.predicted for x in quality.quality_table(d, labels).collect()}
+    assert score[101] == 1 and all(score[i] == 1 - i % 2 for i in range(60))
+
+
 def test_languages(spark, docs, none):
     de, en = ["haus", "und", "nicht", "strasse", "schön"], ["house", "and", "not", "street", "nice"]
     r = random.Random(6)

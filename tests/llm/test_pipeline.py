@@ -49,5 +49,14 @@ def test_pipeline(spark, tmp_path):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_pipeline_of_long_and_repeated_texts_and_extra_columns(spark, tmp_path):
+    texts = [prose(i, EN if i % 2 else DE) for i in range(20)] + [prose(50, EN, 60_000)]
+    rows = [(i, t, "en" if i % 2 else "de", "s", len(t), "clash", 1.0) for i, t in enumerate(texts)]
+    spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, lang string, source string, n_chars long, found string, lang_score double").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(99, EN, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted([*range(21), 3])  # rows of one id are one document
+
+
 def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, write(spark, tmp_path, [], [])).count() == 0
