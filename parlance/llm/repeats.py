@@ -1,26 +1,31 @@
 """Suffix-array dedup by bucket refinement: remove bytes of strings that start twice.
 
 A string of LENGTH bytes is removed wherever it starts if it also starts anywhere else.
-Suffixes are put into buckets by a q-gram of GRAM bytes, and buckets are refined by sorting
-on the identifiers of what stands at further offsets, each refinement reusing the last:
 
-1. The q-grams used are minimizers: every string of LENGTH bytes picks the q-gram with the
-   smallest hash among those inside it, so equal strings pick the same one at the same place.
-   Each pick is responsible for a short range of starts.  A bucket with one member is unique.
+The dealt method is bucket-pointer refinement: suffixes lie in buckets of an initial q-gram,
+and buckets are refined by sorting on the bucket identifiers of later offsets, round after
+round.  Run over every byte that would shuffle each position in each round (24 bytes and
+more per byte of text and round), so the suffixes are sampled first, and the identifiers of
+later offsets are those of a bucket's own sorted contexts:
+
+1. The q-grams used are minimizers: every string of LENGTH bytes picks the q-gram of GRAM bytes
+   with the smallest hash among those inside it, so equal strings pick the same one at the same
+   place.  Each pick is responsible for a short range of starts.  A bucket with one member is unique.
 2. The others are split by the bytes before and after the q-gram that their starts reach.
    Members with the same bytes are one class; all starts of a class of two are repeated.
 3. Inside a bucket, classes are sorted by what follows the q-gram and by what precedes it.
    Common lengths of sorted neighbours give an identifier for every reach on either side, and
    a start is repeated if its pair of identifiers occurs twice.  A bucket of too many classes
    is first cut into narrower ranges of starts, bucketed anew by the bytes that all starts of
-   the range share; at a width of one start all classes of a bucket are equal.
+   the range share, and so on: at a width of one start all classes of a bucket are equal.
 
-Copies of a whole text are treated once.  Text is read twice more, for the documents that
-need it only.
+Copies of a whole text are treated once: only one of them sends its picks on.  Text is read
+twice more, for the documents that need it only.
 
 Defined cases: null text counts as empty; a text shorter than LENGTH keeps all its bytes;
-rows with one id and text are one document; overlapping strings of one document count;
-rows of one document give equal results; other columns are ignored; no rows give no rows.
+rows with one id and text are one document, rows without an id are one each; overlapping
+strings of one document count; rows of one document give equal results; other columns are
+ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -237,7 +242,7 @@ def repeated_classes(found: DataFrame) -> DataFrame:
     done.append(classes.where("twice").select("root", F.col("o_min").alias("o_from"), F.col("o_max").alias("o_to")))
     width = REACH + 1
     while True:
-        size = classes.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        size = materialise(classes.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
         sized = materialise(classes.join(size, "g"))
         done.append(compare_classes(sized.where(F.col("size") <= GROUP_LIMIT)))
         large = sized.where(F.col("size") > GROUP_LIMIT)
@@ -262,13 +267,17 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def repeats_table(docs: DataFrame) -> DataFrame:
     """The query's columns: what is removed from each document, and the hash of what stays."""
-    rows = materialise(picks(docs.select("doc_id", "text")).withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))))
-    texts = materialise(rows.groupBy("key").agg(F.min("id").alias("lead"), (F.min("id") != F.max("id")).alias("copied")))
-    last = F.when(F.size("a") > 0, F.concat(F.slice("lo", 2, F.greatest(F.size("lo") - 1, F.lit(0))), F.array(F.col("n_bytes") - LENGTH + 1)))
-    pick = rows.select("key", F.explode_outer(F.arrays_zip("h", "a", "lo", last.alias("end"))).alias("p")).where("p is not null").select("key", "p.h", "p.a", "p.lo", (F.col("p.end") - 1).alias("hi"))
+    rows = materialise(picks(docs.select("doc_id", "text")).withColumns({"id": F.coalesce("doc_id", F.lit(-(2**63))), "row": F.monotonically_increasing_id()}))
+    twice = (F.min("id") != F.max("id")) | (F.count_if(F.col("doc_id").isNull()) > 1)
+    texts = rows.groupBy("key").agg(F.min(F.struct("id", "row")).alias("m"), twice.alias("copied"))
+    texts = materialise(texts.select("key", F.col("m.id").alias("lead"), F.col("m.row").alias("row"), "copied"))
+    last = F.concat(F.slice("lo", 2, F.greatest(F.size("lo") - 1, F.lit(0))), F.array(F.col("n_bytes") - LENGTH + 1))
+    leads = materialise(rows.where(F.size("a") > 0).join(texts.select("row"), "row", "left_semi").select("key", "n_bytes", "h", "a", "lo"))
+    pick = leads.select("key", F.explode(F.arrays_zip("h", "a", "lo", last.alias("end"))).alias("p")).select("key", "p.h", "p.a", "p.lo", (F.col("p.end") - 1).alias("hi"))
     member = F.xxhash64("key", "a")
-    shared = pick.groupBy("h").agg(F.min(member).alias("x"), F.max(member).alias("y")).where("x != y").select("h")
-    wanted = pick.join(shared, "h", "left_semi").distinct().groupBy("key").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("at"))
+    # written first, so that the picks of a hash with many rows can be split in the join
+    shared = materialise(pick.groupBy("h").agg(F.min(member).alias("x"), F.max(member).alias("y")).where("x != y").select("h"))
+    wanted = pick.join(shared, "h", "left_semi").groupBy("key").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("at"))
     wanted = materialise(wanted.join(texts, "key").select(F.col("lead").alias("id"), "key", "at"))
     found = materialise(contexts(docs, wanted))
     again = repeated_classes(found)
