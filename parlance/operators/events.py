@@ -33,7 +33,7 @@ def latest(events: DataFrame, keys: list[str], order: str, *values: str) -> Data
     return events.groupBy(*keys).agg(*(F.max_by(v, order).alias(v) for v in values))
 
 
-# Which event opens an entity of an interview, which ones set its flag, and what the flag says.
+#: Which event opens an entity of an interview, which ones set its flag, and what the flag says.
 INTERVIEW_ENTITIES = {
     "speaker": ("speaker_created", {"speaker_renamed": "confirmed", "speaker_merged": "merged"}),
     "utterance": ("utterance_identified", {"stitch_removed": "removed"}),

@@ -201,7 +201,3 @@ def fold_project(events: DataFrame, project: str = "project_id") -> tuple[DataFr
     human = F.col("kind") != "linked"
     blocked = F.coalesce(F.max_by(F.col("kind") == "unlinked", F.when(human, F.col("version"))), F.lit(False)).alias("blocked")
     return s, p.groupBy(project, "speaker_id").agg(person, blocked)
-
-
-def rank_once(rows: DataFrame, keys: list[str], *order) -> DataFrame:
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")

@@ -534,3 +534,12 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
         scratch.scratch_dir(Session())
     Context.master = "local[4]"
     assert scratch.scratch_dir(Session()).startswith("file:///")
+
+
+def test_old_scratch_expires(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "_root", lambda _: f"file://{tmp_path}/s")
+    assert scratch.expire(spark) == 0
+    d = scratch.materialise(spark.range(3))
+    (tmp_path / "s" / "other").mkdir()
+    assert scratch.expire(spark, 1) == 0 and d.count() == 3
+    assert scratch.expire(spark, -1) == 1 and [p.name for p in (tmp_path / "s").iterdir()] == ["other"]
