@@ -1,6 +1,5 @@
 """The local parts of the operators, against the library they equal or a brute-force version."""
 
-import hashlib
 import math
 import random
 import unicodedata

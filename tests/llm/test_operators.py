@@ -64,6 +64,8 @@ def test_secret_models_from_a_table(spark):
     hits = [[s for s in got[i] if s.kind == "markov"] for i, _ in bare]
     right = sum(any(s.end - s.start == 32 for s in h) for h in hits)
     assert right >= 180 and sum(map(len, hits)) - right <= 5  # recall and precision of 0.9 and 0.97 at least
+    samples = secrets.weak_labels(d)
+    assert abs(secrets.train(samples) - secrets.fit(d)).max() < 1e-9 and samples.where("label = 1").count() >= 300
     llr = secrets.train(d.select(F.lit(None).cast("string").alias("value"), F.lit(1).alias("label")))
     assert llr.shape == (secrets.SIZE, secrets.SIZE) and abs(llr).max() < 1e-9  # no sample: both uniform
 
