@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parlance import bind
 from parlance.bind import FRAGMENTS, TRANSCRIPTS, UTTERANCES, table
 from parlance.functions.ids import uuid5
+from parlance.functions import sql as sql_functions
 from parlance.operators import ingest as op
 
 QUERIES, SQL = {}, {}
@@ -71,6 +72,13 @@ def n4(s, d):
     return op.segment(c, ["interview_id", "turn", "role"], "text")
 
 
+@query("n4_segment_text", f"WITH {FRAGMENTS} SELECT interview_id, turn, CAST(piece AS INTEGER) AS piece, text, start_char, end_char FROM fragments")
+def n4_sql(s, d):
+    """The same segments through the session's SQL function."""
+    sql_functions.register(s)
+    return s.sql("SELECT conv_id AS interview_id, turn, p.* FROM {c}, LATERAL segment_text({c}.text) AS p", c=table(s, d, "conversations"))
+
+
 @query(
     "n5_grounding",
     f"WITH {FRAGMENTS} SELECT count(*) AS n_fragments, count(*) FILTER (WHERE substr(source_text, start_char + 1, end_char - start_char) IS DISTINCT FROM text) AS n_violations FROM fragments",
