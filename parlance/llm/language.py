@@ -59,7 +59,7 @@ class LanguageModel:
         tables = [self._logs(words, self.words, 0)]
         for known, index in zip(grams, self.by_size, strict=True):
             tables.append(self._logs(known, index, sum(map(len, tables))))
-        self.table = np.concatenate(tables)
+        self.table = np.concatenate([*tables, np.zeros((1, k), np.float32)])  # the last row: no evidence
         total = np.array([prior[x] for x in self.langs], float)
         self.prior = np.log(total / total.sum()) if k else total
 
@@ -74,15 +74,27 @@ class LanguageModel:
         m = np.array(list(known.values())).reshape(len(known), len(self.langs)) + 0.1
         return np.log(m / m.sum(0)).astype(np.float32)
 
-    def word(self, w: str) -> np.ndarray:
-        """Evidence of one word: its own, else that of its longest known n-grams, else none."""
-        if (known := self.words.get(w)) is not None:
-            return self.table[known]
-        for size in range(MAX_GRAM, 0, -1):
-            index = self.by_size[size]
-            if found := [i for g in self.grams(w, size) if (i := index.get(g)) is not None]:
-                return self.table[found].mean(0)
-        return np.zeros(len(self.langs), np.float32)
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its own log frequencies, else the mean of its longest known n-grams, else zeros."""
+        rows, starts = [], []
+        for w in words:
+            starts.append(len(rows))
+            known = self.words.get(w)
+            if known is not None:
+                rows.append(known)
+                continue
+            marked = f"<{w}>"
+            for size in range(MAX_GRAM, 0, -1):
+                get = self.by_size[size].get
+                if found := [i for k in range(len(marked) - size + 1) if (i := get(marked[k : k + size])) is not None]:
+                    rows += found
+                    break
+            else:
+                rows.append(-1)
+        if not words:
+            return np.zeros((0, len(self.langs)), np.float32)
+        sums = np.add.reduceat(self.table[rows], starts)
+        return sums / np.diff([*starts, len(rows)])[:, None]
 
     def predict(self, text: str | None, seen: SeenWords | None = None) -> tuple[str, float]:
         """``(language, posterior)`` of a whole text."""
@@ -96,28 +108,40 @@ class LanguageModel:
 
 
 class SeenWords:
-    """A partition's words with their evidence, as rows of one table of a fixed size; emptied when full."""
+    """A partition's words that training has not seen, with their evidence as rows of one table of a fixed size; emptied when full."""
 
     def __init__(self, model: LanguageModel):
         self.model, self.row, self.table = model, {}, np.zeros((CACHE_WORDS, len(model.langs)), np.float32)
 
     def total(self, words: list[str]) -> np.ndarray:
         """Summed evidence of all words of a text."""
-        row, at, out = self.row, [], np.zeros(len(self.model.langs))
+        known, row = self.model.words.get, self.row
+        own, at, new, long = [], [], [], []
+        out = np.zeros(len(self.model.langs))
+
+        def settle():
+            self.table[len(row) - len(new) : len(row)] = self.model.evidence(new)
+            return self.table[at].sum(0, dtype=np.float64)
+
         for w in words:
+            i = known(w)
+            if i is not None:
+                own.append(i)
+                continue
             i = row.get(w)
             if i is None:
                 if len(w) > CACHED_LENGTH:
-                    out += self.model.word(w)
+                    long.append(w)
                     continue
                 if len(row) == CACHE_WORDS:
-                    out += self.table[at].sum(0, dtype=np.float64)
-                    at = []
+                    out += settle()
+                    at, new = [], []
                     row.clear()
                 i = row[w] = len(row)
-                self.table[i] = self.model.word(w)
+                new.append(w)
             at.append(i)
-        return out + self.table[at].sum(0, dtype=np.float64)
+        out += settle()
+        return out + self.model.table[own].sum(0, dtype=np.float64) + self.model.evidence(long).sum(0, dtype=np.float64)
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", words_per_lang: int = WORDS_PER_LANG) -> LanguageModel:
