@@ -32,7 +32,7 @@ from parlance.llm.common import arrow_map, arrow_stream, sha256_hex
 
 SPACE = "▁"
 #: Words kept in each of a partition's two generations of cached words, the longest of them; pairs kept by a worker.
-CACHE_WORDS, CACHED_LENGTH, CACHE_PAIRS = 40_000, 40, 150_000
+CACHE_WORDS, CACHED_LENGTH, CACHE_PAIRS = 100_000, 40, 200_000
 _WORDS = re.compile(f"{SPACE}*[A-Za-zÀ-ɏ]+(?=[.,!{SPACE}\n]|$)|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _MODELS: dict[str, PieceTable] = {}
 
