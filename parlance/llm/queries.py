@@ -72,5 +72,13 @@ def op10_language_id(spark, sf_dir):
     return language_table(spread(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_near_duplicates, op4_warc, op5_url_filter, op6_phrase_fingerprint, op7_decontaminate, op8_quality, op9_repeats, op10_language_id)}
+def op13_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    from parlance.llm.tokencounts import token_counts
+
+    return token_counts(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_near_duplicates, op4_warc, op5_url_filter, op6_phrase_fingerprint, op7_decontaminate, op8_quality, op9_repeats, op10_language_id, op13_token_counts)}
 SQL: dict[str, str] = {"op3_near_duplicates": nearcopies.SQL, "op4_warc": warc.SQL, "op5_url_filter": urls.SQL, "op7_decontaminate": decontaminate.SQL}
