@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.llm import decontaminate, manifest, nearcopies, urls, warc
+from parlance.llm import decontaminate, manifest, nearcopies, turntrie, urls, warc
 from parlance.llm.common import spread, table
 
 
@@ -72,6 +72,10 @@ def op10_language_id(spark, sf_dir):
     return language_table(spread(table(spark, sf_dir, "documents")))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return turntrie.prefix_trie(spread(table(spark, sf_dir, "conversations")))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     from parlance.llm.manifest import manifest_table
 
@@ -86,5 +90,5 @@ def op13_token_counts(spark, sf_dir):
     return token_counts(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_near_duplicates, op4_warc, op5_url_filter, op6_phrase_fingerprint, op7_decontaminate, op8_quality, op9_repeats, op10_language_id, op12_merkle_manifest, op13_token_counts)}
-SQL: dict[str, str] = {"op3_near_duplicates": nearcopies.SQL, "op4_warc": warc.SQL, "op5_url_filter": urls.SQL, "op7_decontaminate": decontaminate.SQL, "op12_merkle_manifest": manifest.SQL}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_near_duplicates, op4_warc, op5_url_filter, op6_phrase_fingerprint, op7_decontaminate, op8_quality, op9_repeats, op10_language_id, op11_prefix_trie, op12_merkle_manifest, op13_token_counts)}
+SQL: dict[str, str] = {"op3_near_duplicates": nearcopies.SQL, "op4_warc": warc.SQL, "op5_url_filter": urls.SQL, "op7_decontaminate": decontaminate.SQL, "op11_prefix_trie": turntrie.SQL, "op12_merkle_manifest": manifest.SQL}
