@@ -8,6 +8,7 @@ from parlance import bind
 from parlance.bind import FRAGMENTS, share_sql, table
 from parlance.functions.ids import hashed_share
 from parlance.functions.text import collapse, surface_key
+from parlance.operators import corrections
 from parlance.operators import graph as g_op
 from parlance.operators import resolve as op
 
@@ -196,42 +197,60 @@ def r15(s, d):
     return x.join(blocked, ["project", "name_key", "person"], "left_anti").select("project", "name_key", "person")
 
 
-_V4 = """ce AS (SELECT user_id % 4 AS project_id, event_id AS version, CASE event_type WHEN 'view' THEN 'aliased' WHEN 'purchase' THEN CASE event_id % 2 WHEN 0 THEN 'merged' ELSE 'split' END WHEN 'click' THEN 'linked' WHEN 'error' THEN 'unlinked' ELSE 'relinked' END AS kind, 's' || (event_id % 30) AS surface, 'c' || (event_id % 17) AS owner, 'p' || (event_id % 3) AS person, 'k' || (event_id % 13) AS speaker_id FROM events),
-sf AS (SELECT *, min(version) FILTER (WHERE kind = 'aliased') OVER (PARTITION BY project_id, surface) AS known FROM ce WHERE kind IN ('aliased', 'merged', 'split')), sg AS (SELECT *, coalesce(CASE kind WHEN 'aliased' THEN version = known ELSE version > known END, false) AS counts FROM sf),
-sh AS (SELECT *, last_value(CASE WHEN counts THEN owner END IGNORE NULLS) OVER (PARTITION BY project_id, surface ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM sg),
-st AS (SELECT project_id, version, before AS holder, -1 AS change FROM sh WHERE counts AND before IS NOT NULL AND before <> owner UNION ALL SELECT project_id, version, owner, 1 FROM sh WHERE counts AND before IS DISTINCT FROM owner),
-sl AS (SELECT *, sum(change) OVER (PARTITION BY project_id, holder ORDER BY version) AS remain FROM st),
-judged AS (SELECT sh.*, CASE WHEN NOT counts THEN CASE kind WHEN 'aliased' THEN 'owned' ELSE 'not_owned' END WHEN kind <> 'aliased' AND before = owner THEN 'same_owner' WHEN kind = 'split' AND remain < 1 THEN 'last_surface' END AS refused
-FROM sh LEFT JOIN sl ON sl.project_id = sh.project_id AND sl.version = sh.version AND holder = before AND change = -1),
-lo AS (SELECT *, row_number() OVER (PARTITION BY project_id, speaker_id ORDER BY version) AS k FROM ce WHERE kind IN ('linked', 'unlinked', 'relinked')),
+_V4 = """ce AS (SELECT user_id % 20 AS project_id, event_id AS version, event_id % 41 AS n, event_type, CASE event_type WHEN 'view' THEN CASE WHEN event_id % 5 = 0 THEN 'identified' ELSE 'canonicalized' END WHEN 'click' THEN 'alias_added' WHEN 'purchase' THEN CASE event_id % 2 WHEN 0 THEN 'merged' ELSE 'split' END WHEN 'error' THEN 'unlinked' ELSE 'linked' END AS kind,
+'p' || (event_id % 3) AS person, 'k' || (event_id % 7) AS speaker_id, CASE WHEN event_id % 3 = 0 THEN 'human' ELSE 'rule' END AS method FROM events),
+cf AS (SELECT *, 'c' || n AS cid, CASE WHEN kind = 'merged' THEN 'c' || (event_id_k % 43) WHEN kind = 'split' THEN 'c' || (41 + event_id_k % 60) END AS oid, 't' || (n % 2) AS entity_type,
+CASE kind WHEN 'canonicalized' THEN ['s' || 3 * n, 's' || (3 * n + 1), 's' || (3 * n + 2)] WHEN 'alias_added' THEN ['s' || (event_id_k % 150)] WHEN 'split' THEN list_slice(['s' || 3 * n, 's' || (3 * n + 1), 's' || (3 * n + 2)], 1, 1 + event_id_k % 3) ELSE [] END AS surfaces FROM (SELECT *, version // 7 AS event_id_k FROM ce)),
+eo AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY version) AS k FROM cf WHERE kind IN ('canonicalized', 'alias_added', 'merged', 'split')),
+ef(project_id, k, version, kind, cid, refused, cs) AS (
+SELECT DISTINCT project_id, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, []::STRUCT(id VARCHAR, typ VARCHAR, surfaces VARCHAR[], locked BOOLEAN, into_id VARCHAR)[] FROM eo
+UNION ALL SELECT project_id, k, version, kind, cid, refused, CASE WHEN refused IS NOT NULL THEN cs
+WHEN kind = 'canonicalized' THEN list_append(cs, {'id': cid, 'typ': entity_type, 'surfaces': surfaces, 'locked': method = 'human', 'into_id': NULL::VARCHAR})
+WHEN kind = 'alias_added' THEN list_transform(cs, lambda c: CASE WHEN c.id = cid THEN {'id': c.id, 'typ': c.typ, 'surfaces': list_concat(c.surfaces, surfaces), 'locked': c.locked OR method = 'human', 'into_id': c.into_id} ELSE c END)
+WHEN kind = 'merged' THEN list_transform(cs, lambda c: CASE WHEN c.id = cid THEN {'id': c.id, 'typ': c.typ, 'surfaces': list_concat(c.surfaces, list_filter(ot.surfaces, lambda s: NOT list_contains(c.surfaces, s))), 'locked': true, 'into_id': c.into_id} WHEN c.id = oid THEN {'id': c.id, 'typ': c.typ, 'surfaces': []::VARCHAR[], 'locked': true, 'into_id': cid} ELSE c END)
+ELSE list_append(list_transform(cs, lambda c: CASE WHEN c.id = cid THEN {'id': c.id, 'typ': c.typ, 'surfaces': list_filter(c.surfaces, lambda s: NOT list_contains(surfaces, s)), 'locked': true, 'into_id': c.into_id} ELSE c END), {'id': oid, 'typ': me.typ, 'surfaces': surfaces, 'locked': true, 'into_id': NULL::VARCHAR}) END FROM (
+SELECT *, CASE kind WHEN 'canonicalized' THEN CASE WHEN me IS NOT NULL THEN 'exists' WHEN owned THEN 'owned' END
+WHEN 'alias_added' THEN CASE WHEN me IS NULL OR me.into_id IS NOT NULL THEN 'not_found' WHEN me.locked AND method <> 'human' THEN 'locked' WHEN owned THEN 'owned' END
+WHEN 'merged' THEN CASE WHEN cid = oid THEN 'itself' WHEN me IS NULL THEN 'not_found' WHEN me.into_id IS NOT NULL THEN 'merged_away' WHEN ot IS NULL THEN 'not_found' WHEN ot.into_id IS NOT NULL THEN 'merged_away' END
+ELSE CASE WHEN me IS NULL OR me.into_id IS NOT NULL THEN 'not_found' WHEN ot IS NOT NULL THEN 'exists' WHEN len(list_filter(surfaces, lambda s: NOT list_contains(me.surfaces, s))) > 0 THEN 'not_owned' WHEN len(surfaces) >= len(me.surfaces) THEN 'last_surface' END END AS refused FROM (
+SELECT *, len(list_filter(cs, lambda c: c.into_id IS NULL AND c.typ = coalesce(CASE WHEN kind = 'alias_added' THEN me.typ END, entity_type) AND list_has_any(c.surfaces, surfaces))) > 0 AS owned FROM (
+SELECT o.*, cs, list_filter(cs, lambda c: c.id = o.cid)[1] AS me, list_filter(cs, lambda c: c.id = o.oid)[1] AS ot FROM ef JOIN eo o ON o.project_id = ef.project_id AND o.k = ef.k + 1) a) b) x),
+since AS (SELECT project_id, person, min(version) AS v FROM ce WHERE kind = 'identified' GROUP BY ALL),
+lo AS (SELECT c.*, coalesce(s.v < c.version, false) AS known, row_number() OVER (PARTITION BY project_id, speaker_id ORDER BY version) AS k FROM ce c LEFT JOIN since s USING (project_id, person) WHERE kind IN ('linked', 'unlinked')),
 lf(project_id, speaker_id, k, version, kind, refused, held, blocked) AS (SELECT project_id, speaker_id, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, false FROM lo WHERE k = 1
-UNION ALL SELECT o.project_id, o.speaker_id, o.k, o.version, o.kind, CASE WHEN o.kind = 'unlinked' THEN CASE WHEN held IS DISTINCT FROM o.person THEN 'not_linked' END WHEN held IS NOT NULL THEN 'already_linked' WHEN blocked AND o.kind = 'linked' THEN 'blocked' END,
-CASE WHEN o.kind = 'unlinked' THEN CASE WHEN held IS DISTINCT FROM o.person THEN held END WHEN held IS NOT NULL OR blocked AND o.kind = 'linked' THEN held ELSE o.person END,
-CASE WHEN o.kind = 'unlinked' THEN blocked OR held IS NOT DISTINCT FROM o.person WHEN o.kind = 'relinked' AND held IS NULL THEN false ELSE blocked END FROM lf JOIN lo o ON o.project_id = lf.project_id AND o.speaker_id = lf.speaker_id AND o.k = lf.k + 1)"""
+UNION ALL SELECT project_id, speaker_id, k, version, kind, refused, CASE WHEN refused IS NOT NULL THEN held WHEN kind = 'linked' THEN person END, CASE WHEN refused IS NOT NULL THEN blocked WHEN kind = 'unlinked' THEN true ELSE blocked AND method <> 'human' END FROM (
+SELECT o.*, held, blocked, CASE WHEN o.kind = 'unlinked' THEN CASE WHEN held IS DISTINCT FROM o.person THEN 'not_linked' END WHEN NOT o.known THEN 'no_person' WHEN held IS NOT NULL THEN 'already_linked' WHEN blocked AND o.method <> 'human' THEN 'blocked' END AS refused
+FROM lf JOIN lo o ON o.project_id = lf.project_id AND o.speaker_id = lf.speaker_id AND o.k = lf.k + 1) x)"""
 
 
 def _corrections(s, d):
     e, k = table(s, d, "events"), F.col("event_id")
-    kind = F.when(F.col("event_type") == "view", "aliased").when(F.col("event_type") == "purchase", F.when(k % 2 == 0, "merged").otherwise("split")).when(F.col("event_type") == "click", "linked").when(F.col("event_type") == "error", "unlinked").otherwise("relinked")
-    name = lambda mark, n: F.concat(F.lit(mark), k % n)
-    return e.select((F.col("user_id") % 4).alias("project_id"), k.alias("version"), kind.alias("kind"), name("s", 30).alias("surface"), name("c", 17).alias("owner"), name("p", 3).alias("person"), name("k", 13).alias("speaker_id"))
+    t, n, m = F.col("event_type"), F.col("event_id") % 41, F.expr("event_id div 7")
+    kind = F.when(t == "view", F.when(k % 5 == 0, "identified").otherwise("canonicalized")).when(t == "click", "alias_added").when(t == "purchase", F.when(k % 2 == 0, "merged").otherwise("split")).when(t == "error", "unlinked").otherwise("linked")
+    name = lambda mark, x: F.concat(F.lit(mark), x)
+    three = F.array(name("s", 3 * n), name("s", 3 * n + 1), name("s", 3 * n + 2))
+    other = F.when(F.col("kind") == "merged", name("c", m % 43)).when(F.col("kind") == "split", name("c", 41 + m % 60))
+    surfaces = F.when(F.col("kind") == "canonicalized", three).when(F.col("kind") == "alias_added", F.array(name("s", m % 150))).when(F.col("kind") == "split", F.slice(three, F.lit(1), (1 + m % 3).cast("int")))
+    return e.withColumn("kind", kind).select((F.col("user_id") % 20).alias("project_id"), k.alias("version"), "kind", name("c", n).alias("canonical_id"), other.alias("other_id"), name("n", k).alias("name"), name("t", n % 2).alias("entity_type"), surfaces.alias("surfaces"), name("p", k % 3).alias("person"), name("k", k % 7).alias("speaker_id"), F.when(k % 3 == 0, "human").otherwise("rule").alias("method"))
 
 
-@query("v4_project_state", f"WITH RECURSIVE {_V4} SELECT project_id, surface, arg_max(owner, version) AS canonical_id, bool_or(kind <> 'aliased') AS locked FROM judged WHERE refused IS NULL GROUP BY ALL")
+@query("v4_project_state", f"WITH RECURSIVE {_V4} SELECT project_id, c.id AS canonical_id, c.typ AS entity_type, list_aggregate(list_sort(list_distinct(c.surfaces)), 'string_agg', ',') AS surfaces, c.locked AS locked, c.into_id AS merged_into FROM (SELECT project_id, unnest(cs) AS c FROM ef QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY k DESC) = 1)")
 def v4(s, d):
-    return op.fold_project(_corrections(s, d))[0]
+    """The canonicals of each project after all corrections, with their surfaces, locks and redirects."""
+    state = corrections.replay_entities(_corrections(s, d))[1]
+    return state.select("project_id", "canonical_id", "entity_type", F.when(F.size("surfaces") > 0, F.array_join("surfaces", ",")).alias("surfaces"), "locked", "merged_into")
 
 
 @query("v4_person_links", f"WITH RECURSIVE {_V4} SELECT project_id, speaker_id, held AS person, blocked FROM (SELECT *, bool_or(k > 0 AND refused IS NULL) OVER (PARTITION BY project_id, speaker_id) AS any_counts FROM lf) WHERE any_counts QUALIFY row_number() OVER (PARTITION BY project_id, speaker_id ORDER BY k DESC) = 1")
 def v4_links(s, d):
-    return op.fold_project(_corrections(s, d))[1]
+    return corrections.fold_links(_corrections(s, d))
 
 
-@query("r16_corrections", f"WITH RECURSIVE {_V4} SELECT project_id, version, kind, refused FROM judged UNION ALL SELECT project_id, version, kind, refused FROM lf WHERE k > 0")
+@query("r16_corrections", f"WITH RECURSIVE {_V4} SELECT project_id, version, kind, refused FROM ef WHERE k > 0 UNION ALL SELECT project_id, version, kind, refused FROM lf WHERE k > 0 UNION ALL SELECT project_id, version, kind, CASE WHEN version > since.v THEN 'exists' END FROM ce JOIN since USING (project_id, person) WHERE kind = 'identified'")
 def r16(s, d):
     e = _corrections(s, d)
     cols = ("project_id", "version", "kind", "refused")
-    return op.judge_surfaces(e.where("kind in ('aliased', 'merged', 'split')")).select(*cols).unionByName(op.judge_links(e.where("kind in ('linked', 'unlinked', 'relinked')")).select(*cols))
+    return corrections.replay_entities(e)[0].select(*cols).unionByName(corrections.judge_links(e).select(*cols)).unionByName(corrections.judge_persons(e).select(*cols))
 
 
 @query("r17_summary", f"WITH {_SPEAKERS}, {_LINKS} SELECT outcome, count(*) AS n, count(DISTINCT person) AS n_people FROM links GROUP BY 1")

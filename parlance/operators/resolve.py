@@ -136,68 +136,3 @@ def review_suggestions(pairs: DataFrame, canonicals: DataFrame) -> DataFrame:
     both = F.coalesce(~F.col("a_l") & ~F.col("b_l") & ~F.col("a_m") & ~F.col("b_m"), F.lit(False))
     j = j.withColumn("left_id", F.coalesce("a_id", F.concat(F.lit("new:"), "a"))).withColumn("right_id", F.coalesce("b_id", F.concat(F.lit("new:"), "b")))
     return j.where(((F.col("band") == "suggest") | both) & (F.col("left_id") != F.col("right_id"))).select("left_id", "right_id", "a", "b", "band", F.round("score", 4).alias("score"))
-
-
-def judge_surfaces(events: DataFrame, project: str = "project_id") -> DataFrame:
-    """Adds ``refused``: why a correction of a surface's owner does not count, or null.
-
-    events: project, version, kind, surface, owner.  Kinds: aliased (a surface gets its first owner),
-    merged and split (it moves to another).  An alias must be unowned and a moved surface owned; a
-    move must change the owner; a split must leave the old owner a surface (those it holds by all
-    moves that the other rules let through).
-    """
-    move = F.col("kind").isin("merged", "split")
-    known = F.min(F.when(F.col("kind") == "aliased", F.col("version"))).over(Window.partitionBy(project, "surface"))
-    s = events.withColumn("_known", known)
-    s = s.withColumn("_counts", F.coalesce(F.when(move, F.col("version") > F.col("_known")).otherwise(F.col("version") == F.col("_known")), F.lit(False)))
-    earlier = Window.partitionBy(project, "surface").orderBy("version").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("_before", F.last(F.when(F.col("_counts"), F.col("owner")), ignorenulls=True).over(earlier))
-    moved = F.col("_counts") & ~F.col("_before").eqNullSafe(F.col("owner"))
-    gone = F.when(moved & F.col("_before").isNotNull(), F.struct(F.col("_before").alias("of"), F.lit(-1).alias("change")))
-    come = F.when(moved, F.struct(F.col("owner").alias("of"), F.lit(1).alias("change")))
-    steps = s.select(project, "version", F.explode(F.array_compact(F.array(gone, come))).alias("x")).select(project, "version", "x.of", "x.change")
-    left = steps.withColumn("_left", F.sum("change").over(Window.partitionBy(project, "of").orderBy("version"))).where("change = -1").select(project, "version", F.col("of").alias("_before"), "_left")
-    s = s.join(left, [project, "version", "_before"], "left")
-    why = F.when(~F.col("_counts"), F.when(move, "not_owned").otherwise("owned")).when(move & (F.col("_before") == F.col("owner")), "same_owner").when((F.col("kind") == "split") & (F.col("_left") < 1), "last_surface")
-    return s.withColumn("refused", why).drop("_known", "_counts", "_before", "_left")
-
-
-def judge_links(events: DataFrame, project: str = "project_id") -> DataFrame:
-    """Adds ``refused`` to the link events of each speaker, one speaker's corrections at a time.
-
-    events: project, version, kind, person, speaker_id.  Kinds: linked (by a rule), relinked (by a
-    person), unlinked (blocks the speaker for rules).  A link needs a speaker without one, and a
-    blocked speaker a person; only the person that is linked can be unlinked.
-    """
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        person, blocked, refused = None, False, []
-        rows = rows.sort_values("version")
-        for kind, who in zip(rows["kind"], rows["person"], strict=True):
-            if kind == "unlinked":
-                why = None if person == who else "not_linked"
-                person, blocked = (None, True) if why is None else (person, blocked)
-            else:
-                why = "already_linked" if person is not None else "blocked" if blocked and kind == "linked" else None
-                person = who if why is None else person
-                blocked = blocked and not (why is None and kind == "relinked")
-            refused.append(why)
-        return rows.assign(refused=refused)
-
-    e = events.select(project, "version", "kind", "person", "speaker_id")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.schema) + ", refused string"
-    return e.groupBy(project, "speaker_id").applyInPandas(walk, schema)
-
-
-def fold_project(events: DataFrame, project: str = "project_id") -> tuple[DataFrame, DataFrame]:
-    """(surface owners, linked person and block of each speaker) after the corrections that count; the latest decides.
-
-    A merge or split locks a surface; an unlink blocks a speaker until a person links it again.
-    """
-    s = judge_surfaces(events.where(F.col("kind").isin("aliased", "merged", "split")), project).where("refused is null")
-    s = s.groupBy(project, "surface").agg(F.max_by("owner", "version").alias("canonical_id"), F.bool_or(F.col("kind") != "aliased").alias("locked"))
-    p = judge_links(events.where(F.col("kind").isin("linked", "unlinked", "relinked")), project).where("refused is null")
-    person = F.max_by(F.when(F.col("kind") != "unlinked", F.col("person")), "version").alias("person")
-    human = F.col("kind") != "linked"
-    blocked = F.coalesce(F.max_by(F.col("kind") == "unlinked", F.when(human, F.col("version"))), F.lit(False)).alias("blocked")
-    return s, p.groupBy(project, "speaker_id").agg(person, blocked)

@@ -312,46 +312,6 @@ def test_interview_entities_equal_a_replay(spark):
     assert got == {k: (n, sorted(f)) for k, (n, f) in want.items()}
 
 
-def test_corrections_equal_a_replay(spark):
-    """Links of each speaker, and owners of surfaces as long as no split is refused, event by event."""
-    r = random.Random(13)
-    rows = [(1, v, r.choice(["linked", "relinked", "unlinked"]), None, None, f"p{r.randrange(2)}", f"k{r.randrange(3)}") for v in range(120)]
-    rows += [(1, 200 + v, r.choice(["aliased", "merged"]), f"s{r.randrange(9)}", f"c{r.randrange(3)}", None, None) for v in range(120)]
-    person, blocked, owner, refused = {}, set(), {}, {}
-    for _, v, kind, surface, own, who, k in rows:
-        if kind == "unlinked":
-            if person.get(k) != who:
-                refused[v] = "not_linked"
-                continue
-            del person[k]
-            blocked.add(k)
-        elif kind in ("linked", "relinked"):
-            if k in person or (kind == "linked" and k in blocked):
-                refused[v] = "already_linked" if k in person else "blocked"
-                continue
-            person[k] = who
-            if kind == "relinked":
-                blocked.discard(k)
-        elif kind == "aliased" and surface in owner:
-            refused[v] = "owned"
-        elif kind == "merged" and owner.get(surface) in (None, own):
-            refused[v] = "same_owner" if surface in owner else "not_owned"
-        else:
-            owner[surface] = own
-    e = spark.createDataFrame(rows, "project_id int, version int, kind string, surface string, owner string, person string, speaker_id string").repartition(3)
-    got = resolve.judge_links(e.where("speaker_id is not null")).select("version", "refused").unionByName(resolve.judge_surfaces(e.where("surface is not null")).select("version", "refused"))
-    assert {x.version: x.refused for x in got.where("refused is not null").collect()} == refused
-    s, p = resolve.fold_project(e)
-    assert {x.surface: x.canonical_id for x in s.collect()} == owner
-    assert {x.speaker_id: (x.person, x.blocked) for x in p.collect()} == {k: (person.get(k), k in blocked) for k in ("k0", "k1", "k2")}
-
-
-def test_a_split_leaves_a_surface(spark):
-    rows = [(1, "aliased", "s1", "c1"), (2, "aliased", "s2", "c1"), (3, "split", "s1", "c2"), (4, "split", "s2", "c3"), (5, "merged", "s2", "c2"), (6, "split", "s1", "c1")]
-    e = spark.createDataFrame([(7, *r) for r in rows], "project_id int, version int, kind string, surface string, owner string")
-    assert {x.version: x.refused for x in resolve.judge_surfaces(e).collect() if x.refused} == {4: "last_surface"}
-
-
 def test_speaker_split_is_whole_or_refused(spark):
     a = spark.createDataFrame([(1, f"1:{k}", "ana", 0.5, "label", False) for k in range(4)], "interview_id int, fragment_id string, speaker_id string, confidence double, method string, locked boolean")
     x = spark.createDataFrame([(1, "new", "New", 1, ["1:1", "1:2"]), (1, "late", "Late", 2, ["1:2"]), (1, "bad", "Bad", 3, ["1:3", "1:9"])], "interview_id int, handle string, display_name string, version int, fragment_ids array<string>")
