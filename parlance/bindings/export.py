@@ -48,9 +48,21 @@ def x1(s, d):
 _SLUG = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
-@query("x3_slugs", f"WITH b AS (SELECT p_partkey, p_partkey % 3 AS bundle, CASE WHEN {_SLUG.format('p_type')} = '' THEN 'x-' || substr(sha1(p_type), 1, 8) ELSE {_SLUG.format('p_type')} END AS base FROM (SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN '!?' ELSE p_type END AS p_type FROM part)), k AS (SELECT *, row_number() OVER (PARTITION BY bundle, base ORDER BY p_partkey) AS k FROM b) SELECT p_partkey, bundle, CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS slug FROM k")
+@query(
+    "x3_slugs",
+    f"""WITH RECURSIVE nm AS (SELECT p_partkey, p_partkey % 3 AS bundle, CASE WHEN p_partkey % 17 = 0 THEN '!?' WHEN p_partkey % 13 = 0 THEN p_type || ' 2' WHEN p_partkey % 11 = 0 THEN p_type || ' 2-2' WHEN p_partkey % 7 = 0 THEN p_type || ' (3)' ELSE p_type END AS name FROM part),
+b AS (SELECT *, CASE WHEN {_SLUG.format('name')} = '' THEN 'x-' || substr(sha1(name), 1, 8) ELSE {_SLUG.format('name')} END AS base FROM nm),
+o AS (SELECT *, row_number() OVER (PARTITION BY bundle, regexp_replace(base, '(-[0-9]+)+$', '') ORDER BY p_partkey) AS k, regexp_replace(base, '(-[0-9]+)+$', '') AS stem FROM b),
+reg(bundle, stem, k, p_partkey, slug, taken) AS (SELECT DISTINCT bundle, stem, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, []::VARCHAR[] FROM o
+UNION ALL SELECT bundle, stem, k, p_partkey, slug, list_append(taken, slug) FROM (SELECT o.bundle, o.stem, o.k, o.p_partkey, taken, CASE WHEN list_contains(taken, base) THEN base || '-' || list_filter(range(2, len(taken) + 3), lambda n: NOT list_contains(taken, base || '-' || n))[1] ELSE base END AS slug
+FROM reg JOIN o ON o.bundle = reg.bundle AND o.stem = reg.stem AND o.k = reg.k + 1) x)
+SELECT p_partkey, bundle, slug FROM reg WHERE k > 0""",
+)
 def x3(s, d):
-    p = table(s, d, "part").select("p_partkey", (F.col("p_partkey") % 3).alias("bundle"), F.when(F.col("p_partkey") % 17 == 0, "!?").otherwise(F.col("p_type")).alias("name"))
+    """Names of parts, some ending in numbers that others' suffixes run into, as a registry would give them."""
+    k, t = F.col("p_partkey"), F.col("p_type")
+    name = F.when(k % 17 == 0, "!?").when(k % 13 == 0, F.concat(t, F.lit(" 2"))).when(k % 11 == 0, F.concat(t, F.lit(" 2-2"))).when(k % 7 == 0, F.concat(t, F.lit(" (3)"))).otherwise(t)
+    p = table(s, d, "part").select("p_partkey", (k % 3).alias("bundle"), name.alias("name"))
     return op.unique_slugs(p, "bundle", "name", "p_partkey").select("p_partkey", "bundle", "slug")
 
 

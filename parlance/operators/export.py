@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from parlance.functions.text import slug
@@ -18,11 +19,43 @@ def anchors(members: DataFrame) -> DataFrame:
 
 
 def unique_slugs(names: DataFrame, bundle: str, name: str, order: str) -> DataFrame:
-    """Slugs unique inside a bundle: the n-th of equal ones gets ``-n``; one that then meets a natural slug gets its order too."""
-    s = names.withColumn("base", slug(F.col(name))).withColumn("_k", F.row_number().over(Window.partitionBy(bundle, "base").orderBy(order)))
-    s = s.withColumn("slug", F.when(F.col("_k") == 1, F.col("base")).otherwise(F.concat(F.col("base"), F.lit("-"), F.col("_k").cast("string"))))
-    clash = F.row_number().over(Window.partitionBy(bundle, "slug").orderBy(F.col("_k"), order))
-    return s.withColumn("_c", clash).withColumn("slug", F.when(F.col("_c") == 1, F.col("slug")).otherwise(F.concat(F.col("slug"), F.lit("-x"), F.col("_c").cast("string")))).drop("base", "_k", "_c")
+    """Adds ``slug``, unique inside a bundle: in order, each name gets its own slug if that is free, else the first free ``-2``, ``-3`` and so on.
+
+    A slug can only meet slugs that extend it by numbers, and only where a slug before it is wanted twice.  What no
+    such slug leads to keeps its own; a wanted slug that no other leads to is numbered by a window; the
+    rest is walked in order, one set of slugs that lead to each other at a time.
+    """
+    s = names.withColumn("_base", slug(F.col(name)))
+    n = s.groupBy(bundle, "_base").agg(F.count(F.lit(1)).alias("_n"))
+    ends = F.length(F.regexp_extract("_base", "((?:-[0-9]+)*)$", 1)) - F.length(F.regexp_replace(F.regexp_extract("_base", "((?:-[0-9]+)*)$", 1), "-", ""))
+    words = F.split("_base", "-")
+    stems = n.select(bundle, "_base", F.explode(F.transform(F.sequence(F.lit(0), ends), lambda k: F.array_join(F.slice(words, F.lit(1), F.size(words) - k), "-"))).alias("_stem"))
+    wanted = n.where("_n > 1").select(bundle, F.col("_base").alias("_stem"))
+    tops = stems.join(wanted, [bundle, "_stem"]).groupBy(bundle, "_base").agg(F.min_by("_stem", F.length("_stem")).alias("_top"))
+    mixed = tops.groupBy(bundle, "_top").agg((F.count(F.lit(1)) > 1).alias("_mixed"))
+    s = s.join(tops.join(mixed, [bundle, "_top"]), [bundle, "_base"], "left")
+    k = F.row_number().over(Window.partitionBy(bundle, "_base").orderBy(order)).cast("string")
+    free = s.where("_top is null").withColumn("slug", F.col("_base"))
+    plain = s.where("not _mixed").withColumn("_k", k).withColumn("slug", F.when(F.col("_k") == "1", F.col("_base")).otherwise(F.concat("_base", F.lit("-"), "_k"))).drop("_k")
+    schema = T.StructType([*s.schema.fields, T.StructField("slug", T.StringType())])
+
+    def walk(frames):
+        at, taken, after = None, set(), {}
+        for f in frames:
+            found = []
+            for key in zip(f[bundle], f["_top"], f["_base"], strict=True):
+                if at != key[:2]:
+                    at, taken, after = key[:2], set(), {}
+                base = got = key[2]
+                while got in taken:
+                    after[base] = after.get(base, 1) + 1
+                    got = f"{base}-{after[base]}"
+                taken.add(got)
+                found.append(got)
+            yield f.assign(slug=found)
+
+    walked = s.where("_mixed").repartition(bundle, "_top").sortWithinPartitions(bundle, "_top", order).mapInPandas(walk, schema)
+    return free.unionByName(plain).unionByName(walked).drop("_base", "_top", "_mixed")
 
 
 def tallies(rows: DataFrame, key: str, values: str) -> DataFrame:

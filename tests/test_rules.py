@@ -1,5 +1,6 @@
 """Rules on generated rows, each against a plain version of the rule, and small rows for what has no plain version."""
 
+import hashlib
 import random
 import re
 import uuid
@@ -345,12 +346,24 @@ def test_override_locks(spark):
     assert got == {"i1": ({"due": "june", "who": "ana", "tag": "x"}, True), "i2": ({"due": "may"}, False)}
 
 
-def test_slugs_stay_unique(spark):
+def test_slugs_equal_a_registry(spark):
+    """Names whose slugs run into each other's suffixes, in several orders and bundles."""
     r = random.Random(14)
-    names = ["".join(r.choices("ab -?2", k=r.randrange(0, 5))) for _ in range(150)]
-    d = spark.createDataFrame([(k % 2, k, n) for k, n in enumerate(names)], "bundle int, n int, name string")
-    got = export.unique_slugs(d, "bundle", "name", "n").collect()
-    assert len({(x.bundle, x.slug) for x in got}) == 150 and all(re.fullmatch(r"[a-z0-9-]+", x.slug) for x in got)
+    names = [[*"aa", "a-2", "a-2-x2", "a-2-2", "a-2", "!!", "!!", "a 2 2", "A", "a-02", "a-3-", "2", "2-2", "2"], ["a-2-2", "a-2", "a", "a", "a-2", "a", "a-3"], ["same"] * 40]
+    names += [["".join(r.choices("ab -?23", k=r.randrange(0, 7))) for _ in range(200)] for _ in range(4)]
+    want, rows = {}, []
+    for b, of in enumerate(names):
+        taken = set()
+        for n, name in enumerate(of):
+            base = re.sub("[^a-z0-9]+", "-", name.lower()).strip("-") or "x-" + hashlib.sha1(name.encode()).hexdigest()[:8]
+            tries = (base if k == 1 else f"{base}-{k}" for k in range(1, 1000))
+            want[b, n] = next(t for t in tries if t not in taken)
+            taken.add(want[b, n])
+            rows.append((b, n, name))
+    r.shuffle(rows)
+    got = export.unique_slugs(spark.createDataFrame(rows, "bundle int, n int, name string").repartition(3), "bundle", "name", "n")
+    assert got.columns == ["bundle", "n", "name", "slug"]
+    assert {(x.bundle, x.n): x.slug for x in got.collect()} == want
 
 
 def test_titles_are_cut_before_they_are_escaped(spark):
