@@ -8,7 +8,7 @@ from parlance import bind
 from parlance.bind import EVENTS, FRAGMENTS, share_sql
 from parlance.functions.ids import hashed_share, lane, uuid5
 from parlance.operators import events as op
-from parlance.plans.scratch import scratch_dir
+from parlance.plans.scratch import materialise, scratch_dir
 from parlance.sources import io
 
 QUERIES, SQL = {}, {}
@@ -285,29 +285,82 @@ def v22(s, d):
     return op.status_changes(bind.event_log(s, d), "aggregate_id", "event_type", "version").groupBy("refused", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-_ST = "concat_ws('|', {0})"
-_V23 = f"""WITH {EVENTS}, {_CAT}, {_V3}, {_V2}, {_HEADERS}, md AS (SELECT aggregate_id, string_agg(name || '=' || v, ',' ORDER BY name) AS metadata FROM (SELECT aggregate_id, event_type AS name, arg_max(CASE WHEN version % 3 = 0 THEN '-' ELSE CAST(version AS VARCHAR) END, version) AS v FROM event_log GROUP BY ALL) WHERE v <> '-' GROUP BY 1)
-SELECT 'fragments' AS job, aggregate_id, {_ST.format("version, n_edits, CAST(locked AS VARCHAR)")} AS state FROM v3 UNION ALL SELECT 'headers', aggregate_id, {_ST.format("coalesce(title, '-'), coalesce(language, '-'), coalesce(status, '-'), coalesce(CAST(lens_version AS VARCHAR), '-'), version")} FROM hd
-UNION ALL SELECT 'metadata', aggregate_id, metadata FROM md UNION ALL SELECT 'statuses', aggregate_id, CAST(count(*) FILTER (WHERE refused) AS VARCHAR) FROM (SELECT aggregate_id, coalesce(lag(event_type) OVER (PARTITION BY aggregate_id ORDER BY version) = event_type, false) AS refused FROM event_log) GROUP BY aggregate_id"""
+_REPEATS = "SELECT aggregate_id, count(*) FILTER (WHERE refused) AS n FROM (SELECT aggregate_id, coalesce(lag(event_type) OVER (PARTITION BY aggregate_id ORDER BY version) = event_type, false) AS refused FROM event_log) GROUP BY aggregate_id"
+_NUM = "CAST(CAST({0} AS DECIMAL(20, 4)) AS VARCHAR)"
 
 
-def _jobs(s, d):
-    def metadata(e):
-        diff = F.create_map("event_type", F.when(F.col("version") % 3 != 0, F.col("version").cast("string"))).alias("diff")
-        m = op.merge_metadata(e.select("aggregate_id", "version", diff), "aggregate_id", "version")
-        return m.select("aggregate_id", F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",").alias("metadata"))
+def _states_sql(job, query, part, *columns):
+    """The rows of a query as (job, aggregate_id, part, state)."""
+    state = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns)
+    return f"SELECT '{job}' AS job, {'speaker_id' if job == 'speakers' else 'aggregate_id'} AS aggregate_id, {part} AS part, {state or "'-'"} AS state FROM ({query}) q"
 
-    return {
-        "fragments": lambda e: op.fold_fragments(e).select("aggregate_id", "version", "n_edits", "locked"),
-        "headers": lambda e: op.interview_headers(e.join(_interview_events(s, d).withColumnRenamed("kind", "k2"), ["aggregate_id", "version"]).drop("kind").withColumnRenamed("k2", "kind")),
-        "metadata": metadata,
-        "statuses": lambda e: op.status_changes(e, "aggregate_id", "event_type", "version").groupBy("aggregate_id").agg(F.count_if("refused").alias("n")),
-    }
+
+#: Every job: the columns of its rows that make up a state, and what tells rows of an aggregate apart; doubles as decimals.
+_STATES = {
+    "fragments": ("''", "version", "n_edits", "locked", _NUM.format("text_value"), _NUM.format("analysis"), _NUM.format("speaker_value")),
+    "headers": ("''", "title", "language", "status", "lens_version", "version"),
+    "entities": ("entity || '/' || entity_id", "name", "flags"),
+    "metadata": ("''", "metadata"),
+    "speakers": ("''", "name", "provisional", "locked", _NUM.format("confidence")),
+    "kept_edits": ("CAST(dimension AS VARCHAR)", _NUM.format("value"), "is_edited"),
+    "overlays": ("''",),
+    "statuses": ("''", "n"),
+}
+_OF = {"fragments": "v3_fragment_state", "headers": "v2_interview_state", "entities": "v2_interview_entities", "metadata": "v10_metadata", "speakers": "v12_speaker_state", "kept_edits": "v13_keep_edited", "overlays": "v15_live_overlays"}
+_V23 = "\nUNION ALL ".join(_states_sql(job, SQL[_OF[job]] if job in _OF else f"WITH {EVENTS} {_REPEATS}", *columns) for job, columns in _STATES.items())
+
+
+def _wide(s, d):
+    """One row per event with what each job reads of it."""
+    e, v = _cat(s, d), F.col("version")
+    i = _interview_events(s, d).withColumnRenamed("kind", "ikind")
+    e = e.select("aggregate_id", "version", "commit_position", "event_type", "kind", "value", hashed_share(F.col("commit_position")).alias("confidence")).join(i.withColumnRenamed("name", "iname"), ["aggregate_id", "version"])
+    return e.withColumn("diff", F.create_map("event_type", F.when(v % 3 != 0, v.cast("string"))))
+
+
+_READS = {
+    "fragments": lambda e: e,
+    "headers": lambda e: e.drop("kind").withColumnRenamed("ikind", "kind"),
+    "entities": lambda e: e.drop("kind").withColumnRenamed("ikind", "kind").withColumnRenamed("iname", "name"),
+    "metadata": lambda e: e,
+    "speakers": lambda e: e.select(F.col("aggregate_id").alias("speaker_id"), "version", F.when(F.col("event_type") == "purchase", "renamed").when(F.col("event_type") == "signup", "reattributed").otherwise("created").alias("kind"), F.concat(F.lit("n"), "version").alias("name"), "confidence"),
+    "kept_edits": lambda e: e.select("aggregate_id", "version", (F.col("version") % 4).alias("dimension"), "value", (F.col("event_type") == "purchase").alias("human")),
+    "overlays": lambda e: e.select("aggregate_id", "version", F.when(F.col("event_type").isin("error", "view"), F.col("event_type") == "error").alias("is_removed")),
+    "statuses": lambda e: e.select("aggregate_id", "version", F.col("event_type").alias("status")),
+}
+_REPLAY = {
+    "fragments": op.fold_fragments,
+    "headers": op.interview_headers,
+    "entities": op.interview_entities,
+    "metadata": lambda e: op.merge_metadata(e, "aggregate_id", "version"),
+    "speakers": op.speaker_state,
+    "kept_edits": lambda e: op.keep_edited(e.where("not human"), e.where("human"), ["aggregate_id", "dimension"]),
+    "overlays": lambda e: op.live(e.select("aggregate_id").distinct(), e.where("is_removed is not null"), "aggregate_id"),
+    "statuses": lambda e: op.status_changes(e, "aggregate_id", "status", "version").groupBy("aggregate_id").agg(F.count_if("refused").alias("n")),
+}
+
+
+def _shown(job, rows):
+    """A job's rows as (job, aggregate_id, part, state), like _states_sql."""
+    if job == "metadata":
+        rows = rows.withColumn("metadata", F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ","))
+    if job == "entities":
+        rows = rows.withColumn("flags", F.array_join("flags", ","))
+    part, *columns = _STATES[job]
+    state = " || '|' || ".join(f"coalesce(CAST({c} AS STRING), '-')" for c in columns).replace("VARCHAR", "STRING") or "'-'"
+    return rows.select(F.lit(job).alias("job"), F.col("speaker_id" if job == "speakers" else "aggregate_id").alias("aggregate_id"), F.expr(part.replace("VARCHAR", "STRING")).alias("part"), F.expr(state).alias("state"))
+
+
+def all_states(results):
+    out = None
+    for job, rows in results.items():
+        out = _shown(job, rows) if out is None else out.unionByName(_shown(job, rows))
+    return out
 
 
 @query("v23_rebuild", _V23)
 def v23(s, d):
-    """The states rebuilt by all of these jobs from a log in which every event came twice, applied once."""
-    e = _cat(s, d)
-    none = e.where("false").select("aggregate_id", "version")
-    return op.rebuild(op.apply_once(e.unionByName(e), none), _jobs(s, d))
+    """The states that one replay gives, by all jobs, of a log in which every event came twice, applied once."""
+    e = _wide(s, d)
+    log = materialise(op.apply_once(e.unionByName(e), e.where("false").select("aggregate_id", "version")))
+    return all_states({job: replay(_READS[job](log)) for job, replay in _REPLAY.items()})

@@ -107,11 +107,28 @@ def fold_fragments(events: DataFrame) -> DataFrame:
     )
 
 
+def first_of(events: DataFrame, keys: list[str], order: str = "commit_position") -> DataFrame:
+    """One event per key: the first by ``order`` if events have it (nulls last), of equal ones the one with the smallest hash of its content."""
+    plain = [F.col(f.name) for f in events.schema if f.name not in keys and "map<" not in f.dataType.simpleString()]
+    content = F.xxhash64(*plain) if plain else F.lit(0)
+    by = [F.col(order).isNull().alias("n"), F.col(order).alias("o")] if order in events.columns else []
+    rest = [c for c in events.columns if c not in keys]
+    if not rest:
+        return events.distinct()
+    kept = events.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*by, content.alias("h"))).alias("_first"))
+    return kept.select(*keys, "_first.*").select(*events.columns)
+
+
+def apply_new(incoming: DataFrame, applied: DataFrame, keep: str | None = None) -> DataFrame:
+    """Events above the version applied to their aggregate, one per version; ``keep`` names a column for the version applied."""
+    a = applied.select("aggregate_id", F.col("version").alias("_at"))
+    e = first_of(incoming, ["aggregate_id", "version"]).join(a, "aggregate_id", "left").where(F.col("_at").isNull() | (F.col("version") > F.col("_at")))
+    return e.drop("_at") if keep is None else e.withColumnRenamed("_at", keep)
+
+
 def apply_once(incoming: DataFrame, applied: DataFrame) -> DataFrame:
-    """Events to apply: each version once, and only those above the version already applied."""
-    e = incoming.dropDuplicates(["aggregate_id", "version"])
-    a = applied.select("aggregate_id", F.col("version").alias("applied"))
-    return e.join(a, "aggregate_id", "left").where(F.col("applied").isNull() | (F.col("version") > F.col("applied"))).drop("applied")
+    """Events to apply: each version once (of two events with one version the first by position), and only those above the version already applied."""
+    return apply_new(incoming, applied)
 
 
 def route(events: DataFrame, category: str, own: Column, parent: Column, lane_of) -> DataFrame:
@@ -125,6 +142,19 @@ def missing_referents(events: DataFrame, projected: DataFrame, referent: str) ->
     return events.join(projected.select(referent).distinct(), referent, "left_semi"), events.join(projected.select(referent).distinct(), referent, "left_anti")
 
 
+def hold_outcome(park_after: int, newest: Column) -> Column:
+    """What becomes of an event with a commit_position whose referent opened at ``opened_at`` (null: not yet), once the log has reached ``newest``."""
+    limit = F.col("commit_position") + F.lit(park_after)
+    return F.when(F.col("opened_at") <= limit, "applied").when(newest > limit, "parked").otherwise("held")
+
+
+def hold_outcomes(events: DataFrame, referent: str, opens: Column, park_after: int) -> DataFrame:
+    """Adds ``outcome``: applied, parked (the referent came more than ``park_after`` positions late, or the log went on so far without it), or held."""
+    opened = events.where(opens).groupBy(referent).agg(F.min("commit_position").alias("opened_at"))
+    newest = events.agg(F.max("commit_position")).first()[0]
+    return events.join(opened, referent, "left").withColumn("outcome", hold_outcome(park_after, F.lit(newest))).drop("opened_at")
+
+
 def redrive(parked: DataFrame, projected: DataFrame, handled: DataFrame, cap: int | None = None) -> DataFrame:
     """Outcome of parked events per aggregate type, with a total: redriven, still parked, no handler, failed.
 

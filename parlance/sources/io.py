@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from parlance.operators.events import first_of
+
 
 def scan_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> tuple[DataFrame, DataFrame]:
     """(texts, quarantine) of the files below ``path``: path and whole text; path and why for files that are no UTF-8 or can't be read.
@@ -57,9 +59,9 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def append_events(events: DataFrame, path: str, first: bool = False) -> None:
     """Append events to the log at ``path``; versions of an aggregate that it holds are refused, repeats in one call count once.
 
-    first: whether the log is new.  One writer at a time: the check and the write are two steps.
+    first: whether the log is new.  Of two events with one version the first by position is kept.  One writer at a time: the check and the write are two steps.
     """
-    e = events.dropDuplicates(["aggregate_id", "version"])
+    e = first_of(events, ["aggregate_id", "version"])
     if not first:
         e = e.join(events.sparkSession.read.schema(events.schema).parquet(path).select("aggregate_id", "version"), ["aggregate_id", "version"], "left_anti")
     e.write.mode("append").parquet(path)

@@ -474,17 +474,6 @@ def test_appended_versions_count_once(spark, tmp_path):
     assert sorted(tuple(x) for x in spark.read.parquet(f"{tmp_path}/log").collect()) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "d")]
 
 
-def test_stream_applies_once_whatever_the_batches(spark, tmp_path):
-    rows = [(k % 7, k // 7, f"2023-01-{1 + k % 28:02d}") for k in range(140)]
-    d = spark.createDataFrame([*rows, *rows[::3]], "aggregate_id int, version int, day string").repartition(9)
-    d.write.parquet(f"{tmp_path}/in")
-    stream = jobs.read_log(spark, f"{tmp_path}/in", d.schema, files_per_batch=2)
-    jobs.run_now(stream, "", f"{tmp_path}/at", jobs.apply_once(f"{tmp_path}/out"))
-    got = spark.read.schema(T.StructType(d.schema.fields)).parquet(f"{tmp_path}/out").select(*d.columns)
-    assert sorted(tuple(x) for x in got.collect()) == sorted(rows)
-    assert len(list((tmp_path / "out").glob("batch=*"))) > 2
-
-
 def test_redrive_outcomes(spark):
     parked = spark.createDataFrame([(1, "T", "known", "r1", True), (2, "T", "known", "r2", True), (3, "T", "odd", "r1", True), (4, "U", "known", "r1", False), (5, "U", "known", "r1", None)], "commit_position int, aggregate_type string, event_type string, referent string, valid boolean")
     got = events.redrive(parked, spark.createDataFrame([("r1",)], "referent string"), spark.createDataFrame([("known",)], "event_type string")).collect()
