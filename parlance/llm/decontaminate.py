@@ -21,8 +21,10 @@ BROADCAST_PLACES rows (both are counted first); beyond that the same joins are s
 
 Defined cases: null and empty texts match nothing; a document shorter than an item is one
 window for it; repeated items give a row each; repeated documents (one id) give the best
-window of all their rows (of equal ones an aligned one, then the first); a null id is a document of its own; no rows give no rows; other
-columns are ignored.
+window of all their rows (of equal ones an aligned one, then the first); of rows without an id each
+text is a document of its own; no rows give no rows; other
+columns are ignored.  Rows of one id with different texts are judged apart: drop_leaks drops the row that
+holds the item and leaves the other.
 """
 
 from __future__ import annotations
@@ -118,33 +120,33 @@ def _starts(threshold: float) -> Column:
 
 
 def candidate_windows(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, start, aligned, item_len, k, window)``: distinct windows that can reach the threshold by their shared shingles."""
+    """``(doc_id, text_no, start, aligned, item_len, k, window)``: distinct windows that can reach the threshold by their shared shingles; text_no: hash of the row's text."""
     spark = docs.sparkSession
-    d = docs.select("doc_id", words_of(F.col("text")).alias("words")).withColumn("n", F.size("words"))
+    d = docs.select("doc_id", F.xxhash64("text").alias("text_no"), words_of(F.col("text")).alias("words")).withColumn("n", F.size("words"))
     places = None
     for k in sorted(r.k for r in items.select("k").distinct().collect()):  # at most SHINGLE values
-        text_no = F.xxhash64(F.array_join("item_words", " ")).alias("text_no")
-        placed = items.where(F.col("k") == k).select(text_no, "item_len", F.posexplode(_hashes(F.col("item_words"), k)).alias("at", "h")).distinct()
+        item_text = F.xxhash64(F.array_join("item_words", " ")).alias("item_text")
+        placed = items.where(F.col("k") == k).select(item_text, "item_len", F.posexplode(_hashes(F.col("item_words"), k)).alias("at", "h")).distinct()
         side = F.broadcast(placed) if placed.count() <= BROADCAST_SHINGLES else placed
-        shingles = d.select("doc_id", "n", F.when(F.size("words") >= k, _hashes(F.col("words"), k)).alias("hashes"))
-        hit = shingles.select("doc_id", "n", F.posexplode_outer("hashes").alias("i", "h")).join(side, "h")
+        shingles = d.select("doc_id", "text_no", "n", F.when(F.size("words") >= k, _hashes(F.col("words"), k)).alias("hashes"))
+        hit = shingles.select("doc_id", "text_no", "n", F.posexplode_outer("hashes").alias("i", "h")).join(side, "h")
         start = F.greatest(F.lit(0), F.least(F.col("i") - F.col("at"), F.col("n") - F.col("item_len")))
         # a group is at most as long as its document
-        hit = hit.groupBy("doc_id", "n", "item_len", "text_no").agg(F.array_sort(F.collect_set("i")).alias("hits"), F.collect_set(start).alias("aligned")).withColumn("k", F.lit(k))
-        hit = hit.select("doc_id", "n", "item_len", "k", F.inline(_starts(threshold)))
-        hit = hit.groupBy("doc_id", "n", "item_len", "k", "start").agg(F.max("aligned").alias("aligned"))
+        hit = hit.groupBy("doc_id", "text_no", "n", "item_len", "item_text").agg(F.array_sort(F.collect_set("i")).alias("hits"), F.collect_set(start).alias("aligned")).withColumn("k", F.lit(k))
+        hit = hit.select("doc_id", "text_no", "n", "item_len", "k", F.inline(_starts(threshold)))
+        hit = hit.groupBy("doc_id", "text_no", "n", "item_len", "k", "start").agg(F.max("aligned").alias("aligned"))
         places = hit if places is None else places.unionByName(hit)
     if places is None:
-        places = spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, item_len int, k int, start int, aligned int")
-    places = materialise(places).withColumnsRenamed({"doc_id": "placed_id", "n": "placed_n"})
+        places = spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_no long, n int, item_len int, k int, start int, aligned int")
+    places = materialise(places).withColumnsRenamed({"doc_id": "placed_id", "text_no": "placed_text", "n": "placed_n"})
     if places.count() <= BROADCAST_PLACES:
         places = F.broadcast(places)
-    w = d.join(places, F.col("doc_id").eqNullSafe(F.col("placed_id")) & (F.col("n") == F.col("placed_n")))
-    return w.select("doc_id", "start", "aligned", "item_len", "k", F.array_join(F.slice("words", F.col("start") + 1, F.col("item_len")), " ").alias("window"))
+    w = d.join(places, F.col("doc_id").eqNullSafe(F.col("placed_id")) & (F.col("text_no") == F.col("placed_text")) & (F.col("n") == F.col("placed_n")))
+    return w.select("doc_id", "text_no", "start", "aligned", "item_len", "k", F.array_join(F.slice("words", F.col("start") + 1, F.col("item_len")), " ").alias("window"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """``(doc_id, item_id, similarity, start_word, n_words)``: the best window of each document for each item it holds."""
+def leaking_windows(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+    """``(doc_id, text_no, start, aligned, window, item_id, item_no, similarity)``: the windows that reach the threshold."""
     items = items_of(benchmark.select("item_id", "text"))
     w = candidate_windows(docs.select("doc_id", "text"), items, threshold).withColumn("shingles", shingles_of(F.split("window", " "), F.col("k")))
     w = w.withColumn("hashes", shingle_hashes(F.col("shingles"))).withColumn("print", simhash(F.col("hashes"))).drop("hashes").withColumn("at", F.explode(blocks_of(F.col("print"), radius)))
@@ -157,15 +159,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     # a pair meets once for every block it agrees in: only the first of them goes on
     same = F.array_position(F.zip_with(blocks_of(F.col("print"), radius), blocks_of(F.col("item_print"), radius), lambda x, y: x == y), F.lit(True)) - 1
     near = near.where(F.col("at")["block"] == same).withColumn("similarity", F.round(weighted_jaccard(F.col("shingles"), F.col("item_shingles")), 6))
-    near = near.where(F.col("similarity") >= threshold)
-    best = near.groupBy("doc_id", "item_id", "item_no").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("s"), F.size(F.split("window", " ")).alias("n_words"))).alias("b"))
+    return near.where(F.col("similarity") >= threshold).select("doc_id", "text_no", "start", "aligned", "window", "item_id", "item_no", "similarity")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+    """``(doc_id, item_id, similarity, start_word, n_words)``: the best window of each document for each item it holds."""
+    near = leaking_windows(docs, benchmark, threshold, radius)
+    best = near.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_no")).alias("own"), "item_id", "item_no").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("s"), F.size(F.split("window", " ")).alias("n_words"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.s")).alias("start_word"), F.col("b.n_words").alias("n_words"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows with a null id stay unless their text holds one."""
-    hit = find_leaks(docs, benchmark).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
+    """``docs`` without the rows whose text holds an item; other rows stay, whatever their id."""
+    hit = leaking_windows(docs, benchmark).select(F.col("doc_id").alias("leak_id"), F.col("text_no").alias("leak_text")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("leak_id")) & (F.xxhash64("text") == F.col("leak_text")), "left_anti")
 
 
 #: Every item-sized window that shares a shingle with the item; start_word is chosen as the query chooses it.

@@ -24,10 +24,10 @@ from pyspark.sql.window import Window
 
 from parlance.llm.common import arrow_stream, arrow_with, bounded_sample, fold_of
 
-#: Labelled documents used for the fit, words kept per language, longest n-gram.
-SAMPLE_DOCS, WORDS_PER_LANG, MAX_GRAM = 8_000, 15_000, 4
-#: Words whose evidence counts in full; beyond that the score stops growing surer.
-FULL_WORDS = 60
+#: Labelled documents used for the fit, bytes of their texts in each language (all words of these are kept), longest n-gram.
+SAMPLE_DOCS, SAMPLE_BYTES, MAX_GRAM = 8_000, 2 << 20, 4
+#: The score of a longer text is that of so many of its average words: words of a text are not independent. The language is chosen by all of them.
+SCORE_WORDS = 60
 #: Words that a partition keeps with their evidence, and the longest of them.
 CACHE_WORDS, CACHED_LENGTH = 50_000, 40
 _ASCII_WORD, _WORD = re.compile("[a-z]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -101,10 +101,10 @@ class LanguageModel:
         words = words_of(text) if text else []
         if not words or not self.langs:
             return "und", 0.0
-        total = (seen or SeenWords(self)).total(words) * min(1, FULL_WORDS / len(words)) + self.prior
-        p = np.exp(total - total.max())
-        best = int(p.argmax())
-        return self.langs[best], float(p[best] / p.sum())
+        total = (seen or SeenWords(self)).total(words)
+        best = int((total + self.prior).argmax())
+        sure = total * min(1, SCORE_WORDS / len(words)) + self.prior
+        return self.langs[best], float(1 / np.exp(np.clip(sure - sure[best], -700, 700)).sum())
 
 
 class SeenWords:
@@ -144,8 +144,8 @@ class SeenWords:
         return out + self.model.table[own].sum(0, dtype=np.float64) + self.model.evidence(long).sum(0, dtype=np.float64)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", words_per_lang: int = WORDS_PER_LANG) -> LanguageModel:
-    """Word counts per language on the executors; the driver gets the most frequent ones of each."""
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
+    """Word counts per language on the executors; the driver gets those of all words of the bounded sample ``labelled``."""
 
     def count(batches):
         found: dict[str, Counter] = defaultdict(Counter)
@@ -164,11 +164,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", words_per_l
 
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     counts = arrow_stream(rows.select(F.col(text).alias("t"), F.col(lang).alias("g")), "lang string, word string, n long", count, "t", "g").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy((F.col("word") == "").desc(), F.desc("n"), "word"))).where(F.col("k") <= words_per_lang + 1)
     table: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in top.collect():
+    for r in counts.collect():
         table[r.lang][r.word] = r.n
-    prior = {g: words.pop("") for g, words in table.items()}
+    prior = {g: table[g].pop("") for g in sorted(table)}
+    table = {g: dict(sorted(words.items())) for g, words in table.items()}
     return LanguageModel(table, prior)
 
 
@@ -201,10 +201,16 @@ def label_documents(docs: DataFrame, model: LanguageModel, text: str = "text") -
     return arrow_with(docs, "lang string, lang_score double", run)
 
 
-def training_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Labelled documents outside the held-out split: a bounded sample."""
-    rows = docs.select("doc_id", "text", "lang").where((fold_of(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return bounded_sample(rows, sample_docs, "doc_id")
+def training_rows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """``(text, lang)`` of labelled documents outside the held-out split, bounded in number and in each language's bytes.
+
+    Documents are chosen by hashes of their ids from rows without texts; a text longer than the bound is not chosen.
+    """
+    rows = docs.where((fold_of(F.col("doc_id")) != 2) & F.col("lang").isNotNull()).select("doc_id", "text", "lang", F.octet_length("text").alias("size"))
+    some = bounded_sample(rows.where(F.col("size") <= max_bytes).select("doc_id", "lang", "size"), sample_docs, "doc_id").distinct()
+    upto = F.sum("size").over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "size"))
+    chosen = some.withColumn("upto", upto).where(F.col("upto") <= max_bytes).drop("upto")  # sample_docs rows at most
+    return rows.join(F.broadcast(chosen), ["doc_id", "lang", "size"]).select("text", "lang")
 
 
 def language_table(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ deviations below the limit), full sets confirm every link.
 
 Defined cases: null texts and texts without words have an empty set and are linked with
 nothing; texts of fewer words than a shingle are one shingle; rows with one id are one
-document; a row without an id takes the component of an equal set, else none, and is kept;
+document (each of its texts is compared, and the components that hold one of them are one); a row without an id takes the component of an equal set, else none, and is kept;
 repeated rows give repeated results; other columns are ignored; no rows give no rows.
 """
 
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import arrow_map, arrow_stream, groups_of
+from parlance.llm.numbering import numbered
 from parlance.plans.closure import connected_components
 from parlance.plans.scratch import materialise
 
@@ -281,6 +282,9 @@ def cross_links(leaves: DataFrame, parts: DataFrame, sets: DataFrame, docs: Data
 def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every row."""
     sig = materialise(signatures(docs.select("doc_id", "text")))
+    texts = F.coalesce("set_id", F.lit(""))
+    if not sig.where("doc_id is not null").groupBy("doc_id").agg((F.min(texts) != F.max(texts)).alias("clash")).where("clash").isEmpty():
+        return _components_of_clashing(docs, percent)
     lead = sig.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("lead"))
     lead = materialise(lead)
     sets = materialise(sig.join(lead, "set_id").where("doc_id = lead").select("lead", "n", "mins", "sketch").dropDuplicates(["lead"]))
@@ -294,6 +298,25 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _components_of_clashing(docs: DataFrame, percent: int) -> DataFrame:
+    """near_components where ids have several texts: each text of an id is a node, and the components that hold a text of one id are one."""
+    text = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+    nodes = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), *text).distinct().withColumn("all", F.lit(0))
+    nodes = materialise(numbered(nodes, "all", ["id", "h1", "h2"], "node").drop("all"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", *text).join(nodes, ["id", "h1", "h2"], "left")
+    found = materialise(near_components(materialise(rows.select(F.col("node").alias("doc_id"), "text")), percent))
+    parts = found.where("doc_id is not null").select(F.col("doc_id").alias("node"), F.col("component_id").alias("part")).distinct().join(nodes, "node")
+    same = parts.groupBy("id").agg(F.min("part").alias("low"))
+    joined = connected_components(parts.join(same, "id").where("part != low").select("part", "low"), "part", "low").toDF("part", "root")
+    # nodes ascend with their ids, so the least node of a component has the least id
+    ids = nodes.select(F.col("node").alias("root"), F.col("id").alias("component_id"))
+    of = joined.join(ids, "root").select("part", F.col("component_id").alias("by_id"))
+    out = found.withColumnsRenamed({"doc_id": "node", "component_id": "part"}).drop("kept").join(nodes.select("node", "id"), "node", "left")
+    own = nodes.select(F.col("node").alias("part"), F.col("id").alias("own_id"))
+    out = out.join(of, "part", "left").join(own, "part", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("by_id", "own_id", "id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def drop_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest id; rows without an id stay."""
     gone = near_components(docs, percent).where("not kept").select(F.col("doc_id").alias("gone"))

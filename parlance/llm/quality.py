@@ -116,9 +116,11 @@ def training_texts(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_P
     sizes = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
     ids = bounded_sample(known.where("quality = 0"), per_class, "doc_id").unionByName(bounded_sample(known.where("quality = 1"), per_class, "doc_id"))
     # at most 2 x per_class ids; repeated documents count once
-    found = docs.select("doc_id", "text").where(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = found.withColumn("upto", upto).where(F.col("upto") <= max_bytes).orderBy("doc_id").collect()
+    sized = docs.select("doc_id", "text", F.octet_length("text").alias("size")).where(F.col("size").between(1, max_bytes))
+    found = sized.select("doc_id", "size").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("size").alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))  # ids and sizes, no texts
+    chosen = found.withColumn("upto", upto).where(F.col("upto") <= max_bytes).drop("upto")
+    rows = sized.join(F.broadcast(chosen), ["doc_id", "size"]).groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return [(r.text, r.quality) for r in rows], (sizes.get(0, 0), sizes.get(1, 0)) if sizes else None
 
 
