@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,24 +14,52 @@ from parlance.plans.scratch import materialise
 MAX_HOPS = 10_000
 
 
+#: Hops whose rows are written together as one table of the next size.
+FAN = 16
+
+
+class Seen:
+    """What a walk has found: a table per hop, of which FAN at a time become one.
+
+    A row is written once for its hop and once more for every size of table it moves up to, so what is
+    written grows with the rows found (times the logarithm of the hops), and few tables are read in a hop.
+    """
+
+    def __init__(self, fan: int = FAN):
+        self.fan, self.sizes = fan, [[]]
+
+    def add(self, rows: DataFrame) -> None:
+        self.sizes[0].append(rows)
+        for k in range(len(self.sizes)):
+            if len(self.sizes[k]) < self.fan:
+                return
+            if k + 1 == len(self.sizes):
+                self.sizes.append([])
+            self.sizes[k + 1].append(materialise(reduce(DataFrame.unionByName, self.sizes[k])))
+            self.sizes[k] = []
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [t for tables in self.sizes for t in tables])
+
+
 def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, direction: str = "out") -> DataFrame:
     """``(entry, node, depth)``: nodes within ``depth`` hops of each entry (any number if None), at their smallest depth.
 
-    Without a depth the walk ends when a hop finds nothing new, and raises after MAX_HOPS hops.
+    A hop writes only what it found.  Without a depth the walk ends when a hop finds nothing new, and raises after MAX_HOPS hops.
     """
     out = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
     into = edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
-    steps = {"out": out, "in": into, "both": out.unionByName(into)}[direction].distinct()
-    seen = materialise(start.select("entry", "node").distinct().withColumn("depth", F.lit(0)))
-    edge = seen
+    steps = materialise({"out": out, "in": into, "both": out.unionByName(into)}[direction].distinct())
+    seen, edge = Seen(), materialise(start.select("entry", "node").distinct().withColumn("depth", F.lit(0)))
+    seen.add(edge)
     for k in range(1, (MAX_HOPS if depth is None else depth) + 1):
-        edge = materialise(edge.select("entry", "node").join(steps, "node").select("entry", F.col("next").alias("node")).distinct().join(seen, ["entry", "node"], "left_anti").withColumn("depth", F.lit(k)))
+        edge = materialise(edge.select("entry", "node").join(steps, "node").select("entry", F.col("next").alias("node")).distinct().join(seen.rows(), ["entry", "node"], "left_anti").withColumn("depth", F.lit(k)))
         if edge.isEmpty():
-            return seen
-        seen = materialise(seen.unionByName(edge))
+            return seen.rows()
+        seen.add(edge)
     if depth is None:
         raise RuntimeError(f"the walk did not end in {MAX_HOPS} hops")
-    return seen
+    return seen.rows()
 
 
 def induced(edges: DataFrame, reached: DataFrame) -> DataFrame:

@@ -429,6 +429,27 @@ def test_walks_have_no_limit(spark):
     assert {x.node: x.depth for x in graph.reach(e, start, 4).collect()} == {"n68": 0, "n69": 1, "n70": 2, "n3": 3, "n4": 4}
 
 
+def test_walks_write_what_they_find(spark, monkeypatch):
+    """On a chain every hop finds one node: what is written grows with the nodes, not with their square."""
+    written, real = [], graph.materialise
+
+    def counted(df):
+        out = real(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "materialise", counted)
+    n = 30
+    edges = spark.createDataFrame([(k, k + 1) for k in range(n)], "src int, dst int")
+    got = graph.reach(edges, spark.createDataFrame([(0, 0)], "entry int, node int")).collect()
+    assert sorted((x.node, x.depth) for x in got) == [(k, k) for k in range(n + 1)]
+    assert sum(written[1:]) <= 2 * (n + 1)  # written[0] is the edge table
+    seen = graph.Seen(2)
+    for k in range(9):
+        seen.add(spark.createDataFrame([(k,)], "node int"))
+        assert sorted(x.node for x in seen.rows().collect()) == list(range(k + 1)) and sum(map(len, seen.sizes)) <= 4
+
+
 def test_inherited_values(spark):
     r = random.Random(17)
     parent = {k: k - 1 if k < 90 else r.choice([None, *range(90, 140), 999]) for k in range(140)}
