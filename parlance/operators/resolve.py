@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,10 +12,13 @@ from pyspark.sql.window import Window
 
 from parlance.functions.text import collapse, strip, surface_key
 from parlance.plans.closure import connected_components
+from parlance.plans.scratch import materialise
 
 AUTO, SUGGEST = 0.92, 0.80
 #: Vectors in a tile of the pair join, about.
 TILE_ROWS = 2_048
+#: Pivots of a block at most, and vectors that are held against them at a time.
+PIVOTS, CHUNK_ROWS = 512, 20_000
 
 
 def surface_counts(mentions: DataFrame) -> DataFrame:
@@ -37,30 +42,101 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def similar_pairs(vectors: DataFrame, key: str, block: list[str], column: str, low: float = SUGGEST, high: float = AUTO, tile_rows: int = TILE_ROWS) -> DataFrame:
+def _matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which nulls are a value like any other, as in groupBy."""
+    other = right.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on))
+    return left.join(other, same, how).drop(*(f"_of_{c}" for c in on))
+
+
+def _cells(vectors: DataFrame, key: str, block: list[str], tile_rows: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """(vectors with ``cell`` and ``angle``, the cells' ``(block, cell, at array<double>)``): each vector goes to the nearest pivot of its block.
+
+    Only blocks of more than ``tile_rows`` vectors have pivots: one for so many rows and ``pivots`` at most, drawn by a hash of the keys.
+    """
+    size = vectors.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"))
+    large = materialise(size.where(F.col("_n") > tile_rows).withColumns({"_cells": F.least(F.lit(pivots), F.ceil(F.col("_n") / tile_rows)).cast("int"), "_chunks": F.ceil(F.col("_n") / CHUNK_ROWS).cast("int")}))
+    own, none = vectors.withColumns({"cell": F.lit(0), "angle": F.lit(0.0)}), vectors.select(*block, F.lit(0).alias("cell"), F.col("unit").alias("at")).limit(0)
+    if large.isEmpty():
+        return own, none
+    wide = _matched(vectors, large, block)
+    h = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 30))
+    drawn = wide.where(h < F.greatest(F.lit(64), 4 * F.col("_cells")) / F.col("_n") * (1 << 30)).withColumn("cell", F.row_number().over(Window.partitionBy(*block).orderBy(h, key)) - 1).where(F.col("cell") < F.col("_cells"))
+    at = materialise(drawn.select(*block, "_chunks", "cell", F.col("unit").alias("at")))
+    per_chunk = at.groupBy(*block, "_chunks").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "at"))), lambda c: c["at"]).alias("at")).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    chunked = wide.withColumn("_chunk", F.pmod(F.xxhash64(key), F.col("_chunks")).cast("int")).select(*vectors.columns, "_chunk")
+
+    def nearest(rows: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        cosine = np.zeros((len(rows), 1))
+        if len(rows) and len(cells):
+            cosine = np.stack(rows["unit"].tolist()) @ np.stack(list(cells["at"].iloc[0])).T
+        best = cosine.argmax(1)
+        return rows.drop(columns="_chunk").astype(dict.fromkeys([key, *block], object)).assign(cell=best.astype(np.int32), angle=np.arccos(np.clip(cosine.max(1, initial=-1), -1, 1)))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema) + ", cell int, angle double"
+    dealt = chunked.groupBy(*block, "_chunk").cogroup(per_chunk.select(*block, "_chunk", "at").groupBy(*block, "_chunk")).applyInPandas(nearest, schema)
+    small = _matched(own, large.select(*block), block, "left_anti").select(*dealt.columns)
+    return small.unionByName(dealt), at.select(*block, "cell", "at")
+
+
+def _cell_pairs(cells: DataFrame, at: DataFrame, block: list[str], low: float) -> DataFrame:
+    """``(block, cell, other, other_tiles, least)``: which cells can hold partners of a cell's vectors, and from which angle to their pivot on.
+
+    Two vectors of angles a and b to pivots t apart are at least t - a - b apart, so a cell whose radius does not reach is left out, and
+    so are vectors too close to their own pivot.  Each pair is given from both sides, a cell with itself once.
+    """
+    alone = cells.select(*block, "cell", F.col("cell").alias("other"), F.col("tiles").alias("other_tiles"), F.lit(0.0).alias("least"))
+    known = _matched(cells, at, [*block, "cell"]).groupBy(*block).agg(F.array_sort(F.collect_list(F.struct("cell", "tiles", "radius", "at"))).alias("cells"))
+    reach = float(np.arccos(low - 1e-6)) + 1e-7
+    kinds = {c: cells.schema[c].dataType.simpleString() for c in block}
+
+    def pair(frames):
+        for f in frames:
+            for row in f.to_dict("records"):
+                x = row["cells"]
+                a = np.stack([c["at"] for c in x])
+                apart, radius = np.arccos(np.clip(a @ a.T, -1, 1)), np.array([c["radius"] for c in x])
+                least = apart - radius[None, :] - reach
+                i, j = np.nonzero((least <= radius[:, None]) & ~np.eye(len(x), dtype=bool))
+                cell, tiles = np.array([c["cell"] for c in x], np.int32), np.array([c["tiles"] for c in x], np.int32)
+                yield pd.DataFrame({c: pd.Series([row[c]] * len(i), dtype=object) for c in block} | {"cell": cell[i], "other": cell[j], "other_tiles": tiles[j], "least": least[i, j]})
+
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", cell int, other int, other_tiles int, least double"
+    return alone.unionByName(known.mapInPandas(pair, schema))
+
+
+def _met_tiles(vectors: DataFrame, key: str, block: list[str], column: str, low: float, tile_rows: int, pivots: int) -> DataFrame:
+    """Every vector once for each two tiles that it has to be multiplied in: ``(block, ca, ta, cb, tb, cell, tile, key, unit)``."""
+    v = materialise(unit_vectors(vectors, column).where("unit is not null").select(key, *block, "unit"))
+    placed, at = _cells(v, key, block, tile_rows, pivots)
+    placed = materialise(placed)
+    cells = materialise(placed.groupBy(*block, "cell").agg(F.max("angle").alias("radius"), F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("tiles")))
+    pairs = _cell_pairs(cells, at, block, low)
+    rows = _matched(placed, cells.drop("radius"), [*block, "cell"]).withColumn("tile", F.pmod(F.xxhash64(key), F.col("tiles")).cast("int"))
+    met = _matched(rows, pairs, [*block, "cell"]).where(F.col("angle") >= F.col("least") - 1e-9).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("other_tiles") - 1)))
+    mine, theirs = F.struct(F.col("cell").alias("c"), F.col("tile").alias("t")), F.struct(F.col("other").alias("c"), F.col("t"))
+    return met.withColumns({"a": F.least(mine, theirs), "b": F.greatest(mine, theirs)}).select(*block, F.col("a.c").alias("ca"), F.col("a.t").alias("ta"), F.col("b.c").alias("cb"), F.col("b.t").alias("tb"), "cell", "tile", key, "unit")
+
+
+def similar_pairs(vectors: DataFrame, key: str, block: list[str], column: str, low: float = SUGGEST, high: float = AUTO, tile_rows: int = TILE_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """Pairs inside a block whose cosine reaches ``low``, with their band; vectors of length 0 match nothing.
 
-    Exact, so the work grows with the square of a block.  The largest block is counted and cut into
-    tiles of about ``tile_rows`` vectors by a hash; every two tiles meet once, as a product of two
-    matrices, so a task holds two tiles however large the block is.
+    Exact.  A block of more than ``tile_rows`` vectors is cut into cells around pivots; cells too far apart for
+    any pair are never brought together (see _cell_pairs), and of the others only vectors that can have a partner
+    are.  Cells are cut into tiles of about ``tile_rows`` by a hash; two tiles meet once, as a product of two
+    matrices, so a task holds two tiles however large the block is.  Every block has its own pivots and tiles.
     """
-    v = unit_vectors(vectors, column).where("unit is not null").select(key, *block, "unit")
-    most = v.groupBy(*block).count().agg(F.max("count")).first()[0] or 0
-    tiles = max(1, -(-most // tile_rows))
-    v = v.withColumn("tile", F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int"))
-    own, other = F.least("tile", "t"), F.greatest("tile", "t")
-    met = v.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select(*block, own.alias("ta"), other.alias("tb"), "tile", key, "unit")
     kinds = {c: vectors.schema[c].dataType.simpleString() for c in (key, *block)}
     schema = ", ".join([f"{c} {kinds[c]}" for c in block] + [f"a {kinds[key]}, b {kinds[key]}, score double"])
 
     def multiply(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        *names, ta, tb = group
-        left, right = (rows[rows["tile"] == t].sort_values(key) for t in (ta, tb))
+        *names, ca, ta, cb, tb = group
+        left, right = (rows[(rows["cell"] == c) & (rows["tile"] == t)].sort_values(key) for c, t in ((ca, ta), (cb, tb)))
         out = {"a": [], "b": [], "score": []}
         if len(left) and len(right):
             x, y = (np.stack(side["unit"].tolist()) for side in (left, right))
             score = np.round(x @ y.T, 6)
-            i, j = np.nonzero(np.triu(score >= low, 1) if ta == tb else score >= low)
+            i, j = np.nonzero(np.triu(score >= low, 1) if (ca, ta) == (cb, tb) else score >= low)
             a, b = left[key].to_numpy()[i], right[key].to_numpy()[j]
             swap = a > b
             out = {"a": np.where(swap, b, a), "b": np.where(swap, a, b), "score": score[i, j]}
@@ -69,10 +145,17 @@ def similar_pairs(vectors: DataFrame, key: str, block: list[str], column: str, l
             f.insert(k, c, value)
         return f
 
-    pairs = met.groupBy(*block, "ta", "tb").applyInPandas(multiply, schema)
+    met = _met_tiles(vectors, key, block, column, low, tile_rows, pivots)
+    pairs = met.groupBy(*block, "ca", "ta", "cb", "tb").applyInPandas(multiply, schema)
     return pairs.withColumn("band", F.when(F.col("score") >= high, "auto").otherwise("suggest"))
 
 
+def tile_report(vectors: DataFrame, key: str, block: list[str], column: str, low: float = SUGGEST, tile_rows: int = TILE_ROWS, pivots: int = PIVOTS) -> DataFrame:
+    """What similar_pairs reads in each block: vectors, copies of them that are sent, and pairs of tiles that are multiplied."""
+    met = _met_tiles(vectors, key, block, column, low, tile_rows, pivots)
+    return met.groupBy(*block).agg(F.count_distinct(key).alias("n_vectors"), F.count(F.lit(1)).alias("n_sent"), F.count_distinct("ca", "ta", "cb", "tb").alias("n_tile_pairs"))
+
+
 def clusters(pairs: DataFrame) -> DataFrame:
     """(node, component) of the automatic pairs."""
     return connected_components(pairs.where("band = 'auto'"), "a", "b")

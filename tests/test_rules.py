@@ -6,6 +6,7 @@ import re
 import uuid
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -215,6 +216,24 @@ def test_pairs_do_not_depend_on_the_tiles(spark):
     assert resolve.similar_pairs(d.where("false"), "k", ["kind"], "v").count() == 0
 
 
+def test_far_cells_never_meet(spark):
+    """One large block of clusters beside many small ones: all pairs are found, few tiles meet, small blocks are sent once."""
+    r = random.Random(9)
+    centres = [[r.gauss(0, 1) for _ in range(12)] for _ in range(10)]
+    rows = [(k, None if k % 7 == 0 else "big", [c + r.gauss(0, 0.15) for c in centres[k % 10]]) for k in range(420)]
+    rows += [(1000 + k, f"small{k % 40}", [r.gauss(0, 1) for _ in range(12)]) for k in range(120)]
+    d = spark.createDataFrame(rows, "k int, kind string, v array<double>").repartition(3)
+    unit = {k: (kind, np.array(v) / np.linalg.norm(v)) for k, kind, v in rows}
+    want = {(a, b) for a in unit for b in unit if a < b and unit[a][0] == unit[b][0] and round(float(unit[a][1] @ unit[b][1]), 6) >= 0.9}
+    assert len(want) > 3000
+    for pivots in (1, 40):
+        assert {(x.a, x.b) for x in resolve.similar_pairs(d, "k", ["kind"], "v", 0.9, 0.97, tile_rows=12, pivots=pivots).collect()} == want
+    report = {x.kind: x for x in resolve.tile_report(d, "k", ["kind"], "v", 0.9, tile_rows=12, pivots=40).collect()}
+    whole = {x.kind: x for x in resolve.tile_report(d, "k", ["kind"], "v", 0.9, tile_rows=12, pivots=1).collect()}
+    assert all((x.n_vectors, x.n_sent, x.n_tile_pairs) == (3, 3, 1) for kind, x in report.items() if kind not in (None, "big"))
+    assert 2 * report["big"].n_sent < whole["big"].n_sent and report["big"].n_tile_pairs < whole["big"].n_tile_pairs
+
+
 def test_vectors_of_two_models_never_meet(spark):
     d = spark.createDataFrame([(1, "p", "m1", [1.0, 0.0]), (2, "p", "m1", [1.0, 0.1]), (3, "p", "m2", [1.0, 0.0]), (4, "q", "m2", [1.0, 0.0])], "k int, area string, model string, v array<double>")
     assert [(x.a, x.b) for x in enrich.comparable_pairs(d, "k", ["area"], "v", 0.5).collect()] == [(1, 2)]
