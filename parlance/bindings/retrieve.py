@@ -13,7 +13,8 @@ from parlance.functions.ids import hashed_share
 from parlance.functions.text import query_text
 from parlance.operators import enrich as enrich_op
 from parlance.operators import retrieve as op
-from parlance.plans.scratch import materialise
+from parlance.operators import textindex
+from parlance.plans.scratch import materialise, scratch_dir
 
 QUERIES, SQL = {}, {}
 
@@ -119,7 +120,11 @@ def _fulltext(s, d, c):
 
 @query("a6_fulltext", f"WITH {UTTERANCES}, {_BM} SELECT question_id, fragment_id, round(score, 3) AS score, CAST(rank AS INTEGER) AS rank FROM ft")
 def a6(s, d):
-    return _fulltext(s, d, bind.fragments(s, d)).select("question_id", "fragment_id", F.round("score", 3).alias("score"), "rank")
+    """Through a stored index that a second segment extends."""
+    f, path = materialise(bind.fragments(s, d).select("fragment_id", "interview_id", "project_id", "text")), scratch_dir(s)
+    for k, share in enumerate(("interview_id % 3 != 0", "interview_id % 3 = 0")):
+        textindex.add_segment(f.where(share), path, k, "fragment_id", "project_id", "text")
+    return textindex.search(s, path, _questions(s, d)).select("question_id", "fragment_id", F.round("score", 3).alias("score"), "rank")
 
 
 _GR = "gh AS (SELECT question_id, nw.fragment_id FROM matches m JOIN questions USING (question_id) JOIN nw ON nw.scope = questions.scope AND lower(nw.name) = ref)"
