@@ -192,12 +192,3 @@ def ingestion_summary(fragments: DataFrame, utterances: DataFrame, key: str, spe
     f = fragments.groupBy(key).agg(F.count(F.lit(1)).alias("n_fragments"), F.count_distinct(speaker).alias("n_speakers"), F.count_if(F.col("confidence") < threshold).alias("n_low_confidence"))
     u = utterances.groupBy(key).agg(F.count(F.lit(1)).alias("n_utterances"))
     return f.join(u, key, "left")
-
-
-def stitch_with_model(fragments: DataFrame, proposals: DataFrame, key: str, speaker: str) -> DataFrame:
-    """Stitched utterances where a model answered, baseline runs where it failed (no proposals)."""
-    return merge_proposals(fragments, proposals, key, speaker)
-
-
-def name_key(c: Column) -> Column:
-    return collapse(c)
