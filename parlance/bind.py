@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions.ids import hashed_share
 from parlance.operators import ingest
+from parlance.plans.scratch import materialise
+
+#: Fragments and utterances that the query at work has written, by session and folder.
+_WRITTEN: dict[tuple[SparkSession, str, str], DataFrame] = {}
+
+
+def reads_fragments(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query whose branches read fragments or utterances several times: each is cut and written once for it."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if (spark, sf_dir, "fragments") in _WRITTEN:
+            return query(spark, sf_dir)
+        try:
+            for name, make in (("fragments", fragments), ("utterances", utterances)):
+                _WRITTEN[spark, sf_dir, name] = materialise(make(spark, sf_dir))
+            return query(spark, sf_dir)
+        finally:
+            for name in ("fragments", "utterances"):
+                _WRITTEN.pop((spark, sf_dir, name), None)
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +40,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(interview_id, project_id, turn, piece, role, seq, text, start_char, end_char, fragment_id, confidence)``."""
+    if (spark, sf_dir, "fragments") in _WRITTEN:
+        return _WRITTEN[spark, sf_dir, "fragments"]
     c = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "interview_id")
     f = ingest.number_fragments(ingest.segment(c, ["interview_id", "turn", "role"], "text"), "interview_id", "turn", "piece")
     f = f.withColumn("fragment_id", F.concat_ws(":", F.col("interview_id"), F.col("seq")))
@@ -22,6 +49,8 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if (spark, sf_dir, "utterances") in _WRITTEN:
+        return _WRITTEN[spark, sf_dir, "utterances"]
     u = ingest.baseline_utterances(fragments(spark, sf_dir), "interview_id", "role")
     return u.withColumn("utterance_id", F.concat_ws(":", F.col("interview_id"), F.lit("u"), F.col("utterance_no")))
 

@@ -300,6 +300,7 @@ _RES = "res AS (SELECT i.*, CASE WHEN owner = 'self' THEN unit_speaker ELSE s.sp
 
 
 @query("l3_item_speakers", f"WITH {UTTERANCES}, {_UNITS}, {_ITEMS}, {_SPK}, {_RES} SELECT item_id, owner, owner_speaker FROM res")
+@bind.reads_fragments
 def l3(s, d):
     return lens_op.resolve_speakers(_items(s, d), _speakers(s, d), "owner").select("item_id", "owner", "owner_speaker")
 
@@ -330,10 +331,11 @@ def l7(s, d):
     return out.select("item_id", F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",").alias("fields"), "locked")
 
 
-@query("l8_flatten", f"WITH {UTTERANCES}, {_UNITS}, {_ITEMS} SELECT item_id, 'due=' || type || ',field_text=' || text || ',tags=[\"' || lens || '\"]' AS fields FROM items")
+@query("l8_flatten", f"""WITH {UTTERANCES}, {_UNITS}, {_ITEMS} SELECT item_id, 'due=' || type || ',field_lens=' || lens || ',n=' || length(text) || ',of={{"lens":"' || lens || '","marks":[1,' || length(type) || ']}},tags=["' || lens || '"],text=' || text AS fields FROM items""")
 def l8(s, d):
-    i = _items(s, d).withColumn("fields", F.create_map(F.lit("text"), F.col("text"), F.lit("due"), F.col("type"), F.lit("tags"), F.to_json(F.array("lens"))))
-    return i.select("item_id", F.array_join(F.transform(F.array_sort(F.map_entries(lens_op.flatten_fields(F.col("fields")))), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",").alias("fields"))
+    made = F.to_json(F.struct("text", "lens", F.col("type").alias("due"), F.array("lens").alias("tags"), F.length("text").alias("n"), F.struct("lens", F.array(F.lit(1), F.length("type")).alias("marks")).alias("of")))
+    i = _items(s, d).select("item_id", lens_op.flatten_fields(made).alias("fields"))
+    return i.select("item_id", F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",").alias("fields"))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parlance import bind
 from parlance.bind import EVENTS, FRAGMENTS, share_sql
-from parlance.functions.ids import hashed_share, lane, uuid5
+from parlance.functions.ids import hashed_share, uuid5
 from parlance.operators import events as op
 from parlance.plans.scratch import materialise, scratch_dir
 from parlance.sources import io
@@ -139,11 +139,12 @@ def v5(s, d):
     return op.apply_once(e.unionByName(e.where("version % 5 = 0")), applied).select("aggregate_id", "version", "commit_position")
 
 
-@query("v7_lanes", f"WITH {EVENTS}, {_CAT}, k AS (SELECT CASE WHEN category = 'Sentence' THEN CASE WHEN commit_position % 9 <> 0 THEN CAST(aggregate_id AS VARCHAR) END ELSE CAST(aggregate_id AS VARCHAR) END AS key FROM cat) SELECT CAST(CASE WHEN key IS NOT NULL THEN ('0x' || substr(md5(key), 1, 8))::BIGINT % 12 END AS INTEGER) AS lane, count(*) AS n_events, count(DISTINCT key) AS n_keys FROM k GROUP BY 1")
+@query("v7_routing_keys", f"WITH {EVENTS}, {_CAT}, k AS (SELECT category, CASE WHEN category = 'Sentence' THEN CASE WHEN commit_position % 9 <> 0 THEN CAST(aggregate_id AS VARCHAR) END ELSE CAST(aggregate_id AS VARCHAR) END AS key FROM cat) SELECT category, key AS routing_key, count(*) AS n_events FROM k GROUP BY ALL")
 def v7(s, d):
+    """Events of each routing key; those without one are dropped and counted."""
     own = F.col("aggregate_id").cast("string")
-    r = op.route(_cat(s, d), "category", own, F.when(F.col("commit_position") % 9 != 0, own), lane)
-    return r.groupBy("lane").agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("routing_key").alias("n_keys"))
+    r = op.route(_cat(s, d), "category", own, F.when(F.col("commit_position") % 9 != 0, own))
+    return r.groupBy("category", "routing_key").agg(F.count(F.lit(1)).alias("n_events"))
 
 
 @query("v8_missing_referents", f"WITH {EVENTS}, p AS (SELECT DISTINCT aggregate_id FROM event_log WHERE event_type = 'signup') SELECT aggregate_id IN (SELECT aggregate_id FROM p) AS applicable, event_type, count(*) AS n FROM event_log GROUP BY ALL")

@@ -77,6 +77,7 @@ def x4(s, d):
     f"""WITH {UTTERANCES}, {_AN}, t AS (SELECT *, CASE WHEN interview_id % 2 = 0 THEN 'topic ' || (seq // 7) END AS topic FROM anch), l AS (SELECT *, lag(topic) OVER w AS lt, lag(anchor) OVER w AS la FROM t WINDOW w AS (PARTITION BY interview_id ORDER BY seq))
 SELECT interview_id, string_agg(CASE WHEN topic IS NOT NULL AND topic IS DISTINCT FROM lt THEN '## ' || topic || chr(10) ELSE '' END || CASE WHEN anchor IS DISTINCT FROM la THEN '**' || role || '** {{#' || anchor || '}}' || chr(10) ELSE '' END || text, chr(10) ORDER BY seq) AS content FROM l GROUP BY 1""",
 )
+@bind.reads_fragments
 def x5(s, d):
     topic = F.when(F.col("interview_id") % 2 == 0, F.concat(F.lit("topic "), F.floor(F.col("seq") / 7)))
     return op.transcript_documents(_anchored(s, d).withColumn("topic", topic))
@@ -86,12 +87,14 @@ _QUOTE = "'> ' || text || chr(10) || '> — ' || role || ', [' || anchor || '](/
 
 
 @query("x6_quotes", f"WITH {UTTERANCES}, {_AN}, {_CLAIMS} SELECT claim_id, string_agg({_QUOTE}, chr(10) ORDER BY seq) AS quotes FROM claims JOIN anch USING (interview_id, utterance_no) GROUP BY 1")
+@bind.reads_fragments
 def x6(s, d):
     sup = _claims(s, d).select("claim_id", "utterance_id").join(_members(s, d), "utterance_id").select("claim_id", "fragment_id")
     return op.quotes(sup, _anchored(s, d), "claim_id")
 
 
 @query("x7_back_links", f"WITH {UTTERANCES}, {_UNITS}, {_ITEMS}, {_CLAIMS}, l AS (SELECT interview_id || '/' || unit_speaker AS speaker_id, 'item:' || type AS t FROM items WHERE unit_speaker IS NOT NULL UNION ALL SELECT speaker_id, 'claim:' || CAST(utterance_no % 3 AS VARCHAR) FROM claims) SELECT speaker_id, string_agg(DISTINCT t, ',' ORDER BY t) AS back_links, count(*) AS n_links FROM l GROUP BY 1")
+@bind.reads_fragments
 def x7(s, d):
     i = _items(s, d).where("unit_speaker is not null").select(F.concat_ws("/", "interview_id", "unit_speaker").alias("speaker_id"), F.lit("item").alias("kind"), F.col("type").alias("target"))
     c = bind.utterances(s, d).select(F.concat_ws("/", "interview_id", "speaker").alias("speaker_id"), F.lit("claim").alias("kind"), (F.col("utterance_no") % 3).cast("string").alias("target"))
@@ -106,6 +109,7 @@ def _aliases(s, d):
 
 
 @query("x8_entity_pages", f"WITH {_M}, {_PAGED}, a AS (SELECT page, surface AS alias, count(*) AS n_alias_mentions FROM pg GROUP BY ALL) SELECT page, alias, CAST(row_number() OVER (PARTITION BY page ORDER BY alias) AS INTEGER) AS place, n_alias_mentions, CAST(sum(n_alias_mentions) OVER (PARTITION BY page) AS BIGINT) AS n_mentions, count(*) OVER (PARTITION BY page) AS n_surfaces FROM a")
+@bind.reads_fragments
 def x8(s, d):
     return op.entity_pages(_mentions(s, d), _aliases(s, d))
 
@@ -118,6 +122,7 @@ _MROWS = rf"""mr AS (SELECT fragment_id, surface, generate_subscripts(ms, 1) - 1
     rf"""WITH {UTTERANCES}, {_AN}, {_MROWS} SELECT CASE WHEN length(surface) % 3 = 0 THEN 'c-' || lower(left(surface, 2)) ELSE 'surface:' || surface END AS page, interview_id, seq, CAST(pos AS INTEGER) AS pos,
 replace(surface, '|', '\|') AS "text", {share_sql("fragment_id || '@' || pos")} AS confidence, '[' || anchor || '](/transcript.md#' || anchor || ')' AS location FROM mr JOIN anch USING (fragment_id)""",
 )
+@bind.reads_fragments
 def x8_mentions(s, d):
     m = bind.fragments(s, d).select("fragment_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{Lu}[\p{L}']+"), F.lit(0))).alias("pos", "surface"))
     m = m.withColumn("confidence", hashed_share(F.concat_ws("@", "fragment_id", "pos")))
@@ -157,11 +162,13 @@ UNION ALL SELECT bundle, 'claim', 'claims/' || slug || '.md', '---' || chr(10) |
 
 
 @query("x9_item_documents", f"WITH {UTTERANCES}, {_UNITS}, {_ITEMS}, {_DOCS} SELECT * FROM docs")
+@bind.reads_fragments
 def x9(s, d):
     return _documents(s, d)
 
 
 @query("x10_index", f"WITH {UTTERANCES}, {_UNITS}, {_ITEMS}, {_DOCS}, l AS (SELECT bundle, split_part(path, '/', 1) AS section, string_agg('- [page](' || path || ')', chr(10) ORDER BY path) AS lines FROM docs GROUP BY ALL) SELECT bundle, string_agg('## ' || section || chr(10) || lines, chr(10) || chr(10) ORDER BY section) AS content FROM l GROUP BY 1")
+@bind.reads_fragments
 def x10(s, d):
     return op.index_documents(_documents(s, d).select("bundle", F.split("path", "/")[0].alias("section"), F.lit("page").alias("title"), "path"))
 
@@ -176,6 +183,7 @@ hd AS (SELECT 'b' || (interview_id % 5) AS bundle, count(DISTINCT interview_id)
     f"""WITH {UTTERANCES}, {_UNITS}, {_ITEMS}, {_DOCS}, {_MROWS}, {_FILES}, n AS (SELECT bundle, count(*) AS n_files, count(*) FILTER (WHERE kind = 'item') AS n_items, count(*) FILTER (WHERE kind = 'claim') AS n_claims, count(*) FILTER (WHERE kind = 'entity') AS n_entities,
 CAST(sum(length(content)) AS BIGINT) AS n_chars, CAST(sum(('0x' || substr(sha256(path || chr(10) || content), 1, 7))::BIGINT) AS BIGINT) AS content_digest FROM files GROUP BY 1) SELECT * FROM n LEFT JOIN hd USING (bundle)""",
 )
+@bind.reads_fragments
 def x11(s, d):
     m = _mentions(s, d).withColumn("bundle", F.concat(F.lit("b"), F.col("interview_id") % 5))
     e = op.paged(m, _aliases(s, d)).groupBy("bundle", "page").agg(F.array_join(F.array_sort(F.collect_set("surface")), ", ").alias("content"))

@@ -66,6 +66,7 @@ _SUP_IN = _SUP.replace("JOIN members USING (interview_id, utterance_no)", "JOIN
     "q4_lens_items",
     f"WITH {UTTERANCES}, {_UNITS}, {_ITEMS}, {_SUP_IN}, sa AS (SELECT item_id, string_agg(DISTINCT fragment_id, ',' ORDER BY fragment_id) AS supports FROM sup GROUP BY 1) SELECT item_id, confidence, 'spoken=' || unit_speaker AS links, supports FROM items LEFT JOIN sa USING (item_id) WHERE type = 'decision' AND confidence >= 0.1 ORDER BY confidence DESC, item_id LIMIT 20 OFFSET 5",
 )
+@bind.reads_fragments
 def q4(s, d):
     i = _items(s, d)
     links = i.where("unit_speaker is not null").select("item_id", F.lit("spoken").alias("role"), F.col("unit_speaker").alias("speaker_id"))
@@ -82,6 +83,7 @@ _CLAIMS = f"claims AS (SELECT interview_id, utterance_id || '/0' AS claim_id, ut
 
 
 @query("q5_claims", f"WITH {UTTERANCES}, {_CLAIMS} SELECT claim_id, speaker_id, string_agg(fragment_id, ',' ORDER BY fragment_id) AS supports FROM claims JOIN members USING (interview_id, utterance_no) GROUP BY ALL")
+@bind.reads_fragments
 def q5(s, d):
     c = _claims(s, d)
     sup = c.select("claim_id", "utterance_id").join(_members(s, d), "utterance_id")
@@ -119,6 +121,7 @@ def q8(s, d):
     f"""WITH {UTTERANCES}, {_CLAIMS}, {_SPEAKERS}, {_PLINKS}, s1 AS (SELECT speaker_id, interview_id, coalesce('person:' || person, 'name:' || lower(display_name)) AS who FROM speakers LEFT JOIN plinks USING (speaker_id))
 SELECT who, count(DISTINCT s1.interview_id) AS n_interviews, count(DISTINCT s1.speaker_id) AS n_speakers, count(DISTINCT claim_id) FILTER (WHERE confidence < 0.5) AS n_items, count(DISTINCT claim_id) AS n_claims FROM s1 LEFT JOIN claims ON claims.speaker_id = s1.speaker_id GROUP BY 1""",
 )
+@bind.reads_fragments
 def q9(s, d):
     c = _claims(s, d)
     return op.speaker_rollup(_speakers(s, d), _plinks(s, d), c.where("confidence < 0.5"), c)
@@ -157,6 +160,7 @@ def q13(s, d):
 fi AS (SELECT fragment_id, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM sup GROUP BY 1), lsp AS (SELECT speaker_id, display_name AS speaker, person FROM speakers LEFT JOIN plinks USING (speaker_id) WHERE interview_id % 6 <> 2)
 SELECT m.fragment_id, speaker, person, m.interview_id || ':u:' || utterance_no AS utterance_id, topics, entities, items FROM members m LEFT JOIN lsp ON lsp.speaker_id = m.interview_id || '/' || m.role LEFT JOIN en USING (fragment_id) LEFT JOIN tp USING (fragment_id) LEFT JOIN fi USING (fragment_id)""",
 )
+@bind.reads_fragments
 def q14(s, d):
     f = bind.fragments(s, d).select("fragment_id", F.concat_ws("/", "interview_id", "role").alias("speaker_id"))
     sp = _speakers(s, d).withColumn("merged_into", F.when(F.col("interview_id") % 6 == 2, F.lit("other")))

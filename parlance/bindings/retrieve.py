@@ -251,9 +251,19 @@ def a15(s, d):
     return op.channel_report(_ranked(s, d), _questions(s, d), ["fulltext", "graph", "vector"], _outages(s, d), {"vector": ["vector_fragment", "vector_utterance"]})
 
 
-@query("a16_quality", f"WITH {UTTERANCES}, {_FUSE}, gold AS (SELECT DISTINCT question_id, fragment_id FROM fused WHERE {share_sql('fragment_id')} < 0.3), r AS (SELECT question_id, fragment_id FROM fused WHERE rank <= 12), j AS (SELECT question_id, count(g.fragment_id) AS n_gold, count(r.fragment_id) AS n_ret, count(*) FILTER (WHERE g.fragment_id IS NOT NULL AND r.fragment_id IS NOT NULL) AS n_hit FROM gold g FULL JOIN r USING (question_id, fragment_id) GROUP BY 1) SELECT 'c' || (question_id % 3) AS category, round(avg(n_hit / n_gold), 4) AS recall, round(avg(CASE WHEN n_ret > 0 THEN n_hit / n_ret END), 4) AS precision, count(*) AS n FROM j WHERE n_gold > 0 GROUP BY 1")
+_GOLD = f"""gh1 AS (SELECT DISTINCT q.question_id, dw.fragment_id, q.term FROM qt q JOIN (SELECT DISTINCT scope, fragment_id, term FROM po) dw ON dw.scope = q.scope AND dw.term = q.term),
+gold AS (SELECT question_id, fragment_id FROM gh1 QUALIFY term = first_value(term) OVER (PARTITION BY question_id ORDER BY length(term) DESC, term DESC))"""
+
+
+@query("a16_quality", f"WITH {UTTERANCES}, {_FUSE}, {_GOLD}, r AS (SELECT question_id, fragment_id FROM fused WHERE rank <= 12), j AS (SELECT question_id, count(g.fragment_id) AS n_gold, count(r.fragment_id) AS n_ret, count(*) FILTER (WHERE g.fragment_id IS NOT NULL AND r.fragment_id IS NOT NULL) AS n_hit FROM gold g FULL JOIN r USING (question_id, fragment_id) GROUP BY 1) SELECT 'c' || (question_id % 3) AS category, round(avg(n_hit / n_gold), 4) AS recall, round(avg(CASE WHEN n_ret > 0 THEN n_hit / n_ret END), 4) AS precision, count(*) AS n FROM j WHERE n_gold > 0 GROUP BY 1")
 def a16(s, d):
-    fused = materialise(op.fuse(_ranked(s, d))).withColumnsRenamed({"question_id": "scenario", "fragment_id": "id"})
-    gold = fused.where(hashed_share(F.col("id")) < 0.3).withColumn("category", F.concat(F.lit("c"), F.col("scenario") % 3))
+    """What is shown for a question against what should be: the fragments of its scope that hold the longest of its words that any holds, whatever the channels say."""
+    c = _corpus(s, d)
+    fused = op.fuse(_ranked(s, d, c)).withColumnsRenamed({"question_id": "scenario", "fragment_id": "id"})
+    words = c.select("fragment_id", F.col("project_id").alias("scope"), F.explode(F.array_distinct(op.terms(F.col("text")))).alias("word"))
+    asked = _questions(s, d).select("question_id", "scope", F.explode(F.array_distinct(op.terms(F.col("question")))).alias("word"))
+    held = materialise(words.join(op.small(asked), ["scope", "word"]).select("question_id", "word", "fragment_id"))
+    longest = held.groupBy("question_id").agg(F.max(F.struct(F.length("word").alias("l"), "word")).alias("m")).select("question_id", F.col("m.word").alias("word"))
+    gold = held.join(longest, ["question_id", "word"]).select(F.col("question_id").alias("scenario"), F.concat(F.lit("c"), F.col("question_id") % 3).alias("category"), F.col("fragment_id").alias("id"))
     q = op.retrieval_quality(fused.where(f"rank <= {op.TOP_CONTEXT}"), gold)
     return q.groupBy("category").agg(F.round(F.avg("recall"), 4).alias("recall"), F.round(F.avg("precision"), 4).alias("precision"), F.count(F.lit(1)).alias("n"))

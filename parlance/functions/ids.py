@@ -19,8 +19,3 @@ def uuid5(name: Column, namespace: str = DNS) -> Column:
 def hashed_share(key: Column) -> Column:
     """A stable value in [0, 1) of a key: the first six hexadecimal digits of its MD5."""
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 6), 16, 10).cast("long") % 1000 / F.lit(1000.0)
-
-
-def lane(key: Column, lanes: int = 12) -> Column:
-    """Processing lane of a routing key."""
-    return (F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % lanes).cast("int")

@@ -131,10 +131,9 @@ def apply_once(incoming: DataFrame, applied: DataFrame) -> DataFrame:
     return apply_new(incoming, applied)
 
 
-def route(events: DataFrame, category: str, own: Column, parent: Column, lane_of) -> DataFrame:
-    """Routing key and lane: the aggregate itself, or its interview for sentence events; none is counted as dropped."""
-    key = F.when(F.col(category) == "Sentence", parent).otherwise(own)
-    return events.withColumn("routing_key", key).withColumn("lane", F.when(F.col("routing_key").isNotNull(), lane_of(F.col("routing_key"))))
+def route(events: DataFrame, category: str, own: Column, parent: Column) -> DataFrame:
+    """Adds ``routing_key``, by which events that belong together are partitioned: the aggregate itself, or its interview for sentence events; none is null."""
+    return events.withColumn("routing_key", F.when(F.col(category) == "Sentence", parent).otherwise(own))
 
 
 def missing_referents(events: DataFrame, projected: DataFrame, referent: str) -> tuple[DataFrame, DataFrame]:

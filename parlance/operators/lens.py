@@ -17,7 +17,7 @@ DECLARED = (
     ("persona", 1, "workaround", "fragment"),
     ("persona", 1, "quote", "document"),
 )
-RESERVED = ("item_id", "interview_id", "type", "text", "confidence", "locked")
+RESERVED = ("item_id", "lens", "lens_version", "node_type", "confidence", "model", "provider", "interview_id", "locked")
 
 
 def source_units(fragments: DataFrame, utterances: DataFrame, documents: DataFrame, declared: DataFrame) -> DataFrame:
@@ -66,8 +66,12 @@ def apply_overrides(items: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def flatten_fields(fields: Column) -> Column:
-    """Map of strings whose reserved names get a ``field_`` prefix; nested values are already JSON text."""
-    return F.transform_keys(fields, lambda k, _: F.when(k.isin(*RESERVED), F.concat(F.lit("field_"), k)).otherwise(k))
+    """A JSON object of extracted fields as a map of strings: scalars as their text, lists and objects as JSON text, null as null.
+
+    Reserved names get a ``field_`` prefix.  What is no JSON object gives null.
+    """
+    flat = F.from_json(fields, "map<string,string>")
+    return F.transform_keys(flat, lambda k, _: F.when(k.isin(*RESERVED), F.concat(F.lit("field_"), k)).otherwise(k))
 
 
 def ground_items(items: DataFrame, supports: DataFrame, fragments: DataFrame, speakers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

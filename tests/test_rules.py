@@ -545,3 +545,10 @@ def test_old_scratch_expires(spark, tmp_path, monkeypatch):
     (tmp_path / "s" / "other").mkdir()
     assert scratch.expire(spark, 1) == 0 and d.count() == 3
     assert scratch.expire(spark, -1) == 1 and [p.name for p in (tmp_path / "s").iterdir()] == ["other"]
+
+
+def test_fields_of_any_shape_become_text(spark):
+    d = spark.createDataFrame([(1, '{"text": "a", "lens": {"x": [1, 2]}, "n": 1.5, "ok": true, "none": null, "tags": ["p", "q"], "locked": []}'), (2, "no json"), (3, None), (4, "{}")], "k int, fields string")
+    got = {x.k: x.f for x in d.select("k", lens.flatten_fields(F.col("fields")).alias("f")).collect()}
+    assert got[1] == {"text": "a", "field_lens": '{"x":[1,2]}', "n": "1.5", "ok": "true", "none": None, "tags": '["p","q"]', "field_locked": "[]"}
+    assert got[4] == {} and not got[2] and got[3] is None
