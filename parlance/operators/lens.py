@@ -17,6 +17,7 @@ DECLARED = (
     ("persona", 1, "workaround", "fragment"),
     ("persona", 1, "quote", "document"),
 )
+# Names that an item's own properties take.
 RESERVED = ("item_id", "lens", "lens_version", "node_type", "confidence", "model", "provider", "interview_id", "locked")
 
 

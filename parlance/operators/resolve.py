@@ -49,7 +49,7 @@ def _matched(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner
     return left.join(other, same, how).drop(*(f"_of_{c}" for c in on))
 
 
-def _cells(vectors: DataFrame, key: str, block: list[str], tile_rows: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+def split_cells(vectors: DataFrame, key: str, block: list[str], tile_rows: int, pivots: int) -> tuple[DataFrame, DataFrame]:
     """(vectors with ``cell`` and ``angle``, the cells' ``(block, cell, at array<double>)``): each vector goes to the nearest pivot of its block.
 
     Only blocks of more than ``tile_rows`` vectors have pivots: one for so many rows and ``pivots`` at most, drawn by a hash of the keys.
@@ -108,7 +108,7 @@ def _cell_pairs(cells: DataFrame, at: DataFrame, block: list[str], low: float) -
 def _met_tiles(vectors: DataFrame, key: str, block: list[str], column: str, low: float, tile_rows: int, pivots: int) -> DataFrame:
     """Every vector once for each two tiles that it has to be multiplied in: ``(block, ca, ta, cb, tb, cell, tile, key, unit)``."""
     v = materialise(unit_vectors(vectors, column).where("unit is not null").select(key, *block, "unit"))
-    placed, at = _cells(v, key, block, tile_rows, pivots)
+    placed, at = split_cells(v, key, block, tile_rows, pivots)
     placed = materialise(placed)
     cells = materialise(placed.groupBy(*block, "cell").agg(F.max("angle").alias("radius"), F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("tiles")))
     pairs = _cell_pairs(cells, at, block, low)

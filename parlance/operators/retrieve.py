@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parlance.functions.text import query_text
-from parlance.operators.resolve import dot, unit_vectors
+from parlance.operators.resolve import PIVOTS, dot, split_cells, unit_vectors
+from parlance.plans.scratch import materialise
 
 RRF_K, TOP_CHANNEL, TOP_CONTEXT = 60, 20, 12
+#: Vectors of a cell, about.
+CELL_ROWS = 2_048
 #: Questions and names up to which their table is broadcast.
 BROADCAST_ROWS = 50_000
 
@@ -43,17 +46,61 @@ def rank_by(rows: DataFrame, key: str, *order: Column, name: str = "rank") -> Da
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
-def vector_top(questions: DataFrame, vectors: DataFrame, k: int = TOP_CHANNEL, slices: int = 16) -> DataFrame:
+def vector_cells(vectors: DataFrame, cell_rows: int = CELL_ROWS, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """(scope, id, u, cell, angle) of every vector, and ``(scope, cell, n, near, far, at)`` of the cells: how far its vectors are from its pivot; both written.
+
+    Vectors of length 0 are a cell of their own (-1), without a pivot.
+    """
+    v = materialise(unit_vectors(vectors, "vector").where("scope is not null").select("scope", "id", F.col("unit").alias("u")))
+    placed, at = split_cells(v.where("u is not null").withColumnRenamed("u", "unit"), "id", ["scope"], cell_rows, pivots)
+    placed = placed.select("scope", "id", F.col("unit").alias("u"), "cell", "angle").unionByName(v.where("u is null").select("scope", "id", "u", F.lit(-1).alias("cell"), F.lit(0.0).alias("angle")))
+    placed = materialise(placed)
+    cells = placed.groupBy("scope", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("near"), F.max("angle").alias("far"))
+    return placed, materialise(cells.join(at, ["scope", "cell"], "left"))
+
+
+def _limits(questions: DataFrame, cells: DataFrame) -> DataFrame:
+    """``(question_id, scope, q, cell, n, apart, best)``: how far a question is from a cell's pivot, and the best score that the cell can hold."""
+    j = cells.join(small(questions), "scope").withColumn("apart", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("q"), F.col("at"))))))
+    # no vector of the cell is nearer than this angle
+    least = F.greatest(F.lit(0.0), F.col("apart") - F.col("far"), F.col("near") - F.col("apart"))
+    unknown = F.when((F.col("cell") < 0) | F.col("q").isNull(), F.lit(0.0)).otherwise(F.lit(1.0))
+    return j.select("question_id", "scope", "q", "cell", "n", "apart", F.when(F.col("apart").isNull(), unknown).otherwise(F.cos(least)).alias("best"))
+
+
+def vector_top(questions: DataFrame, vectors: DataFrame, k: int = TOP_CHANNEL, cell_rows: int = CELL_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """The k nearest vectors of each question inside its scope, exact: cosine, rounded, ties by id.
 
-    Each slice of the vectors keeps its own best k first, so no question's candidates meet
-    in one task.
+    Vectors are cut into cells around pivots of their scope.  The cells that can be nearest are scored first, until they
+    hold k vectors; a cell, or a vector at an angle to its pivot, that cannot reach the k-th best of these scores
+    is left out, which loses nothing.
     """
-    q = unit_vectors(questions, "vector").select("question_id", "scope", F.col("unit").alias("q"))
-    v = unit_vectors(vectors, "vector").select("scope", "id", F.col("unit").alias("u"), F.pmod(F.xxhash64("id"), F.lit(slices)).alias("slice"))
-    s = v.join(small(q), "scope").withColumn("score", F.round(F.coalesce(dot(F.col("q"), F.col("u")), F.lit(0.0)), 6)).select("question_id", "slice", "id", "score")
-    part = s.withColumn("_k", F.row_number().over(Window.partitionBy("question_id", "slice").orderBy(F.desc("score"), "id"))).where(F.col("_k") <= k)
-    return rank_by(part.drop("_k", "slice"), "question_id", F.desc("score"), F.col("id")).where(F.col("rank") <= k)
+    return _nearest(questions, *vector_cells(vectors, cell_rows, pivots), k)[0]
+
+
+def _nearest(questions: DataFrame, placed: DataFrame, cells: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(top k, the scored pairs that they were taken from)."""
+    q = materialise(unit_vectors(questions, "vector").select("question_id", "scope", F.col("unit").alias("q")))
+    limits = materialise(_limits(q, cells))
+    so_far = F.sum("n").over(Window.partitionBy("question_id").orderBy(F.desc("best"), "cell").rowsBetween(Window.unboundedPreceding, -1))
+    first = materialise(limits.withColumn("_n", F.coalesce(so_far, F.lit(0))).where(F.col("_n") < k).drop("_n"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        j = placed.join(small(pairs), ["scope", "cell"])
+        if "limit" in pairs.columns:
+            reach = F.col("limit") - 1e-6
+            j = j.where(F.col("limit").isNull() | F.col("apart").isNull() | F.col("u").isNull() | (F.cos(F.abs(F.col("apart") - F.col("angle"))) >= reach))
+        return j.select("question_id", "id", F.round(F.coalesce(dot(F.col("q"), F.col("u")), F.lit(0.0)), 6).alias("score"))
+
+    def top(rows: DataFrame) -> DataFrame:
+        # each slice keeps its own best k first, so no question's candidates meet in one task
+        part = rows.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(16))).withColumn("_k", F.row_number().over(Window.partitionBy("question_id", "_s").orderBy(F.desc("score"), "id"))).where(F.col("_k") <= k)
+        return rank_by(part.drop("_k", "_s"), "question_id", F.desc("score"), F.col("id")).where(F.col("rank") <= k)
+
+    limit = top(scored(first)).where(F.col("rank") == k).select("question_id", F.col("score").alias("limit"))
+    kept = limits.join(limit, "question_id", "left").where(F.col("limit").isNull() | (F.col("best") >= F.col("limit") - 1e-6))
+    rows = scored(materialise(kept))
+    return top(rows), rows
 
 
 def expand_to_members(hits: DataFrame, members: DataFrame, k: int = TOP_CHANNEL) -> DataFrame:

@@ -241,6 +241,29 @@ def test_vectors_of_two_models_never_meet(spark):
         enrich.comparable_pairs(d.unionByName(spark.createDataFrame([(5, "q", "m2", [1.0])], d.schema)), "k", ["area"], "v", 0.5)
 
 
+def test_nearest_vectors_equal_a_full_scan(spark, monkeypatch):
+    """Clusters, vectors and questions of length 0, ties, fewer vectors than asked for; whatever the cells."""
+    r = random.Random(21)
+    centres = [[r.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    vectors = [(f"v{k:03d}", "a", [c + r.gauss(0, 0.1) for c in centres[k % 12]]) for k in range(300)]
+    vectors += [("z1", "a", [0.0] * 8), ("z2", "b", [0.0] * 8), ("n", "b", [1.0] * 8), ("t1", "a", centres[0]), ("t2", "a", centres[0]), ("x", None, [1.0] * 8)]
+    questions = [(1, "a", centres[0]), (2, "a", [r.gauss(0, 1) for _ in range(8)]), (3, "b", centres[1]), (4, "a", [0.0] * 8), (5, "c", centres[2]), (6, "a", [-x for x in centres[3]])]
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1)
+    want = {}
+    for q, scope, x in questions:
+        scores = sorted((-round(float(unit(x) @ unit(v)), 6) + 0.0, i) for i, s, v in vectors if s == scope)
+        want |= {(q, i): (-score, k + 1) for k, (score, i) in enumerate(scores[:7])}
+    q = spark.createDataFrame(questions, "question_id int, scope string, vector array<double>")
+    v = spark.createDataFrame(vectors, "id string, scope string, vector array<double>").repartition(3)
+    for rows in (10_000, 20):
+        got = {(x.question_id, x.id): (x.score, x.rank) for x in retrieve.vector_top(q, v, 7, rows).collect()}
+        assert got == want
+    near = q.where("question_id = 1")
+    assert retrieve._nearest(near, *retrieve.vector_cells(v, 20), 7)[1].count() < 100  # of 303
+    monkeypatch.setattr(retrieve, "BROADCAST_ROWS", 0)
+    assert {(x.question_id, x.id): (x.score, x.rank) for x in retrieve.vector_top(q, v, 7, 20).collect()} == want
+
+
 def test_ranks_and_fusion(spark):
     r = random.Random(9)
     hits = [(q, r.choice(CITIES)) for q in range(5) for _ in range(12)]
