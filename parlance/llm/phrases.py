@@ -11,12 +11,13 @@ the first document of a range is also sent to the range before, as its last neig
 Defined cases: null text counts as empty; an empty text has no phrase (all slots are the
 ``ffff`` mark; alike only to another empty text); with one document the next document is
 itself; documents with one id follow each other by text; rows without an id come first;
-repeated rows give repeated results; other columns are ignored.  The phrase dictionary
-restarts after MAX_PHRASES phrases of a text, so that any length is parsed in bounded memory.
+repeated rows give repeated results; other columns are ignored.  One dictionary serves a whole
+text of any length: beyond DICT_PHRASES phrases it moves, as it is, into a table of about 30 bytes a phrase.
 """
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import arrow_stream, bounded_sample, sha256_hex
 
-SLOTS, MAX_PHRASES, SAMPLE_IDS = 64, 1 << 20, 50_000
+SLOTS, DICT_PHRASES, SAMPLE_IDS = 64, 1 << 20, 50_000
 _rng = np.random.default_rng(20_240_601)
 _A = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
@@ -40,44 +41,74 @@ _P_INV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _CHUNK = 1 << 16
 
 
+class PhraseTable:
+    """An open-addressing table from keys to the numbers 1, 2, 3 ..., in the order in which they are put; the last can be taken out again."""
+
+    def __init__(self, keys):
+        self.keys = array("Q")
+        self._grow(4 << max(8, len(keys).bit_length()), list(keys))
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def _grow(self, slots: int, keys) -> None:
+        self.mask, self.slots = slots - 1, array("I", bytes(4 * slots))
+        self.keys = array("Q")
+        for k in keys:
+            self[k] = len(self.keys) + 1
+
+    def _slot(self, key: int) -> int:
+        """Where a key is, or would be put."""
+        slots, keys, mask = self.slots, self.keys, self.mask
+        at = (key * 0x9E3779B97F4A7C15 >> 29) & mask
+        while (n := slots[at]) and keys[n - 1] != key:
+            at = at + 1 & mask
+        return at
+
+    def get(self, key: int, default: int = 0) -> int:
+        return self.slots[self._slot(key)] or default
+
+    def __setitem__(self, key: int, n: int) -> None:
+        if 2 * n > self.mask:
+            self._grow(2 * self.mask + 2, self.keys)
+        self.slots[self._slot(key)] = n
+        self.keys.append(key)
+
+    def popitem(self) -> None:
+        # no other key was put past this slot while it was taken: the last one leaves no gap
+        self.slots[self._slot(self.keys[-1])] = 0
+        self.keys.pop()
+
+
 class Parse:
-    """The state of a parse: children by (node, byte), and the node of the open phrase."""
+    """The state of a parse: children by (node, byte), numbered in the order of their phrases, and the node of the open phrase."""
 
     def __init__(self):
-        self.child: dict[int, int] = {}
+        self.child: dict[int, int] | PhraseTable = {}
         self.node = 0
 
     def feed(self, data: bytes, start: int = 0) -> list[int]:
-        """Where the phrases completed by ``data[start:]`` end.
-
-        The dictionary restarts when it holds MAX_PHRASES phrases, wherever earlier calls ended.
-        """
-        child, node, ends = self.child, self.node, []
-        get, add = child.get, ends.append
-        at, n = start, len(child)
-        while at < len(data):
-            if n == MAX_PHRASES:  # a phrase has just been completed: node is 0
-                child.clear()
-                n = 0
-            stop = at + min(_CHUNK, MAX_PHRASES - n)  # a byte completes one phrase at most
-            for i, c in enumerate(data[at:stop], at + 1):
+        """Where the phrases completed by ``data[start:]`` end."""
+        node, ends = self.node, []
+        add = ends.append
+        for at in range(start, len(data), _CHUNK):
+            child = self.child
+            if len(child) > DICT_PHRASES and isinstance(child, dict):
+                child = self.child = PhraseTable(child)
+            get, n = child.get, len(child)
+            for i, c in enumerate(data[at : at + _CHUNK], at + 1):
                 k = node << 8 | c
                 node = get(k, 0)
                 if not node:
                     n += 1
                     child[k] = n
                     add(i)
-            at = stop
         self.node = node
         return ends
 
     def fork(self, data: bytes, start: int) -> list[int]:
         """Like feed, but the state stays as it was."""
         size, node = len(self.child), self.node
-        if size + len(data) - start >= MAX_PHRASES:
-            copy = Parse()
-            copy.child, copy.node = dict(self.child), node
-            return copy.feed(data, start)
         ends = self.feed(data, start)
         for _ in range(len(self.child) - size):
             self.child.popitem()
