@@ -86,3 +86,28 @@ def test_long_texts_keep_their_language(spark):
     assert m.predict("one " * 4000 + "uno " * 6000)[0] == "es" and m.predict("one " * 6000 + "uno " * 4000)[0] == "en"
     for text in ("one", "one " * 100_000, "uno " * 100_000 + "one"):
         assert 0.5 <= m.predict(text)[1] <= 1
+
+
+def test_fingerprints_of_rows_without_ids(spark):
+    """They come first, each with the next as its neighbour; the last of all has the first."""
+    from parlance.llm import phrases
+
+    rows = [(None, "bbb " * 30), (None, "aaa " * 30), (2, "ccc " * 30), (1, None)]
+    got = phrases.phrase_table(spark.createDataFrame(rows, DDL).repartition(2)).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == [(0, 120), (0, 120), (1, 0), (2, 120)]
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+
+
+def test_pipeline_stages_keep_clean_rows_without_ids(spark, tmp_path):
+    """A benchmark with and without rows; clean rows without ids stay, a leaking one goes alone."""
+    import corpus_pipeline as pipeline
+
+    item = prose(5, 40)
+    rows = [(None, prose(20, 60)), (None, prose(21, 60)), (None, f"{item} {prose(22, 60)}"), (3, prose(23, 60)), (3, prose(23, 60)), (4, prose(23, 60) + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for n, (items, left) in enumerate((([("i", item)], 2), ([], 3))):
+        spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/{n}/benchmark.parquet")
+        kept = pipeline.drop_benchmark_leaks(spark, docs, f"{tmp_path}/{n}").collect()
+        assert sum(r.doc_id is None for r in kept) == left and sum(r.doc_id is not None for r in kept) == 3
+    near = pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sum(r.doc_id is None for r in near) == 3 and {r.doc_id for r in near} == {None, 3}
