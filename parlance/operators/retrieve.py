@@ -46,14 +46,23 @@ def rank_by(rows: DataFrame, key: str, *order: Column, name: str = "rank") -> Da
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
+def _score() -> Column:
+    return F.round(F.coalesce(dot(F.col("q"), F.col("u")), F.lit(0.0)), 6).alias("score")
+
+
+def best_of(scores: DataFrame, k: int, slices: int = 16) -> DataFrame:
+    """The k best ids of each question; each slice keeps its own first, so no question's candidates meet in one task."""
+    part = scores.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(slices))).withColumn("_k", F.row_number().over(Window.partitionBy("question_id", "_s").orderBy(F.desc("score"), "id"))).where(F.col("_k") <= k)
+    return rank_by(part.drop("_k", "_s"), "question_id", F.desc("score"), F.col("id")).where(F.col("rank") <= k)
+
+
 def vector_cells(vectors: DataFrame, cell_rows: int = CELL_ROWS, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
-    """(scope, id, u, cell, angle) of every vector, and ``(scope, cell, n, near, far, at)`` of the cells: how far its vectors are from its pivot; both written.
+    """(scope, id, u, cell, angle) of every unit vector ``(scope, id, u)``, and ``(scope, cell, n, near, far, at)`` of the cells: how far its vectors are from its pivot; both written.
 
     Vectors of length 0 are a cell of their own (-1), without a pivot.
     """
-    v = materialise(unit_vectors(vectors, "vector").where("scope is not null").select("scope", "id", F.col("unit").alias("u")))
-    placed, at = split_cells(v.where("u is not null").withColumnRenamed("u", "unit"), "id", ["scope"], cell_rows, pivots)
-    placed = placed.select("scope", "id", F.col("unit").alias("u"), "cell", "angle").unionByName(v.where("u is null").select("scope", "id", "u", F.lit(-1).alias("cell"), F.lit(0.0).alias("angle")))
+    placed, at = split_cells(vectors.where("u is not null").withColumnRenamed("u", "unit"), "id", ["scope"], cell_rows, pivots)
+    placed = placed.select("scope", "id", F.col("unit").alias("u"), "cell", "angle").unionByName(vectors.where("u is null").select("scope", "id", "u", F.lit(-1).alias("cell"), F.lit(0.0).alias("angle")))
     placed = materialise(placed)
     cells = placed.groupBy("scope", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("near"), F.max("angle").alias("far"))
     return placed, materialise(cells.join(at, ["scope", "cell"], "left"))
@@ -75,7 +84,12 @@ def vector_top(questions: DataFrame, vectors: DataFrame, k: int = TOP_CHANNEL, c
     hold k vectors; a cell, or a vector at an angle to its pivot, that cannot reach the k-th best of these scores
     is left out, which loses nothing.
     """
-    return _nearest(questions, *vector_cells(vectors, cell_rows, pivots), k)[0]
+    v = materialise(unit_vectors(vectors, "vector").where("scope is not null").select("scope", "id", F.col("unit").alias("u")))
+    if v.groupBy("scope").count().where(F.col("count") > cell_rows).isEmpty():
+        # one cell a scope: nothing to leave out
+        q = unit_vectors(questions, "vector").select("question_id", "scope", F.col("unit").alias("q"))
+        return best_of(v.join(small(q), "scope").select("question_id", "id", _score()), k)
+    return _nearest(questions, *vector_cells(v, cell_rows, pivots), k)[0]
 
 
 def _nearest(questions: DataFrame, placed: DataFrame, cells: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -90,17 +104,12 @@ def _nearest(questions: DataFrame, placed: DataFrame, cells: DataFrame, k: int)
         if "limit" in pairs.columns:
             reach = F.col("limit") - 1e-6
             j = j.where(F.col("limit").isNull() | F.col("apart").isNull() | F.col("u").isNull() | (F.cos(F.abs(F.col("apart") - F.col("angle"))) >= reach))
-        return j.select("question_id", "id", F.round(F.coalesce(dot(F.col("q"), F.col("u")), F.lit(0.0)), 6).alias("score"))
-
-    def top(rows: DataFrame) -> DataFrame:
-        # each slice keeps its own best k first, so no question's candidates meet in one task
-        part = rows.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(16))).withColumn("_k", F.row_number().over(Window.partitionBy("question_id", "_s").orderBy(F.desc("score"), "id"))).where(F.col("_k") <= k)
-        return rank_by(part.drop("_k", "_s"), "question_id", F.desc("score"), F.col("id")).where(F.col("rank") <= k)
+        return j.select("question_id", "id", _score())
 
-    limit = top(scored(first)).where(F.col("rank") == k).select("question_id", F.col("score").alias("limit"))
+    limit = best_of(scored(first), k).where(F.col("rank") == k).select("question_id", F.col("score").alias("limit"))
     kept = limits.join(limit, "question_id", "left").where(F.col("limit").isNull() | (F.col("best") >= F.col("limit") - 1e-6))
     rows = scored(materialise(kept))
-    return top(rows), rows
+    return best_of(rows, k), rows
 
 
 def expand_to_members(hits: DataFrame, members: DataFrame, k: int = TOP_CHANNEL) -> DataFrame:

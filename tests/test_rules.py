@@ -258,8 +258,8 @@ def test_nearest_vectors_equal_a_full_scan(spark, monkeypatch):
     for rows in (10_000, 20):
         got = {(x.question_id, x.id): (x.score, x.rank) for x in retrieve.vector_top(q, v, 7, rows).collect()}
         assert got == want
-    near = q.where("question_id = 1")
-    assert retrieve._nearest(near, *retrieve.vector_cells(v, 20), 7)[1].count() < 100  # of 303
+    near, u = q.where("question_id = 1"), resolve.unit_vectors(v, "vector").where("scope is not null").select("scope", "id", F.col("unit").alias("u"))
+    assert retrieve._nearest(near, *retrieve.vector_cells(u, 20), 7)[1].count() < 100  # of 303
     monkeypatch.setattr(retrieve, "BROADCAST_ROWS", 0)
     assert {(x.question_id, x.id): (x.score, x.rank) for x in retrieve.vector_top(q, v, 7, 20).collect()} == want
 
