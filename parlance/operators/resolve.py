@@ -108,6 +108,9 @@ def _cell_pairs(cells: DataFrame, at: DataFrame, block: list[str], low: float) -
 def _met_tiles(vectors: DataFrame, key: str, block: list[str], column: str, low: float, tile_rows: int, pivots: int) -> DataFrame:
     """Every vector once for each two tiles that it has to be multiplied in: ``(block, ca, ta, cb, tb, cell, tile, key, unit)``."""
     v = materialise(unit_vectors(vectors, column).where("unit is not null").select(key, *block, "unit"))
+    if v.groupBy(*block).count().where(F.col("count") > tile_rows).isEmpty():
+        # one tile a block
+        return v.select(*block, *(F.lit(0).alias(c) for c in ("ca", "ta", "cb", "tb", "cell", "tile")), key, "unit")
     placed, at = split_cells(v, key, block, tile_rows, pivots)
     placed = materialise(placed)
     cells = materialise(placed.groupBy(*block, "cell").agg(F.max("angle").alias("radius"), F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("tiles")))
