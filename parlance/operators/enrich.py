@@ -155,13 +155,16 @@ def record_segments(proposals: DataFrame, state: DataFrame) -> DataFrame:
 def hashed_vectors(units: DataFrame, unit: str, text: str, dim: int = 32, model: str = "hashed-words-1") -> DataFrame:
     """Default embedder: counts of words hashed to ``dim`` slots, unit length; native, so no model call is needed."""
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % dim).cast("int"))
+    if not 0 < dim <= 94:
+        raise ValueError("a slot is written as one printable letter")
+    # one letter per word, so that a slot's count is what is missing when its letter is taken out
+    slots = F.array_join(F.transform(words, lambda w: F.char(F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % dim + 33)), "")
 
     def let(value: Column, use) -> Column:  # evaluated once, however often it is used
         return F.element_at(F.transform(F.array(value), use), 1)
 
     def counts(s: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))
+        return F.array(*((F.length(s) - F.length(F.replace(s, F.lit(chr(33 + i)), F.lit("")))).cast("double") for i in range(dim)))
 
     def scaled(c: Column) -> Column:
         return let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0)))

@@ -12,7 +12,7 @@ from parlance.plans.scratch import materialise
 
 RRF_K, TOP_CHANNEL, TOP_CONTEXT = 60, 20, 12
 #: Vectors of a cell, about.
-CELL_ROWS = 2_048
+CELL_ROWS = 50_000
 #: Questions and names up to which their table is broadcast.
 BROADCAST_ROWS = 50_000
 
