@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions.ids import hashed_share
@@ -34,6 +35,20 @@ def reads_fragments(query: Callable[[SparkSession, str], DataFrame]) -> Callable
     return run
 
 
+@contextmanager
+def written(spark: SparkSession, sf_dir: str, fragments: DataFrame) -> Iterator[None]:
+    """Inside, what asks for fragments reads those already written."""
+    before = _WRITTEN.get((spark, sf_dir, "fragments"))
+    _WRITTEN[spark, sf_dir, "fragments"] = fragments
+    try:
+        yield
+    finally:
+        if before is None:
+            _WRITTEN.pop((spark, sf_dir, "fragments"), None)
+        else:
+            _WRITTEN[spark, sf_dir, "fragments"] = before
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,11 +63,15 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumns({"project_id": F.concat(F.lit("p"), F.col("interview_id") % 4), "confidence": hashed_share(F.col("fragment_id"))})
 
 
+def utterance_id() -> Column:
+    return F.concat_ws(":", F.col("interview_id"), F.lit("u"), F.col("utterance_no"))
+
+
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     if (spark, sf_dir, "utterances") in _WRITTEN:
         return _WRITTEN[spark, sf_dir, "utterances"]
     u = ingest.baseline_utterances(fragments(spark, sf_dir), "interview_id", "role")
-    return u.withColumn("utterance_id", F.concat_ws(":", F.col("interview_id"), F.lit("u"), F.col("utterance_no")))
+    return u.withColumn("utterance_id", utterance_id())
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:

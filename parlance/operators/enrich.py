@@ -152,6 +152,20 @@ def record_segments(proposals: DataFrame, state: DataFrame) -> DataFrame:
     return proposals.join(state.select("segment_id", "removed"), "segment_id", "left").where("removed is null or removed").withColumn("again", F.coalesce("removed", F.lit(False))).drop("removed")
 
 
+def hashed_counts(text: Column, dim: int = 32) -> Column:
+    """Counts of a text's words hashed to ``dim`` slots; those of texts joined by blanks are the sums of theirs."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    slots = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % dim).cast("int"))
+    count = lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))
+    return F.element_at(F.transform(F.array(slots), count), 1)
+
+
+def summed_vectors(members: DataFrame, keys: list[str], vector: str, dim: int = 32) -> DataFrame:
+    """The sum of the members' vectors of ``dim`` numbers; null ones add nothing."""
+    sums = F.array(*(F.coalesce(F.sum(F.get(vector, F.lit(i))), F.lit(0.0)) for i in range(dim)))
+    return members.groupBy(*keys).agg(sums.alias("vector"))
+
+
 def hashed_vectors(units: DataFrame, unit: str, text: str, dim: int = 32, model: str = "hashed-words-1") -> DataFrame:
     """Default embedder: counts of words hashed to ``dim`` slots, unit length; native, so no model call is needed."""
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -150,11 +150,16 @@ def fill_assignments(fragments: DataFrame, assigned: DataFrame, key: str) -> Dat
     return fragments.select(key, "seq").join(a.select(key, "seq", "speaker", "confidence"), [key, "seq"], "left").fillna({"speaker": "S?", "confidence": 0.0})
 
 
-def baseline_utterances(fragments: DataFrame, key: str, speaker: str) -> DataFrame:
-    """Maximal runs of one speaker in sequence order."""
+def numbered_runs(fragments: DataFrame, key: str, speaker: str) -> DataFrame:
+    """Fragments with ``utterance_no``, the number of their maximal run of one speaker in sequence order."""
     w = Window.partitionBy(key).orderBy("seq")
     new = (~F.col(speaker).eqNullSafe(F.lag(speaker).over(w)) | (F.col("seq") == 0)).cast("int")
-    runs = fragments.withColumn("_new", new).withColumn("utterance_no", F.sum("_new").over(w) - 1)
+    return fragments.withColumn("_new", new).withColumn("utterance_no", F.sum("_new").over(w) - 1).drop("_new")
+
+
+def baseline_utterances(fragments: DataFrame, key: str, speaker: str) -> DataFrame:
+    """Maximal runs of one speaker in sequence order."""
+    runs = numbered_runs(fragments, key, speaker)
     return runs.groupBy(key, "utterance_no").agg(F.min(speaker).alias("speaker"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("n_fragments"))
 
 

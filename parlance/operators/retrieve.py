@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from parlance.functions.text import query_text
@@ -15,6 +21,8 @@ RRF_K, TOP_CHANNEL, TOP_CONTEXT = 60, 20, 12
 CELL_ROWS = 50_000
 #: Questions and names up to which their table is broadcast.
 BROADCAST_ROWS = 50_000
+#: Questions up to which all of them are held by every task that scores rows, their numbers by terms, and bytes of scores made at once.
+HELD_QUESTIONS, HELD_WEIGHTS, SCORE_BYTES = 1_000, 4_000_000, 1 << 24
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -80,10 +88,15 @@ def _limits(questions: DataFrame, cells: DataFrame) -> DataFrame:
 def vector_top(questions: DataFrame, vectors: DataFrame, k: int = TOP_CHANNEL, cell_rows: int = CELL_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """The k nearest vectors of each question inside its scope, exact: cosine, rounded, ties by id.
 
-    Vectors are cut into cells around pivots of their scope.  The cells that can be nearest are scored first, until they
+    Few questions (HELD_QUESTIONS) are scored against every vector as matrices, in one pass that grows with the vectors.  For more,
+    vectors are cut into cells around pivots of their scope.  The cells that can be nearest are scored first, until they
     hold k vectors; a cell, or a vector at an angle to its pivot, that cannot reach the k-th best of these scores
     is left out, which loses nothing.
     """
+    held = min(HELD_QUESTIONS, BROADCAST_ROWS)
+    few = questions.select("question_id", "scope", _numbers("vector")).where("scope is not null").limit(held + 1).collect()
+    if len(few) <= held:
+        return _held_vectors(questions, few, vectors, k)
     v = materialise(unit_vectors(vectors, "vector").where("scope is not null").select("scope", "id", F.col("unit").alias("u")))
     if v.groupBy("scope").count().where(F.col("count") > cell_rows).isEmpty():
         # one cell a scope: nothing to leave out
@@ -112,6 +125,133 @@ def _nearest(questions: DataFrame, placed: DataFrame, cells: DataFrame, k: int)
     return best_of(rows, k), rows
 
 
+def _numbers(vector: str) -> Column:
+    """A vector as doubles; one with a null in it has no direction, as if it were null."""
+    return F.when(F.forall(vector, lambda x: x.isNotNull()), F.transform(vector, lambda x: x.cast("double"))).alias("vector")
+
+
+def _best_by_batch(rows: DataFrame, column: str, questions: DataFrame, places: dict, scores: Callable, k: int, digits: int) -> DataFrame:
+    """The k best ``(question_id, id, score, rank)`` of questions that every task holds: rows (scope, id, column) are scored batch by batch, in one pass.
+
+    places: the questions of a scope, as numbers; questions: place, question_id; ``scores(scope, values)``: a matrix of rows by
+    these questions.  A batch keeps what can be among a question's k best by score, rounded to ``digits``, and id.
+    """
+    width, unit = max((len(p) for p in places.values()), default=1), 10.0**digits
+
+    def best_rows(s: np.ndarray, ids: list) -> np.ndarray:
+        # a score at the edge of rounding counts as either value, so nothing depends on how halves are rounded; NaN is above all, as in Spark
+        if len(s) <= k:
+            return np.arange(len(s))
+        x = np.abs(s) * unit
+        either = np.abs(x - np.floor(x) - 0.5) <= 1e-4
+        down, up = np.where(either, np.floor(x), np.floor(x + 0.5)), np.where(either, np.ceil(x), np.floor(x + 0.5))
+        low, high = (np.where(np.isnan(s), np.inf, v) for v in (np.where(s < 0, -up, down), np.where(s < 0, -down, up)))
+        kth = np.partition(low, len(low) - k)[len(low) - k]
+        ties = np.flatnonzero((high == kth) & ~either)
+        if len(ties) > k:
+            ties = np.array(sorted(ties, key=lambda i: ids[i])[:k])
+        return np.concatenate([np.flatnonzero((high > kth) | ((high == kth) & either)), ties])
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        step = max(1, SCORE_BYTES // (8 * width))
+        for whole in batches:
+            for begin in range(0, whole.num_rows, step):
+                batch = whole.slice(begin, step)
+                at, found, points = [], [], []
+                scope = batch.column("scope").dictionary_encode()
+                codes = scope.indices.to_numpy(zero_copy_only=False)
+                for code, name in enumerate(scope.dictionary.to_pylist()):
+                    if name not in places:
+                        continue
+                    part = batch.take(pa.array(np.flatnonzero(codes == code)))
+                    s, ids = scores(name, part.column(column)), part.column("id").to_pylist()
+                    for j, p in enumerate(places[name]):
+                        some = np.arange(len(ids)) if s.any_score is None else np.flatnonzero(s.any_score[:, j])
+                        kept = some[best_rows(s.values[some, j], [ids[i] for i in some] if len(some) < len(ids) else ids)]
+                        at += [p] * len(kept)
+                        found += [ids[i] for i in kept]
+                        points += s.values[kept, j].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(found, batch.column("id").type), pa.array(points, pa.float64())], ["place", "id", "score"])
+
+    schema = T.StructType([T.StructField("place", T.IntegerType()), rows.schema["id"], T.StructField("score", T.DoubleType())])
+    out = rows.select("scope", "id", column).mapInArrow(score, schema)
+    return best_of(out.join(F.broadcast(questions), "place").select("question_id", "id", F.round("score", digits).alias("score")), k)
+
+
+def _places(questions: DataFrame, few: list) -> tuple[dict, DataFrame]:
+    """The numbers of the questions by scope, and the questions by number."""
+    places: dict = {}
+    for place, row in enumerate(few):
+        places.setdefault(row.scope, []).append(place)
+    named = T.StructType([T.StructField("place", T.IntegerType()), questions.schema["question_id"]])
+    return places, questions.sparkSession.createDataFrame([(p, r.question_id) for p, r in enumerate(few)], named)
+
+
+def _held_vectors(questions: DataFrame, few: list, vectors: DataFrame, k: int) -> DataFrame:
+    """vector_top for few questions: matrices of every vector by all questions of its scope."""
+    places, named = _places(questions, few)
+    asked: dict = {}
+    for scope, at in places.items():
+        by_size: dict = {}
+        for column, place in enumerate(at):
+            by_size.setdefault(len(few[place].vector or []), []).append((column, few[place].vector or []))
+        asked[scope] = len(at), {d: ([c for c, _ in part], np.array([x for _, x in part], dtype=np.float64)) for d, part in by_size.items()}
+
+    def scores(scope, lists: pa.Array):
+        n, (width, by_size) = len(lists), asked[scope]
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat, start = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
+        out = np.zeros((n, width))
+        for d, (columns, q) in by_size.items():
+            at = np.flatnonzero(size == d)
+            if d and len(at):
+                m = flat[start[at][:, None] + np.arange(d)]
+                # whole numbers stay exact until the one division
+                norm = np.outer(*(np.sqrt((x * x).sum(axis=1)) for x in (m, q)))
+                out[np.ix_(at, columns)] = np.divide(m @ q.T, norm, out=np.zeros_like(norm), where=norm != 0)
+        return SimpleNamespace(values=out, any_score=None)
+
+    rows = vectors.where("scope is not null").select("scope", "id", _numbers("vector"))
+    return _best_by_batch(rows, "vector", named, places, scores, k, 6)
+
+
+def _held_terms(questions: DataFrame, few: list, asked: list, docs: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """bm25_top for few questions; docs: scope, id, ts (the words of a text); asked: question, term, its weight, and the mean length of texts in its scope."""
+    places, named = _places(questions, few)
+    column = {few[p].question_id: (scope, j) for scope, at in places.items() for j, p in enumerate(at)}
+    code: dict = {scope: {} for scope in places}
+    for row in asked:
+        code[row.scope].setdefault(row.term, len(code[row.scope]))
+    weights = {scope: np.zeros((len(code[scope]), len(at))) for scope, at in places.items()}
+    mean = {}
+    for row in asked:
+        weights[row.scope][code[row.scope][row.term], column[row.question_id][1]] = row.idf
+        mean[row.scope] = row.avg_len
+
+    def scores(scope, lists: pa.Array):
+        n, known, weight = len(lists), code[scope], weights[scope]
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        words = lists.flatten().dictionary_encode()
+        of = np.array([known.get(w, -1) for w in words.dictionary.to_pylist()], dtype=np.int64)
+        out, found = np.zeros((n, weight.shape[1])), np.zeros((n, weight.shape[1]), dtype=bool)
+        if len(words) and len(known):
+            term, text = of[words.indices.to_numpy(zero_copy_only=False)], np.repeat(np.arange(n), size)
+            pairs, tf = np.unique(text[term >= 0] * len(known) + term[term >= 0], return_counts=True)
+            text, term = np.divmod(pairs, len(known))
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[text] / mean[scope])) if len(pairs) else np.zeros(0)
+            step = max(1, SCORE_BYTES // (8 * weight.shape[1]))
+            for begin in range(0, len(pairs), step):
+                cut = slice(begin, begin + step)
+                first = np.flatnonzero(np.r_[True, text[cut][1:] != text[cut][:-1]])
+                gains = part[cut, None] * weight[term[cut]]
+                out[text[cut][first]] += np.add.reduceat(gains, first, axis=0)
+                found[text[cut][first]] |= np.logical_or.reduceat(weight[term[cut]] != 0, first, axis=0)
+        return SimpleNamespace(values=out, any_score=found)
+
+    top = _best_by_batch(docs, "ts", named, places, scores, k, 5)
+    return top.withColumnRenamed("id", "fragment_id")
+
+
 def expand_to_members(hits: DataFrame, members: DataFrame, k: int = TOP_CHANNEL) -> DataFrame:
     """Utterance hits as their fragments, which inherit the score; members: id, fragment_id."""
     m = hits.join(members, "id").groupBy("question_id", "fragment_id").agg(F.max("score").alias("score"))
@@ -135,17 +275,31 @@ def postings(docs: DataFrame, key: str, scope: str, text: str, wanted: DataFrame
     d = docs.select(F.col(scope).alias("scope"), F.col(key).alias("id"), terms(F.col(text)).alias("ts"))
     d = d.select("scope", "id", F.size("ts").alias("length"), F.explode("ts").alias("term"))
     if wanted is not None:
-        d = d.join(small(wanted.select("scope", "term").distinct()), ["scope", "term"], "left_semi")
+        # dealt by text: what a question's terms add up to in a text is then summed where the text is
+        d = d.join(small(wanted.select("scope", "term").distinct()), ["scope", "term"], "left_semi").repartition("id")
     return d.groupBy("scope", "term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_top(questions: DataFrame, docs: DataFrame, key: str, scope: str, text: str, k: int = TOP_CHANNEL, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 (any of the terms) inside a question's scope; empty questions find nothing."""
+    """BM25 (any of the terms) inside a question's scope; empty questions find nothing.
+
+    docs: one row per text.  Few questions are held by every task and texts scored where they are; for more, postings are joined.
+    """
     q = questions.select("question_id", "scope", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"))
+    held, words = min(HELD_QUESTIONS, BROADCAST_ROWS), docs.select(F.col(scope).alias("scope"), F.col(key).alias("id"), terms(F.col(text)).alias("ts")).where("scope is not null")
+    few = questions.select("question_id", "scope").where("scope is not null").limit(held + 1).collect()
+    if len(few) <= held and len({r.question_id for r in few}) == len(few) and q.select("scope", "term").distinct().count() * len(few) <= HELD_WEIGHTS:
+        each = words.select("scope", F.explode(F.array_distinct("ts")).alias("term")).join(small(q.select("scope", "term").distinct()), ["scope", "term"], "left_semi")
+        df = each.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
+        sizes = words.groupBy("scope").agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("ts")).alias("avg_len"))
+        idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+        asked = q.join(df, ["scope", "term"]).join(sizes, "scope").select("question_id", "scope", "term", idf, "avg_len").collect()
+        return _held_terms(questions, few, asked, words, k, k1, b)
     p = postings(docs, key, scope, text, q)
     sizes = docs.select(F.col(scope).alias("scope"), F.size(terms(F.col(text))).alias("n")).groupBy("scope").agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg_len"))
     df = p.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
-    hit = p.join(small(q.join(df, ["scope", "term"]).join(sizes, "scope")), ["scope", "term"])
+    asked = materialise(q.join(df, ["scope", "term"]).join(sizes, "scope"))
+    hit = p.join(small(asked), ["scope", "term"])
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_len")))
     s = hit.groupBy("question_id", F.col("id").alias("fragment_id")).agg(F.round(F.sum(w), 5).alias("score"))
@@ -157,9 +311,9 @@ def graph_hits(matches: DataFrame, mentions: DataFrame, spoken: DataFrame) -> Da
 
     mentions: ref, fragment_id of entities (over their aliases); spoken: ref, fragment_id of persons.
     """
-    e = matches.where("kind = 'entity'").select("question_id", "ref").join(mentions, "ref")
-    p = matches.where("kind = 'person'").select("question_id", "ref").join(spoken, "ref")
-    return e.select("question_id", "fragment_id").unionByName(p.select("question_id", "fragment_id"))
+    rows = mentions.select("ref", "fragment_id", F.lit("entity").alias("kind")).unionByName(spoken.select("ref", "fragment_id", F.lit("person").alias("kind")))
+    # dealt by fragment: its hits are then counted where they are found
+    return rows.repartition("fragment_id").join(small(matches.select("question_id", "kind", "ref")), ["kind", "ref"]).select("question_id", "fragment_id")
 
 
 def rank_by_hits(hits: DataFrame) -> DataFrame:
@@ -167,6 +321,16 @@ def rank_by_hits(hits: DataFrame) -> DataFrame:
     return rank_by(n, "question_id", F.desc("hits"), F.col("fragment_id"))
 
 
+def within_reach(ranked: DataFrame, others: DataFrame, top: int, k: int = RRF_K) -> DataFrame:
+    """The rows of a channel that fusion can put among a question's ``top``: its first ones, and those that another channel has as well.
+
+    A row further down that no other channel has scores less than ``top`` rows of its own channel.
+    """
+    found = others.select("question_id", "fragment_id", F.lit(True).alias("_also")).distinct()
+    far = F.round(1.0 / (k + F.col("rank")), 9) < F.round(1.0 / (k + F.lit(top)), 9)
+    return ranked.join(small(found), ["question_id", "fragment_id"], "left").where(~far | F.col("_also")).drop("_also")
+
+
 def fuse(ranked: DataFrame, k: int = RRF_K, top: int | None = None) -> DataFrame:
     """Reciprocal-rank fusion of (question_id, channel, fragment_id, rank); ties by id."""
     s = ranked.groupBy("question_id", "fragment_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"))
@@ -180,12 +344,12 @@ def context_rows(fused: DataFrame, fragments: DataFrame, siblings: DataFrame, en
     fragments: fragment_id, speaker_id, speaker, text; siblings: utterance_id, fragment_id, seq, text;
     entities: fragment_id, name; persons: speaker_id, person; topics: fragment_id, topic.
     """
-    ids = fused.select("fragment_id").distinct()
+    ids = small(fused.select("fragment_id").distinct())
     e = entities.join(ids, "fragment_id", "left_semi").groupBy("fragment_id").agg(F.array_sort(F.collect_set("name")).alias("entities"))
     t = topics.join(ids, "fragment_id", "left_semi").groupBy("fragment_id").agg(F.array_sort(F.collect_set("topic")).alias("topics"))
-    near = siblings.join(ids, "fragment_id", "left_semi").select("utterance_id").distinct()
-    text = siblings.join(near, "utterance_id").groupBy("utterance_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("block_text"))
-    f = fragments.join(ids, "fragment_id", "left_semi").join(siblings.select("fragment_id", "utterance_id"), "fragment_id", "left").join(text, "utterance_id", "left")
+    own = materialise(siblings.join(ids, "fragment_id", "left_semi").select("fragment_id", "utterance_id"))
+    text = siblings.join(small(own.select("utterance_id").distinct()), "utterance_id", "left_semi").groupBy("utterance_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("block_text"))
+    f = fragments.join(ids, "fragment_id", "left_semi").join(own, "fragment_id", "left").join(text, "utterance_id", "left")
     f = f.withColumn("block_text", F.coalesce("block_text", "text")).join(persons.groupBy("speaker_id").agg(F.min("person").alias("person")), "speaker_id", "left")
     return fused.join(f, "fragment_id").join(e, "fragment_id", "left").join(t, "fragment_id", "left")
 
