@@ -9,23 +9,26 @@ from pyspark.sql import functions as F
 from parlance import bind
 from parlance.bindings import events as ev
 from parlance.operators import folds
-from parlance.plans.scratch import scratch_dir
+from parlance.plans.scratch import materialise, scratch_dir
 from parlance.streaming import jobs
 from parlance.streaming.state import BatchLog, StateTable
 
 QUERIES, SQL = {}, {}
 #: Positions that an event waits for its referent before it is parked.
 PARK_AFTER = 300
+#: Files of a batch: all of a part's.
+ALL_FILES = 1_000_000
 
 
-def _written(rows_of, parts):
-    """Files that the stream meets one after another: one per part, in order."""
-    path, first = None, None
+def _streamed(rows_of, parts, batch):
+    """A log that grows by a part at a time, and a stream that is run again after each; a part may be any number of files."""
+    path = checkpoint = None
     for part in parts:
         rows = rows_of(part)
-        path, first = path or scratch_dir(rows.sparkSession), first or rows.schema
-        rows.coalesce(1).write.mode("append").parquet(path)
-    return path, first
+        s = rows.sparkSession
+        path, checkpoint = path or scratch_dir(s), checkpoint or scratch_dir(s)
+        rows.write.mode("append").parquet(path)
+        jobs.run_now(jobs.read_log(s, path, rows.schema, ALL_FILES), "", checkpoint, batch)
 
 
 def _range(rows, column, k, n):
@@ -37,16 +40,16 @@ def _range(rows, column, k, n):
 
 def v5_stream_apply_once(s, d):
     """Versions in order, cut into six batches, each of which also repeats a part of the one before: each version is applied once."""
-    e = bind.event_log(s, d).select("aggregate_id", "version", "commit_position")
+    e = materialise(bind.event_log(s, d).select("aggregate_id", "version", "commit_position"))
 
     def part(k):
         rows = _range(e, "version", k, 6)
         return rows.unionByName(_range(e, "version", k - 1, 6).where("version % 5 = 0")) if k else rows
 
-    path, schema = _written(part, range(6))
+    schema = e.schema
     out = BatchLog(s, scratch_dir(s), schema)
     applied = StateTable(s, scratch_dir(s), _only(schema, "aggregate_id", "version"), ["aggregate_id"])
-    jobs.run_now(jobs.read_log(s, path, schema, 1), "", scratch_dir(s), jobs.apply_once(out, applied))
+    _streamed(part, range(6), jobs.apply_once(out, applied))
     return out.all()
 
 
@@ -55,10 +58,9 @@ def _only(schema, *names):
 
 
 def _held(s, d):
-    e = bind.event_log(s, d).select("aggregate_id", "event_type", "commit_position", "version")
-    path, schema = _written(lambda k: _range(e, "commit_position", k, 5), range(5))
-    held = jobs.Held.at(s, scratch_dir(s), schema, "aggregate_id")
-    jobs.run_now(jobs.read_log(s, path, schema, 1), "", scratch_dir(s), jobs.hold_missing(held, "aggregate_id", F.col("event_type") == "signup", PARK_AFTER))
+    e = materialise(bind.event_log(s, d).select("aggregate_id", "event_type", "commit_position", "version"))
+    held = jobs.Held.at(s, scratch_dir(s), e.schema, "aggregate_id")
+    _streamed(lambda k: _range(e, "commit_position", k, 5), range(5), jobs.hold_missing(held, "aggregate_id", F.col("event_type") == "signup", PARK_AFTER))
     return held
 
 
@@ -109,16 +111,15 @@ FOLDS = {
 
 def v23_incremental(s, d):
     """The states of all jobs after a stream of batches that come out of order, with gaps and repeats; equal to those of one replay."""
-    e = ev._wide(s, d)
+    e = materialise(ev._wide(s, d))
     cut = F.pmod(F.xxhash64("commit_position"), F.lit(4))
 
     def part(k):
         rows = e.where(cut == 3 - k)
         return rows.unionByName(e.where((cut == 4 - k) & (F.col("version") % 3 == 0))) if k else rows
 
-    path, schema = _written(part, range(4))
-    p = jobs.Projection(s, scratch_dir(s), s.createDataFrame([], schema), {n: _read(make(), n) for n, make in FOLDS.items()})
-    jobs.run_now(jobs.read_log(s, path, schema, 1), "", scratch_dir(s), p.step)
+    p = jobs.Projection(s, scratch_dir(s), s.createDataFrame([], e.schema), {n: _read(make(), n) for n, make in FOLDS.items()})
+    _streamed(part, range(4), p.step)
     return ev.all_states({n: p.result(n) for n in FOLDS})
 
 
