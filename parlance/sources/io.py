@@ -8,24 +8,30 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from parlance.operators.events import first_of
+from parlance.plans.scratch import materialise
 
 
 def scan_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> tuple[DataFrame, DataFrame]:
     """(texts, quarantine) of the files below ``path``: path and whole text; path and why for files that are no UTF-8 or can't be read.
 
     A bad file does not stop the rest; a file without a byte has no row.
+    Folders are listed once and every file is opened once: what is read is written as a table.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-    read = files.option("ignoreCorruptFiles", True).load(path).select("path", F.col("content").cast("string").alias("text"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(path)
+    read = materialise(files.select("path", F.col("content").cast("string").alias("text")))
     good = F.is_valid_utf8("text")
-    listed = files.load(path).select("path")  # names only: no content is read
+    listed = files.select("path")  # names only: no content is read
     lost = listed.join(read.select("path"), "path", "left_anti").select("path", F.lit("unreadable").alias("error"))
     return read.where(good), read.where(~good).select("path", F.lit("not UTF-8").alias("error")).unionByName(lost)
 
 
 def write_texts(texts: DataFrame, path: str, key: str, text: str) -> None:
-    """One text file per key, below a folder named after it."""
-    texts.select(key, F.col(text).alias("value")).write.partitionBy(key).option("lineSep", "\n").mode("overwrite").text(path)
+    """One text file per key, below a folder named after it.
+
+    Tasks put their files in place themselves (committer of version 2): else the driver moves them, one folder after another.
+    """
+    rows = texts.select(key, F.col(text).alias("value")).write.partitionBy(key).option("lineSep", "\n")
+    rows.option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("overwrite").text(path)
 
 
 def write_maps(rows: DataFrame, path: str, source: str) -> None:
