@@ -270,13 +270,15 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(query_text(text)), " "), lambda w: w != "")
 
 
-def postings(docs: DataFrame, key: str, scope: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
-    """(scope, term, id, length, tf) of a text column; wanted: (scope, term) that are of interest."""
+def postings(docs: DataFrame, key: str, scope: str, text: str, wanted: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """(scope, term, id, length, tf) of a text column; wanted: (scope, term) that are of interest; tasks: how many share the words."""
     d = docs.select(F.col(scope).alias("scope"), F.col(key).alias("id"), terms(F.col(text)).alias("ts"))
     d = d.select("scope", "id", F.size("ts").alias("length"), F.explode("ts").alias("term"))
     if wanted is not None:
         # dealt by text: what a question's terms add up to in a text is then summed where the text is
         d = d.join(small(wanted.select("scope", "term").distinct()), ["scope", "term"], "left_semi").repartition("id")
+    elif tasks is not None:
+        d = d.repartition(tasks, "id")
     return d.groupBy("scope", "term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 

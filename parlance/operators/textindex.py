@@ -4,7 +4,8 @@
 counts in short texts), with the block's highest count and shortest text; ``p`` is a hash of scope and term, so a
 question reads the partitions of its terms and an added text touches only those of its own.  ``sizes/segment=k`` holds
 how many texts a scope has and how long they are.  Blocks are cut from sorted streams, so a term of any frequency is
-spread over tasks and never gathered in one.
+spread over tasks and never gathered in one.  Tasks follow the words to index and the postings to add up, TASK_ROWS
+each, so that what one holds does not grow with the texts.
 
 ``search`` first reads the blocks' bounds alone.  The best block of each term gives every question scores that its
 k-th best fragment reaches at least; a block whose bound, with the best of the question's other terms, stays below
@@ -18,12 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parlance.operators.retrieve import TOP_CHANNEL, postings, rank_by, small, terms
+from parlance.operators.retrieve import BROADCAST_ROWS, TOP_CHANNEL, postings, rank_by, small, terms
 from parlance.plans.scratch import materialise
 
 #: Postings of a block, and partitions of a segment by term.
 BLOCK_ROWS, PARTS = 128, 16
 K1, B = 1.2, 0.75
+#: Words that a task indexes, and postings that it adds up to scores.
+TASK_ROWS = 1_000_000
 #: Scores are rounded to five digits; a block this close below the limit is still read.
 MARGIN = 1e-4
 
@@ -32,9 +35,17 @@ def _part(scope: Column, term: Column) -> Column:
     return F.pmod(F.xxhash64(scope, term), F.lit(PARTS)).cast("int")
 
 
+def _tasks(spark: SparkSession, rows: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
 def add_segment(docs: DataFrame, path: str, segment: int, key: str, scope: str, text: str, block_rows: int = BLOCK_ROWS) -> None:
     """Write the postings of new texts; a segment that is written again replaces itself."""
-    p = postings(docs, key, scope, text).withColumn("part", _part(F.col("scope"), F.col("term")))
+    sizes = docs.select(F.col(scope).alias("scope"), F.size(terms(F.col(text))).cast("long").alias("n")).groupBy("scope").agg(F.count(F.lit(1)).alias("docs"), F.count("n").alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
+    sizes.write.mode("overwrite").parquet(f"{path}/sizes/segment={segment}")
+    spark = docs.sparkSession
+    tasks = _tasks(spark, spark.read.parquet(f"{path}/sizes/segment={segment}").agg(F.sum("words")).first()[0] or 0)
+    p = postings(docs, key, scope, text, tasks=tasks).withColumn("part", _part(F.col("scope"), F.col("term")))
     kinds = {c: p.schema[c].dataType.simpleString() for c in ("scope", "id")}
     schema = f"part int, scope {kinds['scope']}, term string, n int, max_tf long, min_length int, ids array<{kinds['id']}>, tfs array<long>, lengths array<int>"
     names = [c.split()[0] for c in schema.split(", ")]
@@ -59,10 +70,8 @@ def add_segment(docs: DataFrame, path: str, segment: int, key: str, scope: str,
             yield pd.DataFrame([block()], columns=names, dtype=object)
 
     order = ["part", "scope", "term", F.desc("tf"), "length", "id"]
-    sorted_rows = p.select("part", "scope", "term", "id", "tf", "length").repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_rows = p.select("part", "scope", "term", "id", "tf", "length").repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     sorted_rows.mapInPandas(cut, schema).write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings/segment={segment}")
-    sizes = docs.select(F.col(scope).alias("scope"), F.size(terms(F.col(text))).cast("long").alias("n")).groupBy("scope").agg(F.count(F.lit(1)).alias("docs"), F.count("n").alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
-    sizes.write.mode("overwrite").parquet(f"{path}/sizes/segment={segment}")
 
 
 def _weight(tf: Column, length: Column) -> Column:
@@ -91,7 +100,13 @@ def _scored(spark: SparkSession, path: str, blocks: DataFrame) -> DataFrame:
     read = spark.read.parquet(f"{path}/postings").where(F.col("part").isin(parts)).join(small(blocks.select(*keys).distinct()), keys, "left_semi")
     each = read.select("scope", "term", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("p")).select("scope", "term", F.col("p.ids").alias("fragment_id"), F.col("p.tfs").alias("tf"), F.col("p.lengths").alias("length"))
     q = blocks.select("question_id", "scope", "term", "docs", "df", "avg_len").distinct()
-    return each.join(small(q), ["scope", "term"]).groupBy("question_id", "fragment_id").agg(F.sum(_weight(F.col("tf"), F.col("length"))).alias("score"))
+    tasks = _tasks(spark, blocks.agg(F.sum("n")).first()[0] or 0)
+    # dealt by text: what a question's terms add up to in a text is summed where the text is
+    if q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        rows = each.repartition(tasks, "fragment_id").join(F.broadcast(q), ["scope", "term"])
+    else:
+        rows = each.join(q, ["scope", "term"]).repartition(tasks, "fragment_id")
+    return rows.groupBy("question_id", "fragment_id").agg(F.sum(_weight(F.col("tf"), F.col("length"))).alias("score"))
 
 
 def search(spark: SparkSession, path: str, questions: DataFrame, k: int = TOP_CHANNEL) -> DataFrame:

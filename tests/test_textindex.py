@@ -51,3 +51,20 @@ def test_blocks_are_skipped_and_segments_touch_their_terms(spark, tmp_path, aske
     assert sorted(x.term for x in new.select("term").collect()) == ["rare", "w0"] and len(list((tmp_path / "index" / "postings" / "segment=1").glob("part=*"))) <= 2
     got = textindex.search(spark, path, spark.createDataFrame([(1, "a", "rare")], asked.schema)).collect()
     assert [x.fragment_id for x in got] == ["y"]
+
+
+def test_tasks_follow_the_words(spark, tmp_path, asked, monkeypatch):
+    """More words to index, or postings to add up, are more tasks; results are the same, held questions or not."""
+    docs = spark.createDataFrame(texts(3, 300), DDL)
+    want = rows_of(retrieve.bm25_top(asked, docs, "fragment_id", "scope", "text", k=5))
+    monkeypatch.setattr(textindex, "TASK_ROWS", 200)
+    path = f"{tmp_path}/index"
+    textindex.add_segment(docs, path, 0, "fragment_id", "scope", "text", 4)
+    words = spark.read.parquet(f"{path}/sizes").agg(F.sum("words")).first()[0]
+    tasks = {f.name.split("-")[1] for f in (tmp_path / "index" / "postings").rglob("part-*.parquet")}
+    assert words / 200 / 2 < len(tasks) <= words / 200 + 1
+    blocks = textindex.asked_blocks(spark, path, asked)
+    assert textindex._scored(spark, path, blocks).rdd.getNumPartitions() >= blocks.agg(F.sum("n")).first()[0] / 200
+    for held in (50_000, 0):
+        monkeypatch.setattr(textindex, "BROADCAST_ROWS", held)
+        assert rows_of(textindex.search(spark, path, asked, k=5)) == want
