@@ -91,14 +91,18 @@ _IK = "CASE " + " ".join(f"WHEN event_type = '{t}' AND commit_position % 4 = {k}
 _V2 = f"""ie AS (SELECT aggregate_id, version, {_IK} AS kind, 'e' || (version % 5) AS entity_id, 'n' || version AS name, CASE WHEN version % 3 > 0 THEN 't' || version END AS title, CASE WHEN version % 4 = 0 THEN 'l' || (version % 7) END AS language, 's' || (version % 3) AS status, version % 6 AS lens_version FROM event_log)"""
 
 
-def _interview_events(s, d):
-    e, v = bind.event_log(s, d), F.col("version")
-    kind = F.lit(None).cast("string")
+def _interview_columns():
+    """What the interview jobs read of an event."""
+    v, kind = F.col("version"), F.lit(None).cast("string")
     for t, kinds in _INTERVIEW_KIND.items():
         for k, x in enumerate(kinds):
             kind = F.when((F.col("event_type") == t) & (F.col("commit_position") % 4 == k), x).otherwise(kind)
     tag = lambda mark, x: F.concat(F.lit(mark), x)
-    return e.select("aggregate_id", "version", kind.alias("kind"), tag("e", v % 5).alias("entity_id"), tag("n", v).alias("name"), F.when(v % 3 > 0, tag("t", v)).alias("title"), F.when(v % 4 == 0, tag("l", v % 7)).alias("language"), tag("s", v % 3).alias("status"), (v % 6).alias("lens_version"))
+    return {"kind": kind, "entity_id": tag("e", v % 5), "name": tag("n", v), "title": F.when(v % 3 > 0, tag("t", v)), "language": F.when(v % 4 == 0, tag("l", v % 7)), "status": tag("s", v % 3), "lens_version": v % 6}
+
+
+def _interview_events(s, d):
+    return bind.event_log(s, d).select("aggregate_id", "version", *(c.alias(n) for n, c in _interview_columns().items()))
 
 
 _HEADERS = """hd AS (SELECT aggregate_id, arg_max(title, version) FILTER (WHERE kind IN ('created', 'updated') AND title IS NOT NULL) AS title, arg_max(language, version) FILTER (WHERE kind IN ('created', 'updated') AND language IS NOT NULL) AS language,
@@ -314,8 +318,8 @@ _V23 = "\nUNION ALL ".join(_states_sql(job, SQL[_OF[job]] if job in _OF else f"W
 def _wide(s, d):
     """One row per event with what each job reads of it."""
     e, v = _cat(s, d), F.col("version")
-    i = _interview_events(s, d).withColumnRenamed("kind", "ikind")
-    e = e.select("aggregate_id", "version", "commit_position", "event_type", "kind", "value", hashed_share(F.col("commit_position")).alias("confidence")).join(i.withColumnRenamed("name", "iname"), ["aggregate_id", "version"])
+    i = {{"kind": "ikind", "name": "iname"}.get(n, n): c for n, c in _interview_columns().items()}
+    e = e.select("aggregate_id", "version", "commit_position", "event_type", "kind", "value", hashed_share(F.col("commit_position")).alias("confidence"), *(c.alias(n) for n, c in i.items()))
     return e.withColumn("diff", F.create_map("event_type", F.when(v % 3 != 0, v.cast("string"))))
 
 
@@ -362,6 +366,7 @@ def all_states(results):
 @query("v23_rebuild", _V23)
 def v23(s, d):
     """The states that one replay gives, by all jobs, of a log in which every event came twice, applied once."""
-    e = _wide(s, d)
-    log = materialise(op.apply_once(e.unionByName(e), e.where("false").select("aggregate_id", "version")))
+    e = materialise(_wide(s, d))
+    twice = op.dealt(e.unionByName(e), "aggregate_id")
+    log = materialise(op.apply_once(twice, e.where("false").select("aggregate_id", "version")))
     return all_states({job: replay(_READS[job](log)) for job, replay in _REPLAY.items()})

@@ -94,17 +94,29 @@ def fold_fragments(events: DataFrame) -> DataFrame:
     events: aggregate_id, version, kind in (edited, generated, overridden, cleared, attributed), value.
     Only analysis events after the last clear count; a human override locks.
     """
-    last_clear = F.max(F.when(F.col("kind") == "cleared", F.col("version"))).over(Window.partitionBy("aggregate_id"))
-    e = events.withColumn("after_clear", F.col("version") > F.coalesce(last_clear, F.lit(-1)))
-    alive = F.col("after_clear")
-    return e.groupBy("aggregate_id").agg(
+    kind, v, value = F.col("kind"), F.col("version"), F.col("value")
+    made = kind.isin("generated", "overridden")
+    s = events.groupBy("aggregate_id").agg(
         F.max("version").alias("version"),
-        F.count_if(F.col("kind") == "edited").alias("n_edits"),
-        F.max_by(F.when(F.col("kind") == "edited", F.col("value")), F.when(F.col("kind") == "edited", F.col("version"))).alias("text_value"),
-        F.max_by(F.when(alive & F.col("kind").isin("generated", "overridden"), F.col("value")), F.when(alive & F.col("kind").isin("generated", "overridden"), F.col("version"))).alias("analysis"),
-        F.coalesce(F.bool_or(alive & (F.col("kind") == "overridden")), F.lit(False)).alias("locked"),
-        F.max_by(F.when(F.col("kind") == "attributed", F.col("value")), F.when(F.col("kind") == "attributed", F.col("version"))).alias("speaker_value"),
+        F.count_if(kind == "edited").alias("n_edits"),
+        F.max_by(F.when(kind == "edited", value), F.when(kind == "edited", v)).alias("text_value"),
+        F.max_by(F.when(made, value), F.when(made, v)).alias("analysis"),
+        F.max_by(F.when(kind == "attributed", value), F.when(kind == "attributed", v)).alias("speaker_value"),
+        F.max(F.when(made, v)).alias("_made"),
+        F.max(F.when(kind == "overridden", v)).alias("_overridden"),
+        F.coalesce(F.max(F.when(kind == "cleared", v)), F.lit(-1)).alias("_cleared"),
     )
+    alive = lambda at: F.col(at) > F.col("_cleared")
+    return s.select("aggregate_id", "version", "n_edits", "text_value", F.when(alive("_made"), F.col("analysis")).alias("analysis"), F.coalesce(alive("_overridden"), F.lit(False)).alias("locked"), "speaker_value")
+
+
+#: Events that a task holds to sort them.
+TASK_EVENTS = 500_000
+
+
+def dealt(events: DataFrame, key: str) -> DataFrame:
+    """Events dealt by a key to as many tasks as their number asks for: a task's share does not grow with the log."""
+    return events.repartition(max(events.sparkSession.sparkContext.defaultParallelism, -(-events.count() // TASK_EVENTS)), key)
 
 
 def first_of(events: DataFrame, keys: list[str], order: str = "commit_position") -> DataFrame:
@@ -231,9 +243,11 @@ def history(events: DataFrame, aggregate: Column | int | None = None) -> DataFra
 
 def keep_edited(generated: DataFrame, edited: DataFrame, keys: list[str]) -> DataFrame:
     """The latest generated value of each dimension, unless a person has edited it."""
-    g = generated.groupBy(*keys).agg(F.max_by("value", "version").alias("generated"))
-    e = edited.groupBy(*keys).agg(F.max_by("value", "version").alias("edited"))
-    return g.join(e, keys, "full_outer").select(*keys, F.coalesce("edited", "generated").alias("value"), F.col("edited").isNotNull().alias("is_edited"))
+    cols = [*keys, "version", "value"]
+    rows = generated.select(*cols, F.lit(False).alias("_human")).unionByName(edited.select(*cols, F.lit(True).alias("_human")))
+    of = lambda when: F.max_by("value", F.when(when, F.col("version")))
+    last = rows.groupBy(*keys).agg(of(~F.col("_human")).alias("generated"), of(F.col("_human")).alias("edited"))
+    return last.select(*keys, F.coalesce("edited", "generated").alias("value"), F.col("edited").isNotNull().alias("is_edited"))
 
 
 def override(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:

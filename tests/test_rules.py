@@ -575,3 +575,19 @@ def test_fields_of_any_shape_become_text(spark):
     got = {x.k: x.f for x in d.select("k", lens.flatten_fields(F.col("fields")).alias("f")).collect()}
     assert got[1] == {"text": "a", "field_lens": '{"x":[1,2]}', "n": "1.5", "ok": "true", "none": None, "tags": '["p","q"]', "field_locked": "[]"}
     assert got[4] == {} and not got[2] and got[3] is None
+
+
+def test_replayed_log_is_dealt_by_its_size(spark, monkeypatch):
+    """The wide log is cut once, without a join with itself; more events are more tasks, and a fold keeps no window of them."""
+    from parlance.bindings import events as bound
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(bound._wide(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(events, "TASK_EVENTS", 10)
+    rows = [(k % 7, k, "edited" if k % 3 else "cleared", f"x{k}") for k in range(200)]
+    log = spark.createDataFrame(rows, "aggregate_id int, version int, kind string, value string")
+    assert events.dealt(log, "aggregate_id").rdd.getNumPartitions() == 20
+    assert "Window" not in plan(events.fold_fragments(log))
+    one = events.keep_edited(log.where("kind = 'cleared'"), log.where("kind = 'edited' and aggregate_id < 3"), ["aggregate_id"])
+    assert "Join" not in plan(one)
+    assert sorted((x.aggregate_id, x.value, x.is_edited) for x in one.collect()) == [(0, "x196", True), (1, "x197", True), (2, "x191", True), (3, "x192", False), (4, "x186", False), (5, "x180", False), (6, "x195", False)]
