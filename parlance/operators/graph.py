@@ -42,20 +42,52 @@ class Seen:
         return reduce(DataFrame.unionByName, [t for tables in self.sizes for t in tables])
 
 
-def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, direction: str = "out") -> DataFrame:
+#: Entries of a node that one task walks on from; a node that more have reached is dealt to several tasks.
+HOT = 2_000
+
+
+def _onward(edge: DataFrame, rows: int, steps: DataFrame) -> DataFrame:
+    """``(entry, node)``: where one step leads from a hop of so many rows; what many entries have reached is walked on from by several tasks."""
+    few = edge.select("entry", "node")
+
+    def walk(few, steps, on):
+        return few.join(steps, on).select("entry", F.col("next").alias("node"))
+
+    if rows <= HOT:
+        return walk(few, steps, ["node"])
+    hot = materialise(few.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).withColumn("ways", F.ceil(F.col("n") / HOT).cast("int")))
+    ways, held = hot.agg(F.sum("ways"), F.sum("n")).first()
+    if not held:
+        return walk(few, steps, ["node"])
+    hot, tasks = F.broadcast(hot.drop("n")), max(edge.sparkSession.sparkContext.defaultParallelism, 2 * ways)  # a row for HOT rows of the hop, at most
+    shares = few.join(hot, "node").select("entry", "node", F.pmod(F.xxhash64("entry"), "ways").cast("int").alias("way")).repartition(tasks, "node", "way")
+    each = steps.join(hot, "node").select("node", "next", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way")).repartition(tasks, "node", "way")
+    found = walk(shares, each, ["node", "way"])
+    return found if held == rows else found.unionByName(walk(few.join(hot, "node", "left_anti"), steps, ["node"]))
+
+
+def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, direction: str = "out", ready: bool = False) -> DataFrame:
     """``(entry, node, depth)``: nodes within ``depth`` hops of each entry (any number if None), at their smallest depth.
 
-    A hop writes only what it found.  Without a depth the walk ends when a hop finds nothing new, and raises after MAX_HOPS hops.
+    A hop writes only what it found; the last of a stated depth is left to the caller, who writes it if it is read more than
+    once.  Without a depth the walk ends when a hop finds nothing new, and raises after MAX_HOPS hops.
+    ready: the edges are written already and none comes twice.
     """
     out = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
     into = edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
-    steps = materialise({"out": out, "in": into, "both": out.unionByName(into)}[direction].distinct())
+    steps = {"out": out, "in": into, "both": out.unionByName(into)}[direction]
+    steps = steps if ready else materialise(steps.distinct())
     seen, edge = Seen(), materialise(start.select("entry", "node").distinct().withColumn("depth", F.lit(0)))
     seen.add(edge)
     for k in range(1, (MAX_HOPS if depth is None else depth) + 1):
-        edge = materialise(edge.select("entry", "node").join(steps, "node").select("entry", F.col("next").alias("node")).distinct().join(seen.rows(), ["entry", "node"], "left_anti").withColumn("depth", F.lit(k)))
-        if edge.isEmpty():
+        rows = edge.count()
+        if not rows:
             return seen.rows()
+        found = _onward(edge, rows, steps).withColumn("depth", F.lit(k))
+        least = seen.rows().unionByName(found).groupBy("entry", "node").agg(F.min("depth").alias("depth"))
+        if k == depth:
+            return least
+        edge = materialise(least.where(F.col("depth") == k))
         seen.add(edge)
     if depth is None:
         raise RuntimeError(f"the walk did not end in {MAX_HOPS} hops")
@@ -79,7 +111,7 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def minimal_context(edges: DataFrame, start: DataFrame, nodes: DataFrame, wanted: str, depth: int) -> DataFrame:
     """Upstream nodes up to the smallest depth that holds a node of the wanted type, and the entry's direct out-neighbours."""
-    up = reach(edges, start, depth, "in")
+    up = materialise(reach(edges, start, depth, "in"))
     hit = up.where("depth > 0").join(nodes.where(F.col("type") == wanted).select("node"), "node", "left_semi").groupBy("entry").agg(F.min("depth").alias("enough"))
     above = up.join(hit, "entry").where("depth <= enough").select("entry", "node")
     direct = start.select("entry", F.col("node").alias("src")).join(edges, "src").select("entry", F.col("dst").alias("node"))

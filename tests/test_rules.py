@@ -591,3 +591,26 @@ def test_replayed_log_is_dealt_by_its_size(spark, monkeypatch):
     one = events.keep_edited(log.where("kind = 'cleared'"), log.where("kind = 'edited' and aggregate_id < 3"), ["aggregate_id"])
     assert "Join" not in plan(one)
     assert sorted((x.aggregate_id, x.value, x.is_edited) for x in one.collect()) == [(0, "x196", True), (1, "x197", True), (2, "x191", True), (3, "x192", False), (4, "x186", False), (5, "x180", False), (6, "x195", False)]
+
+
+def test_walk_from_nodes_that_many_entries_reach(spark, monkeypatch):
+    """Hops through a hot node are dealt to several tasks; depths and induced edges are those of plain walks."""
+    monkeypatch.setattr(graph, "HOT", 3)
+    pairs = {(f"e{k}", f"a{k % 5}") for k in range(20)} | {(f"a{k}", "hub") for k in range(5)} | {("hub", f"b{k}") for k in range(9)} | {("b0", "e1"), ("b1", "b1"), ("b2", "a2")}
+    e = spark.createDataFrame(sorted(pairs), "src string, dst string")
+    start = spark.createDataFrame([(f"e{k}", f"e{k}") for k in range(20)], "entry string, node string")
+    assert graph._onward(start.select("entry", graph.F.lit("hub").alias("node")), 20, e.toDF("node", "next")).count() == 180
+    for depth in (2, 3, None):
+        want = {}
+        for k in range(20):
+            at, now = {f"e{k}": 0}, {f"e{k}"}
+            for n in range(1, (depth or 99) + 1):
+                now = {y for x, y in pairs if x in now} - set(at)
+                at |= dict.fromkeys(now, n)
+            want |= {(f"e{k}", x): n for x, n in at.items()}
+        reached = graph.reach(e, start, depth)
+        rows = reached.collect()
+        assert len(rows) == len(want) and {(x.entry, x.node): x.depth for x in rows} == want
+        got = [(x.entry, x.src, x.dst) for x in graph.induced(e, reached).collect()]
+        entries = {x for x, _ in want}
+        assert len(got) == len(set(got)) and set(got) == {(i, x, y) for i in entries for x, y in pairs if (i, x) in want and (i, y) in want}
