@@ -11,6 +11,7 @@ from parlance.functions.text import collapse, surface_key
 from parlance.operators import corrections
 from parlance.operators import graph as g_op
 from parlance.operators import resolve as op
+from parlance.plans.scratch import materialise
 
 QUERIES, SQL = {}, {}
 
@@ -287,8 +288,8 @@ def g1(s, d):
 
 @query("g1_induced_edges", f"WITH RECURSIVE {_EDGES}, w(entry, node, depth) AS (SELECT node, node, 0 FROM nodes WHERE type = 'hub' UNION SELECT entry, dst, depth + 1 FROM w JOIN edges ON src = w.node WHERE depth < 2), r AS (SELECT DISTINCT entry, node FROM w) SELECT a.entry, src, dst FROM edges JOIN r a ON a.node = src JOIN r b ON b.entry = a.entry AND b.node = dst")
 def g1_induced(s, d):
-    e = _edges(s, d)
-    return g_op.induced(e, g_op.reach(e, _start(s, d), 2)).select("entry", "src", "dst")
+    e = materialise(_edges(s, d))
+    return g_op.induced(e, materialise(g_op.reach(e, _start(s, d), 2, ready=True))).select("entry", "src", "dst")
 
 
 @query("g2_dangling", f"WITH {_EDGES} SELECT dst AS missing, 'dst' AS side, count(*) AS n_edges FROM edges WHERE dst NOT IN (SELECT node FROM nodes) GROUP BY 1 UNION ALL SELECT src, 'src', count(*) FROM edges WHERE src NOT IN (SELECT node FROM nodes) GROUP BY 1")

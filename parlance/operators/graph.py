@@ -94,11 +94,20 @@ def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, directio
     return seen.rows()
 
 
+def _lighter_ends(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """Each edge with the entries of that end which fewer have reached; ``_other`` is the end still to be looked up."""
+    n = materialise(reached.groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+    both = edges.join(n.toDF("src", "_src"), "src").join(n.toDF("dst", "_dst"), "dst")
+    both = materialise(both.withColumn("_by_src", F.col("_src") <= F.col("_dst")).drop("_src", "_dst"))
+    by_src = both.where("_by_src").join(reached.toDF("entry", "src"), "src").select("entry", F.col("dst").alias("_other"), *edges.columns)
+    by_dst = both.where("not _by_src").join(reached.toDF("entry", "dst"), "dst").select("entry", F.col("src").alias("_other"), *edges.columns)
+    return by_src.unionByName(by_dst)
+
+
 def induced(edges: DataFrame, reached: DataFrame) -> DataFrame:
-    """Edges with both ends among an entry's reached nodes."""
-    a = reached.select("entry", F.col("node").alias("src"))
-    b = reached.select("entry", F.col("node").alias("dst"))
-    return edges.join(a, "src").join(b, ["entry", "dst"])
+    """Edges with both ends among an entry's reached nodes; what is given is read several times."""
+    r = reached.select("entry", "node").where("entry is not null")
+    return _lighter_ends(edges, r).join(r.toDF("entry", "_other"), ["entry", "_other"]).drop("_other")
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:

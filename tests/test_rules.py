@@ -614,3 +614,10 @@ def test_walk_from_nodes_that_many_entries_reach(spark, monkeypatch):
         got = [(x.entry, x.src, x.dst) for x in graph.induced(e, reached).collect()]
         entries = {x for x, _ in want}
         assert len(got) == len(set(got)) and set(got) == {(i, x, y) for i in entries for x, y in pairs if (i, x) in want and (i, y) in want}
+
+
+def test_induced_edges_start_from_the_lighter_end(spark):
+    e = spark.createDataFrame([("hub", f"b{k}") for k in range(9)] + [("b1", "hub"), ("b2", "gone")], "src string, dst string")
+    reached = spark.createDataFrame([(k, "hub") for k in range(20)] + [(k, f"b{k}") for k in range(9)] + [(None, "hub"), (None, "b0")], "entry int, node string")
+    assert graph._lighter_ends(e, reached.where("entry is not null")).count() == 10
+    assert sorted(tuple(x) for x in graph.induced(e, reached).select("entry", "src", "dst").collect()) == sorted([(k, "hub", f"b{k}") for k in range(9)] + [(1, "b1", "hub")])
