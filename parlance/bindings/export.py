@@ -14,7 +14,7 @@ from parlance.bindings.resolve import _M, _mentions
 from parlance.functions.ids import hashed_share
 from parlance.operators import export as op
 from parlance.operators import lens as lens_op
-from parlance.plans.scratch import scratch_dir
+from parlance.plans.scratch import materialise, scratch_dir
 from parlance.sources import io
 
 QUERIES, SQL = {}, {}
@@ -105,7 +105,11 @@ _PAGED = "pg AS (SELECT CASE WHEN length(surface) % 3 = 0 THEN 'c-' || lower(lef
 
 
 def _aliases(s, d):
-    return _mentions(s, d).where(F.length("surface") % 3 == 0).select("surface", F.concat(F.lit("c-"), F.lower(F.substring("surface", 1, 2))).alias("canonical_id")).distinct()
+    return _aliases_of(_mentions(s, d))
+
+
+def _aliases_of(mentions):
+    return mentions.where(F.length("surface") % 3 == 0).select("surface", F.concat(F.lit("c-"), F.lower(F.substring("surface", 1, 2))).alias("canonical_id")).distinct()
 
 
 @query("x8_entity_pages", f"WITH {_M}, {_PAGED}, a AS (SELECT page, surface AS alias, count(*) AS n_alias_mentions FROM pg GROUP BY ALL) SELECT page, alias, CAST(row_number() OVER (PARTITION BY page ORDER BY alias) AS INTEGER) AS place, n_alias_mentions, CAST(sum(n_alias_mentions) OVER (PARTITION BY page) AS BIGINT) AS n_mentions, count(*) OVER (PARTITION BY page) AS n_surfaces FROM a")
@@ -131,14 +135,14 @@ def x8_mentions(s, d):
 
 def _documents(s, d):
     """Items and claims of each bundle as documents, with the quotes they rest on."""
-    an = _anchored(s, d)
+    an, items = materialise(_anchored(s, d)), materialise(_items(s, d))
     bundle = F.concat(F.lit("b"), F.col("interview_id") % 5).alias("bundle")
-    owner = lens_op.resolve_speakers(_items(s, d), _lens_speakers(s, d), "owner")
+    owner = lens_op.resolve_speakers(items, _lens_speakers(s, d), "owner")
     i = op.unique_slugs(owner.select("item_id", bundle, "lens", "type", "text", "confidence", F.col("owner_speaker").alias("speaker")), "bundle", "item_id", "item_id")
     c = _claims(s, d).select("claim_id", bundle, F.concat(F.lit("said [in] "), "utterance_id", F.lit("\\")).alias("text"), F.lit("assertion").alias("claim_kind"), "confidence", F.col("speaker_id").alias("speaker"), "utterance_id")
     of_claims = c.select("claim_id", "utterance_id").join(_members(s, d), "utterance_id").select("claim_id", "fragment_id")
     c = op.unique_slugs(c.drop("utterance_id"), "bundle", "claim_id", "claim_id")
-    return op.item_documents(i, op.quotes(_supports(s, d), an, "item_id")).unionByName(op.claim_documents(c, op.quotes(of_claims, an, "claim_id")))
+    return op.item_documents(i, op.quotes(_supports(s, d, items), an, "item_id")).unionByName(op.claim_documents(c, op.quotes(of_claims, an, "claim_id")))
 
 
 def _slugged(key):
@@ -185,8 +189,8 @@ CAST(sum(length(content)) AS BIGINT) AS n_chars, CAST(sum(('0x' || substr(sha256
 )
 @bind.reads_fragments
 def x11(s, d):
-    m = _mentions(s, d).withColumn("bundle", F.concat(F.lit("b"), F.col("interview_id") % 5))
-    e = op.paged(m, _aliases(s, d)).groupBy("bundle", "page").agg(F.array_join(F.array_sort(F.collect_set("surface")), ", ").alias("content"))
+    m = materialise(_mentions(s, d).select("surface", F.concat(F.lit("b"), F.col("interview_id") % 5).alias("bundle")).distinct())
+    e = op.paged(m, _aliases_of(m)).groupBy("bundle", "page").agg(F.array_join(F.array_sort(F.collect_set("surface")), ", ").alias("content"))
     files = _documents(s, d).unionByName(e.select("bundle", F.lit("entity").alias("kind"), F.concat(F.lit("entities/"), "page").alias("path"), "content"))
     u = bind.utterances(s, d).withColumn("bundle", F.concat(F.lit("b"), F.col("interview_id") % 5))
     h = u.groupBy("bundle").agg(F.count_distinct("interview_id").alias("n_interviews"), F.count_distinct("interview_id", "speaker").alias("n_speakers"), F.sum("n_fragments").alias("n_fragments"), F.count(F.lit(1)).alias("n_utterances"))

@@ -48,8 +48,8 @@ def q3(s, d):
     return op.live_speakers(sp).select("interview_id", "speaker_id", "display_name")
 
 
-def _supports(s, d):
-    i = _items(s, d)
+def _supports(s, d, items=None):
+    i = _items(s, d) if items is None else items
     m = _members(s, d)
     a = i.select("item_id", "unit_id").join(m.select(F.col("utterance_id").alias("unit_id"), "fragment_id"), "unit_id").select("item_id", "fragment_id")
     b = i.where("unit_id like '%:%' and unit_id not like '%u%'").select("item_id", F.col("unit_id").alias("fragment_id"))

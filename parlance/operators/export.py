@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from parlance.functions.text import slug
+from parlance.plans.scratch import materialise
 
 
 def anchors(members: DataFrame) -> DataFrame:
@@ -23,17 +24,19 @@ def unique_slugs(names: DataFrame, bundle: str, name: str, order: str) -> DataFr
 
     A slug can only meet slugs that extend it by numbers, and only where a slug before it is wanted twice.  What no
     such slug leads to keeps its own; a wanted slug that no other leads to is numbered by a window; the
-    rest is walked in order, one set of slugs that lead to each other at a time.
+    rest is walked in order, one set of slugs that lead to each other at a time.  Names and what is wanted twice are
+    written, as each is read several times.
     """
-    s = names.withColumn("_base", slug(F.col(name)))
-    n = s.groupBy(bundle, "_base").agg(F.count(F.lit(1)).alias("_n"))
+    s = materialise(names.withColumn("_base", slug(F.col(name))))
+    n = materialise(s.groupBy(bundle, "_base").agg(F.count(F.lit(1)).alias("_n")))
     ends = F.length(F.regexp_extract("_base", "((?:-[0-9]+)*)$", 1)) - F.length(F.regexp_replace(F.regexp_extract("_base", "((?:-[0-9]+)*)$", 1), "-", ""))
     words = F.split("_base", "-")
     stems = n.select(bundle, "_base", F.explode(F.transform(F.sequence(F.lit(0), ends), lambda k: F.array_join(F.slice(words, F.lit(1), F.size(words) - k), "-"))).alias("_stem"))
     wanted = n.where("_n > 1").select(bundle, F.col("_base").alias("_stem"))
     tops = stems.join(wanted, [bundle, "_stem"]).groupBy(bundle, "_base").agg(F.min_by("_stem", F.length("_stem")).alias("_top"))
+    tops = materialise(tops)
     mixed = tops.groupBy(bundle, "_top").agg((F.count(F.lit(1)) > 1).alias("_mixed"))
-    s = s.join(tops.join(mixed, [bundle, "_top"]), [bundle, "_base"], "left")
+    s = s.join(materialise(tops.join(mixed, [bundle, "_top"])), [bundle, "_base"], "left")
     k = F.row_number().over(Window.partitionBy(bundle, "_base").orderBy(order)).cast("string")
     free = s.where("_top is null").withColumn("slug", F.col("_base"))
     plain = s.where("not _mixed").withColumn("_k", k).withColumn("slug", F.when(F.col("_k") == "1", F.col("_base")).otherwise(F.concat("_base", F.lit("-"), "_k"))).drop("_k")

@@ -599,7 +599,7 @@ def test_walk_from_nodes_that_many_entries_reach(spark, monkeypatch):
     pairs = {(f"e{k}", f"a{k % 5}") for k in range(20)} | {(f"a{k}", "hub") for k in range(5)} | {("hub", f"b{k}") for k in range(9)} | {("b0", "e1"), ("b1", "b1"), ("b2", "a2")}
     e = spark.createDataFrame(sorted(pairs), "src string, dst string")
     start = spark.createDataFrame([(f"e{k}", f"e{k}") for k in range(20)], "entry string, node string")
-    assert graph._onward(start.select("entry", graph.F.lit("hub").alias("node")), 20, e.toDF("node", "next")).count() == 180
+    assert graph._onward(start.select("entry", F.lit("hub").alias("node")), 20, e.toDF("node", "next")).count() == 180
     for depth in (2, 3, None):
         want = {}
         for k in range(20):
@@ -621,3 +621,17 @@ def test_induced_edges_start_from_the_lighter_end(spark):
     reached = spark.createDataFrame([(k, "hub") for k in range(20)] + [(k, f"b{k}") for k in range(9)] + [(None, "hub"), (None, "b0")], "entry int, node string")
     assert graph._lighter_ends(e, reached.where("entry is not null")).count() == 10
     assert sorted(tuple(x) for x in graph.induced(e, reached).select("entry", "src", "dst").collect()) == sorted([(k, "hub", f"b{k}") for k in range(9)] + [(1, "b1", "hub")])
+
+
+def test_slugs_read_their_names_once(spark):
+    """However many branches number them, names are computed once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(name):
+        seen.add(1)
+        return name
+
+    raw = [(1, "a"), (2, "a"), (3, "a 2"), (4, "b"), (5, "b"), (6, "c")]
+    names = spark.createDataFrame(raw, "id int, raw string").select("id", F.lit(0).alias("bundle"), F.udf(told, "string")("raw").alias("name"))
+    got = {x.id: x.slug for x in export.unique_slugs(names, "bundle", "name", "id").collect()}
+    assert got == {1: "a", 2: "a-2", 3: "a-2-2", 4: "b", 5: "b-2", 6: "c"} and seen.value == len(raw)
