@@ -389,6 +389,44 @@ def test_repeats_without_an_id(spark):
     assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == brute_repeats(rows, 400)
 
 
+def test_repeats_of_planted_passages(spark):
+    """Passages of over 50 words are removed from both documents if they have 400 bytes; shorter ones stay, as do clean documents."""
+    word = lambda r, n: " ".join("".join(r.choices("abcdefghijklmnop", k=n)) for _ in range(55))
+    r = random.Random(12)
+    host = lambda x: word(r, 9) + " " + x + " " + word(r, 9)
+    long, short = word(r, 7), word(r, 6)
+    assert len(long) >= 400 > len(short) + 2
+    rows = [(1, host(long)), (2, host(long)), (3, host(short)), (4, host(short)), (5, host("")), (6, host(""))]
+    got = repeats.repeats_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id for x in got if x.n_removed} == {1, 2}
+    assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == brute_repeats(rows, 400)
+
+
+def test_repeats_splits_the_rows_of_a_text_with_many_copies(spark, monkeypatch):
+    plans = []
+
+    def written(df, write=repeats.materialise):
+        if {"all", "part"} <= set(df.columns):
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(repeats, "materialise", written)
+    p, q = prose(41, 120), prose(42, 120)
+    rows = [(i, p if i < 3000 else prose(i, 5)) for i in range(4000)] + [(5000, q + prose(43, 9)), (5001, q + prose(44, 9))]
+    sizes = {"autoBroadcastJoinThreshold": "-1", "shuffle.partitions": "32", "adaptive.advisoryPartitionSizeInBytes": "4k", "adaptive.coalescePartitions.enabled": "false", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        got = repeats.repeats_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert len(plans) == 1 and "skew=true" in plans[0]
+    assert Counter((x.doc_id < 3000, x.n_removed == x.n_bytes, x.n_spans) for x in got) == {(True, True, 1): 3000, (False, False, 0): 1000, (False, False, 1): 2}
+
+
 def test_repeats_inside_one_document_and_of_near_ends(spark):
     r = random.Random(8)
     text = lambda n: "".join(r.choices("abcdefgh ", k=n))
